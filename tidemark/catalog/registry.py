@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.catalog import quotes
+from tidemark.catalog import quotes, tables
 
-MODULES = [quotes]
+MODULES = [quotes, tables]
 
 
 def queries() -> dict:
