@@ -9,6 +9,7 @@ from tidemark.functions import scalars as fn
 from tidemark.operators.asof import asof_join, nearest_join
 from tidemark.operators.scan import forward_fill
 from tidemark.plans import quotes as q
+from tidemark.session import stage
 
 TTL = 86_400
 GRID = 1_800
@@ -39,7 +40,8 @@ def grid_stale_rate(spark, sf):
     m = v.markets(spark, sf)
     grid = q.time_grid(m, start="market_start_ts", end="market_end_ts", step_seconds=3_600)
     assets = grid.select("market_id", "sample_ts", F.explode(F.array("yes_asset_id", "no_asset_id")).alias("asset_id"))
-    on_grid = q.state_on_grid(assets, q.asset_quote_state(quote_events(spark, sf)), ttl_seconds=TTL)
+    state = stage(q.asset_quote_state(quote_events(spark, sf)), "asset_state")
+    on_grid = q.state_on_grid(assets, state, ttl_seconds=TTL)
     return on_grid.groupBy(F.date_format("sample_ts", "yyyy-MM-dd").alias("day")).agg(
         F.count("*").alias("samples"),
         F.round(F.avg(F.col("is_stale").cast("double")), 6).alias("stale_rate"),
@@ -50,7 +52,8 @@ def grid_stale_rate(spark, sf):
 
 def market_silver_frame(spark, sf, step=GRID):
     return q.market_silver(
-        v.markets(spark, sf), quote_events(spark, sf), ttl_seconds=TTL, step_seconds=step, bucket_seconds=5 * 86_400
+        v.markets(spark, sf), quote_events(spark, sf), ttl_seconds=TTL, step_seconds=step, bucket_seconds=5 * 86_400,
+        stage=stage,
     )
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.catalog import quotes, tables
+from tidemark.catalog import evaluate, quotes, tables
 
-MODULES = [quotes, tables]
+MODULES = [quotes, tables, evaluate]
 
 
 def queries() -> dict:

@@ -8,8 +8,11 @@ from tidemark.catalog import quotes as cq
 from tidemark.catalog import views as v
 from tidemark.functions import scalars as fn
 from tidemark.operators import rank
+from tidemark.operators.rowwindows import in_blocks, rolling
+from tidemark.operators.scan import row_index
 from tidemark.plans import gold as g
 from tidemark.plans import instrument as ins
+from tidemark.session import stage
 
 STEP = 300
 RET = (1, 3, 6)
@@ -45,9 +48,6 @@ def trade_flow_rolling(spark, sf):
     tr = v.trades(spark, sf).withColumn("symbol", F.col("side"))
     flow = ins.flow_per_step(tr, step_seconds=3_600)
     idx = flow.withColumn("hour_idx", (F.unix_timestamp("sample_ts") / 3600).cast("bigint"))
-    from tidemark.operators.rowwindows import in_blocks, rolling
-    from tidemark.operators.scan import row_index
-
     idx = row_index(idx, keys=["symbol"], bucket=F.col("hour_idx") - F.col("hour_idx") % 24, order=["hour_idx"], name="row_idx")
     out = in_blocks(
         idx, keys=["symbol"], index="row_idx", before=4, block=64,
@@ -111,12 +111,16 @@ def formula_prob(spark, sf):
 
 
 def _silver(spark, sf):
-    return cq.market_silver_frame(spark, sf, 14_400)
+    return stage(cq.market_silver_frame(spark, sf, 14_400), "market_silver")
+
+
+def _series(spark, sf):
+    return stage(series_frame(spark, sf), "instrument_silver")
 
 
 def terminal_gold(spark, sf):
     out = g.terminal_gold(
-        _silver(spark, sf), series_frame(spark, sf), series_columns=["trade_imbalance_3"], sigma="realized_vol_12",
+        _silver(spark, sf), _series(spark, sf), series_columns=["trade_imbalance_3"], sigma="realized_vol_12",
         stale_seconds=600, bucket_seconds=86_400,
     )
     return out.select(
@@ -129,7 +133,7 @@ def terminal_gold(spark, sf):
 
 def repricing_gold(spark, sf):
     out = g.repricing_gold(
-        _silver(spark, sf), series_frame(spark, sf), series_columns=["return_1"], sigma="realized_vol_12",
+        _silver(spark, sf), _series(spark, sf), series_columns=["return_1"], sigma="realized_vol_12",
         stale_seconds=600, steps=(1, 3), threshold=0.05, bucket_seconds=86_400,
     )
     return out.select(

@@ -197,23 +197,85 @@ def nearest_join(
 ) -> DataFrame:
     """Right row with the smallest time distance (the earlier one when equal).
 
-    Two linear as-of passes instead of a join on the key, which would build every
-    pair of a hot key.
+    One carried row from before and one from after enter each bucket, so the work is
+    linear; a join on the key would build every pair of a hot key.
     """
-    back = asof_join(
-        left, right, on=on, left_ts=left_ts, right_ts=right_ts, tie=tie, right_cols=right_cols,
-        prefix="__b_", match_ts="__b_ts", bucket_seconds=bucket_seconds,
+    keys = list(on)
+    width = bucket_seconds * 1_000_000
+    kcols = [f"__k{i}" for i in range(len(keys))]
+    tcols = [f"__t{i}" for i in range(len(tie))]
+    by = [*kcols, "__b"]
+    rights = (
+        right.dropna(subset=[right_ts, *keys])
+        .select(
+            *[F.col(k).alias(a) for k, a in zip(keys, kcols)],
+            micros(right_ts).alias("__o"),
+            *[F.col(t).alias(a) for t, a in zip(tie, tcols)],
+            F.struct(micros(right_ts).alias("__ts"), *right_cols).alias("__r"),
+        )
+        .withColumn("__b", bucket_start(F.col("__o"), width))
+    )
+    lefts = left.select(
+        *[F.col(k).alias(a) for k, a in zip(keys, kcols)],
+        micros(left_ts).alias("__o"),
+        F.struct(*left.columns).alias("__l"),
+    ).withColumn("__b", bucket_start(F.col("__o"), width))
+
+    at = F.when(F.col("__r").isNotNull(), F.struct("__o", *tcols))
+    line = Window.partitionBy(*(kcols or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    back_line = (
+        Window.partitionBy(*(kcols or [F.lit(0)]))
+        .orderBy(F.col("__b").desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    ends = (
+        rights.unionByName(lefts.select(*by).withColumn("__want", F.lit(1)), allowMissingColumns=True)
+        .groupBy(*by)
+        .agg(F.max_by("__r", at).alias("__last"), F.min_by("__r", at).alias("__first"), F.max("__want").alias("__want"))
+        .select(
+            *by,
+            "__want",
+            F.last("__last", ignorenulls=True).over(line).alias("__last"),
+            F.last("__first", ignorenulls=True).over(back_line).alias("__first"),
+        )
+        .where("__want = 1")
+    )
+    carried = ends.select(
+        *by,
+        F.explode(
+            F.array(
+                F.struct(F.col("__b").alias("o"), F.lit(-2).alias("side"), F.col("__last").alias("r")),
+                F.struct((F.col("__b") + width).alias("o"), F.lit(3).alias("side"), F.col("__first").alias("r")),
+            )
+        ).alias("__c"),
+    ).select(*by, F.col("__c.o").alias("__o"), F.col("__c.side").alias("__side"), F.col("__c.r").alias("__r"))
+    everything = (
+        rights.withColumn("__side", F.lit(0))
+        .unionByName(carried.where("__r IS NOT NULL"), allowMissingColumns=True)
+        .unionByName(lefts.withColumn("__side", F.lit(1)), allowMissingColumns=True)
     )
-    both = asof_join(
-        back, right, on=on, left_ts=left_ts, right_ts=right_ts, direction="forward", tie=tie,
-        right_cols=right_cols, prefix="__f_", match_ts="__f_ts", bucket_seconds=bucket_seconds,
+    # the second window walks backward: a frame to the end would be recomputed per row
+    ahead = Window.partitionBy(*by).orderBy("__o", "__side", *tcols).rowsBetween(Window.unboundedPreceding, 0)
+    behind = (
+        Window.partitionBy(*by)
+        .orderBy(F.col("__o").desc(), F.col("__side").desc(), *[F.col(t).desc() for t in tcols])
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    matched = everything.select(
+        "__l",
+        "__o",
+        F.last("__r", ignorenulls=True).over(ahead).alias("__p"),
+        F.last("__r", ignorenulls=True).over(behind).alias("__n"),
+    ).where(F.col("__l").isNotNull())
+    before = F.col("__o") - F.col("__p.__ts")
+    after = F.col("__n.__ts") - F.col("__o")
+    far = F.lit(2**62)
+    matched = matched.withColumn(
+        "__m", F.when(F.coalesce(before, far) <= F.coalesce(after, far), F.col("__p")).otherwise(F.col("__n"))
     )
-    db = micros(left_ts) - micros("__b_ts")
-    df = micros("__f_ts") - micros(left_ts)
-    take_back = F.coalesce(db, F.lit(2**62)) <= F.coalesce(df, F.lit(2**62))
-    return both.select(
-        *left.columns,
-        F.when(take_back, F.col("__b_ts")).otherwise(F.col("__f_ts")).alias(match_ts),
-        (F.when(take_back, db).otherwise(df) / 1000.0).alias(abs_ms),
-        *[F.when(take_back, F.col(f"__b_{c}")).otherwise(F.col(f"__f_{c}")).alias(c) for c in right_cols],
+    return matched.select(
+        *[F.col(f"__l.`{c}`").alias(c) for c in left.columns],
+        F.timestamp_micros(F.col("__m.__ts")).alias(match_ts),
+        (F.abs(F.col("__o") - F.col("__m.__ts")) / 1000.0).alias(abs_ms),
+        *[F.col(f"__m.`{c}`").alias(c) for c in right_cols],
     )

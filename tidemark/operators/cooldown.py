@@ -6,33 +6,44 @@ a row may be kept again. For every possible such number the block's own outcome
 step function with few steps (different starts soon keep the same rows), so
 
 1. each (key, block) is reduced to its steps, all blocks in parallel,
-2. the steps of a key are chained in block order (a few rows per block),
-3. each block, told its own start, marks the rows it keeps.
+2. the steps of a key are chained in block order (a few numbers per block),
+3. each block, told its own start, marks the instants it keeps.
 
-A hot key is spread over its blocks; no task sees all rows of a key.
+A hot key is spread over its blocks; no task sees all rows of a key. The instants of
+a block travel as one array, so small keys cost one array row and not one Python call.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.scan import bucket_start, micros
+from tidemark.operators.pick import first_per_group
+
+# the small functions below travel with the job, also where the package is not installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+NEVER = np.iinfo(np.int64).min
+TIMES = T.ArrayType(T.LongType())
+STEPS = T.ArrayType(T.StructType([T.StructField("entry", T.LongType()), T.StructField("free", T.LongType())]))
 
 
 def _walk(ts: np.ndarray, wait: int, start: int) -> np.ndarray:
-    """Positions kept in sorted ``ts`` when nothing before ``start`` may be kept."""
+    """Instants kept from sorted ``ts`` when nothing before ``start`` may be kept."""
     kept = []
     i = int(np.searchsorted(ts, start, side="left"))
     while i < len(ts):
         kept.append(i)
-        i = max(i + 1, int(np.searchsorted(ts, ts[i] + wait, side="left")))
-    return np.asarray(kept, dtype=np.int64)
+        i = int(np.searchsorted(ts, ts[i] + wait, side="left"))
+    return ts[np.asarray(kept, dtype=np.int64)]
 
 
 def _steps(ts: np.ndarray, wait: int, block_from: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +55,6 @@ def _steps(ts: np.ndarray, wait: int, block_from: int) -> tuple[np.ndarray, np.n
     last_first = int(np.searchsorted(ts, block_from + wait, side="left"))
     firsts = np.arange(min(last_first + 1, len(ts)))
     nxt = np.searchsorted(ts, ts + wait, side="left")
-    nxt = np.maximum(nxt, np.arange(len(ts)) + 1)
     at = firsts.copy()
     while True:
         step = nxt[at]
@@ -59,6 +69,47 @@ def _steps(ts: np.ndarray, wait: int, block_from: int) -> tuple[np.ndarray, np.n
     return entry[last_of_run], free[last_of_run]
 
 
+@F.pandas_udf(STEPS)
+def _block_steps(ts: pd.Series, wait: pd.Series, block: pd.Series) -> pd.Series:
+    out = []
+    for t, w, b in zip(ts, wait, block):
+        entry, free = _steps(np.asarray(t, dtype=np.int64), int(w), int(b))
+        out.append([{"entry": int(e), "free": int(f)} for e, f in zip(entry, free)])
+    return pd.Series(out)
+
+
+def _chain_one(blocks: np.ndarray, entry: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Start of each distinct block, from the steps of one key in block order."""
+    cut = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
+    end = np.append(cut[1:], len(blocks))
+    starts = np.empty(len(cut), dtype=np.int64)
+    now = NEVER
+    for j, (a, b) in enumerate(zip(cut, end)):
+        starts[j] = now
+        # the first step whose entry is not before the free time
+        i = a + int(np.searchsorted(entry[a:b], now, side="left"))
+        if i < b:
+            now = int(free[i])
+    return starts
+
+
+@F.pandas_udf(TIMES)
+def _chain_blocks(blocks: pd.Series, entry: pd.Series, free: pd.Series) -> pd.Series:
+    return pd.Series(
+        [
+            _chain_one(*(np.asarray(x, dtype=np.int64) for x in row))
+            for row in zip(blocks, entry, free)
+        ]
+    )
+
+
+@F.pandas_udf(TIMES)
+def _block_kept(ts: pd.Series, wait: pd.Series, start: pd.Series) -> pd.Series:
+    return pd.Series(
+        [_walk(np.asarray(t, dtype=np.int64), int(w), int(s)) for t, w, s in zip(ts, wait, start)]
+    )
+
+
 def cooldown_thin(
     df: DataFrame,
     *,
@@ -74,6 +125,8 @@ def cooldown_thin(
     ``seconds`` is a number, or the name of a column that is constant within a key
     (then ``max_seconds`` bounds it). Of rows with the same time only the first by
     ``tie`` can be kept while the cooldown is positive; a cooldown of 0 keeps all.
+    ``block_seconds`` is at least eight times the longest cooldown; choose it so that
+    one key's instants of that span fit in a task.
     """
     fixed = isinstance(seconds, (int, float))
     longest = float(seconds) if fixed else float(max_seconds if max_seconds is not None else 0)
@@ -88,79 +141,38 @@ def cooldown_thin(
         else F.round(F.col(seconds) * 1_000_000).cast("bigint")
     )
     ks = [f"__k{i}" for i in range(len(keys))]
-    timed = df.withColumns({"__us": micros(ts), "__wait": wait}).where("__wait > 0")
-    # distinct times only: rows of one instant act as one
-    times = timed.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], "__us", "__wait").distinct()
-    times = times.withColumn("__b", bucket_start(F.col("__us"), block))
-    fields = {f.name: f.dataType for f in times.schema.fields}
-    key_fields = [T.StructField(k, fields[k]) for k in ks]
-
-    step_schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField("__b", T.LongType()),
-            T.StructField("__entry", T.LongType()),
-            T.StructField("__free", T.LongType()),
-        ]
-    )
-
-    def reduce_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["__us"].to_numpy(np.int64))
-        entry, free = _steps(t, int(pdf["__wait"].iloc[0]), int(pdf["__b"].iloc[0]))
-        out = pd.DataFrame({"__entry": entry, "__free": free})
-        for name, value in zip([*ks, "__b"], key):
-            out[name] = value
-        return out[[*ks, "__b", "__entry", "__free"]]
-
     by_block = [*ks, "__b"]
-    steps = times.groupBy(*by_block).applyInPandas(reduce_block, step_schema)
-
-    start_schema = T.StructType([*key_fields, T.StructField("__b", T.LongType()), T.StructField("__start", T.LongType())])
-
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__b", "__entry"])
-        blocks = pdf["__b"].to_numpy(np.int64)
-        entry = pdf["__entry"].to_numpy(np.int64)
-        free = pdf["__free"].to_numpy(np.int64)
-        cut = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
-        end = np.append(cut[1:], len(blocks))
-        starts = np.empty(len(cut), dtype=np.int64)
-        now = np.iinfo(np.int64).min
-        for j, (a, b) in enumerate(zip(cut, end)):
-            starts[j] = now
-            # first step whose entry is not before the free time
-            i = a + int(np.searchsorted(entry[a:b], now, side="left"))
-            if i < b:
-                now = int(free[i])
-        out = pd.DataFrame({"__b": blocks[cut], "__start": starts})
-        for name, value in zip(ks, key):
-            out[name] = value
-        return out[[*ks, "__b", "__start"]]
-
-    starts = steps.groupBy(*ks).applyInPandas(chain, start_schema)
-
-    kept_schema = T.StructType([*key_fields, T.StructField("__us", T.LongType())])
-
-    def mark(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame({c.name: [] for c in kept_schema.fields})
-        t = np.sort(left["__us"].to_numpy(np.int64))
-        out = pd.DataFrame({"__us": t[_walk(t, int(left["__wait"].iloc[0]), int(right["__start"].iloc[0]))]})
-        for name, value in zip(ks, key):
-            out[name] = value
-        return out[[*ks, "__us"]]
-
-    kept = (
-        times.groupBy(*by_block).cogroup(starts.groupBy(*by_block)).applyInPandas(mark, kept_schema)
+    timed = df.withColumns({"__us": micros(ts), "__wait": wait}).where("__wait > 0 AND __us IS NOT NULL")
+    blocks = (
+        timed.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], "__us", "__wait")
+        .withColumn("__b", bucket_start(F.col("__us"), block))
+        .groupBy(*by_block)
+        .agg(F.array_sort(F.collect_set("__us")).alias("__ts"), F.max("__wait").alias("__wait"))
+    )
+    steps = blocks.select(*by_block, F.explode(_block_steps("__ts", "__wait", "__b")).alias("__s"))
+    lines = steps.groupBy(*ks).agg(
+        F.array_sort(F.collect_list(F.struct("__b", "__s.entry", "__s.free"))).alias("__line")
+    )
+    starts = (
+        lines.select(
+            *ks,
+            F.array_distinct("__line.__b").alias("__blocks"),
+            _chain_blocks("__line.__b", "__line.entry", "__line.free").alias("__starts"),
+        )
+        .select(*ks, F.explode(F.arrays_zip("__blocks", "__starts")).alias("__z"))
+        .select(*[F.col(k).alias(f"__s{k}") for k in ks], F.col("__z.__blocks").alias("__sb"), F.col("__z.__starts").alias("__start"))
     )
-    # one row per kept instant: the first by tie
-    firsts = timed.groupBy(*keys, "__us").agg(
-        F.min_by(F.struct(*df.columns), tie).alias("__row"), F.max("__wait").alias("__wait")
+    cond = blocks["__b"] == starts["__sb"]
+    for k in ks:
+        cond = cond & blocks[k].eqNullSafe(starts[f"__s{k}"])
+    kept = blocks.join(starts, cond).select(
+        *[F.col(k).alias(f"__q{k}") for k in ks],
+        F.explode(_block_kept("__ts", "__wait", "__start")).alias("__kept_us"),
     )
-    kept = kept.withColumnsRenamed({a: f"__q{i}" for i, a in enumerate(ks)}).withColumnRenamed("__us", "__kept_us")
-    cond = firsts["__us"] == kept["__kept_us"]
-    for i, k in enumerate(keys):
-        cond = cond & firsts[k].eqNullSafe(kept[f"__q{i}"])
-    out = firsts.join(kept, cond, "left_semi").select("__row.*")
+    match = timed["__us"] == kept["__kept_us"]
+    for k, a in zip(keys, ks):
+        match = match & timed[k].eqNullSafe(kept[f"__q{a}"])
+    rows = timed.join(kept, match, "left_semi")
+    out = first_per_group(rows, keys=[*keys, "__us"], order=[tie]).select(*df.columns)
     # a cooldown of zero keeps every row, also several of one instant
     return out if fixed else out.unionByName(df.where(F.col(seconds) <= 0))

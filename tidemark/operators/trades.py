@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.cooldown import cooldown_thin
+from tidemark.operators.pick import first_per_group
 from tidemark.operators.quantile import group_quantiles, null_safe_join
 from tidemark.operators.scan import micros, prefix_scan, row_index, time_bucket
 
@@ -21,17 +22,6 @@ MODES = {
 }
 
 
-def first_per_group(df: DataFrame, *, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row of each group by a total order: a combined aggregate, not a window."""
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__row"))
-    return picked.select("__row.*")
-
-
-def last_per_group(df: DataFrame, *, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("__row"))
-    return picked.select("__row.*")
-
-
 def select_modes(
     signals: DataFrame,
     *,
@@ -70,6 +60,20 @@ def select_modes(
     return out
 
 
+def _chain(blocks: DataFrame, *, group: Sequence[str], order: str) -> DataFrame:
+    """Combine (sum, peak, trough, drawdown) of consecutive blocks into one per group."""
+    before = Window.partitionBy(*(list(group) or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("__off", F.coalesce(F.sum("__s").over(before), F.lit(0.0)))
+    placed = placed.withColumn("__peak", F.max(F.col("__off") + F.col("__p")).over(before))
+    fall = F.greatest(F.col("__d"), F.col("__peak") - (F.col("__off") + F.col("__m")))
+    return placed.groupBy(*group).agg(
+        F.sum("__s").alias("__s"),
+        F.max(F.col("__off") + F.col("__p")).alias("__p"),
+        F.min(F.col("__off") + F.col("__m")).alias("__m"),
+        F.max(fall).alias("__d"),
+    )
+
+
 def max_drawdown(
     df: DataFrame,
     *,
@@ -77,32 +81,38 @@ def max_drawdown(
     ts: str,
     tie: Sequence[str],
     value: str,
+    within: str | None = None,
     bucket_seconds: int = 86_400,
     name: str = "max_drawdown",
 ) -> DataFrame:
     """Largest fall of the running sum below its running peak, per group (≥ 0).
 
-    The peak starts at the first running sum, not at zero. Each time bucket is reduced
-    to (sum, peak, trough, own drawdown); the buckets are then combined in order.
+    The peak starts at the first running sum, not at zero. Rows run in time order, or
+    with ``within`` entity by entity (in entity order) and in time order inside one.
+    Each time bucket is reduced to (sum, peak, trough, own drawdown); these four
+    combine in order, so no task sees a whole group.
     """
-    rows = df.where(F.col(value).isNotNull()).withColumn("__b", time_bucket(ts, bucket_seconds))
-    by = [*keys, "__b"]
-    inside = Window.partitionBy(*by).orderBy(micros(ts), *tie).rowsBetween(Window.unboundedPreceding, 0)
-    walked = rows.select(*by, value, F.sum(value).over(inside).alias("__eq"), micros(ts).alias("__us"), *[F.col(t).alias(f"__t{i}") for i, t in enumerate(tie)])
-    again = (
-        Window.partitionBy(*by)
-        .orderBy("__us", *[f"__t{i}" for i in range(len(tie))])
-        .rowsBetween(Window.unboundedPreceding, 0)
+    group = [*keys, *([within] if within else [])]
+    by = [*group, "__b"]
+    ties = [f"__t{i}" for i in range(len(tie))]
+    rows = df.where(F.col(value).isNotNull()).select(
+        *group,
+        F.col(value).cast("double").alias("__v"),
+        micros(ts).alias("__us"),
+        time_bucket(ts, bucket_seconds).alias("__b"),
+        *[F.col(t).alias(a) for t, a in zip(tie, ties)],
+    )
+    inside = Window.partitionBy(*by).orderBy("__us", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    walked = rows.withColumn("__eq", F.sum("__v").over(inside)).withColumn(
+        "__dd", F.max("__eq").over(inside) - F.col("__eq")
     )
-    walked = walked.withColumn("__dd", F.max("__eq").over(again) - F.col("__eq"))
     blocks = walked.groupBy(*by).agg(
-        F.sum(value).alias("__s"), F.max("__eq").alias("__p"), F.min("__eq").alias("__m"), F.max("__dd").alias("__d")
+        F.sum("__v").alias("__s"), F.max("__eq").alias("__p"), F.min("__eq").alias("__m"), F.max("__dd").alias("__d")
     )
-    before = Window.partitionBy(*(list(keys) or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.withColumn("__off", F.coalesce(F.sum("__s").over(before), F.lit(0.0)))
-    placed = placed.withColumn("__peak", F.max(F.col("__off") + F.col("__p")).over(before))
-    fall = F.greatest(F.col("__d"), F.col("__peak") - (F.col("__off") + F.col("__m")))
-    return placed.groupBy(*keys).agg(F.max(fall).alias(name))
+    out = _chain(blocks, group=group, order="__b")
+    if within:
+        out = _chain(out, group=list(keys), order=within)
+    return out.select(*keys, F.col("__d").alias(name))
 
 
 def equity_curve(
@@ -145,6 +155,7 @@ def trade_metrics(
     pnl: str = "pnl",
     means: Mapping[str, str] | None = None,
     quartiles: bool = False,
+    within: str | None = None,
     bucket_seconds: int = 86_400,
 ) -> DataFrame:
     """One row per group: trades, win rate, total / avg / median / std of pnl, drawdown.
@@ -169,7 +180,9 @@ def trade_metrics(
     base = base.withColumn("sharpe_like", _ratio(F.col("avg_pnl"), F.col("pnl_std")))
     wanted = {"median_pnl": 0.5} | ({"pnl_p25": 0.25, "pnl_p75": 0.75} if quartiles else {})
     qs = group_quantiles(trades, keys=keys, value=pnl, quantiles=wanted)
-    dd = max_drawdown(trades, keys=keys, ts=ts, tie=tie, value=pnl, bucket_seconds=bucket_seconds)
+    dd = max_drawdown(
+        trades, keys=keys, ts=ts, tie=tie, value=pnl, within=within, bucket_seconds=bucket_seconds
+    )
     return null_safe_join(null_safe_join(base, qs, keys), dd, keys)
 
 
@@ -260,31 +273,6 @@ def stability(
     )
 
 
-def top_per_group(
-    df: DataFrame,
-    *,
-    keys: Sequence[str],
-    score: str,
-    tie: Sequence[str],
-    k: int,
-    descending: bool = True,
-    salts: int = 32,
-) -> DataFrame:
-    """The k best rows of each group: best k of each salt first, then of the survivors."""
-
-    def order() -> list:
-        main = F.col(score).desc_nulls_last() if descending else F.col(score).asc_nulls_last()
-        return [main, *[F.col(t).asc() for t in tie]]
-
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*tie), F.lit(salts)))
-    w1 = Window.partitionBy(*keys, "__salt").orderBy(*order())
-    few = salted.withColumn("__rn", F.row_number().over(w1)).where(F.col("__rn") <= k)
-    w2 = Window.partitionBy(*(list(keys) or [F.lit(0)])).orderBy(*order())
-    return (
-        few.drop("__rn", "__salt").withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
-    )
-
-
 def break_even(
     metrics: DataFrame, *, keys: Sequence[str], cost: str, avg: str = "avg_pnl"
 ) -> DataFrame:

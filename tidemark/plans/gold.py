@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
 from tidemark.operators.asof import asof_join, asof_offsets
-from tidemark.operators.rank import entity_split
+from tidemark.operators.rank import entity_split_map
 from tidemark.operators.scan import micros, row_index, time_bucket
 from tidemark.plans.instrument import lead_rows
 
@@ -45,21 +45,28 @@ def with_reference_series(
     *,
     columns: Sequence[str],
     stale_seconds: float = 5.0,
+    fresh_only: bool = False,
     bucket_seconds: int = 3_600,
 ) -> DataFrame:
-    """Last row of a reference series at or before each sample, with its age and a stale flag."""
+    """Last row of a reference series at or before each sample, with its age and a stale flag.
+
+    ``fresh_only`` drops stale samples; the limit then bounds the lookup itself.
+    """
     right = series.select(F.col("sample_ts").alias("__series_ts"), *columns)
+    # ages are cut to whole milliseconds, so the bound reaches one millisecond further
     joined = asof_join(
         samples, right, left_ts="sample_ts", right_ts="__series_ts", right_cols=columns,
         match_ts="matched_series_ts", bucket_seconds=bucket_seconds,
+        tolerance=stale_seconds + 0.000999 if fresh_only else None,
     )
     age = fn.seconds_between("sample_ts", "matched_series_ts")
-    return joined.withColumns(
+    out = joined.withColumns(
         {
             "series_age_seconds": age,
             "series_is_stale": F.col("matched_series_ts").isNull() | (age > stale_seconds),
         }
     )
+    return out.where("NOT series_is_stale") if fresh_only else out
 
 
 def open_close(
@@ -70,16 +77,26 @@ def open_close(
     max_age: float | None = None,
     bucket_seconds: int = 86_400,
 ) -> DataFrame:
-    """Series value at each market's start and end (the last one at or before)."""
+    """Series value at each market's start and end (the last one at or before).
+
+    Both instants of a market are looked up in one as-of pass.
+    """
     right = series.select(F.col("sample_ts").alias("__ts"), F.col(price).alias("__px"))
-    opened = asof_join(
-        markets, right, left_ts="market_start_ts", right_ts="__ts", right_cols=["__px"],
-        tolerance=max_age, bucket_seconds=bucket_seconds,
-    ).withColumnRenamed("__px", "open_price")
-    return asof_join(
-        opened, right, left_ts="market_end_ts", right_ts="__ts", right_cols=["__px"],
-        tolerance=max_age, bucket_seconds=bucket_seconds,
-    ).withColumnRenamed("__px", "close_price")
+    instants = F.array(
+        F.struct(F.lit("open").alias("which"), F.col("market_start_ts").alias("at")),
+        F.struct(F.lit("close").alias("which"), F.col("market_end_ts").alias("at")),
+    )
+    lookups = markets.select(*markets.columns, F.explode(instants).alias("__i")).select(
+        *markets.columns, F.col("__i.which").alias("__which"), F.col("__i.at").alias("__at")
+    )
+    found = asof_join(
+        lookups, right, left_ts="__at", right_ts="__ts", right_cols=["__px"], tolerance=max_age,
+        bucket_seconds=bucket_seconds,
+    )
+    return found.groupBy(*markets.columns).agg(
+        F.max(F.when(F.col("__which") == "open", F.col("__px"))).alias("open_price"),
+        F.max(F.when(F.col("__which") == "close", F.col("__px"))).alias("close_price"),
+    )
 
 
 def terminal_gold(
@@ -99,13 +116,14 @@ def terminal_gold(
     ).dropna(subset=["yes_ask", "no_ask", "yes_mid", "no_mid"])
     joined = with_reference_series(
         fresh, series, columns=list(dict.fromkeys(["mid_price", sigma, *series_columns])),
-        stale_seconds=stale_seconds, bucket_seconds=bucket_seconds,
-    ).where("NOT series_is_stale")
+        stale_seconds=stale_seconds, fresh_only=True, bucket_seconds=bucket_seconds,
+    )
     spans = joined.groupBy("market_id").agg(
         F.min("market_start_ts").alias("market_start_ts"), F.min("market_end_ts").alias("market_end_ts")
     )
-    prices = open_close(spans, series).select("market_id", "open_price", "close_price")
-    labelled = joined.join(prices, "market_id", "left").withColumns(
+    splits = entity_split_map(spans, entity="market_id", ts="market_start_ts", **(ratios or {}))
+    dim = open_close(spans, series).select("market_id", "open_price", "close_price").join(splits, "market_id", "left")
+    labelled = joined.join(dim, "market_id", "left").withColumns(
         {
             "current_price": F.col("mid_price"),
             "return_since_open": fn.safe_div(F.col("mid_price"), F.col("open_price")) - 1.0,
@@ -113,7 +131,7 @@ def terminal_gold(
             "formula_p_yes": fn.formula_probability("mid_price", "open_price", sigma, "time_to_expiry_seconds"),
         }
     )
-    labelled = labelled.withColumns(
+    return labelled.withColumns(
         {
             "edge_to_yes_ask": F.col("formula_p_yes") - F.col("yes_ask"),
             "edge_to_no_ask": (1.0 - F.col("formula_p_yes")) - F.col("no_ask"),
@@ -121,7 +139,6 @@ def terminal_gold(
             "label_source": F.lit("proxy"),
         }
     )
-    return entity_split(labelled, entity="market_id", ts="market_start_ts", **(ratios or {}))
 
 
 def repricing_gold(
@@ -145,8 +162,8 @@ def repricing_gold(
     fresh = silver.where("mapping_status = 'ok' AND NOT yes_is_stale AND NOT no_is_stale")
     joined = with_reference_series(
         fresh, series, columns=list(dict.fromkeys(["mid_price", sigma, *series_columns])),
-        stale_seconds=stale_seconds, bucket_seconds=bucket_seconds,
-    ).where("NOT series_is_stale")
+        stale_seconds=stale_seconds, fresh_only=True, bucket_seconds=bucket_seconds,
+    )
     priced = joined.withColumn(
         "formula_p_yes", fn.formula_probability("mid_price", open_column, sigma, "time_to_expiry_seconds")
     ).withColumns(
@@ -165,9 +182,8 @@ def repricing_gold(
         markout = F.col(f"future_yes_mid_{k}") - F.col("yes_mid")
         new[f"markout_{k}"] = markout
         new[f"label_reprice_{k}"] = fn.three_way(markout, threshold)
-    return entity_split(
-        led.withColumns(new).drop("__idx"), entity="market_id", ts="market_start_ts", **(ratios or {})
-    )
+    splits = entity_split_map(joined, entity="market_id", ts="market_start_ts", **(ratios or {}))
+    return led.withColumns(new).drop("__idx").join(splits, "market_id", "left")
 
 
 def lead_time(

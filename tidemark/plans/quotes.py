@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -276,13 +278,20 @@ def market_silver(
     short_lag: int = 1,
     long_lag: int = 5,
     bucket_seconds: int = 86_400,
+    stage: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
-    """Both sides of every mapped market on a regular grid from its start to its end."""
+    """Both sides of every mapped market on a regular grid from its start to its end.
+
+    ``stage`` may write the quote state (see :func:`tidemark.session.stage`), which the
+    as-of join reads twice.
+    """
     dim = markets.where("mapping_status = 'ok'").select(
         "market_id", "yes_asset_id", "no_asset_id", "mapping_status", "market_start_ts", "market_end_ts"
     )
     grid = time_grid(dim, start="market_start_ts", end="market_end_ts", step_seconds=step_seconds)
     state = pair_quote_state(events, dim, bucket_seconds=bucket_seconds)
+    if stage:
+        state = stage(state, "quote_state")
     sampled = asof_join(
         grid,
         state,

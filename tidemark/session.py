@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every plan relies on. Timestamps are UTC; AQE re-plans joins,
 # coalesces small shuffle partitions and splits skewed ones.
@@ -51,3 +51,18 @@ def workspace_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a layer to the shared folder and read it back.
+
+    Ordered scans read their input twice, so a frame that is costly to build is
+    written once at the layer boundary. The table also cuts the lineage: a lost
+    executor costs a re-read, not a rebuild.
+    """
+    path = workspace_dir(df.sparkSession, name)
+    writer = df.write.mode("overwrite").option("compression", "zstd")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
