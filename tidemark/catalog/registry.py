@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.catalog import evaluate, quotes, tables
+from tidemark.catalog import evaluate, feeds, quotes, tables
 
-MODULES = [quotes, tables, evaluate]
+MODULES = [quotes, tables, evaluate, feeds]
 
 
 def queries() -> dict:

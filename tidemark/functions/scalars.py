@@ -44,18 +44,16 @@ def parse_epoch(value: str | Column, policy: str = "auto") -> Column:
         return F.coalesce(F.timestamp_micros(F.round(micro).cast("bigint")), iso)
     if policy != "auto":
         raise ValueError("policy must be 'auto' or 'ms_or_s'")
-    # numbers with a fraction or exponent are cut to whole units
-    number = F.coalesce(text.try_cast("bigint"), text.try_cast("decimal(38,9)").try_cast("bigint"))
+    # decimal, because a double cannot hold today's nanoseconds exactly
+    number = text.try_cast("decimal(29,9)")
     size = F.abs(number)
     micro = (
-        # decimal division: a double cannot hold today's nanoseconds exactly
-        F.when(size > 10**18, (number.cast("decimal(19,0)") / F.lit(1000).cast("decimal(4,0)")).cast("bigint"))
+        F.when(size > 10**18, number / 1000)
         .when(size > 10**15, number)
         .when(size > 10**12, number * 1000)
-        .otherwise(number * 1_000_000)
+        .otherwise(F.floor(number) * 1_000_000)
     )
-    from_number = F.timestamp_micros(micro.try_cast("bigint"))
-    return F.when(number.isNotNull(), from_number).otherwise(iso)
+    return F.coalesce(F.timestamp_micros(micro.try_cast("bigint")), iso)
 
 
 def lenient_double(value: str | Column) -> Column:
