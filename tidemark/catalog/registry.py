@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.catalog import evaluate, feeds, quotes, tables
+from tidemark.catalog import audits, evaluate, feeds, quotes, tables
 
-MODULES = [quotes, tables, evaluate, feeds]
+MODULES = [quotes, tables, evaluate, feeds, audits]
 
 
 def queries() -> dict:
