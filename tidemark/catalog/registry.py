@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.catalog import audits, evaluate, feeds, quotes, tables
+from tidemark.catalog import audits, evaluate, feeds, quotes, streams, tables
 
-MODULES = [quotes, tables, evaluate, feeds, audits]
+MODULES = [quotes, tables, evaluate, feeds, audits, streams]
 
 
 def queries() -> dict:
