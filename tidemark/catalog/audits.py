@@ -447,6 +447,7 @@ ORACLES = {
       u AS (SELECT * FROM a WHERE rk <= 6 UNION ALL SELECT * FROM b WHERE rk <= 24),
       o AS (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY pool, rk) AS once FROM u), p AS (SELECT *, row_number() OVER (ORDER BY pool, rk) AS position FROM o WHERE once = 1)
       SELECT position, market_id, settled_yes, spread, disagreement FROM p WHERE position <= 12""",
+    "seeded_sample": f"""WITH {v.PRED}, r AS (SELECT event_id, settled_yes, row_number() OVER (PARTITION BY settled_yes ORDER BY md5('7|' || event_id)) AS rn FROM pred) SELECT event_id, settled_yes FROM r WHERE rn <= 10""",
     "active_markets": f"""WITH {v.MARKETS} SELECT market_id, market_start_ts, market_end_ts FROM markets WHERE market_end_ts >= TIMESTAMP '2024-01-02 11:00:00' AND market_start_ts <= TIMESTAMP '2024-01-03 12:00:00'
       ORDER BY market_start_ts, market_end_ts, market_id LIMIT 20""",
     "replay_windows": f"WITH {WINDOWS} SELECT cfg, rank, event_id, p_up, start_ts, end_ts FROM win",

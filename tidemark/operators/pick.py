@@ -76,7 +76,7 @@ def seeded_sample(
     df: DataFrame, *, keys: Sequence[str], id_col: str, k: int, seed: int
 ) -> DataFrame:
     """k rows per group in an order fixed by (seed, id): the same at any parallelism."""
-    drawn = df.withColumn("__draw", F.xxhash64(F.lit(seed), F.col(id_col)))
+    drawn = df.withColumn("__draw", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))))
     out = top_per_group(drawn, keys=keys, score="__draw", tie=[id_col], k=k, descending=False)
     return out.drop("__draw", "rank")
 
