@@ -65,10 +65,13 @@ def asof_join(
         )
         .withColumn("__b", bucket_start(F.col("__o"), width))
     )
+    # left columns stay flat: the join keys double as the key columns
+    rest = [c for c in left.columns if c not in keys]
+    lcols = [f"__l{i}" for i in range(len(rest))]
     lefts = left.select(
         *[F.col(k).alias(a) for k, a in zip(keys, kcols)],
         directed(left_ts).alias("__o"),
-        F.struct(*left.columns).alias("__l"),
+        *[F.col(c).alias(a) for c, a in zip(rest, lcols)],
     ).withColumn("__b", bucket_start(F.col("__o"), width))
 
     by = [*kcols, "__b"]
@@ -86,19 +89,19 @@ def asof_join(
             .withColumn("__b", F.col("__b") + F.lit(width).cast("bigint"))
         )
     else:
-        before = (
+        # one row per bucket on either side; a bucket's own right rows come after its question
+        line = (
             Window.partitionBy(*(kcols or [F.lit(0)]))
-            .orderBy("__b")
-            .rowsBetween(Window.unboundedPreceding, -1)
+            .orderBy("__b", "__kind")
+            .rowsBetween(Window.unboundedPreceding, 0)
         )
-        wanted = lefts.select(*by).withColumn("__want", F.lit(1))
+        asked = lefts.select(*by).distinct().withColumn("__kind", F.lit(0))
+        known = rights.groupBy(*by).agg(newest.alias("__r")).withColumn("__kind", F.lit(1))
         carry = (
-            rights.unionByName(wanted, allowMissingColumns=True)
-            .groupBy(*by)
-            .agg(newest.alias("__r"), F.max("__want").alias("__want"))
-            .select(*by, "__want", F.last("__r", ignorenulls=True).over(before).alias("__r"))
-            .where("__want = 1 AND __r IS NOT NULL")
-            .drop("__want")
+            asked.unionByName(known, allowMissingColumns=True)
+            .select(*by, "__kind", F.last("__r", ignorenulls=True).over(line).alias("__r"))
+            .where("__kind = 0 AND __r IS NOT NULL")
+            .drop("__kind")
         )
     carry = carry.withColumn("__o", F.col("__b")).withColumn("__side", F.lit(-2))
 
@@ -113,14 +116,16 @@ def asof_join(
         .orderBy("__o", "__side", *ties)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
+    mine = 1 if allow_exact else -1
     matched = everything.select(
-        "__l", "__o", "__side", F.last("__r", ignorenulls=True).over(upto).alias("__m")
-    ).where(F.col("__l").isNotNull())
+        *kcols, *lcols, "__o", "__side", F.last("__r", ignorenulls=True).over(upto).alias("__m")
+    ).where(F.col("__side") == mine)
     if tol is not None:
         gap = F.col("__o") - (F.col("__m.__ts") if back else -F.col("__m.__ts"))
         matched = matched.withColumn("__m", F.when(gap <= tol, F.col("__m")))
 
-    out = [F.col(f"__l.`{c}`").alias(c) for c in left.columns]
+    named = dict(zip([*keys, *rest], [*kcols, *lcols]))
+    out = [F.col(named[c]).alias(c) for c in left.columns]
     if match_ts:
         out.append(F.timestamp_micros(F.col("__m.__ts")).alias(match_ts))
     out += [F.col(f"__m.`{c}`").alias(f"{prefix}{c}") for c in right_cols]
@@ -221,24 +226,26 @@ def nearest_join(
         F.struct(*left.columns).alias("__l"),
     ).withColumn("__b", bucket_start(F.col("__o"), width))
 
-    at = F.when(F.col("__r").isNotNull(), F.struct("__o", *tcols))
-    line = Window.partitionBy(*(kcols or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    back_line = (
-        Window.partitionBy(*(kcols or [F.lit(0)]))
-        .orderBy(F.col("__b").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct("__o", *tcols)
+    part = Window.partitionBy(*(kcols or [F.lit(0)]))
+    asked = lefts.select(*by).distinct().withColumn("__kind", F.lit(0))
+    known = (
+        rights.groupBy(*by)
+        .agg(F.max_by("__r", at).alias("__last"), F.min_by("__r", at).alias("__first"))
+        .withColumn("__kind", F.lit(1))
     )
+    # walking either way, a bucket's own right rows come after its question
+    forth = part.orderBy(F.col("__b"), "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    back_again = part.orderBy(F.col("__b").desc(), "__kind").rowsBetween(Window.unboundedPreceding, 0)
     ends = (
-        rights.unionByName(lefts.select(*by).withColumn("__want", F.lit(1)), allowMissingColumns=True)
-        .groupBy(*by)
-        .agg(F.max_by("__r", at).alias("__last"), F.min_by("__r", at).alias("__first"), F.max("__want").alias("__want"))
+        asked.unionByName(known, allowMissingColumns=True)
         .select(
             *by,
-            "__want",
-            F.last("__last", ignorenulls=True).over(line).alias("__last"),
-            F.last("__first", ignorenulls=True).over(back_line).alias("__first"),
+            "__kind",
+            F.last("__last", ignorenulls=True).over(forth).alias("__last"),
+            F.last("__first", ignorenulls=True).over(back_again).alias("__first"),
         )
-        .where("__want = 1")
+        .where("__kind = 0")
     )
     carried = ends.select(
         *by,
