@@ -33,81 +33,100 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NEVER = np.iinfo(np.int64).min
 TIMES = T.ArrayType(T.LongType())
-STEPS = T.ArrayType(T.StructType([T.StructField("entry", T.LongType()), T.StructField("free", T.LongType())]))
 
 
-def _walk(ts: np.ndarray, wait: int, start: int) -> np.ndarray:
-    """Instants kept from sorted ``ts`` when nothing before ``start`` may be kept."""
-    kept = []
-    i = int(np.searchsorted(ts, start, side="left"))
-    while i < len(ts):
-        kept.append(i)
-        i = int(np.searchsorted(ts, ts[i] + wait, side="left"))
-    return ts[np.asarray(kept, dtype=np.int64)]
+class _Batch:
+    """The sorted instants of many blocks laid end to end on one axis.
+
+    Blocks are shifted apart by more than any wait, so one binary search serves all.
+    """
+
+    def __init__(self, ts: pd.Series, wait: pd.Series, block: pd.Series) -> None:
+        lengths = np.fromiter((len(t) for t in ts), np.int64, count=len(ts))
+        self.times = np.concatenate([np.asarray(t, dtype=np.int64) for t in ts])
+        self.n = len(lengths)
+        self.wait = wait.to_numpy(np.int64)
+        self.block = block.to_numpy(np.int64)
+        self.ends = np.cumsum(lengths)
+        self.begins = self.ends - lengths
+        self.owner = np.repeat(np.arange(self.n), lengths)
+        inside = self.times - self.block[self.owner]
+        self.gap = int(inside.max()) + 2 * int(self.wait.max()) + 1
+        self.axis = inside + self.owner * self.gap
+        # first instant of the same block that may follow; the block's end if none
+        self.following = np.searchsorted(self.axis, self.axis + self.wait[self.owner], side="left")
+
+    def first_at(self, offset: np.ndarray) -> np.ndarray:
+        """First instant of each block at or after an offset from the block's start."""
+        bounded = np.clip(offset, 0, self.gap - 1)
+        return np.searchsorted(self.axis, bounded + np.arange(self.n) * self.gap, side="left")
+
+    def split(self, values: np.ndarray, counts: np.ndarray) -> pd.Series:
+        return pd.Series(np.split(values, np.cumsum(counts)[:-1]), dtype=object)
 
 
-def _steps(ts: np.ndarray, wait: int, block_from: int) -> tuple[np.ndarray, np.ndarray]:
-    """Steps (entry up to this time -> next free time) of one block.
+@F.pandas_udf(TIMES)
+def _block_steps(ts: pd.Series, wait: pd.Series, block: pd.Series) -> pd.Series:
+    """Steps of each block as one flat array: entry, free, entry, free, …
 
-    An entry time is at most the block start plus the cooldown, so only the rows up
-    to there can be the first one kept.
+    An entry time lies at most one wait behind the block's start, so only the instants
+    up to there, and the next one, can be the first one kept.
     """
-    last_first = int(np.searchsorted(ts, block_from + wait, side="left"))
-    firsts = np.arange(min(last_first + 1, len(ts)))
-    nxt = np.searchsorted(ts, ts + wait, side="left")
-    at = firsts.copy()
+    if not len(ts):
+        return pd.Series([], dtype=object)
+    x = _Batch(ts, wait, block)
+    last = np.minimum(x.first_at(x.wait), x.ends - 1)
+    first = np.flatnonzero(np.arange(len(x.times)) <= last[x.owner])
+    own, at = x.owner[first], first.copy()
     while True:
-        step = nxt[at]
-        moving = step < len(ts)
+        step = x.following[at]
+        moving = step < x.ends[own]
         if not moving.any():
             break
         at = np.where(moving, step, at)
-    free = ts[at] + wait
-    entry = ts[firsts]
-    # merge neighbouring entries with the same outcome: keep the last entry of a run
-    last_of_run = np.append(free[1:] != free[:-1], True)
-    return entry[last_of_run], free[last_of_run]
+    free = x.times[at] + x.wait[own]
+    # neighbouring entries with the same outcome are one step: keep the last of a run
+    close = np.append((own[1:] != own[:-1]) | (free[1:] != free[:-1]), True)
+    pairs = np.column_stack([x.times[first][close], free[close]]).ravel()
+    return x.split(pairs, 2 * np.bincount(own[close], minlength=x.n))
 
 
-@F.pandas_udf(STEPS)
-def _block_steps(ts: pd.Series, wait: pd.Series, block: pd.Series) -> pd.Series:
+@F.pandas_udf(TIMES)
+def _chain_blocks(sizes: pd.Series, steps: pd.Series) -> pd.Series:
+    """Start of each block of a key, from the steps of its blocks in order."""
     out = []
-    for t, w, b in zip(ts, wait, block):
-        entry, free = _steps(np.asarray(t, dtype=np.int64), int(w), int(b))
-        out.append([{"entry": int(e), "free": int(f)} for e, f in zip(entry, free)])
+    for lengths, flat in zip(sizes, steps):
+        pairs = np.asarray(flat, dtype=np.int64).reshape(-1, 2)
+        starts = np.empty(len(lengths), dtype=np.int64)
+        now, a = NEVER, 0
+        for j, n in enumerate(lengths):
+            starts[j] = now
+            b = a + n // 2
+            # the first step whose entry is not before the free time
+            i = a + int(np.searchsorted(pairs[a:b, 0], now, side="left"))
+            if i < b:
+                now = int(pairs[i, 1])
+            a = b
+        out.append(starts)
     return pd.Series(out)
 
 
-def _chain_one(blocks: np.ndarray, entry: np.ndarray, free: np.ndarray) -> np.ndarray:
-    """Start of each distinct block, from the steps of one key in block order."""
-    cut = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
-    end = np.append(cut[1:], len(blocks))
-    starts = np.empty(len(cut), dtype=np.int64)
-    now = NEVER
-    for j, (a, b) in enumerate(zip(cut, end)):
-        starts[j] = now
-        # the first step whose entry is not before the free time
-        i = a + int(np.searchsorted(entry[a:b], now, side="left"))
-        if i < b:
-            now = int(free[i])
-    return starts
-
-
 @F.pandas_udf(TIMES)
-def _chain_blocks(blocks: pd.Series, entry: pd.Series, free: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
-            _chain_one(*(np.asarray(x, dtype=np.int64) for x in row))
-            for row in zip(blocks, entry, free)
-        ]
-    )
-
-
-@F.pandas_udf(TIMES)
-def _block_kept(ts: pd.Series, wait: pd.Series, start: pd.Series) -> pd.Series:
-    return pd.Series(
-        [_walk(np.asarray(t, dtype=np.int64), int(w), int(s)) for t, w, s in zip(ts, wait, start)]
-    )
+def _block_kept(ts: pd.Series, wait: pd.Series, block: pd.Series, start: pd.Series) -> pd.Series:
+    """Instants each block keeps when nothing before its start may be kept."""
+    if not len(ts):
+        return pd.Series([], dtype=object)
+    x = _Batch(ts, wait, block)
+    begin = start.to_numpy(np.int64)
+    at = x.first_at(np.where(begin == NEVER, 0, begin - x.block))
+    kept = np.zeros(len(x.times), dtype=bool)
+    while True:
+        live = at < x.ends
+        if not live.any():
+            break
+        kept[at[live]] = True
+        at = np.where(live, x.following[np.minimum(at, len(x.times) - 1)], at)
+    return x.split(x.times[kept], np.add.reduceat(kept.astype(np.int64), x.begins))
 
 
 def cooldown_thin(
@@ -125,7 +144,7 @@ def cooldown_thin(
     ``seconds`` is a number, or the name of a column that is constant within a key
     (then ``max_seconds`` bounds it). Of rows with the same time only the first by
     ``tie`` can be kept while the cooldown is positive; a cooldown of 0 keeps all.
-    ``block_seconds`` is at least eight times the longest cooldown; choose it so that
+    ``block_seconds`` is at least sixteen times the longest cooldown; choose it so that
     one key's instants of that span fit in a task.
     """
     fixed = isinstance(seconds, (int, float))
@@ -134,7 +153,7 @@ def cooldown_thin(
         if fixed:
             return df
         raise ValueError("max_seconds is needed when the cooldown is a column")
-    block = max(int(block_seconds or 300), int(np.ceil(longest)) * 8) * 1_000_000
+    block = max(int(block_seconds or 300), int(np.ceil(longest)) * 16) * 1_000_000
     wait = (
         F.lit(int(round(float(seconds) * 1e6))).cast("bigint")
         if fixed
@@ -143,36 +162,41 @@ def cooldown_thin(
     ks = [f"__k{i}" for i in range(len(keys))]
     by_block = [*ks, "__b"]
     timed = df.withColumns({"__us": micros(ts), "__wait": wait}).where("__wait > 0 AND __us IS NOT NULL")
+    timed = timed.withColumn("__b", bucket_start(F.col("__us"), block))
     blocks = (
-        timed.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], "__us", "__wait")
-        .withColumn("__b", bucket_start(F.col("__us"), block))
+        timed.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], "__b", "__us", "__wait")
         .groupBy(*by_block)
         .agg(F.array_sort(F.collect_set("__us")).alias("__ts"), F.max("__wait").alias("__wait"))
     )
-    steps = blocks.select(*by_block, F.explode(_block_steps("__ts", "__wait", "__b")).alias("__s"))
-    lines = steps.groupBy(*ks).agg(
-        F.array_sort(F.collect_list(F.struct("__b", "__s.entry", "__s.free"))).alias("__line")
-    )
-    starts = (
-        lines.select(
-            *ks,
-            F.array_distinct("__line.__b").alias("__blocks"),
-            _chain_blocks("__line.__b", "__line.entry", "__line.free").alias("__starts"),
-        )
-        .select(*ks, F.explode(F.arrays_zip("__blocks", "__starts")).alias("__z"))
-        .select(*[F.col(k).alias(f"__s{k}") for k in ks], F.col("__z.__blocks").alias("__sb"), F.col("__z.__starts").alias("__start"))
+    lines = (
+        blocks.select(*by_block, _block_steps("__ts", "__wait", "__b").alias("__steps"))
+        .groupBy(*ks)
+        .agg(F.array_sort(F.collect_list(F.struct("__b", "__steps"))).alias("__line"))
     )
+    starts = lines.select(
+        *[F.col(k).alias(f"__s{k}") for k in ks],
+        F.explode(
+            F.arrays_zip(
+                F.col("__line.__b").alias("b"),
+                _chain_blocks(
+                    F.transform("__line", lambda x: F.size(x["__steps"])), F.flatten("__line.__steps")
+                ).alias("start"),
+            )
+        ).alias("__z"),
+    ).select(*[f"__s{k}" for k in ks], F.col("__z.b").alias("__sb"), F.col("__z.start").alias("__start"))
     cond = blocks["__b"] == starts["__sb"]
     for k in ks:
         cond = cond & blocks[k].eqNullSafe(starts[f"__s{k}"])
     kept = blocks.join(starts, cond).select(
         *[F.col(k).alias(f"__q{k}") for k in ks],
-        F.explode(_block_kept("__ts", "__wait", "__start")).alias("__kept_us"),
+        F.col("__b").alias("__qb"),
+        _block_kept("__ts", "__wait", "__b", "__start").alias("__kept"),
     )
-    match = timed["__us"] == kept["__kept_us"]
+    match = timed["__b"] == kept["__qb"]
     for k, a in zip(keys, ks):
         match = match & timed[k].eqNullSafe(kept[f"__q{a}"])
-    rows = timed.join(kept, match, "left_semi")
-    out = first_per_group(rows, keys=[*keys, "__us"], order=[tie]).select(*df.columns)
+    # a block keeps few instants: block length over cooldown
+    rows = timed.join(kept, match).where(F.array_contains("__kept", F.col("__us")))
+    out = first_per_group(rows.select(*df.columns, "__us"), keys=[*keys, "__us"], order=[tie]).select(*df.columns)
     # a cooldown of zero keeps every row, also several of one instant
     return out if fixed else out.unionByName(df.where(F.col(seconds) <= 0))
