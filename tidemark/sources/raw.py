@@ -40,10 +40,9 @@ def raw_lines(
     reader = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
-        .option("wholetext", whole_file)
         .option("ignoreCorruptFiles", True)
     )
-    df = reader.text(list(roots)).select(
+    df = reader.text(list(roots), wholetext=whole_file).select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("block_start"),
