@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.catalog import views as v
 from tidemark.functions import arrays as arr
 from tidemark.functions import scalars as fn
-from tidemark.functions.jsonfields import first_field
+from tidemark.functions.jsonfields import elements_or_self, field, first_field, price_levels
+from tidemark.operators import book
 from tidemark.sources import bronze, markets, raw, tables
 from tidemark.operators.scan import micros
 from tidemark.session import stage
@@ -182,19 +183,16 @@ def lenient_casts(spark, sf):
     )
 
 
-def _book(spark, sf):
-    li = v.table(spark, sf, "lineitem")
-    return li.groupBy("l_orderkey").agg(
-        F.array_sort(
-            F.collect_list(F.struct("l_linenumber", F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("size")))
-        ).alias("levels")
-    ).select("l_orderkey", F.transform("levels", lambda x: F.struct(x.price.alias("price"), x["size"].alias("size"))).alias("levels"))
+def _levels(spark, sf):
+    return v.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
 
 
 def book_best_depth(spark, sf):
     """Best level and depth of each order's lines seen as a book side."""
-    b = _book(spark, sf).withColumns({"bid": arr.sorted_levels("levels", "bid"), "ask": arr.sorted_levels("levels", "ask")})
-    return b.select(
+    at = dict(keys=["l_orderkey"], price="l_extendedprice", size="l_quantity", tie="l_linenumber")
+    bid = book.best_levels(_levels(spark, sf), side="bid", **at).withColumnRenamed("levels", "bid")
+    ask = book.best_levels(_levels(spark, sf), side="ask", **at).withColumnRenamed("levels", "ask")
+    return bid.join(ask, "l_orderkey").select(
         "l_orderkey",
         arr.best_level("bid").getField("price").alias("best_bid"),
         arr.best_level("ask").getField("price").alias("best_ask"),
@@ -206,8 +204,24 @@ def book_best_depth(spark, sf):
 
 def book_sweep(spark, sf):
     """Cost of taking 60 units from the cheapest lines up."""
-    b = _book(spark, sf).withColumn("t", arr.take_price("levels", "ask", 60.0))
-    return b.select("l_orderkey", F.round("t.avg_price", 6).alias("avg_price"), "t.filled", "t.full", "t.worst_price")
+    out = book.sweep(_levels(spark, sf), keys=["l_orderkey"], price="l_extendedprice", size="l_quantity", tie="l_linenumber", side="ask", shares=60.0)
+    return out.select("l_orderkey", F.round("avg_price", 6).alias("avg_price"), "filled", "full", "worst_price")
+
+
+def book_sweep_snapshots(spark, sf):
+    """Cost of taking 60 units from the asks of each book snapshot in the feed."""
+    rows = typed(spark, sf).where("record_type = 'order_book' AND source_file = 'a.jsonl'")
+    books = rows.select(F.explode(elements_or_self("raw")).alias("b"))
+    sides = books.select(
+        first_field("b", ("market", "market_id")).alias("market_id"),
+        price_levels(field("b", "asks", "array<variant>")).alias("asks"),
+    )
+    t = arr.take_price("asks", "ask", 60.0)
+    return sides.select("market_id", t.alias("t")).groupBy("market_id").agg(
+        F.count("*").alias("books"), F.count_if(F.col("t.full")).alias("full_books"),
+        F.round(F.sum("t.filled"), 4).alias("filled"), F.round(F.avg("t.avg_price"), 6).alias("avg_price"),
+        F.max("t.worst_price").alias("worst_price"),
+    )
 
 
 def _votes(spark, sf):
@@ -321,6 +335,36 @@ def retained_rows(spark, sf):
     return tables.in_date_range(kept, end="2024-01-29").groupBy("date").agg(F.count("*").alias("rows"))
 
 
+def dimension_build(spark, sf):
+    """Market dimension from the events: discovered, voted, timed."""
+    out = markets.build_dimension(_votes(spark, sf), duration_seconds=900)
+    return out.select("market_id", "mapping_status", v.naive("market_start_ts"), v.naive("market_end_ts"))
+
+
+def asset_enrichment(spark, sf):
+    """Quote events with the market and direction of their asset id."""
+    rows = v.snapshots(spark, sf).select("asset_id").unionByName(v.changes(spark, sf).select("asset_id"))
+    return markets.with_market_of_asset(rows, v.markets(spark, sf)).groupBy("market_id", "direction").agg(F.count("*").alias("rows"))
+
+
+def unprocessed_signals(spark, sf):
+    e = v.table(spark, sf, "events")
+    done = e.where("event_id % 3 = 0").select("event_id")
+    return tables.unprocessed(e.where("event_type = 'view'").select("event_id"), done, key="event_id")
+
+
+def wanted_assets(spark, sf):
+    e = v.table(spark, sf, "events").withColumn("market_id", F.col("user_id").cast("string"))
+    return tables.missing_ids(e.where("event_type = 'purchase'"), e.where("event_type = 'signup' AND event_id % 20 = 0"), key="market_id")
+
+
+def compact_dimension(spark, sf):
+    m = v.markets(spark, sf)
+    samples = m.select("*", F.explode(F.array("market_start_ts", "market_end_ts")).alias("sample_ts"))
+    out = markets.compact_dimension(samples)
+    return out.select("market_id", "yes_asset_id", "no_asset_id", v.naive("market_start_ts"), v.naive("market_end_ts"))
+
+
 QUERIES = {
     n: f for n, f in list(globals().items())
     if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("feed", "typed", "stage", "micros", "first_field")
@@ -373,6 +417,17 @@ ORACLES = {
     "book_sweep": """WITH r AS (SELECT *, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lineitem),
       t AS (SELECT *, least(l_quantity, greatest(0, 60 - before)) AS take FROM r)
       SELECT l_orderkey, round(sum(take * l_extendedprice) / sum(take), 6) AS avg_price, sum(take) AS filled, sum(take) + 1e-9 >= 60 AS "full", max(CASE WHEN take > 0 THEN l_extendedprice END) AS worst_price FROM t GROUP BY 1""",
+    "book_sweep_snapshots": f"""WITH {EVD} x AS (SELECT CAST(user_id AS VARCHAR) AS market_id, p + 0.01 AS p1, k + 3 AS q1, p + 0.02 AS p2, k AS q2 FROM e WHERE event_type = 'view'),
+      t AS (SELECT *, least(q1, 60) AS t1, least(q2, greatest(0, 60 - q1)) AS t2 FROM x)
+      SELECT market_id, count(*) AS books, count(*) FILTER (t1 + t2 >= 60) AS full_books, CAST(sum(t1 + t2) AS DOUBLE) AS filled, round(avg((t1 * p1 + t2 * p2) / (t1 + t2)), 6) AS avg_price,
+        max(CASE WHEN t2 > 0 THEN p2 ELSE p1 END) AS worst_price FROM t GROUP BY 1""",
+    "dimension_build": """WITH o AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS market_id, CAST(o_orderkey % 3 AS VARCHAR) AS a, o_orderstatus AS s FROM orders WHERE o_orderstatus IN ('F', 'O')),
+      g AS (SELECT market_id, count(*) FILTER (s = 'F') AS y, count(*) FILTER (s = 'O') AS n FROM o GROUP BY 1), f AS (SELECT CAST(o_custkey AS VARCHAR) AS market_id, min(o_orderdate) AS t FROM orders GROUP BY 1)
+      SELECT f.market_id, CASE WHEN y = 1 AND n = 1 THEN 'ok' WHEN y > 0 OR n > 0 THEN 'conflict' ELSE 'unmapped' END AS mapping_status, t AS market_start_ts, t + INTERVAL 900 SECOND AS market_end_ts FROM f LEFT JOIN g USING (market_id)""",
+    "asset_enrichment": f"""WITH {v.QUOTES} SELECT market_id, CASE WHEN asset_id LIKE '%-Y' THEN 'UP' ELSE 'DOWN' END AS direction, count(*) AS rows FROM quotes GROUP BY 1, 2""",
+    "unprocessed_signals": "SELECT event_id FROM events WHERE event_type = 'view' AND event_id % 3 <> 0",
+    "wanted_assets": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS market_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'signup' AND event_id % 20 = 0",
+    "compact_dimension": f"""WITH {v.MARKETS} SELECT market_id, yes_asset_id, no_asset_id, market_start_ts, market_end_ts FROM markets""",
     "vote_mapping_status": """WITH o AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS market_id, CAST(o_orderkey % 3 AS VARCHAR) AS a, o_orderstatus AS s FROM orders WHERE o_orderstatus IN ('F', 'O')),
       g AS (SELECT market_id, coalesce(string_agg(a, ',' ORDER BY a) FILTER (s = 'F'), '') AS yes_ids, coalesce(string_agg(a, ',' ORDER BY a) FILTER (s = 'O'), '') AS no_ids, count(*) FILTER (s = 'F') AS y, count(*) FILTER (s = 'O') AS n FROM o GROUP BY 1)
       SELECT CAST(c_custkey AS VARCHAR) AS market_id, CASE WHEN y = 1 AND n = 1 THEN 'ok' WHEN y > 0 OR n > 0 THEN 'conflict' ELSE 'unmapped' END AS mapping_status,

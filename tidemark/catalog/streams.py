@@ -29,7 +29,7 @@ def _us(col, name):
     return F.timestamp_micros(F.col(col)).cast("timestamp_ntz").alias(name)
 
 
-def stream_quote_state(spark, sf):
+def _quote_stream(spark, sf):
     ev = event_stream(spark, sf).where("event_type IN ('view', 'click', 'error')")
     kind = F.col("event_type")
     price = F.col("value") / 500
@@ -45,7 +45,34 @@ def stream_quote_state(spark, sf):
         F.when(kind == "view", (F.col("k") % 7 + 1).cast("double")).alias("update_ask_size"),
         ok(F.when(kind == "error", price)).alias("last_trade_price"),
     )
-    out = sources.drain(state.quote_state(rows), "stream_quote_state")
+    return rows
+
+
+def stream_pair_state(spark, sf):
+    """Both sides of each market after every event of either side."""
+    rows = _quote_stream(spark, sf).withColumn("direction", F.when(F.col("asset_id").endswith("-Y"), "UP").otherwise("DOWN"))
+    out = sources.drain(state.pair_state(rows), "stream_pair_state")
+    return out.select(
+        "market_id", F.col("row_id").alias("event_id"), "yes_bid", "yes_ask", "no_bid", "no_ask", "yes_bid_size", "no_ask_size",
+        _us("yes_update_us", "yes_update_ts"), _us("no_update_us", "no_update_ts"),
+    )
+
+
+def stream_settlement(spark, sf):
+    """Sign-ups held for a day and settled on the price of all events."""
+    ev = event_stream(spark, sf).withColumn("series", F.lit("ALL"))
+    sig = ev.where("event_type = 'signup'").select(
+        "series", F.col("event_id").alias("signal_id"), F.col("user_id").cast("string").alias("market_id"),
+        F.when(F.col("event_id") % 2 == 0, "UP").otherwise("DOWN").alias("direction"), F.lit(0.5).alias("entry_price"),
+        F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("end_ts"), "ts",
+    )
+    px = ev.where("event_type <> 'signup'").select("series", F.col("event_id").alias("row_id"), "ts", F.col("value").alias("price"))
+    out = sources.drain(state.settle_at_end(sig, px), "stream_settlement")
+    return out.select("signal_id", "market_id", "direction", "open_price", "close_price", "settled_yes", "pnl")
+
+
+def stream_quote_state(spark, sf):
+    out = sources.drain(state.quote_state(_quote_stream(spark, sf)), "stream_quote_state")
     return out.select(
         "market_id", "asset_id", _us("ts_us", "ts_event"), "current_bid", "current_ask", "current_bid_size", "current_ask_size",
         _us("last_quote_update_us", "last_quote_update_ts"), "last_trade_price",
@@ -157,6 +184,15 @@ QUERIES = {
 }
 
 ORACLES = {
+    "stream_pair_state": f"""WITH {v.QUOTES.replace("ts AS ts_event,", "ts AS ts_event, event_id,", 1)}
+      SELECT market_id, event_id, {", ".join(f"last_value(CASE WHEN asset_id LIKE '%-{a}' THEN update_{c} END IGNORE NULLS) OVER w AS {s}_{c}" for s, a, c in (("yes", "Y", "bid"), ("yes", "Y", "ask"), ("no", "N", "bid"), ("no", "N", "ask"), ("yes", "Y", "bid_size"), ("no", "N", "ask_size")))},
+        {", ".join(f"last_value(CASE WHEN asset_id LIKE '%-{a}' AND (update_bid IS NOT NULL OR update_ask IS NOT NULL) THEN ts_event END IGNORE NULLS) OVER w AS {s}_update_ts" for s, a in (("yes", "Y"), ("no", "N")))}
+      FROM quotes WINDOW w AS (PARTITION BY market_id ORDER BY ts_event ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "stream_settlement": """WITH p AS (SELECT ts, value FROM events WHERE event_type <> 'signup'), s AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'signup'),
+      j AS (SELECT s.*, o.value AS open_price, c.value AS close_price FROM s ASOF LEFT JOIN p o ON s.ts >= o.ts ASOF LEFT JOIN p c ON s.ts + INTERVAL 86402 SECOND >= c.ts WHERE s.ts + INTERVAL 86402 SECOND < (SELECT max(ts) FROM p)),
+      k AS (SELECT *, CASE WHEN open_price IS NOT NULL THEN CAST(close_price > open_price AS BIGINT) END AS settled_yes FROM j)
+      SELECT event_id AS signal_id, CAST(user_id AS VARCHAR) AS market_id, CASE WHEN event_id % 2 = 0 THEN 'UP' ELSE 'DOWN' END AS direction, open_price, close_price, settled_yes,
+        CASE WHEN event_id % 2 = 0 THEN settled_yes ELSE 1 - settled_yes END - 0.5 AS pnl FROM k""",
     "stream_quote_state": f"WITH {v.STATE} SELECT * EXCLUDE (source) FROM state",
     "stream_cooldown": ce.ORACLES["cooldown_6h"],
     "stream_first_accept": ce.ORACLES["first_signal"],

@@ -20,8 +20,9 @@ from tidemark.operators.scan import prefix_scan, value_buckets
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi join where null group keys match each other."""
     if not keys:
-        # both sides are one row per call; join on a constant
-        return left.withColumn("__one", F.lit(0)).join(right.withColumn("__one", F.lit(0)), "__one", how).drop("__one")
+        # the right side is a total: exactly one row, so it is safe to send to every task
+        one = F.broadcast(right.withColumn("__one", F.lit(0)))
+        return left.withColumn("__one", F.lit(0)).join(one, "__one", how).drop("__one")
     names = {k: f"__j{i}" for i, k in enumerate(keys)}
     other = right.withColumnsRenamed(names)
     cond = reduce(and_, [left[k].eqNullSafe(other[a]) for k, a in names.items()])

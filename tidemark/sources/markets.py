@@ -215,3 +215,32 @@ def compact_dimension(silver: DataFrame) -> DataFrame:
     return silver.groupBy("market_id").agg(
         F.min_by(F.struct(*cols[1:]), F.struct("sample_ts", *cols[1:])).alias("__r")
     ).select("market_id", "__r.*")
+
+
+def build_dimension(events: DataFrame, meta: DataFrame | None = None, *, duration_seconds: int = 300) -> DataFrame:
+    """Every market seen in the events with its pair of ids, status and time span.
+
+    ``meta`` (market_id, market_start_ts, market_end_ts) overrides the derived span.
+    """
+    mapped = mapping_status(discovered(events), asset_votes(events))
+    spans = market_spans(events, duration_seconds=duration_seconds)
+    if meta is not None:
+        spans = override_spans(spans, meta)
+    spans = spans.withColumnsRenamed({"start_ts": "market_start_ts", "end_ts": "market_end_ts"})
+    return mapped.join(spans, "market_id", "left").select(
+        "market_id", "yes_asset_id", "no_asset_id", "mapping_status", "market_start_ts", "market_end_ts"
+    )
+
+
+def status_counts(dimension: DataFrame) -> DataFrame:
+    return dimension.groupBy("mapping_status").agg(F.count("*").alias("markets"))
+
+
+def with_market_of_asset(rows: DataFrame, markets: DataFrame) -> DataFrame:
+    """Market and direction (UP for the yes side) of each row's asset; also for a stream."""
+    sides = F.array(
+        F.struct(F.col("yes_asset_id").alias("asset_id"), F.lit("UP").alias("direction")),
+        F.struct(F.col("no_asset_id").alias("asset_id"), F.lit("DOWN").alias("direction")),
+    )
+    lookup = markets.select("market_id", F.explode(sides).alias("__s")).select("market_id", "__s.*")
+    return rows.join(lookup, "asset_id")

@@ -119,6 +119,16 @@ def with_flag_default(df: DataFrame, flag: str = "is_forced_signal") -> DataFram
     return df.withColumn(flag, F.coalesce(present, F.lit(False)))
 
 
+def unprocessed(signals: DataFrame, processed: DataFrame, *, key: str = "signal_id") -> DataFrame:
+    """Rows whose id has not been processed yet."""
+    return signals.join(processed.select(key), key, "left_anti")
+
+
+def missing_ids(wanted: DataFrame, present: DataFrame, *, key: str) -> DataFrame:
+    """Distinct ids that are wanted and not present."""
+    return wanted.select(key).distinct().join(present.select(key).distinct(), key, "left_anti")
+
+
 def newest_runs(diagnostics: DataFrame) -> DataFrame:
     """Newest run per mode and forced flag."""
     return diagnostics.groupBy("mode", "forced").agg(

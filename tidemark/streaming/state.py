@@ -155,6 +155,109 @@ def quote_state(events: DataFrame, *, tie: str = "row_id") -> DataFrame:
     )
 
 
+_PAIR = [f"{s}_{f}" for s in ("yes", "no") for f in ("bid", "ask", "bid_size", "ask_size")]
+PAIR_STATE = _fields(
+    ("market_id", S), ("ts_us", L), ("row_id", L), *[(c, D) for c in _PAIR], ("yes_update_us", L), ("no_update_us", L)
+)
+
+
+def pair_state(events: DataFrame, *, tie: str = "row_id") -> DataFrame:
+    """Both sides of a market after every event of either side: the live feature base.
+
+    ``events`` carry market_id and direction (UP / DOWN) next to the quote update.
+    Derived features are plain columns on the result.
+    """
+    cols = ["update_bid", "update_ask", "update_bid_size", "update_ask_size"]
+    rows = events.select("market_id", micros("ts_event").alias("ts_us"), F.col(tie).cast("bigint").alias("row_id"),
+                         F.when(F.col("source") == "orderbook", 0).otherwise(1).alias("prio"), (F.col("direction") == "UP").alias("yes"), *cols)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(parts, ["ts_us", "prio", "row_id"])
+        before = list(state.get) if state.exists else [None] * (len(_PAIR) + 2)
+        out = pdf[["market_id", "ts_us", "row_id"]].copy()
+        yes = pdf["yes"].astype(bool)
+        moved = pdf["update_bid"].notna() | pdf["update_ask"].notna()
+        fills = {}
+        for side, here in (("yes", yes), ("no", ~yes)):
+            for c in cols:
+                fills[f"{side}_{c.removeprefix('update_')}"] = pdf[c].where(here)
+        for side, here in (("yes", yes), ("no", ~yes)):
+            fills[f"{side}_update_us"] = pdf["ts_us"].where(moved & here).astype("Int64")
+        now = []
+        for (name, values), old in zip(fills.items(), before):
+            filled = values.ffill()
+            if old is not None:
+                filled = filled.fillna(old)
+            out[name] = filled
+            end = filled.iloc[-1]
+            now.append(None if pd.isna(end) else (int(end) if name.endswith("_us") else float(end)))
+        state.update(tuple(now))
+        yield out
+
+    held = _fields(*[(c, D) for c in _PAIR], ("yu", L), ("nu", L))
+    return rows.groupBy("market_id").applyInPandasWithState(step, PAIR_STATE, held, "append", GroupStateTimeout.NoTimeout)
+
+
+SETTLED = _fields(("signal_id", L), ("market_id", S), ("direction", S), ("open_price", D), ("close_price", D), ("settled_yes", L), ("pnl", D))
+
+
+def settle_at_end(signals: DataFrame, prices: DataFrame, *, series: str = "series", grace_s: float = 2.0) -> DataFrame:
+    """Outcome of held signals at their market's end, from a reference price stream.
+
+    Signals: series, signal_id, market_id, direction, entry_price, start_ts, end_ts, ts.
+    Prices: series, row_id, ts, price. The open price is the last one at or before the
+    market's start, the close the last one at or before end plus grace; a signal
+    settles with the first price after that. State per series: open signals and the
+    prices still needed by them.
+    """
+    grace = int(round(grace_s * 1e6))
+    nd, ns, nl = F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    both = prices.select(F.col(series).alias("series"), micros("ts").alias("us"), F.lit(0).alias("kind"), F.col("row_id").cast("bigint").alias("id"),
+                         F.col("price").cast("double").alias("x"), ns.alias("market_id"), ns.alias("direction"), nl.alias("a"), nl.alias("b")).unionByName(
+        signals.select(F.col(series).alias("series"), micros("ts").alias("us"), F.lit(1).alias("kind"), F.col("signal_id").cast("bigint").alias("id"),
+                       F.col("entry_price").cast("double").alias("x"), "market_id", "direction", micros("start_ts").alias("a"), micros("end_ts").alias("b")))
+    held = _fields(
+        ("us", T.ArrayType(L)), ("px", T.ArrayType(D)), ("id", T.ArrayType(L)), ("m", T.ArrayType(S)), ("d", T.ArrayType(S)),
+        ("e", T.ArrayType(D)), ("o", T.ArrayType(D)), ("b", T.ArrayType(L)),
+    )
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(parts, ["us", "kind", "id"])
+        old = [list(x) for x in state.get] if state.exists else [[] for _ in range(8)]
+        px = pdf[pdf["kind"] == 0]
+        us = np.concatenate([np.asarray(old[0], dtype=np.int64), px["us"].to_numpy(np.int64)])
+        pr = np.concatenate([np.asarray(old[1], dtype=float), px["x"].to_numpy(float)])
+
+        def last_price(t: int):
+            i = int(np.searchsorted(us, t, side="right")) - 1
+            return None if i < 0 else float(pr[i])
+
+        waiting = list(zip(*old[2:]))
+        for r in pdf[pdf["kind"] == 1].itertuples():
+            waiting.append((int(r.id), r.market_id, r.direction, float(r.x), last_price(int(r.a)), int(r.b)))
+        end = int(us[-1]) if len(us) else -1
+        done, still = [], []
+        for sid, m, d, entry, opened, b in waiting:
+            if end <= b + grace:
+                still.append((sid, m, d, entry, opened, b))
+                continue
+            close = last_price(b + grace)
+            yes = None if opened is None or close is None else int(close > opened)
+            worth = None if yes is None else float(yes if d == "UP" else 1 - yes)
+            done.append((sid, m, d, opened, close, yes, None if worth is None else worth - entry))
+        # the newest price is always needed; older ones only by signals that wait
+        need = min([w[5] + grace for w in still], default=end)
+        cut = max(int(np.searchsorted(us, need, side="right")) - 1, 0)
+        cols = [list(c) for c in zip(*still)] if still else [[] for _ in range(6)]
+        state.update((us[cut:].tolist(), pr[cut:].tolist(), *cols))
+        if done:
+            out = pd.DataFrame(done, columns=[f.name for f in SETTLED.fields])
+            out["settled_yes"] = out["settled_yes"].astype("Int64")
+            yield out
+
+    return both.groupBy("series").applyInPandasWithState(step, SETTLED, held, "append", GroupStateTimeout.NoTimeout)
+
+
 def tick_features(
     ticks: DataFrame, *, key: str, ts: str, tie: str, price: str, qty: str, side: str,
     lags_s: Sequence[int] = (1, 5, 10, 30), flows_s: Sequence[int] = (1, 5, 30), vol_ticks: int = 60, history_s: int = 65,
