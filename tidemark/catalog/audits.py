@@ -191,7 +191,7 @@ def label_comparison(spark, sf):
 def source_timeline(spark, sf):
     e = v.table(spark, sf, "events").select(F.col("user_id").alias("market_id"), "ts", F.col("event_id").alias("row_id"), "event_type", "value")
     out = ql.timeline({t: e.where(F.col("event_type") == t).drop("event_type") for t in ("view", "click", "error")}, entity="market_id", per_source=4, total=9)
-    return out.select("market_id", "position", "source", v.naive("ts"), "row_id", "value")
+    return out.select("market_id", F.col("position").cast("bigint").alias("position"), "source", v.naive("ts"), "row_id", "value")
 
 
 def first_last_value(spark, sf):
@@ -234,7 +234,7 @@ def balanced_examples(spark, sf):
         F.count_distinct("p_up").alias("spread"), F.round(F.avg(F.abs(F.col("p_up") - F.col("yes_ask"))), 6).alias("disagreement"),
     )
     out = pick.balanced_examples(m, label="settled_yes", entity="market_id", spread="spread", disagreement="disagreement", n=12)
-    return out.select("position", "market_id", "settled_yes", "spread", "disagreement")
+    return out.select(F.col("position").cast("bigint").alias("position"), "market_id", "settled_yes", "spread", "disagreement")
 
 
 def seeded_sample(spark, sf):
@@ -253,7 +253,7 @@ def _windows(spark, sf):
 
 
 def replay_windows(spark, sf):
-    return _windows(spark, sf).select("cfg", "rank", "event_id", "p_up", v.naive("start_ts"), v.naive("end_ts"))
+    return _windows(spark, sf).select("cfg", F.col("rank").cast("bigint").alias("rank"), "event_id", "p_up", v.naive("start_ts"), v.naive("end_ts"))
 
 
 def interval_windows(spark, sf):
@@ -461,8 +461,8 @@ ORACLES = {
           CASE WHEN tte < 30 THEN 'tte_too_low' END, CASE WHEN tte > 900 THEN 'tte_too_high' END, CASE WHEN NOT has_asset THEN 'missing_asset_id' END, CASE WHEN ask IS NULL THEN 'missing_ask' END, CASE WHEN ask > 0.9 THEN 'ask_too_high' END, CASE WHEN ask <= 0 THEN 'bad_ask' END,
           CASE WHEN fill + 1e-9 < 6 THEN 'insufficient_depth' END, CASE WHEN sp > 0.05 THEN 'spread_too_wide' END, CASE WHEN lp * 6 < 1 THEN 'notional_below_min' END], lambda x: x IS NOT NULL), ',') AS reasons, round(lp, 6) AS limit_price, round(lp * 6, 6) AS notional FROM h""",
     "derived_features": f"""WITH {FEAT}, g AS (SELECT event_id, CAST(tte <= 300 AS INTEGER) AS tte_le_300, CAST(tte <= 60 AS INTEGER) AS tte_le_60, ln(1 + tte) AS log_tte, (500 - tte) / 500.0 AS time_frac_elapsed, x + 0.02 - fp AS yes_ask_minus_formula,
-        0.95 - x - (1.0 - fp) AS no_ask_minus_formula, abs(fp - (x + 0.01)) AS abs_formula_gap, x + 0.02 + 0.95 - x - 1.0 AS ask_overround, 3.0 AS yes_depth_skew, ln(1 + (k + 3) / (k + 1e-9)) AS log_yes_depth_ratio,
-        ln(1 + (k * 2) / (100 - k + 1e-9)) AS log_no_depth_ratio, 0.07 AS sum_side_spreads, x / 10 + x / 10 AS mid_change_1s_rel, (x * 5 / 100 - 0.01) * ln(1 + tte) AS ref_ret5_x_log_tte, (x * 10 / 100 - 0.01) / (vol + 1e-9) AS ref_ret10_per_vol,
+        0.95 - x - (1.0 - fp) AS no_ask_minus_formula, abs(fp - (x + 0.01)) AS abs_formula_gap, x + 0.02 + 0.95 - x - 1.0 AS ask_overround, CAST(3 AS DOUBLE) AS yes_depth_skew, ln(1 + (k + 3) / (k + 1e-9)) AS log_yes_depth_ratio,
+        ln(1 + (k * 2) / (100 - k + 1e-9)) AS log_no_depth_ratio, CAST(0.07 AS DOUBLE) AS sum_side_spreads, x / 10 + x / 10 AS mid_change_1s_rel, (x * 5 / 100 - 0.01) * ln(1 + tte) AS ref_ret5_x_log_tte, (x * 10 / 100 - 0.01) / (vol + 1e-9) AS ref_ret10_per_vol,
         x * 1 / 100 - x * 5 / 100 AS ref_reversal_1_5, 30 / 50.0 - 5 / 50.0 AS ref_imbalance_5_30, (k / 50.0 - 1) * (k / 100.0 - 0.1) AS ref_depth_x_imbalance, coalesce(ya, 999) + coalesce(na, 999) AS sum_quote_age,
         CASE WHEN ya IS NULL THEN na WHEN na IS NULL THEN ya ELSE greatest(ya, na) END AS max_quote_age, (fp - (x + 0.02)) * ((x * 5 / 100 - 0.01) / (vol + 1e-9)) AS yes_edge_x_ret5, (1.0 - fp - (0.95 - x)) * -((x * 5 / 100 - 0.01) / (vol + 1e-9)) AS no_edge_x_ret5 FROM f)
       SELECT event_id, tte_le_300, tte_le_60, {_r(FEATS, 5)} FROM g""",

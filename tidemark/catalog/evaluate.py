@@ -153,7 +153,7 @@ def stability_top_markets(spark, sf):
     per = tr.simple_metrics(_trades(spark, sf), keys=["mode", *PARAMS, "market_id"])
     per = per.withColumn("total_pnl", F.round("total_pnl", 6))
     out = pick.top_per_group(per, keys=["mode", *PARAMS], score="total_pnl", tie=["market_id"], k=5)
-    return out.select("mode", *PARAMS, "market_id", "rank", "trades", "total_pnl", *_round(["avg_pnl", "win_rate"]))
+    return out.select("mode", *PARAMS, "market_id", F.col("rank").cast("bigint").alias("rank"), "trades", "total_pnl", *_round(["avg_pnl", "win_rate"]))
 
 
 def equity_curve(spark, sf):

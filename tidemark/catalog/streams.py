@@ -136,7 +136,7 @@ def stream_drawdown_events(spark, sf):
 def stream_context(spark, sf):
     ev = event_stream(spark, sf).withColumn("wanted", F.col("event_type") == "purchase")
     out = sources.drain(state.recent_context(ev, key="user_id", ts="ts", tie="event_id", value="value", wanted="wanted", last=5), "stream_context")
-    return out.select(F.col("key").alias("user_id"), F.col("row_id").alias("event_id"), F.size("recent_value").alias("n"), F.round(F.aggregate("recent_value", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return out.select(F.col("key").alias("user_id"), F.col("row_id").alias("event_id"), F.size("recent_value").cast("bigint").alias("n"), F.round(F.aggregate("recent_value", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 def stream_flow(spark, sf):
@@ -192,7 +192,7 @@ ORACLES = {
       j AS (SELECT s.*, o.value AS open_price, c.value AS close_price FROM s ASOF LEFT JOIN p o ON s.ts >= o.ts ASOF LEFT JOIN p c ON s.ts + INTERVAL 86402 SECOND >= c.ts WHERE s.ts + INTERVAL 86402 SECOND < (SELECT max(ts) FROM p)),
       k AS (SELECT *, CASE WHEN open_price IS NOT NULL THEN CAST(close_price > open_price AS BIGINT) END AS settled_yes FROM j)
       SELECT event_id AS signal_id, CAST(user_id AS VARCHAR) AS market_id, CASE WHEN event_id % 2 = 0 THEN 'UP' ELSE 'DOWN' END AS direction, open_price, close_price, settled_yes,
-        CASE WHEN event_id % 2 = 0 THEN settled_yes ELSE 1 - settled_yes END - 0.5 AS pnl FROM k""",
+        CAST(CASE WHEN event_id % 2 = 0 THEN settled_yes ELSE 1 - settled_yes END - 0.5 AS DOUBLE) AS pnl FROM k""",
     "stream_quote_state": f"WITH {v.STATE} SELECT * EXCLUDE (source) FROM state",
     "stream_cooldown": ce.ORACLES["cooldown_6h"],
     "stream_first_accept": ce.ORACLES["first_signal"],
