@@ -204,8 +204,8 @@ def book_best_depth(spark, sf):
 
 def book_sweep(spark, sf):
     """Cost of taking 60 units from the cheapest lines up."""
-    out = book.sweep(_levels(spark, sf), keys=["l_orderkey"], price="l_extendedprice", size="l_quantity", tie="l_linenumber", side="ask", shares=60.0)
-    return out.select("l_orderkey", F.round("avg_price", 6).alias("avg_price"), "filled", "full", "worst_price")
+    out = book.sweep(_levels(spark, sf), keys=["l_orderkey"], price="l_extendedprice", size="l_quantity", tie="l_linenumber", side="ask", shares=60.0, price_bucket=1_000.0)
+    return out.select("l_orderkey", F.round("avg_price", 7).alias("avg_price"), "filled", "full", "worst_price")
 
 
 def book_sweep_snapshots(spark, sf):
@@ -416,7 +416,7 @@ ORACLES = {
         sum(l_quantity) FILTER (b <= 3) AS bid_depth_3, sum(l_quantity) FILTER (a <= 5) AS ask_depth_5 FROM r GROUP BY 1""",
     "book_sweep": """WITH r AS (SELECT *, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lineitem),
       t AS (SELECT *, least(l_quantity, greatest(0, 60 - before)) AS take FROM r)
-      SELECT l_orderkey, round(sum(take * l_extendedprice) / sum(take), 6) AS avg_price, sum(take) AS filled, sum(take) + 1e-9 >= 60 AS "full", max(CASE WHEN take > 0 THEN l_extendedprice END) AS worst_price FROM t GROUP BY 1""",
+      SELECT l_orderkey, round(sum(take * l_extendedprice) / sum(take), 7) AS avg_price, sum(take) AS filled, sum(take) + 1e-9 >= 60 AS "full", max(CASE WHEN take > 0 THEN l_extendedprice END) AS worst_price FROM t GROUP BY 1""",
     "book_sweep_snapshots": f"""WITH {EVD} x AS (SELECT CAST(user_id AS VARCHAR) AS market_id, p + 0.01 AS p1, k + 3 AS q1, p + 0.02 AS p2, k AS q2 FROM e WHERE event_type = 'view'),
       t AS (SELECT *, least(q1, 60) AS t1, least(q2, greatest(0, 60 - q1)) AS t2 FROM x)
       SELECT market_id, count(*) AS books, count(*) FILTER (t1 + t2 >= 60) AS full_books, CAST(sum(t1 + t2) AS DOUBLE) AS filled, round(avg((t1 * p1 + t2 * p2) / (t1 + t2)), 6) AS avg_price,

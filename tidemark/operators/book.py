@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.pick import top_per_group
-from tidemark.operators.scan import prefix_scan, value_buckets
+from tidemark.operators.scan import prefix_scan
 
 
 def best_levels(rows: DataFrame, *, keys: Sequence[str], price: str, size: str, tie: str, side: str, depth: int = 5) -> DataFrame:
@@ -27,12 +27,13 @@ def best_levels(rows: DataFrame, *, keys: Sequence[str], price: str, size: str,
 
 
 def sweep(
-    rows: DataFrame, *, keys: Sequence[str], price: str, size: str, tie: str, side: str, shares: float
+    rows: DataFrame, *, keys: Sequence[str], price: str, size: str, tie: str, side: str, shares: float,
+    price_bucket: float,
 ) -> DataFrame:
     """Average and worst price, and filled size, for taking ``shares`` from each book.
 
     A level fills what the better levels left over: a running sum in price order,
-    spread over price buckets.
+    spread over price buckets of the given width.
     """
     sign = 1.0 if side == "ask" else -1.0
     book = rows.where(F.col(price).isNotNull()).select(
@@ -41,9 +42,9 @@ def sweep(
         F.greatest(F.coalesce(F.col(size), F.lit(0.0)), F.lit(0.0)).alias("__q"),
         F.col(tie).alias("__tie"),
     )
-    spread = value_buckets(book, keys=keys, value="__p", n=16)
     walked = prefix_scan(
-        spread, keys=keys, bucket=F.col("__vb").cast("bigint"), order=["__p", "__tie"], sums={"__upto": F.col("__q")}
+        book, keys=keys, bucket=F.floor(F.col("__p") / price_bucket).cast("bigint"), order=["__p", "__tie"],
+        sums={"__upto": F.col("__q")},
     )
     take = F.least(F.col("__q"), F.greatest(F.lit(0.0), F.lit(float(shares)) - (F.col("__upto") - F.col("__q"))))
     taken = walked.withColumn("__take", take)
