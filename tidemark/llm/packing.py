@@ -15,6 +15,7 @@ looks the number up in the runs of the patterns: no piece passes through the dri
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import rows_of, texts
-from tidemark.llm.token_counts import PUNCTUATION, tokenizer
+from tidemark.llm.token_counts import PUNCTUATION, byte_letters, tokenizer
 from tidemark.session import stage
 
 Pattern = tuple[tuple[int, ...], int]  # lengths in one bin, number of such bins
@@ -215,78 +216,66 @@ PIECES_ARROW = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 )
 IDS = pa.field("ids", pa.list_(pa.int32()))
-_ENDS = tuple(b"0123456789abcdefghijklmnopqrstuvwxyz")
+_ENDS = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz")
 _PUNCTUATION = PUNCTUATION.encode()
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")  # lower-case letters that no normaliser changes
 
 
-class WordIds:
-    """Ids of white-space separated words, remembered while they keep coming.
+class WordIds(dict):
+    """Little-endian 32-bit ids of white-space separated words, remembered while they keep coming.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
     its words. It folds case, and a word and the punctuation after it are encoded apart, so
-    both are remembered once. A word with special strings is left to the tokenizer whole.
+    both are remembered once. Words of plain lower-case letters go straight to the library's
+    BPE model, as nothing else of the tokenizer changes them; all others through all of it.
     """
 
-    def __init__(self, path: str, most: int) -> None:
-        self.model, self.most = tokenizer(path), most
-        self.specials = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
-        self.young: dict[bytes, bytes] = {}
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.tokenizer = tokenizer(path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.old: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """After this every one of the words is in ``young``."""
-        old, young, new, joined = self.old, self.young, {}, []
-        for word in words:
-            if (ids := old.get(word)) is not None:
-                young[word] = ids
-                continue
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
             stem = word.rstrip(_PUNCTUATION)
             if len(stem) < len(word) and stem and stem[-1] in _ENDS:
-                joined.append((word, stem, word[len(stem) :]))
-                words_of = (stem, word[len(stem) :])
+                ids = self[stem] + self[word[len(stem) :]]
             else:
-                words_of = (word,)
-            for part in words_of:
-                if part not in young and (ids := old.get(part)) is None:
-                    new[part] = None
-                elif part not in young:
-                    young[part] = ids
-        names = list(new)
-        for a in range(0, len(names), 5000):
-            young.update(zip(names[a : a + 5000], self._encode(names[a : a + 5000]), strict=True))
-        for word, stem, tail in joined:
-            young[word] = young[stem] + young[tail]
-
-    def many(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        for a in range(0, len(texts), 256):
-            split = [
-                t.split() if any(s in t for s in self.specials) else (t.lower() if b"<|" not in t else t).split()
-                for t in texts[a : a + 256]
-            ]
-            plain = [None if any(s in t for s in self.specials) else True for t in texts[a : a + 256]]
-            missing = {w for words, p in zip(split, plain, strict=True) if p for w in words if w not in self.young}
-            if len(self.young) + len(missing) > self.most:
-                self.old, self.young = self.young, {}
-                missing = {w for words, p in zip(split, plain, strict=True) if p for w in words}
-            self._learn(missing)
-            get = self.young.__getitem__
-            for words, p in zip(split, plain, strict=True):
-                yield b"".join(map(get, words)) if p else b"".join(self._encode(words))
+                text = word.decode()
+                if _PLAIN.fullmatch(text):
+                    found = [t.id for t in self.model.tokenize(text.translate(self.letters))]
+                else:
+                    found = self.tokenizer.encode(text, add_special_tokens=False).ids
+                ids = np.array(found, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    def forget(self) -> None:
+        """What did not come up since the last time goes; the rest stays within reach."""
+        self.old = dict(self)
+        self.clear()
 
 
 _word_ids: dict[str, WordIds] = {}
 
 
-def word_ids(path: str, most: int) -> WordIds:
-    """One memory of words for each worker process, kept over its tasks."""
+def encoded(texts: Iterable[bytes], path: str, most: int) -> Iterator[bytes]:
+    """Ids of each text; the memory of words is the worker's and lasts over its tasks."""
     if path not in _word_ids:
-        _word_ids[path] = WordIds(path, most)
-    return _word_ids[path]
+        _word_ids[path] = WordIds(path)
+    words = _word_ids[path]
+    specials = [t.content.encode() for t in words.tokenizer.get_added_tokens_decoder().values()]
+    for text in texts:
+        if any(s in text for s in specials):  # these are cut out before anything else
+            yield np.array(words.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            # folding case must not make a special string
+            split = text.split() if b"<|" in text else text.lower().split()
+            yield b"".join(map(words.__getitem__, split))
+        if len(words) > most:
+            words.forget()
 
 
 def pieces(
@@ -297,7 +286,7 @@ def pieces(
     for batch in batches:
         ids, column = batch.column("doc_id").to_pylist(), texts(batch.column("text"))
         rows = []
-        for doc_id, raw in zip(ids, word_ids(path, most_words).many(column), strict=True):
+        for doc_id, raw in zip(ids, encoded(column, path, most_words), strict=True):
             raw += end
             for piece, a in enumerate(range(0, len(raw), width)):
                 part = raw[a : a + width]

@@ -35,6 +35,8 @@ _BLANK = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u20
 # the word, the blanks before that stand together, and so does a run of blanks at the end.
 UNIT = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# One pre-token whatever stands around it; it goes straight to the library's BPE model.
+PLAIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 ENDS_WORD = re.compile("[0-9A-Za-z]$")
 
 BLOCK = "block long, bucket int, names binary, at binary, docs binary, pairs binary, parts binary"
@@ -55,6 +57,15 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)
+def byte_letters() -> dict[int, str]:
+    """What byte-level vocabularies write for a space and for letters up to U+00FF."""
+    from tokenizers import pre_tokenizers
+
+    cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return {c: cut.pre_tokenize_str(chr(c))[0][0] for c in (0x20, *range(0x41, 0x100)) if chr(c).isalpha() or c == 0x20}
+
+
 def _packed(values: np.ndarray) -> bytes:
     """32-bit numbers, each byte of them in a plane of its own, compressed."""
     planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T
@@ -166,14 +177,19 @@ def blocks(
 def count_pieces(batches: Iterable[pa.RecordBatch], path: str, most: int) -> Iterator[pa.RecordBatch]:
     """For each pre-token its number of pieces; a task encodes each distinct one once."""
     model, known = tokenizer(path), {}
+    bpe, letters = model.model, byte_letters()
     for batch in batches:
         for block, names, at in zip(*(batch.column(n).to_pylist() for n in ("block", "names", "at")), strict=True):
             names = _names(names)
             new = [n for n in names if n not in known]
             if len(known) + len(new) > most:  # memory stays bounded; these are counted again
                 known, new = {}, names
-            for a in range(0, len(new), 10_000):
-                part = new[a : a + 10_000]
+            plain, other = [], []
+            for name in new:
+                (plain if PLAIN.fullmatch(name) else other).append(name)
+            known.update((n, len(bpe.tokenize(n.translate(letters)))) for n in plain)
+            for a in range(0, len(other), 10_000):
+                part = other[a : a + 10_000]
                 known.update(zip(part, map(len, model.encode_batch_fast(part, add_special_tokens=False)), strict=True))
             counts = np.fromiter(map(known.__getitem__, names), np.uint32, len(names))
             yield from rows_of(COUNTED_ARROW, [[block], [at], [_packed(counts)]])
