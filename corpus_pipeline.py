@@ -1,18 +1,54 @@
-"""A training-corpus pipeline: stages over ``documents``, each written and read again."""
+"""A training-corpus pipeline: stages over ``documents``, each written and read again.
+
+Junk goes, then copies, then near copies; what is left is mixed to source weights (so rows
+may come more than once) and packed into training sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import exact_dedup, jaccard, mixing, packing, quality
 from tidemark.session import stage
 
+QUALITY = 0.3  # scores below are junk
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier, fitted on the labelled rows of these documents: what it rejects goes."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.with_score(docs, model).where(F.col("_score") >= QUALITY).drop("_score")
 
-def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Exact dedup: of texts that are equal but for white space one stays."""
     return exact_dedup.without_copies(docs)
 
 
-STAGES = [("exact dedup", copies)]
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Jaccard join on five-word shingles at 0.8: of each group one document stays."""
+    return jaccard.without_near_copies(docs, n_words=5, num=80, den=100)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Systematic sampling to source weights: each document as often as it is taken."""
+    return mixing.mix(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Configuration program: pieces with their place in sequences of 4096 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("exact dedup", without_copies),
+    ("n-gram Jaccard join", without_near_copies),
+    ("mixing sources", mixed),
+    ("best-fit packing", packed),
+]
+# A fitted model and a tokenizer are beyond SQL; the tests run the stages by brute force.
 ORACLE_SQL = None
 
 
