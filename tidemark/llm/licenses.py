@@ -38,19 +38,19 @@ FAMILIES: list[list[tuple[str, str]]] = [
     [("Apache2terms", r"you may not use this file except in compliance with the license"),
      ("Apache2copy", r"you may obtain a copy of the license at"),
      ("Apache2basis", r"distributed on an as is basis")],
-    [("AGPL3later", rf"affero general public licen[cs]e.*\b3{_LATER}|\bagpl-3\.0-or-later\b"),
-     ("AGPL3ref", r"affero general public licen[cs]e.*\b3|\bagpl(v| v|-)?3"),
-     ("LGPL3later", rf"(lesser|library) general public licen[cs]e.*\b3{_LATER}|\blgpl-3\.0-or-later\b"),
-     ("LGPL3ref", r"(lesser|library) general public licen[cs]e.*\b3|\blgpl(v| v|-)?3"),
-     ("LGPL2later", rf"(lesser|library) general public licen[cs]e.*\b2{_LATER}|\blgpl-2\.[01]-or-later\b"),
-     ("LGPL2ref", r"(lesser|library) general public licen[cs]e.*\b2|\blgpl(v| v|-)?2"),
-     ("GPL3later", rf"general public licen[cs]e.*\b3{_LATER}|\bgpl-3\.0-or-later\b"),
-     ("GPL3ref", r"general public licen[cs]e.*\b3|\bgpl(v| v|-)?3"),
-     ("GPL2later", rf"general public licen[cs]e.*\b2{_LATER}|\bgpl-2\.0-or-later\b"),
-     ("GPL2ref", r"general public licen[cs]e.*\b2|\bgpl(v| v|-)?2"),
+    [("AGPL3later", rf"affero general public licen[cs]e.*\bv?3{_LATER}|\bagpl-3\.0-or-later\b"),
+     ("AGPL3ref", r"affero general public licen[cs]e.*\bv?3|\bagpl(v| v|-)?3"),
+     ("LGPL3later", rf"(lesser|library) general public licen[cs]e.*\bv?3{_LATER}|\blgpl-3\.0-or-later\b"),
+     ("LGPL3ref", r"(lesser|library) general public licen[cs]e.*\bv?3|\blgpl(v| v|-)?3"),
+     ("LGPL2later", rf"(lesser|library) general public licen[cs]e.*\bv?2{_LATER}|\blgpl-2\.[01]-or-later\b"),
+     ("LGPL2ref", r"(lesser|library) general public licen[cs]e.*\bv?2|\blgpl(v| v|-)?2"),
+     ("GPL3later", rf"general public licen[cs]e.*\bv?3{_LATER}|version 3 of the gnu general public licen[cs]e{_LATER}|\bgpl-3\.0-or-later\b"),
+     ("GPL3ref", r"general public licen[cs]e.*\bv?3|version 3 of the gnu general public licen[cs]e|\bgpl(v| v|-)?3"),
+     ("GPL2later", rf"general public licen[cs]e.*\bv?2{_LATER}|version 2 of the gnu general public licen[cs]e{_LATER}|\bgpl-2\.0-or-later\b"),
+     ("GPL2ref", r"general public licen[cs]e.*\bv?2|version 2 of the gnu general public licen[cs]e|\bgpl(v| v|-)?2"),
      ("GPLref", r"general public licen[cs]e")],
     [("GPLnowarranty", r"distributed in the hope that it will be useful but without any warranty")],
-    [("MPL2ref", r"mozilla public licen[cs]e.*\b2|\bmpl-2\.0\b"),
+    [("MPL2ref", r"mozilla public licen[cs]e.*\bv?2|\bmpl-2\.0\b"),
      ("MPL1ref", r"mozilla public licen[cs]e"),
      ("EPLref", r"eclipse public licen[cs]e"),
      ("BSLref", r"boost software licen[cs]e"),
