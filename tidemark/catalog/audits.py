@@ -320,14 +320,23 @@ def _feature_rows(spark, sf):
     )
 
 
-FEATS = ["log_tte", "time_frac_elapsed", "yes_ask_minus_formula", "no_ask_minus_formula", "abs_formula_gap", "ask_overround", "yes_depth_skew",
-         "log_yes_depth_ratio", "log_no_depth_ratio", "sum_side_spreads", "mid_change_1s_rel", "ref_ret5_x_log_tte", "ref_ret10_per_vol",
-         "ref_reversal_1_5", "ref_imbalance_5_30", "ref_depth_x_imbalance", "sum_quote_age", "max_quote_age", "yes_edge_x_ret5", "no_edge_x_ret5"]
+_FLAGS = [n for n in ft.DERIVED_FEATURES if n.startswith("tte_le_")]
+FEATS = [n for n in ft.DERIVED_FEATURES if n not in _FLAGS]
 
 
 def derived_features(spark, sf):
     out = ft.derived_features(_feature_rows(spark, sf))
-    return out.select("event_id", "tte_le_300", "tte_le_60", *_round(FEATS, 5))
+    return out.select("event_id", *_FLAGS, *_round(FEATS, 8))
+
+
+_PER_VOL = [n for n in FEATS if "vol" in n]
+
+
+def derived_features_live(spark, sf):
+    out = ft.derived_features(_feature_rows(spark, sf), live=True)
+    rest = [n for n in FEATS if n not in _PER_VOL]
+    # divided by almost nothing where volatility is missing: compared in millions
+    return out.select("event_id", *_FLAGS, *_round(rest, 8), *[F.round(F.col(n) / 1e6, 8).alias(n) for n in _PER_VOL])
 
 
 def implied_probabilities(spark, sf):
@@ -372,6 +381,40 @@ GATE = f"""{v.PRED}, g AS (SELECT event_id, event_id % 11 = 0 AS bad, time_to_ex
    WHEN d * 0.5 < 6 THEN 'order_too_large_for_depth' WHEN p_up < 0.4 THEN 'cost_adjusted_edge_too_low' END AS reject_reason FROM g)"""
 FEAT = f"""{v.EV}, f AS (SELECT event_id, k, value / 500 AS x, k * 5.0 AS tte, value / 500 * 0.9 + 0.05 AS fp, CASE WHEN k % 10 <> 0 THEN (k + 1) / 1000.0 END AS vol,
    CASE WHEN k % 4 <> 0 THEN CAST(k AS DOUBLE) END AS ya, CASE WHEN k % 6 <> 0 THEN k / 2.0 END AS na FROM ev)"""
+
+
+def _features_sql(vol: str, clamp: str) -> str:
+    def log1p(x):
+        return f"ln(1 + {clamp.format(x)})"
+
+    def per_vol(s):
+        return f"(x * {s} / 100 - 0.01) / ({vol} + 1e-9)"
+
+    made = {
+        **{n: f"CAST(tte <= {n.rsplit('_', 1)[1]} AS INTEGER)" for n in _FLAGS},
+        "log_tte": log1p("tte"), "time_frac_elapsed": "(500 - tte) / 500.0",
+        "yes_ask_minus_formula_p_yes": "x + 0.02 - fp", "no_ask_minus_formula_p_no": "0.95 - x - (1.0 - fp)",
+        "abs_formula_gap_yes_mid": "abs(fp - (x + 0.01))", "pair_ask_overround": "x + 0.02 + 0.95 - x - 1.0",
+        "pair_bid_underround": "1.0 - 0.9::DOUBLE", "pair_mid_sum_excess": "0.935::DOUBLE - 1.0",
+        "yes_depth_skew_abs": "3.0::DOUBLE", "no_depth_skew_abs": "(k * 2 - (100 - k))::DOUBLE",
+        "log_yes_ask_bid_depth_ratio": log1p("((k + 3) / (k + 1e-9))"), "log_no_ask_bid_depth_ratio": log1p("((k * 2) / (100 - k + 1e-9))"),
+        "sum_side_spreads": "0.07::DOUBLE", "spread_diff_yes_no": "-0.03::DOUBLE", "yes_no_mid_diff": "x + 0.01 - (0.925 - x)",
+        "pm_mid_change_1s_rel": "x / 10 + x / 10", "pm_mid_change_5s_rel": "x / 5 - 0.01",
+        **{f"btc_ret{s}_x_logtte": f"(x * {s} / 100 - 0.01) * {log1p('tte')}" for s in (1, 5, 10, 30)},
+        **{f"btc_ret{s}_vol_adj": per_vol(s) for s in (5, 10, 30)},
+        **{f"btc_ret_{a}m{b}_reversal": f"(x * {a} / 100 - 0.01) - (x * {b} / 100 - 0.01)" for a, b in ((1, 5), (5, 30))},
+        "btc_trade_imb_1m5": "5 / 50.0::DOUBLE - 1 / 50.0", "btc_trade_imb_5m30": "30 / 50.0::DOUBLE - 5 / 50.0",
+        "btc_depth_x_trade_imb5": "(k / 50.0 - 1) * (k / 100.0 - 0.1)",
+        "formula_yes_edge_x_btc_ret5_vol": f"(fp - (x + 0.02)) * ({per_vol(5)})", "formula_no_edge_x_btc_ret5_vol": f"(1.0 - fp - (0.95 - x)) * -({per_vol(5)})",
+        "sum_quote_age": "coalesce(ya, 999) + coalesce(na, 999)",
+        "max_quote_age": "CASE WHEN ya IS NULL THEN na WHEN na IS NULL THEN ya ELSE greatest(ya, na) END",
+    }
+    columns = ", ".join(f"{sql} AS {name}" for name, sql in made.items())
+    live = "greatest" in clamp
+    rounded = ", ".join(f"round({n}{' / 1e6' if live and n in _PER_VOL else ''}, 8) AS {n}" for n in FEATS)
+    return f"WITH {FEAT}, g AS (SELECT event_id, {columns} FROM f) SELECT event_id, {', '.join(_FLAGS)}, {rounded} FROM g"
+
+
 WINDOWS = f"""{v.PRED}, wr AS (SELECT *, label_source AS cfg, row_number() OVER (PARTITION BY label_source ORDER BY p_up DESC, date, market_id, sample_ts, event_id) AS rank FROM pred WHERE p_up >= 0.8),
  win AS (SELECT *, sample_ts - INTERVAL 14400 SECOND AS start_ts, sample_ts + INTERVAL 21600 SECOND AS end_ts FROM wr WHERE rank <= 20)"""
 _LATE = "(SELECT max(ts) FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-20')"
@@ -460,12 +503,8 @@ ORACLES = {
       SELECT event_id, array_to_string(list_filter([CASE WHEN NOT has_id THEN 'missing_signal_id' END, CASE WHEN d = 2 THEN 'bad_direction' END, CASE WHEN age IS NULL THEN 'missing_sample_ts' END, CASE WHEN age > 30 THEN 'signal_too_old' END, CASE WHEN age < -5 THEN 'signal_from_future' END,
           CASE WHEN tte < 30 THEN 'tte_too_low' END, CASE WHEN tte > 900 THEN 'tte_too_high' END, CASE WHEN NOT has_asset THEN 'missing_asset_id' END, CASE WHEN ask IS NULL THEN 'missing_ask' END, CASE WHEN ask > 0.9 THEN 'ask_too_high' END, CASE WHEN ask <= 0 THEN 'bad_ask' END,
           CASE WHEN fill + 1e-9 < 6 THEN 'insufficient_depth' END, CASE WHEN sp > 0.05 THEN 'spread_too_wide' END, CASE WHEN lp * 6 < 1 THEN 'notional_below_min' END], lambda x: x IS NOT NULL), ',') AS reasons, round(lp, 6) AS limit_price, round(lp * 6, 6) AS notional FROM h""",
-    "derived_features": f"""WITH {FEAT}, g AS (SELECT event_id, CAST(tte <= 300 AS INTEGER) AS tte_le_300, CAST(tte <= 60 AS INTEGER) AS tte_le_60, ln(1 + tte) AS log_tte, (500 - tte) / 500.0 AS time_frac_elapsed, x + 0.02 - fp AS yes_ask_minus_formula,
-        0.95 - x - (1.0 - fp) AS no_ask_minus_formula, abs(fp - (x + 0.01)) AS abs_formula_gap, x + 0.02 + 0.95 - x - 1.0 AS ask_overround, CAST(3 AS DOUBLE) AS yes_depth_skew, ln(1 + (k + 3) / (k + 1e-9)) AS log_yes_depth_ratio,
-        ln(1 + (k * 2) / (100 - k + 1e-9)) AS log_no_depth_ratio, CAST(0.07 AS DOUBLE) AS sum_side_spreads, x / 10 + x / 10 AS mid_change_1s_rel, (x * 5 / 100 - 0.01) * ln(1 + tte) AS ref_ret5_x_log_tte, (x * 10 / 100 - 0.01) / (vol + 1e-9) AS ref_ret10_per_vol,
-        x * 1 / 100 - x * 5 / 100 AS ref_reversal_1_5, 30 / 50.0 - 5 / 50.0 AS ref_imbalance_5_30, (k / 50.0 - 1) * (k / 100.0 - 0.1) AS ref_depth_x_imbalance, coalesce(ya, 999) + coalesce(na, 999) AS sum_quote_age,
-        CASE WHEN ya IS NULL THEN na WHEN na IS NULL THEN ya ELSE greatest(ya, na) END AS max_quote_age, (fp - (x + 0.02)) * ((x * 5 / 100 - 0.01) / (vol + 1e-9)) AS yes_edge_x_ret5, (1.0 - fp - (0.95 - x)) * -((x * 5 / 100 - 0.01) / (vol + 1e-9)) AS no_edge_x_ret5 FROM f)
-      SELECT event_id, tte_le_300, tte_le_60, {_r(FEATS, 5)} FROM g""",
+    "derived_features": _features_sql("vol", "{0}"),
+    "derived_features_live": _features_sql("coalesce(vol, 0)", "greatest({0}, 0)"),
     "implied_probabilities": f"""WITH {FEAT} SELECT event_id, round(x + 0.01, 6) AS p_market_mid, round((x + 0.01) / (x + 0.01 + (0.925 - x)), 6) AS p_market_norm, round((x + (x + 0.02)) / 2.0, 6) AS p_market_ba, round(1.0 - (x + 0.01), 6) AS inv_yes_mid, round(1.0 - fp, 6) AS inv_formula_p_yes,
       CASE WHEN event_id % 2 = 0 THEN round(fp - (x + 0.02) - 0.07 * (x + 0.02) * (1.0 - (x + 0.02)) - 0.0025, 6) ELSE -999.0 END AS edge_yes, round(1.0 - fp - 0.5 - 0.07 * 0.5 * 0.5 - 0.0025, 6) AS edge_no FROM f""",
 }
