@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import views as v
 from tidemark.catalog.evaluate import FOLDS
+from tidemark.catalog.tables import _split as _split_sql
 from tidemark.functions import scalars as fn
 from tidemark.operators import rank
 from tidemark.plans import evaluate as ev
@@ -20,6 +21,13 @@ def _split(spark, sf):
     return stage(p, "split_predictions")
 
 
+def class_weights(spark, sf):
+    """Weights that make classes count the same in training; other rows have no say in them."""
+    p = models.prepared(_split(spark, sf), ["p_up"], "settled_yes")
+    out = models.with_class_weights(p)
+    return out.groupBy("split", "label").agg(F.count("*").alias("rows"), F.round(F.max("weight"), 8).alias("weight"))
+
+
 def model_comparison(spark, sf):
     """Logistic and boosted models against the quoted price on the test split."""
     out = models.model_comparison(_split(spark, sf), features=FEATURES, label="settled_yes", baselines=["yes_ask"], max_iter=5)
@@ -61,4 +69,9 @@ QUERIES = {
     n: f for n, f in list(globals().items())
     if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")
 }
-ORACLES: dict[str, str] = {}
+_SPLIT = f"""{v.PRED}, r AS (SELECT event_id, settled_yes, row_number() OVER (ORDER BY sample_ts, event_id) - 1 AS i, count(*) OVER () AS n FROM pred),
+      s AS (SELECT event_id, settled_yes, {_split_sql()} FROM r)"""
+ORACLES: dict[str, str] = {
+    "class_weights": f"""WITH {_SPLIT}, t AS (SELECT settled_yes AS y, count(*) AS c, sum(count(*)) OVER () AS n, count(*) OVER () AS k FROM s WHERE split = 'train' GROUP BY 1)
+      SELECT split, CAST(settled_yes AS DOUBLE) AS label, count(*) AS rows, round(max(n / (k * c)), 8) AS weight FROM s LEFT JOIN t ON t.y = s.settled_yes WHERE settled_yes IS NOT NULL GROUP BY 1, 2""",
+}

@@ -27,12 +27,17 @@ def prepared(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     return df.withColumns({**casts, "label": F.col(label).cast("double")}).where(F.col("label").isNotNull())
 
 
-def with_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """``weight`` = n / (classes × rows of the class), so every class counts the same."""
-    counts = df.groupBy(label).agg(F.count("*").alias("__c"))
+def with_class_weights(df: DataFrame, label: str = "label", split: str | None = "split") -> DataFrame:
+    """``weight`` = n / (classes x rows of the class), so every class counts the same.
+
+    Only training rows are counted (all rows without a ``split`` column); a class that does
+    not occur in training weighs 1.
+    """
+    seen = df.where(F.col(split) == "train") if split and split in df.columns else df
+    counts = seen.groupBy(label).agg(F.count("*").alias("__c"))
     total = counts.agg(F.sum("__c").alias("__n"), F.count("*").alias("__k"))
     weights = null_safe_join(counts, total, []).select(label, (F.col("__n") / (F.col("__k") * F.col("__c"))).alias("weight"))
-    return df.join(weights, label)
+    return df.join(weights, label, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
 def _inputs(features: Sequence[str]) -> list:
