@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import scalars as fn
-from tidemark.sources import bronze, raw, tables
+from tidemark.sources import bronze, markets, raw, tables
 
 
 def write_raw(tmp_path):
@@ -29,7 +29,7 @@ def test_reads_lines_and_reports_bad_ones(spark, tmp_path):
     a = status["a.jsonl"]
     assert (a.lines, a.readable_rows, a.corrupt_rows, a.kept_readable_part) == (4, 2, 1, True)
     assert raw.raw_lines(spark, [root], start_date="20240102").select("source_file").distinct().count() == 1
-    assert raw.raw_lines(spark, [root], limit_files=1).select("source_file").distinct().count() == 1
+    assert raw.raw_lines(spark, [root], end_date="20240101").select("source_file").distinct().count() == 1
 
 
 def test_typed_tables_from_files(spark, tmp_path):
@@ -123,3 +123,13 @@ def test_csv_and_feature_lists(spark, tmp_path):
     assert lists == {"features": ["mid_price"], "labels": ["label_up"]}
     tables.write_feature_lists(df, str(tmp_path / "f"), labels=["label_up"], exclude=["id"])
     assert json.loads(spark.read.text(str(tmp_path / "f")).first().value) == lists
+
+
+def test_nothing_is_too_deep(spark):
+    text = '{"a":[[{"b":{"c":[{"d":{"e":{"market_id":"7"}}}]}}]]}'
+    recs = spark.createDataFrame([("f", text), ("f", '{"x":1}')], "source_file string, t string").select(
+        "source_file", F.parse_json("t").alias("rec")
+    )
+    paths = {(r.path, r.value) for r in raw.record_paths(recs, keep=["source_file"]).collect()}
+    assert ("a[][].b.c[].d.e.market_id", "7") in paths and ("x", "1") in paths and len(paths) == 7
+    assert [r.entity_id for r in markets.find_entities(recs).collect()] == ["7"]

@@ -102,7 +102,7 @@ def _latency_long(spark, sf):
 
 def latency_grid(spark, sf):
     long = stage(_latency_long(spark, sf), "latency_signals")
-    out = tr.simple_metrics(ev.evaluate_grid(long, modes={k: MODES[k] for k in list(MODES)[:3]}), keys=["mode", *ev.PARAMS])
+    out = tr.simple_metrics(ev.evaluate_grid(long, modes=MODES), keys=["mode", *ev.PARAMS])
     return out.select("mode", *ev.PARAMS, "trades", *_round(["total_pnl", "avg_pnl", "win_rate"]))
 
 
@@ -444,10 +444,10 @@ ORACLES = {
         UNION ALL SELECT event_id, market_id, sample_ts, lat, hor, 'DOWN', p_down, x_nb - e_na FROM hit WHERE NOT bad_no),
       numbered AS (SELECT *, direction || '|' || threshold || '|' || lat || '|' || hor || '|' || market_id AS g,
           row_number() OVER (PARTITION BY direction, threshold, lat, hor, market_id ORDER BY sample_ts, event_id) AS rn FROM sided, {_grid(THRESHOLDS, 'threshold')} WHERE pr >= threshold AND pnl IS NOT NULL),
-      kept AS (SELECT g, sample_ts FROM numbered WHERE rn = 1 UNION ALL
-        SELECT k.g, min(n.sample_ts) FROM kept k JOIN numbered n ON n.g = k.g AND n.sample_ts >= k.sample_ts + INTERVAL 6 HOUR GROUP BY k.g),
+      kept AS (SELECT gap, g, sample_ts FROM numbered, (VALUES (6), (48)) w(gap) WHERE rn = 1 UNION ALL
+        SELECT k.gap, k.g, min(n.sample_ts) FROM kept k JOIN numbered n ON n.g = k.g AND n.sample_ts >= k.sample_ts + k.gap * INTERVAL 1 HOUR GROUP BY k.gap, k.g),
       trades AS (SELECT 'all_signals' AS mode, * FROM numbered UNION ALL SELECT 'first_signal_per_market_side', * FROM numbered WHERE rn = 1
-        UNION ALL SELECT 'cooldown_6h', n.* FROM numbered n JOIN kept k ON k.g = n.g AND k.sample_ts = n.sample_ts)
+        UNION ALL SELECT CASE k.gap WHEN 6 THEN 'cooldown_6h' ELSE 'cooldown_2d' END, n.* FROM numbered n JOIN kept k ON k.g = n.g AND k.sample_ts = n.sample_ts)
       SELECT mode, direction, threshold, CAST(lat AS DOUBLE) AS latency_seconds, CAST(hor AS DOUBLE) AS exit_horizon_seconds, {_SIMPLE} FROM trades GROUP BY ALL""",
     "stress_costs": f"WITH RECURSIVE {MODE_TRADES}, {STRESS} SELECT {KEYS}, stress_cost, trades, {_r(['total_pnl', 'avg_pnl', 'win_rate'])} FROM stress",
     "break_even_cost": f"""WITH RECURSIVE {MODE_TRADES}, {STRESS}, b AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY stress_cost DESC) AS rn FROM stress WHERE avg_pnl >= 0)

@@ -308,8 +308,8 @@ def nested_entities(spark, sf):
     """Market records found anywhere inside nested documents."""
     c = v.table(spark, sf, "customer")
     inner = F.to_json(F.struct(F.col("c_custkey").cast("string").alias("market_id"), "c_name"))
-    doc = F.concat(F.lit('{"groups":[{"x":1,"items":'), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("["), inner, F.lit("]"))).otherwise(inner), F.lit("}]}"))
-    found = markets.find_entities(c.select(F.parse_json(doc).alias("rec")), depth=4)
+    doc = F.concat(F.lit('{"a":{"b":[[{"groups":[{"x":1,"items":'), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("["), inner, F.lit("]"))).otherwise(inner), F.lit("}]}]]}}"))
+    found = markets.find_entities(c.select(F.parse_json(doc).alias("rec")))
     return found.select("entity_id", F.try_variant_get("rec", "$.c_name", "string").alias("name"))
 
 

@@ -290,21 +290,14 @@ def event_time_gold(
     horizons_ms: Sequence[int] = (1_000, 5_000, 10_000, 30_000),
     feature_tolerance: float = 2.0,
     tolerance: float = 1.0,
-    max_events: int | None = None,
     bucket_seconds: int = 3_600,
 ) -> DataFrame:
-    """Executable results sampled at quote-update times instead of the grid.
-
-    ``max_events`` is the operator's own bound on the number of distinct event times
-    (the first ones in (market, time) order); none by default.
-    """
+    """Executable results sampled at quote-update times instead of the grid."""
     times = (
         events.where("update_bid IS NOT NULL OR update_ask IS NOT NULL")
         .select("market_id", F.col("ts_event").alias("sample_ts"))
         .distinct()
     )
-    if max_events is not None:
-        times = times.orderBy("market_id", "sample_ts").limit(max_events)
     features = gold.select("market_id", F.col("sample_ts").alias("__g_ts"), *feature_columns)
     base = asof_join(
         times, features, on=["market_id"], left_ts="sample_ts", right_ts="__g_ts",

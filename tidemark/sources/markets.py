@@ -13,6 +13,7 @@ from tidemark.functions.jsonfields import first_field, is_object, text_array
 from tidemark.operators.pick import top_per_group
 from tidemark.operators.scan import micros
 from tidemark.sources import fields as f
+from tidemark.sources.raw import descendants
 
 
 def interval_slots(
@@ -169,18 +170,10 @@ def upsert(current: DataFrame, fresh: DataFrame, *, key: str = "market_id", stam
     ).select(key, "__r.*", "is_new")
 
 
-def find_entities(docs: DataFrame, *, ids: Sequence[str] = ("market_id", "condition_id", "conditionId"), depth: int = 4) -> DataFrame:
-    """Every object with an id key, at any of the first ``depth`` levels of nested documents."""
-    level = docs.select(F.col("rec").alias("v"))
-    out = None
-    for _ in range(depth):
-        items = level.select(
-            F.explode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))).alias("v")
-        ).where(is_object("v"))
-        hit = items.select(first_field("v", ids).alias("entity_id"), F.col("v").alias("rec")).where("entity_id IS NOT NULL")
-        out = hit if out is None else out.unionByName(hit)
-        level = items.select(F.explode(F.map_values(F.try_variant_get("v", "$", "map<string,variant>"))).alias("v"))
-    return out
+def find_entities(docs: DataFrame, *, ids: Sequence[str] = ("market_id", "condition_id", "conditionId")) -> DataFrame:
+    """Every object with an id key, however deep it stands in nested documents."""
+    found = descendants(docs.select("rec")).where(is_object("v"))
+    return found.select(first_field("v", ids).alias("entity_id"), F.col("v").alias("rec")).where("entity_id IS NOT NULL")
 
 
 def settled_result(record: str | Column, yes_id: str | Column, no_id: str | Column) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.jsonfields import elements_or_self, is_array, is_object, once
+from tidemark.functions.jsonfields import elements as elements_of
+from tidemark.functions.jsonfields import is_array, is_object, once
 from tidemark.operators.pick import top_per_group
 from tidemark.sources import fields as f
 
@@ -27,7 +28,6 @@ def raw_lines(
     *,
     start_date: str | None = None,
     end_date: str | None = None,
-    limit_files: int | None = None,
     glob: str = RAW_GLOB,
     whole_file: bool = False,
 ) -> DataFrame:
@@ -54,9 +54,6 @@ def raw_lines(
             df = df.where(day >= start_date)
         if end_date:
             df = df.where(day <= end_date)
-    if limit_files is not None:
-        files = df.select("source_file").distinct().orderBy("source_file").limit(limit_files)
-        df = df.join(files, "source_file", "left_semi")
     return df
 
 
@@ -89,30 +86,58 @@ def read_status(parsed: DataFrame, by: str = "source_file") -> DataFrame:
     ).withColumn("kept_readable_part", (F.col("corrupt_rows") > 0) & (F.col("readable_rows") > 0))
 
 
-def record_paths(recs: DataFrame, *, keep: Sequence[str], depth: int = 4) -> DataFrame:
-    """Every key path of every record with its value as text, level by level.
+_TEXTS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
-    Paths look like ``a.b`` and ``a[].b``; all elements of arrays are followed.
+
+def nesting_depth(recs: DataFrame, rec: str = "rec") -> int:
+    """How many objects and arrays stand inside one another at most, over all records.
+
+    Brackets outside of texts are followed through each record. (A merged schema would not
+    do: it stops where records disagree about a type.)
     """
-    level = recs.select(
-        *keep, F.lit("").alias("path"), F.col("rec").alias("v")
-    )
-    out = None
-    for _ in range(depth):
-        # one step down: members of objects, and elements of arrays under the same path
-        opened = level.select(
-            *keep, "path", F.explode(elements_or_self("v")).alias("v"), is_array("v").alias("arr")
-        ).where(is_object("v"))
-        base = F.concat(F.col("path"), F.when(F.col("arr"), "[]").otherwise(""))
-        members = opened.select(
-            *keep, base.alias("base"), F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("key", "v")
-        )
-        level = members.select(
-            *keep, F.when(F.col("base") == "", F.col("key")).otherwise(F.concat_ws(".", "base", "key")).alias("path"), "v"
+    signs = F.regexp_replace(F.regexp_replace(F.to_json(rec), _TEXTS, ""), r"[^\[\]{}]", "")
+
+    def step(state: Column, sign: Column) -> Column:
+        now = state["now"] + F.when(sign.isin("[", "{"), 1).when(sign.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return recs.agg(F.max(F.aggregate(F.split(signs, ""), start, step)["most"])).first()[0] or 0
+
+
+def descendants(recs: DataFrame, rec: str = "rec") -> DataFrame:
+    """Every value inside a record with its key path: one row each, columns ``path`` and ``v``.
+
+    Paths look like ``a.b`` and ``a[].b``; all elements of arrays are followed, and the
+    record itself stands under the empty path. Records are opened one level after the other
+    within their row, down to the deepest; nothing is shuffled.
+    """
+
+    def opened(item: Column) -> Column:
+        base, v = item["path"], item["v"]
+        members = F.transform(
+            F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")),
+            lambda e: F.struct(
+                F.when(base == "", e["key"]).otherwise(F.concat(base, F.lit("."), e["key"])).alias("path"), e["value"].alias("v")
+            ),
         )
-        found = level.select(*keep, "path", F.try_variant_get("v", "$", "string").alias("value"))
-        out = found if out is None else out.unionByName(found)
-    return out
+        elements = F.transform(elements_of(v), lambda x: F.struct(F.concat(base, F.lit("[]")).alias("path"), x.alias("v")))
+        none = F.array().cast("array<struct<path:string,v:variant>>")
+        return F.when(is_object(v), members).when(is_array(v), elements).otherwise(none)
+
+    levels = ["__level0"]
+    out = recs.withColumn("__level0", F.array(F.struct(F.lit("").alias("path"), F.col(rec).alias("v"))))
+    for depth in range(1, nesting_depth(recs, rec) + 1):
+        levels.append(f"__level{depth}")
+        out = out.withColumn(levels[-1], F.flatten(F.transform(levels[-2], opened)))
+    out = out.select(*recs.columns, F.explode(F.concat(*levels)).alias("__d"))
+    return out.select(*recs.columns, "__d.path", "__d.v")
+
+
+def record_paths(recs: DataFrame, *, keep: Sequence[str]) -> DataFrame:
+    """Every key path of every record with its value as text."""
+    named = descendants(recs.select(*keep, "rec")).where("path <> '' AND NOT endswith(path, '[]')")
+    return named.select(*keep, "path", F.try_variant_get("v", "$", "string").alias("value"))
 
 
 def profile(recs: DataFrame, *, by: str = "source_file", samples: int = 3, order: str | None = None, first_records: int | None = None) -> DataFrame:
