@@ -60,3 +60,26 @@ def test_queue_rows_are_json(spark, tmp_path):
     sources.append_queue(s, str(tmp_path / "queue"), str(tmp_path / "cp")).awaitTermination()
     rows = spark.read.json(str(tmp_path / "queue")).collect()
     assert rows[0].id == 1 and rows[0].queue_write_ts
+
+
+def test_settlement_keeps_the_open_price_between_batches(spark, tmp_path):
+    rows = [(1, "p", 0, 100), (2, "p", 40, 90), (3, "p", 70, 110), (4, "s", 75, 0), (5, "p", 130, 120), (6, "p", 200, 80)]
+    got = []
+    for n, batches in enumerate(([rows], [rows[:2], rows[2:3], rows[3:5], rows[5:]])):
+        both = stream_of(spark, str(tmp_path / f"in{n}"), batches)
+        px = both.where("k = 'p'").select(F.lit("x").alias("series"), F.col("id").alias("row_id"), "ts", F.col("v").alias("price"))
+        start, end = (F.lit(T0 + dt.timedelta(seconds=s)) for s in (10, 120))
+        sig = both.where("k = 's'").select(
+            F.lit("x").alias("series"), F.col("id").alias("signal_id"), F.lit("m").alias("market_id"), F.lit("UP").alias("direction"),
+            F.lit(0.5).alias("entry_price"), start.alias("start_ts"), end.alias("end_ts"), "ts",
+        )
+        out = sources.drain(state.settle_at_end(sig, px, span_s=300), f"s{n}")
+        got.append([(r.signal_id, r.open_price, r.close_price, r.settled_yes, r.pnl) for r in out.collect()])
+    # opened at 100 (second 0, before the market began), closed at 110
+    assert got[0] == got[1] == [(4, 100.0, 110.0, 1, 0.5)]
+
+
+def test_open_signals_come_out_with_nulls(spark):
+    signals = spark.createDataFrame([(1, "a"), (2, "b")], "signal_id long, market_id string")
+    done = spark.createDataFrame([(1, "a", 0.5)], "signal_id long, market_id string, pnl double")
+    assert sorted(map(tuple, state.with_open(done, signals).collect())) == [(1, "a", 0.5), (2, "b", None)]

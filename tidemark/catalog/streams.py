@@ -10,21 +10,31 @@ from tidemark.operators.gates import SignalRules, signal_rules
 from tidemark.session import workspace_dir
 from tidemark.streaming import replay, sources, state
 
-BATCHES = 3
+BATCHES, FILES = 3, 4
 
 
 def event_stream(spark, sf):
-    """The events as a stream of several files in time order."""
+    """The events as a stream: batches of several files each, in time order."""
     ev = v.table(spark, sf, "events")
     path = workspace_dir(spark, "event_files")
-    day = F.dayofmonth("ts")
+    lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [lo + (hi - lo) * i / BATCHES for i in range(1, BATCHES)]
     for i in range(BATCHES):
-        ev.where((day > i * 10) & (day <= (i + 1) * 10 if i < BATCHES - 1 else F.lit(True))).coalesce(1).write.mode("append").parquet(path)
-    return sources.file_stream(spark, path, ev.schema, files_per_batch=1).withColumn(
+        after = F.col("ts") >= F.lit(cuts[i - 1]) if i else F.lit(True)
+        before = F.col("ts") < F.lit(cuts[i]) if i < BATCHES - 1 else F.lit(True)
+        ev.where(after & before).repartition(FILES).write.mode("append").parquet(path)
+    return sources.file_stream(spark, path, ev.schema, files_per_batch=FILES).withColumn(
         "k", F.get_json_object("props", "$.k").cast("int")
     )
 
 
+SYMBOLS = 16  # reference instruments; users follow one of them
+
+
+def _symbol():
+    return (F.col("user_id") % SYMBOLS).cast("string")
+
+
 def _us(col, name):
     return F.timestamp_micros(F.col(col)).cast("timestamp_ntz").alias(name)
 
@@ -59,16 +69,20 @@ def stream_pair_state(spark, sf):
 
 
 def stream_settlement(spark, sf):
-    """Sign-ups held for a day and settled on the price of all events."""
-    ev = event_stream(spark, sf).withColumn("series", F.lit("ALL"))
-    sig = ev.where("event_type = 'signup'").select(
-        "series", F.col("event_id").alias("signal_id"), F.col("user_id").cast("string").alias("market_id"),
-        F.when(F.col("event_id") % 2 == 0, "UP").otherwise("DOWN").alias("direction"), F.lit(0.5).alias("entry_price"),
-        F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("end_ts"), "ts",
-    )
-    px = ev.where("event_type <> 'signup'").select("series", F.col("event_id").alias("row_id"), "ts", F.col("value").alias("price"))
-    out = sources.drain(state.settle_at_end(sig, px), "stream_settlement")
-    return out.select("signal_id", "market_id", "direction", "open_price", "close_price", "settled_yes", "pnl")
+    """Sign-ups in markets that began six hours before, settled on the price of their symbol after a day."""
+
+    def signals(ev):
+        return ev.where("event_type = 'signup'").select(
+            _symbol().alias("series"), F.col("event_id").alias("signal_id"), F.col("user_id").cast("string").alias("market_id"),
+            F.when(F.col("event_id") % 2 == 0, "UP").otherwise("DOWN").alias("direction"), F.lit(0.5).alias("entry_price"),
+            (F.col("ts") - F.expr("INTERVAL 6 HOUR")).alias("start_ts"), (F.col("ts") + F.expr("INTERVAL 18 HOUR")).alias("end_ts"), "ts",
+        )
+
+    ev = event_stream(spark, sf)
+    px = ev.where("event_type <> 'signup'").select(_symbol().alias("series"), F.col("event_id").alias("row_id"), "ts", F.col("value").alias("price"))
+    out = sources.drain(state.settle_at_end(signals(ev), px, span_s=86_400), "stream_settlement")
+    every = state.with_open(out, signals(v.table(spark, sf, "events")).select("signal_id", "market_id", "direction"))
+    return every.select("signal_id", "market_id", "direction", "open_price", "close_price", "settled_yes", "pnl")
 
 
 def stream_quote_state(spark, sf):
@@ -107,29 +121,30 @@ def stream_hourly_limit(spark, sf):
 def stream_tick_features(spark, sf):
     ev = event_stream(spark, sf)
     side = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "signup", -1).otherwise(0)
-    ticks = ev.select("event_id", "ts", F.lit("ALL").alias("symbol"), (F.col("value") + 100).alias("price"), F.col("k").alias("qty"), side.alias("side"))
+    ticks = ev.select("event_id", "ts", _symbol().alias("symbol"), (F.col("value") + 100).alias("price"), F.col("k").alias("qty"), side.alias("side"))
     out = state.tick_features(
         ticks, key="symbol", ts="ts", tie="event_id", price="price", qty="qty", side="side",
         lags_s=(60, 3_600), flows_s=(600, 3_600), vol_ticks=20, history_s=14_400,
     )
     out = sources.drain(out, "stream_ticks")
-    return out.select(F.col("row_id").alias("event_id"), "price_lag_60s", "price_lag_3600s", *[F.round(c, 6).alias(c) for c in ("buy_600s", "sell_600s", "buy_3600s", "sell_3600s")], "history_rows")
+    return out.select(F.col("row_id").alias("event_id"), F.round("vol_ticks", 9).alias("vol_ticks"), "price_lag_60s", "price_lag_3600s", *[F.round(c, 6).alias(c) for c in ("buy_600s", "sell_600s", "buy_3600s", "sell_3600s")], "history_rows")
 
 
 def stream_outcomes(spark, sf):
     ev = event_stream(spark, sf)
     m = F.col("user_id").cast("string")
-    sig = ev.where("event_type = 'signup'").select(m.alias("market_id"), F.col("event_id").alias("signal_id"), "ts")
+    pick = lambda rows: rows.where("event_type = 'signup'").select(m.alias("market_id"), F.col("event_id").alias("signal_id"), "ts")
     quo = ev.where("event_type IN ('view', 'click')").select(
         m.alias("market_id"), F.col("event_id").alias("row_id"), "ts", (F.col("value") / 500).alias("bid"), (F.col("value") / 500 + 0.02).alias("ask")
     )
-    out = sources.drain(state.resolve_outcomes(sig, quo, latency_ms=3_600_000, horizon_s=86_400, expire_s=172_800), "stream_outcomes")
+    out = sources.drain(state.resolve_outcomes(pick(ev), quo, latency_ms=3_600_000, horizon_s=86_400, expire_s=172_800), "stream_outcomes")
+    out = state.with_open(out, pick(v.table(spark, sf, "events")).select("market_id", "signal_id"))
     return out.select("market_id", "signal_id", _us("entry_us", "entry_ts"), "entry_price", _us("exit_us", "exit_ts"), "exit_price", F.round("pnl", 9).alias("pnl"))
 
 
 def stream_drawdown_events(spark, sf):
     ev = event_stream(spark, sf).withColumn("pnl", F.col("value") - 50)
-    out = sources.drain(state.drawdown_events(ev, account="event_type", ts="ts", tie="event_id", pnl="pnl", threshold=200.0), "stream_drawdown")
+    out = sources.drain(state.drawdown_events(ev, account="user_id", ts="ts", tie="event_id", pnl="pnl", threshold=50.0), "stream_drawdown")
     return out.select("account", F.col("row_id").alias("event_id"), *[F.round(c, 4).alias(c) for c in ("cum_pnl", "peak_pnl", "drawdown")], "level")
 
 
@@ -143,7 +158,7 @@ def stream_flow(spark, sf):
     """Hourly flow; windows the watermark has passed."""
     ev = event_stream(spark, sf).where("event_type IN ('purchase', 'signup')")
     tr = ev.select(
-        F.lit("ALL").alias("symbol"), F.col("ts").alias("ts_event"),
+        _symbol().alias("symbol"), F.col("ts").alias("ts_event"),
         F.when(F.col("event_type") == "purchase", "buy_aggressor").otherwise("sell_aggressor").alias("side"), F.col("k").cast("double").alias("qty"),
     )
     out = sources.drain(sources.windowed_flow(tr, width="1 hour", delay="10 minutes"), "stream_flow")
@@ -188,32 +203,41 @@ ORACLES = {
       SELECT market_id, event_id, {", ".join(f"last_value(CASE WHEN asset_id LIKE '%-{a}' THEN update_{c} END IGNORE NULLS) OVER w AS {s}_{c}" for s, a, c in (("yes", "Y", "bid"), ("yes", "Y", "ask"), ("no", "N", "bid"), ("no", "N", "ask"), ("yes", "Y", "bid_size"), ("no", "N", "ask_size")))},
         {", ".join(f"last_value(CASE WHEN asset_id LIKE '%-{a}' AND (update_bid IS NOT NULL OR update_ask IS NOT NULL) THEN ts_event END IGNORE NULLS) OVER w AS {s}_update_ts" for s, a in (("yes", "Y"), ("no", "N")))}
       FROM quotes WINDOW w AS (PARTITION BY market_id ORDER BY ts_event ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
-    "stream_settlement": """WITH p AS (SELECT ts, value FROM events WHERE event_type <> 'signup'), s AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'signup'),
-      j AS (SELECT s.*, o.value AS open_price, c.value AS close_price FROM s ASOF LEFT JOIN p o ON s.ts >= o.ts ASOF LEFT JOIN p c ON s.ts + INTERVAL 86402 SECOND >= c.ts WHERE s.ts + INTERVAL 86402 SECOND < (SELECT max(ts) FROM p)),
-      k AS (SELECT *, CASE WHEN open_price IS NOT NULL THEN CAST(close_price > open_price AS BIGINT) END AS settled_yes FROM j)
+    "stream_settlement": f"""WITH p AS (SELECT user_id % {SYMBOLS} AS s, ts, value FROM events WHERE event_type <> 'signup'), e AS (SELECT max(ts) - INTERVAL 10 SECOND AS w FROM events),
+      l AS (SELECT s, max(ts) AS last FROM p GROUP BY 1), s AS (SELECT event_id, user_id, user_id % {SYMBOLS} AS s, ts - INTERVAL 6 HOUR AS a, ts + INTERVAL 64802 SECOND AS b FROM events WHERE event_type = 'signup'),
+      j AS (SELECT s.*, o.value AS o, c.value AS c, b < last OR b < (SELECT w FROM e) AS over FROM s LEFT JOIN l ON l.s = s.s ASOF LEFT JOIN p o ON o.s = s.s AND s.a >= o.ts ASOF LEFT JOIN p c ON c.s = s.s AND s.b >= c.ts),
+      k AS (SELECT event_id, user_id, CASE WHEN over THEN o END AS open_price, CASE WHEN over THEN c END AS close_price FROM j), m AS (SELECT *, CASE WHEN open_price IS NOT NULL AND close_price IS NOT NULL THEN CAST(close_price > open_price AS BIGINT) END AS settled_yes FROM k)
       SELECT event_id AS signal_id, CAST(user_id AS VARCHAR) AS market_id, CASE WHEN event_id % 2 = 0 THEN 'UP' ELSE 'DOWN' END AS direction, open_price, close_price, settled_yes,
-        CAST(CASE WHEN event_id % 2 = 0 THEN settled_yes ELSE 1 - settled_yes END - 0.5 AS DOUBLE) AS pnl FROM k""",
+        CAST(CASE WHEN event_id % 2 = 0 THEN settled_yes ELSE 1 - settled_yes END - 0.5 AS DOUBLE) AS pnl FROM m""",
     "stream_quote_state": f"WITH {v.STATE} SELECT * EXCLUDE (source) FROM state",
     "stream_cooldown": ce.ORACLES["cooldown_6h"],
     "stream_first_accept": ce.ORACLES["first_signal"],
-    "stream_tick_features": f"""WITH {v.EV}, t AS (SELECT event_id, ts, value + 100 AS price, CASE event_type WHEN 'purchase' THEN k ELSE 0 END AS b, CASE event_type WHEN 'signup' THEN k ELSE 0 END AS s FROM ev)
-      SELECT t.event_id, CASE WHEN t.ts - a.ts <= INTERVAL 4 HOUR THEN a.price END AS price_lag_60s, CASE WHEN t.ts - c.ts <= INTERVAL 4 HOUR THEN c.price END AS price_lag_3600s,
-        CAST(sum(t.b) OVER w6 AS DOUBLE) AS buy_600s, CAST(sum(t.s) OVER w6 AS DOUBLE) AS sell_600s, CAST(sum(t.b) OVER w36 AS DOUBLE) AS buy_3600s, CAST(sum(t.s) OVER w36 AS DOUBLE) AS sell_3600s,
-        count(*) OVER (ORDER BY t.ts RANGE BETWEEN INTERVAL 4 HOUR PRECEDING AND CURRENT ROW) AS history_rows
-      FROM t ASOF LEFT JOIN t a ON t.ts - INTERVAL 60 SECOND >= a.ts ASOF LEFT JOIN t c ON t.ts - INTERVAL 3600 SECOND >= c.ts
-      WINDOW w6 AS (ORDER BY t.ts RANGE BETWEEN INTERVAL 600 SECOND PRECEDING AND CURRENT ROW), w36 AS (ORDER BY t.ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW)""",
+    "stream_hourly_limit": """WITH RECURSIVE n AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+      r AS (SELECT event_id, user_id, i, [ts] AS recent, true AS kept FROM n WHERE i = 1 UNION ALL
+        SELECT n.event_id, n.user_id, n.i, CASE WHEN len(r.recent) < 3 OR r.recent[-3] < n.ts - INTERVAL 6 HOUR THEN list_append(r.recent, n.ts)[-3:] ELSE r.recent END, len(r.recent) < 3 OR r.recent[-3] < n.ts - INTERVAL 6 HOUR
+        FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)
+      SELECT event_id, user_id FROM r WHERE kept""",
+    "stream_tick_features": f"""WITH {v.EV}, t AS (SELECT event_id, user_id % {SYMBOLS} AS s, ts, value + 100 AS price, CASE event_type WHEN 'purchase' THEN k ELSE 0 END AS b, CASE event_type WHEN 'signup' THEN k ELSE 0 END AS q FROM ev),
+      n AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY s ORDER BY ts, event_id)) AS r, row_number() OVER (PARTITION BY s ORDER BY ts, event_id) AS i,
+        count(*) OVER (PARTITION BY s ORDER BY ts RANGE BETWEEN INTERVAL 4 HOUR PRECEDING AND CURRENT ROW) AS h FROM t),
+      x AS (SELECT a.event_id, count(b.r) AS c, stddev_samp(b.r) AS sd FROM n a LEFT JOIN n b ON b.s = a.s AND b.i <= a.i AND b.i > a.i - least(20, a.h) + 1 GROUP BY 1)
+      SELECT t.event_id, CASE WHEN x.c > 1 THEN round(x.sd, 9) END AS vol_ticks, CASE WHEN t.ts - a.ts <= INTERVAL 4 HOUR THEN a.price END AS price_lag_60s, CASE WHEN t.ts - c.ts <= INTERVAL 4 HOUR THEN c.price END AS price_lag_3600s,
+        CAST(sum(t.b) OVER w6 AS DOUBLE) AS buy_600s, CAST(sum(t.q) OVER w6 AS DOUBLE) AS sell_600s, CAST(sum(t.b) OVER w36 AS DOUBLE) AS buy_3600s, CAST(sum(t.q) OVER w36 AS DOUBLE) AS sell_3600s,
+        count(*) OVER (PARTITION BY t.s ORDER BY t.ts RANGE BETWEEN INTERVAL 4 HOUR PRECEDING AND CURRENT ROW) AS history_rows
+      FROM t JOIN x USING (event_id) ASOF LEFT JOIN t a ON a.s = t.s AND t.ts - INTERVAL 60 SECOND >= a.ts ASOF LEFT JOIN t c ON c.s = t.s AND t.ts - INTERVAL 3600 SECOND >= c.ts
+      WINDOW w6 AS (PARTITION BY t.s ORDER BY t.ts RANGE BETWEEN INTERVAL 600 SECOND PRECEDING AND CURRENT ROW), w36 AS (PARTITION BY t.s ORDER BY t.ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW)""",
     "stream_outcomes": """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS market_id, event_id AS signal_id, ts FROM events WHERE event_type = 'signup'),
       q AS (SELECT CAST(user_id AS VARCHAR) AS market_id, ts, value / 500 AS bid, value / 500 + 0.02 AS ask FROM events WHERE event_type IN ('view', 'click'))
-      SELECT s.market_id, s.signal_id, e.ts AS entry_ts, e.ask AS entry_price, x.ts AS exit_ts, x.bid AS exit_price, round(x.bid - e.ask, 9) AS pnl
-      FROM s ASOF JOIN q e ON e.market_id = s.market_id AND s.ts + INTERVAL 1 HOUR <= e.ts ASOF JOIN q x ON x.market_id = s.market_id AND s.ts + INTERVAL 25 HOUR <= x.ts""",
-    "stream_drawdown_events": """WITH a AS (SELECT *, sum(value - 50) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS cum FROM events),
-      b AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS peak FROM a),
-      c AS (SELECT *, floor((peak - cum) / 200.0) * 200.0 AS lvl FROM b), d AS (SELECT *, coalesce(max(lvl) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
-      SELECT event_type AS account, event_id, round(cum, 4) AS cum_pnl, round(peak, 4) AS peak_pnl, round(cum - peak, 4) AS drawdown, lvl AS level FROM d WHERE lvl > before AND lvl > 0""",
+      SELECT s.market_id, s.signal_id, r.ts AS entry_ts, r.ask AS entry_price, r.xts AS exit_ts, r.xbid AS exit_price, round(r.xbid - r.ask, 9) AS pnl
+      FROM s LEFT JOIN (SELECT s.signal_id, e.ts, e.ask, x.ts AS xts, x.bid AS xbid FROM s ASOF JOIN q e ON e.market_id = s.market_id AND s.ts + INTERVAL 1 HOUR <= e.ts ASOF JOIN q x ON x.market_id = s.market_id AND s.ts + INTERVAL 25 HOUR <= x.ts) r USING (signal_id)""",
+    "stream_drawdown_events": """WITH a AS (SELECT *, sum(value - 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cum FROM events),
+      b AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS peak FROM a),
+      c AS (SELECT *, floor((peak - cum) / 50.0) * 50.0 AS lvl FROM b), d AS (SELECT *, coalesce(max(lvl) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+      SELECT CAST(user_id AS VARCHAR) AS account, event_id, round(cum, 4) AS cum_pnl, round(peak, 4) AS peak_pnl, round(cum - peak, 4) AS drawdown, lvl AS level FROM d WHERE lvl > before AND lvl > 0""",
     "stream_context": """WITH a AS (SELECT *, count(*) OVER w AS n, sum(value) OVER w AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
       SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, n, round(total, 6) AS total FROM a WHERE event_type = 'purchase'""",
-    "stream_flow": f"""WITH {v.EV}, t AS (SELECT date_trunc('hour', ts) AS window_start, CASE event_type WHEN 'purchase' THEN k ELSE 0 END AS b, CASE event_type WHEN 'signup' THEN k ELSE 0 END AS s FROM ev WHERE event_type IN ('purchase', 'signup'))
-      SELECT 'ALL' AS symbol, window_start, CAST(sum(b) AS DOUBLE) AS buy, CAST(sum(s) AS DOUBLE) AS sell, count(*) AS trades FROM t GROUP BY window_start
+    "stream_flow": f"""WITH {v.EV}, t AS (SELECT user_id % {SYMBOLS} AS g, date_trunc('hour', ts) AS window_start, CASE event_type WHEN 'purchase' THEN k ELSE 0 END AS b, CASE event_type WHEN 'signup' THEN k ELSE 0 END AS s FROM ev WHERE event_type IN ('purchase', 'signup'))
+      SELECT CAST(g AS VARCHAR) AS symbol, window_start, CAST(sum(b) AS DOUBLE) AS buy, CAST(sum(s) AS DOUBLE) AS sell, count(*) AS trades FROM t GROUP BY g, window_start
       HAVING window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events WHERE event_type IN ('purchase', 'signup')) - INTERVAL 10 MINUTE""",
     "stream_dedupe": "SELECT DISTINCT event_id // 2 AS signal_id FROM events",
     "feed_staleness": """SELECT event_type, max(ts) AS last_recv, count(*) AS rows, CAST((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) // 1000 AS DOUBLE) / 1000.0 AS age_seconds,

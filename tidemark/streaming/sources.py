@@ -56,10 +56,10 @@ def append_table(
 
 
 def append_queue(stream: DataFrame, path: str, checkpoint: str, *, every: str | None = None) -> StreamingQuery:
-    """Append rows as JSON lines with the time they were written."""
+    """Append rows as JSON lines with the time they were written; a repeated batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("queue_write_ts", F.current_timestamp()).write.mode("append").json(f"{path}/batch={batch_id}")
+        batch.withColumn("queue_write_ts", F.current_timestamp()).write.mode("overwrite").json(f"{path}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -37,10 +38,6 @@ def _fields(*spec: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in spec])
 
 
-def _or_none(x):
-    return None if x is None or (isinstance(x, float) and math.isnan(x)) else x
-
-
 def throttle(stream: DataFrame, *, keys: Sequence[str], ts: str, tie: str, seconds: float) -> DataFrame:
     """Keep a row when at least ``seconds`` passed since the last kept row of its key.
 
@@ -96,14 +93,14 @@ def hourly_limit(stream: DataFrame, *, keys: Sequence[str], ts: str, tie: str, l
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = _sorted(parts, ["__us", tie])
-        recent = list(state.get[0]) if state.exists else []
+        # only the last `limit` accepted times matter: a row is free once the oldest of them is out
+        recent = deque(state.get[0] if state.exists else [], maxlen=limit)
         kept = []
         for i, now in enumerate(pdf["__us"].tolist()):
-            recent = [t for t in recent if t >= now - span]
-            if len(recent) < limit:
+            if len(recent) < limit or recent[0] < now - span:
                 kept.append(i)
                 recent.append(now)
-        state.update((recent,))
+        state.update((list(recent),))
         if kept:
             yield pdf.iloc[kept]
 
@@ -201,61 +198,84 @@ def pair_state(events: DataFrame, *, tie: str = "row_id") -> DataFrame:
 SETTLED = _fields(("signal_id", L), ("market_id", S), ("direction", S), ("open_price", D), ("close_price", D), ("settled_yes", L), ("pnl", D))
 
 
-def settle_at_end(signals: DataFrame, prices: DataFrame, *, series: str = "series", grace_s: float = 2.0) -> DataFrame:
+def settle_at_end(
+    signals: DataFrame, prices: DataFrame, *, series: str = "series", grace_s: float = 2.0, span_s: float = 86_400.0,
+    delay: str = "10 seconds",
+) -> DataFrame:
     """Outcome of held signals at their market's end, from a reference price stream.
 
     Signals: series, signal_id, market_id, direction, entry_price, start_ts, end_ts, ts.
     Prices: series, row_id, ts, price. The open price is the last one at or before the
-    market's start, the close the last one at or before end plus grace; a signal
-    settles with the first price after that. State per series: open signals and the
-    prices still needed by them.
+    market's start, the close the last one at or before end plus grace. A signal settles
+    with the first price after that, or when the watermark (``delay`` behind the newest
+    row) passes it; rows behind the watermark are dropped. Prices of the last ``span_s``
+    seconds are kept, the longest a market may have been open when a signal comes; a signal
+    whose market began before that has no open price. State per series: those prices and
+    the open signals.
     """
-    grace = int(round(grace_s * 1e6))
+    grace, span = int(round(grace_s * 1e6)), int(round(span_s * 1e6))
     nd, ns, nl = F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(None).cast("bigint")
-    both = prices.select(F.col(series).alias("series"), micros("ts").alias("us"), F.lit(0).alias("kind"), F.col("row_id").cast("bigint").alias("id"),
-                         F.col("price").cast("double").alias("x"), ns.alias("market_id"), ns.alias("direction"), nl.alias("a"), nl.alias("b")).unionByName(
-        signals.select(F.col(series).alias("series"), micros("ts").alias("us"), F.lit(1).alias("kind"), F.col("signal_id").cast("bigint").alias("id"),
-                       F.col("entry_price").cast("double").alias("x"), "market_id", "direction", micros("start_ts").alias("a"), micros("end_ts").alias("b")))
+    both = prices.withWatermark("ts", delay).select(
+        F.col(series).alias("series"), "ts", micros("ts").alias("us"), F.lit(0).alias("kind"), F.col("row_id").cast("bigint").alias("id"),
+        F.col("price").cast("double").alias("x"), ns.alias("market_id"), ns.alias("direction"), nl.alias("a"), nl.alias("b"),
+    ).unionByName(
+        signals.withWatermark("ts", delay).select(
+            F.col(series).alias("series"), "ts", micros("ts").alias("us"), F.lit(1).alias("kind"), F.col("signal_id").cast("bigint").alias("id"),
+            F.col("entry_price").cast("double").alias("x"), "market_id", "direction", micros("start_ts").alias("a"), micros("end_ts").alias("b"),
+        )
+    )
     held = _fields(
         ("us", T.ArrayType(L)), ("px", T.ArrayType(D)), ("id", T.ArrayType(L)), ("m", T.ArrayType(S)), ("d", T.ArrayType(S)),
         ("e", T.ArrayType(D)), ("o", T.ArrayType(D)), ("b", T.ArrayType(L)),
     )
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(parts, ["us", "kind", "id"])
         old = [list(x) for x in state.get] if state.exists else [[] for _ in range(8)]
-        px = pdf[pdf["kind"] == 0]
-        us = np.concatenate([np.asarray(old[0], dtype=np.int64), px["us"].to_numpy(np.int64)])
-        pr = np.concatenate([np.asarray(old[1], dtype=float), px["x"].to_numpy(float)])
-
-        def last_price(t: int):
-            i = int(np.searchsorted(us, t, side="right")) - 1
-            return None if i < 0 else float(pr[i])
-
-        waiting = list(zip(*old[2:]))
-        for r in pdf[pdf["kind"] == 1].itertuples():
-            waiting.append((int(r.id), r.market_id, r.direction, float(r.x), last_price(int(r.a)), int(r.b)))
-        end = int(us[-1]) if len(us) else -1
-        done, still = [], []
-        for sid, m, d, entry, opened, b in waiting:
-            if end <= b + grace:
-                still.append((sid, m, d, entry, opened, b))
-                continue
-            close = last_price(b + grace)
-            yes = None if opened is None or close is None else int(close > opened)
-            worth = None if yes is None else float(yes if d == "UP" else 1 - yes)
-            done.append((sid, m, d, opened, close, yes, None if worth is None else worth - entry))
-        # the newest price is always needed; older ones only by signals that wait
-        need = min([w[5] + grace for w in still], default=end)
+        us, pr = np.asarray(old[0], dtype=np.int64), np.asarray(old[1], dtype=float)
+        waiting = pd.DataFrame(dict(zip(("id", "m", "d", "e", "o", "b"), old[2:], strict=True)))
+
+        def last_price(times: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(us, times, side="right") - 1
+            return np.where(at >= 0, np.append(pr, np.nan)[at], np.nan)
+
+        passed = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            pdf = _sorted(parts, ["us", "kind", "id"])
+            new = pdf[pdf["kind"] == 0]
+            us = np.concatenate([us, new["us"].to_numpy(np.int64)])
+            pr = np.concatenate([pr, new["x"].to_numpy(float)])
+            sig = pdf[pdf["kind"] == 1]
+            if len(sig):
+                opened = last_price(sig["a"].to_numpy(np.int64))
+                more = pd.DataFrame({"id": sig["id"], "m": sig["market_id"], "d": sig["direction"], "e": sig["x"], "o": opened, "b": sig["b"].astype("int64")})
+                waiting = pd.concat([waiting, more], ignore_index=True) if len(waiting) else more.reset_index(drop=True)
+        passed = max(passed, int(us[-1]) if len(us) else passed)
+        if len(waiting):
+            due = waiting["b"].to_numpy(np.int64) + grace
+            over = due < passed
+            done, waiting = waiting[over], waiting[~over]
+            if len(done):
+                close, opened = last_price(due[over]), done["o"].to_numpy(float)
+                known = ~(np.isnan(close) | np.isnan(opened))
+                yes = (close > opened).astype(float)
+                worth = np.where(done["d"] == "UP", yes, 1 - yes) - done["e"].to_numpy(float)
+                out = pd.DataFrame({"signal_id": done["id"], "market_id": done["m"], "direction": done["d"], "open_price": opened, "close_price": close})
+                out["settled_yes"] = pd.Series(np.where(known, yes, np.nan), index=out.index).astype("Int64")
+                out["pnl"] = np.where(known, worth, np.nan)
+                yield out
+        # what a later signal or an open one can still ask for, and the price before it
+        need = min([passed - span, *(waiting["b"] + grace)]) if len(waiting) else passed - span
         cut = max(int(np.searchsorted(us, need, side="right")) - 1, 0)
-        cols = [list(c) for c in zip(*still)] if still else [[] for _ in range(6)]
-        state.update((us[cut:].tolist(), pr[cut:].tolist(), *cols))
-        if done:
-            out = pd.DataFrame(done, columns=[f.name for f in SETTLED.fields])
-            out["settled_yes"] = out["settled_yes"].astype("Int64")
-            yield out
+        state.update((us[cut:].tolist(), pr[cut:].tolist(), *(waiting[c].tolist() if len(waiting) else [] for c in ("id", "m", "d", "e", "o", "b"))))
+        if len(waiting):
+            state.setTimeoutTimestamp(max(int((waiting["b"].min() + grace) // 1000) + 1, state.getCurrentWatermarkMs() + 1))
+
+    return both.groupBy("series").applyInPandasWithState(step, SETTLED, held, "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    return both.groupBy("series").applyInPandasWithState(step, SETTLED, held, "append", GroupStateTimeout.NoTimeout)
+def with_open(outcomes: DataFrame, signals: DataFrame, *, key: str = "signal_id") -> DataFrame:
+    """Resolved outcomes and, with nulls, the signals that are still open."""
+    return signals.join(outcomes.drop(*(set(signals.columns) - {key})), key, "left")
 
 
 def tick_features(
@@ -340,34 +360,45 @@ def resolve_outcomes(
     )
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # a quote of the same instant comes after the signal
         pdf = _sorted(parts, ["us", "kind", "id"])
-        waiting = [list(x) for x in zip(*state.get)] if state.exists else []
-        done = []
-        for us, kind, rid, bid, ask in zip(pdf["us"], pdf["kind"], pdf["id"], pdf["bid"], pdf["ask"]):
-            if kind == 1:
-                waiting.append([int(rid), int(us), None, None])
-                continue
-            bid, ask = _or_none(bid), _or_none(ask)
-            still = []
-            for w in waiting:
-                sid, at, entry_us, entry = w
-                if entry is None and us >= at + lat and ask is not None:
-                    w[2], w[3] = entry_us, entry = int(us), float(ask)
-                due = at + lat + hor
-                closed = entry is not None and us >= due and bid is not None
-                if closed or us > due + exp:
-                    done.append(
-                        (key[0], sid, at, entry_us, entry, int(us) if closed else None, float(bid) if closed else None,
-                         float(bid) - entry if closed else None, int(us))
-                    )
-                else:
-                    still.append(w)
-            waiting = still
-        cols = list(zip(*waiting)) if waiting else [(), (), (), ()]
-        state.update(tuple(list(c) for c in cols))
-        if done:
-            out = pd.DataFrame(done, columns=[f.name for f in OUTCOME.fields])
+        quotes, new = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
+        old = [list(x) for x in state.get] if state.exists else [[] for _ in range(4)]
+        us, bid, ask = (quotes[c].to_numpy(t) for c, t in (("us", np.int64), ("bid", float), ("ask", float)))
+        sid = np.concatenate([np.asarray(old[0], np.int64), new["id"].to_numpy(np.int64)])
+        at = np.concatenate([np.asarray(old[1], np.int64), new["us"].to_numpy(np.int64)])
+        entry_us = np.array([*(math.nan if x is None else x for x in old[2]), *[math.nan] * len(new)], float)
+        entry = np.array([*(math.nan if x is None else x for x in old[3]), *[math.nan] * len(new)], float)
+        n = len(us)
+        # a quote counts for signals before it, and of one instant quotes stand first
+        seen = np.concatenate([np.zeros(len(old[0]), np.int64), np.searchsorted(us, new["us"].to_numpy(np.int64), side="right")])
+
+        def first(flags: np.ndarray, start: np.ndarray) -> np.ndarray:
+            """Place of the first flagged quote from ``start`` on (n: none)."""
+            places = np.append(np.flatnonzero(flags), n)
+            return places[np.searchsorted(places, np.minimum(start, n))]
+
+        entered = ~np.isnan(entry)
+        enter = np.where(entered, seen, first(~np.isnan(ask), np.maximum(seen, np.searchsorted(us, at + lat, side="left"))))
+        due = at + lat + hor
+        leave = np.where(enter < n, first(~np.isnan(bid), np.maximum(enter, np.searchsorted(us, due, side="left"))), n)
+        leave = np.where(entered & (n > 0), first(~np.isnan(bid), np.maximum(seen, np.searchsorted(us, due, side="left"))), leave)
+        late = np.maximum(seen, np.searchsorted(us, due + exp, side="right"))
+        over = np.minimum(leave, late)
+        closed, done = (leave <= late) & (leave < n), over < n
+        padded = [np.append(x.astype(float), math.nan) for x in (us, bid, ask)]
+        fresh = ~entered & (enter < n) & ((enter <= over) | ~done)
+        entry_us = np.where(fresh, padded[0][np.minimum(enter, n)], entry_us)
+        entry = np.where(fresh, padded[2][np.minimum(enter, n)], entry)
+        still = ~done
+        none = lambda x: [None if math.isnan(v) else v for v in x.tolist()]
+        state.update((sid[still].tolist(), at[still].tolist(), [None if v is None else int(v) for v in none(entry_us[still])], none(entry[still])))
+        if done.any():
+            place = over[done]
+            exit_price = np.where(closed[done], padded[1][place], math.nan)
+            out = pd.DataFrame({"market_id": key[0], "signal_id": sid[done], "signal_us": at[done], "entry_us": entry_us[done], "entry_price": entry[done]})
+            out["exit_us"] = np.where(closed[done], padded[0][place], math.nan)
+            out["exit_price"], out["pnl"] = exit_price, exit_price - entry[done]
+            out["resolved_us"] = us[place]
             for c in ("entry_us", "exit_us"):
                 out[c] = out[c].astype("Int64")
             yield out
