@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.catalog import audits, evaluate, feeds, models, quotes, streams, tables
+from tidemark.catalog import audits, evaluate, extras, feeds, models, quotes, streams, tables
 
-MODULES = [quotes, tables, evaluate, feeds, audits, streams, models]
+MODULES = [quotes, tables, evaluate, feeds, audits, extras, streams, models]
 
 
 def queries() -> dict:

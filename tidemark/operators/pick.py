@@ -44,6 +44,11 @@ def top_per_group(
     )
 
 
+def top_rows(df: DataFrame, *, score: str, tie: Sequence[str], k: int) -> DataFrame:
+    """The k best rows of a table, nulls last: each task sends its own k best."""
+    return df.orderBy(F.col(score).desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in tie]).limit(k)
+
+
 def balanced_examples(
     df: DataFrame,
     *,

@@ -456,3 +456,26 @@ def model_summary(metrics: DataFrame, *, model: str, baseline: str, by: Sequence
     return both.groupBy(*by).agg(*picks)
 
 
+def best_choices(trades: DataFrame, *, choices: Mapping[str, Column], pnl: str = "pnl") -> DataFrame:
+    """For each kind of choice (threshold, interval, ...) its value with the highest total result.
+
+    ``choices`` names a column per kind; ties go to the smaller value. One pass over the trades.
+    """
+    pairs = F.array(*[F.struct(F.lit(n).alias("choice"), c.cast("string").alias("value")) for n, c in choices.items()])
+    long = trades.select(F.col(pnl).alias("__v"), F.explode(pairs).alias("__c")).select("__v", "__c.*")
+    totals = long.where("value IS NOT NULL").groupBy("choice", "value").agg(
+        F.count("*").alias("trades"), F.sum("__v").alias("total_pnl"), F.avg((F.col("__v") > 0).cast("double")).alias("win_rate")
+    )
+    first = F.struct((-F.col("total_pnl")).alias("loss"), "value", "trades", "total_pnl", "win_rate")
+    return totals.groupBy("choice").agg(F.min(first).alias("__b")).select(
+        "choice", "__b.value", "__b.trades", "__b.total_pnl", "__b.win_rate"
+    )
+
+
+def winning_dates(trades: DataFrame, *, by: Sequence[str], date: str = "date", pnl: str = "pnl") -> DataFrame:
+    """Per group: days traded, days with a gain, and the first and last of those."""
+    days = trades.groupBy(*by, date).agg(F.sum(pnl).alias("__d"))
+    won = F.when(F.col("__d") > 0, F.col(date))
+    return days.groupBy(*by).agg(
+        F.count("*").alias("days"), F.count(won).alias("winning_days"), F.min(won).alias("first_win"), F.max(won).alias("last_win")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,6 +124,17 @@ def label_comparison(proxy: DataFrame, real: DataFrame, *, entity: str = "market
     )
 
 
+def label_match_rate(comparison: DataFrame) -> DataFrame:
+    """One row: entities, those with a real label, agreements and their share."""
+    matched = F.count("match")
+    return comparison.agg(
+        F.count("*").alias("entities"),
+        matched.alias("compared"),
+        F.sum("match").alias("matches"),
+        F.when(matched > 0, F.sum("match") / matched).alias("match_rate"),
+    )
+
+
 def timeline(
     sources: dict[str, DataFrame], *, entity: str, per_source: int = 20, total: int = 50, ts: str = "ts"
 ) -> DataFrame:
@@ -255,6 +266,20 @@ def label_audit(df: DataFrame, *, keys: Sequence[str], value: str) -> DataFrame:
     return null_safe_join(base, qs, keys)
 
 
+def label_audit_cuts(df: DataFrame, *, cuts: Mapping[str, Column], value: str) -> DataFrame:
+    """``label_audit`` by each of several groupings in one pass: columns cut, bucket and the audit."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("cut"), c.cast("string").alias("bucket")) for n, c in cuts.items()])
+    long = df.select(F.col(value).alias("__v"), F.explode(pairs).alias("__c")).select("__v", "__c.*")
+    return label_audit(long, keys=["cut", "bucket"], value="__v")
+
+
+def confidence_regime(probability: str | Column) -> Column:
+    """How sure a probability is: distance from one half."""
+    p = F.col(probability) if isinstance(probability, str) else probability
+    distance = F.abs(p - 0.5)
+    return F.when(distance >= 0.3, "high").when(distance >= 0.15, "medium").when(distance.isNotNull(), "low")
+
+
 def run_diagnostics(scored: DataFrame, *, run: str = "run_id", values: Sequence[str] = ("p_up", "p_down")) -> DataFrame:
     """Counts, maxima and linear quantiles of the probabilities of each run."""
     out = scored.groupBy(run).agg(F.count("*").alias("inferences"), *[F.max(v).alias(f"max_{v}") for v in values])

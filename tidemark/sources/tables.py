@@ -169,3 +169,14 @@ def write_feature_lists(df: DataFrame, path: str, *, labels: Sequence[str], excl
 def event_json(df: DataFrame, columns: Sequence[str]) -> Column:
     """Chosen columns as one JSON text."""
     return F.to_json(F.struct(*columns))
+
+
+def levels_json(levels: str | Column, first: int = 10) -> Column:
+    """The first levels of a book as JSON text; null without a book."""
+    return F.to_json(F.slice(F.col(levels) if isinstance(levels, str) else levels, 1, first))
+
+
+def feature_lookup(samples: DataFrame, features: DataFrame, *, keys: Sequence[str], columns: Sequence[str], tie: Sequence[str]) -> DataFrame:
+    """Features of exactly the same key (market and time); of several rows the last by ``tie``."""
+    last = features.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*tie)).alias("__f"))
+    return samples.join(last, list(keys), "left").select(*samples.columns, "__f.*")
