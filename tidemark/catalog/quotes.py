@@ -38,10 +38,11 @@ def quote_state_ffill(spark, sf):
 def grid_stale_rate(spark, sf):
     """Hourly samples of every asset's last quote: stale and crossed rates per day."""
     m = v.markets(spark, sf)
-    grid = q.time_grid(m, start="market_start_ts", end="market_end_ts", step_seconds=3_600)
-    assets = grid.select("market_id", "sample_ts", F.explode(F.array("yes_asset_id", "no_asset_id")).alias("asset_id"))
+    assets = m.select("market_id", "market_start_ts", "market_end_ts", F.explode(F.array("yes_asset_id", "no_asset_id")).alias("asset_id"))
     state = stage(q.asset_quote_state(quote_events(spark, sf)), "asset_state")
-    on_grid = q.state_on_grid(assets, state, ttl_seconds=TTL)
+    on_grid = q.state_on_spans(
+        assets, state, start="market_start_ts", end="market_end_ts", step_seconds=3_600, ttl_seconds=TTL, bucket_seconds=5 * 86_400
+    )
     return on_grid.groupBy(F.date_format("sample_ts", "yyyy-MM-dd").alias("day")).agg(
         F.count("*").alias("samples"),
         F.round(F.avg(F.col("is_stale").cast("double")), 6).alias("stale_rate"),

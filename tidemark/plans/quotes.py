@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
 from tidemark.operators.asof import asof_join
 from tidemark.operators.rowwindows import in_blocks
-from tidemark.operators.scan import forward_fill, micros
+from tidemark.operators.scan import bucket_start, forward_fill, micros
 
 QUOTE_EVENT = {
     "market_id": "string",
@@ -247,12 +247,55 @@ def state_on_grid(
         left_ts=ts,
         right_ts="ts_event",
         tie=["event_order"],
-        right_cols=[
-            "current_bid", "current_ask", "current_bid_size", "current_ask_size",
-            "mid", "spread", "crossed_quote", "last_quote_update_ts",
-        ],
+        right_cols=list(STATE_COLUMNS),
         bucket_seconds=bucket_seconds,
     )
+    return with_freshness(joined, ts=ts, ttl_seconds=ttl_seconds)
+
+
+STATE_COLUMNS = (
+    "current_bid", "current_ask", "current_bid_size", "current_ask_size", "mid", "spread", "crossed_quote", "last_quote_update_ts",
+)
+
+
+def state_on_spans(
+    spans: DataFrame, state: DataFrame, *, start: str, end: str, step_seconds: int, ttl_seconds: float, ts: str = "sample_ts",
+    keys: tuple[str, ...] = ("market_id", "asset_id"), bucket_seconds: int = 86_400,
+) -> DataFrame:
+    """``state_on_grid`` over the regular grid of each span, without building the grid first.
+
+    A state holds until the next one of its asset, so each state row produces the samples of
+    its own interval; what lies before the first state comes from a row without values. Only
+    state rows are shuffled and sorted, by (asset, bucket of time); a bucket learns from the
+    buckets' first times when the next one begins.
+    """
+    step, width = step_seconds * 1_000_000, bucket_seconds * 1_000_000
+    names = list(keys)
+    wanted = spans.where(F.col(start) <= F.col(end)).select(*names, micros(start).alias("__s"), micros(end).alias("__e"))
+    known = state.select(*names, micros("ts_event").alias("__us"), "event_order", F.struct(*STATE_COLUMNS).alias("__v"))
+    nothing = wanted.select(names).distinct().withColumns(
+        {"__us": F.lit(-(1 << 62)), "event_order": F.lit(None).cast(known.schema["event_order"].dataType), "__v": F.lit(None).cast(known.schema["__v"].dataType)}
+    )
+    rows = known.where(F.col("__us").isNotNull()).unionByName(nothing).withColumn("__b", bucket_start(F.col("__us"), width))
+    inside = Window.partitionBy(*names, "__b").orderBy("__us", "event_order")
+    firsts = rows.groupBy(*names, "__b").agg(F.min("__us").alias("__f"))
+    after = firsts.withColumn("__after", F.lead("__f").over(Window.partitionBy(*names).orderBy("__b"))).drop("__f")
+    held = rows.withColumn("__next", F.lead("__us").over(inside)).join(after, [*names, "__b"]).withColumn("__next", F.coalesce("__next", "__after"))
+    # samples start + i * step with this state: from its time on, up to before the next one
+    def at(us: Column) -> Column:
+        return F.ceil((us - F.col("__s")) / step)
+
+    lo = F.when(F.col("__us") <= F.col("__s"), F.lit(0)).otherwise(at(F.col("__us")))
+    last = F.floor((F.col("__e") - F.col("__s")) / step)
+    hi = F.when(F.col("__next").isNull(), last).otherwise(F.least(last, at(F.col("__next")) - 1))
+    found = held.join(wanted, names).withColumns({"__lo": lo.cast("bigint"), "__hi": hi.cast("bigint")}).where("__lo <= __hi")
+    samples = found.select(*names, "__v", "__s", F.explode(F.sequence("__lo", "__hi")).alias("__i")).select(
+        *names, F.timestamp_micros(F.col("__s") + F.col("__i") * step).alias(ts), *[F.col(f"__v.{c}").alias(c) for c in STATE_COLUMNS]
+    )
+    return with_freshness(samples, ts=ts, ttl_seconds=ttl_seconds)
+
+
+def with_freshness(joined: DataFrame, *, ts: str, ttl_seconds: float) -> DataFrame:
     age = fn.seconds_between(ts, "last_quote_update_ts")
     return joined.withColumns(
         {
