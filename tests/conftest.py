@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from tidemark.session import build_session  # noqa: E402
+from tidemark.session import build_session, drop_layers  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -17,4 +17,11 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_layers(session)
     session.stop()
+
+
+@pytest.fixture(autouse=True, scope="module")
+def _no_layers_left(spark):
+    yield
+    drop_layers(spark)

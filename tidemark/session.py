@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -39,18 +41,39 @@ def build_session(app: str = "tidemark", master: str | None = None, **extra: str
     return builder.getOrCreate()
 
 
+_local_roots: dict[str, str] = {}
+_layers: dict[str, list[str]] = {}
+
+
 def workspace_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting must be present: a folder that only one machine sees
-    is lost with that machine. A local master may fall back to a temporary folder.
+    On a cluster the setting must be present: a folder that only one machine sees is lost
+    with that machine. Where a local master has none, all layers of the session go to one
+    temporary folder, which is removed when the program ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if app not in _local_roots:
+            _local_roots[app] = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)
+        root = _local_roots[app]
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _layers.setdefault(app, []).append(path)
+    return path
+
+
+def drop_layers(spark: SparkSession) -> int:
+    """Delete every layer this program has staged in the session; frames that read them are void."""
+    paths = _layers.pop(spark.sparkContext.applicationId, [])
+    conf, hadoop = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs
+    for path in paths:
+        where = hadoop.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
 
 
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -58,7 +81,7 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
 
     Ordered scans read their input twice, so a frame that is costly to build is
     written once at the layer boundary. The table also cuts the lineage: a lost
-    executor costs a re-read, not a rebuild.
+    executor costs a re-read, not a rebuild. ``drop_layers`` removes the layers.
     """
     path = workspace_dir(df.sparkSession, name)
     writer = df.write.mode("overwrite").option("compression", "zstd")
