@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANK, digest, rows_of, texts
+from tidemark.llm.common import BLANK, digest, rows_of, small, texts
 from tidemark.session import stage
 
 FAN_OUT_BITS = 4  # sixteen spill files a level
@@ -104,7 +104,7 @@ def local_groups(batches: Iterable[pa.RecordBatch], budget: int) -> Iterator[pa.
             )
 
     table, shas, best, rows, held = ContentTable(), [], [], [], 0
-    for batch in batches:
+    for batch in small(batches):
         groups, ids, lengths, first_row = [], [], [], row
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
             content = text.translate(None, BLANK)

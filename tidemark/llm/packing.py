@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import rows_of, texts
+from tidemark.llm.common import rows_of, small, texts
 from tidemark.llm.token_counts import PUNCTUATION, byte_letters, tokenizer
 from tidemark.session import stage
 
@@ -283,7 +283,7 @@ def pieces(
 ) -> Iterator[pa.RecordBatch]:
     schema = PIECES_ARROW.append(IDS) if with_ids else PIECES_ARROW
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
-    for batch in batches:
+    for batch in small(batches):
         ids, column = batch.column("doc_id").to_pylist(), texts(batch.column("text"))
         rows = []
         for doc_id, raw in zip(ids, encoded(column, path, most_words), strict=True):

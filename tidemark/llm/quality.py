@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts
+from tidemark.llm.common import small, texts
 
 BITS = 18
 DIMENSIONS = 1 << BITS
@@ -145,7 +145,7 @@ def fit_rows(rows: list[np.ndarray], good: np.ndarray) -> Model:
 
 def _indicated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(DIMENSIONS, bool)
-    for batch in batches:
+    for batch in small(batches):
         places = [indicators(t, seen).astype("<i4").tobytes() for t in texts(batch.column("text"))]
         yield batch.drop_columns(["text"]).append_column("places", pa.array(places, pa.binary()))
 
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
 
 def _scored(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(DIMENSIONS, bool)
-    for batch in batches:
+    for batch in small(batches):
         scores = [model.score(indicators(t, seen)) for t in texts(batch.column("text"))]
         yield batch.append_column("_score", pa.array(scores, pa.float64()))
 

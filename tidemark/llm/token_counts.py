@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import rows_of
+from tidemark.llm.common import rows_of, small
 from tidemark.session import stage
 
 # Unicode White_Space, which is what the pre-tokenizer's \s stands for.
@@ -163,7 +163,7 @@ def blocks(
     added = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
     special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
     number, held = TaskContext.get().partitionId() << 32, Block()
-    for batch in batches:
+    for batch in small(batches):
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
         for doc_id, text in zip(ids, texts, strict=True):
             held.add(doc_id, text or "", special)
@@ -219,7 +219,7 @@ def add_up(_key: tuple, block: pa.Table, counted: pa.Table) -> pa.Table:
 
 
 def token_counts(
-    docs: DataFrame, path: str | None = None, most_pairs: int = 1_000_000, most_known: int = 2_000_000
+    docs: DataFrame, path: str | None = None, most_pairs: int = 400_000, most_known: int = 2_000_000
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row of ``docs(doc_id, text)``.
 
