@@ -281,7 +281,8 @@ RULES = gates.SignalRules("base", threshold=0.3, min_tte=20, max_tte=280, max_pa
 
 
 def gate_first_reason(spark, sf):
-    rows = _gate_rows(spark, sf).withColumn("reject_reason", gates.first_reason(gates.signal_rules(RULES)))
+    rows = _gate_rows(spark, sf).withColumn("in_cooldown", F.col("event_id") % 3 == 0)
+    rows = rows.withColumn("reject_reason", gates.first_reason(gates.signal_rules(RULES, cooldown=True)))
     return rows.select("event_id", "reject_reason")
 
 
@@ -298,10 +299,11 @@ def gate_all_reasons(spark, sf):
         F.when(e % 3 == 0, "UP").when(e % 3 == 1, "DOWN").otherwise("SIDEWAYS").alias("direction"),
         F.when(e % 23 != 0, (e % 50) - 8).cast("double").alias("signal_age"), "time_to_expiry_seconds",
         F.when(e % 29 != 0, F.col("market_id")).alias("asset_id"), F.when(e % 31 != 0, F.col("yes_ask")).alias("ask"),
-        (e % 9).cast("double").alias("fill"), "spread",
+        (e % 9).cast("double").alias("fill"), "spread", (e % 37 == 0).alias("seen_before"), (e % 41 < 4).alias("side_accepted"),
+        (e % 43).alias("decisions_last_hour"),
     )
     rows = rows.withColumns(ft.limit_order("ask", o.target_shares, offset=o.limit_offset, low=o.min_limit, high=o.max_limit))
-    return rows.select("event_id", gates.all_reasons(gates.order_rules(o)).alias("reasons"), *_round(["limit_price", "notional"]))
+    return rows.select("event_id", gates.all_reasons(gates.order_rules(o, with_history=True)).alias("reasons"), *_round(["limit_price", "notional"]))
 
 
 def _feature_rows(spark, sf):
@@ -376,7 +378,7 @@ _EDGE_RANK = "CASE edge_bucket " + " ".join(f"WHEN '{t}' THEN {i}" for i, (_, _,
 MARK = f"{v.PRED}, m AS (SELECT *, round((settled_yes - yes_ask) / 10, 6) AS markout FROM pred)"
 GATE = f"""{v.PRED}, g AS (SELECT event_id, event_id % 11 = 0 AS bad, time_to_expiry_seconds AS tte, yes_ask + no_ask AS s, event_id % 7 AS ua, CASE WHEN event_id % 13 <> 0 THEN quote_age_seconds END AS ya,
    event_id % 5 AS na, p_up, CASE WHEN event_id % 17 <> 0 THEN (event_id % 6) / 100.0 END AS sp, event_id % 40 AS d FROM pred),
- r AS (SELECT event_id, CASE WHEN bad THEN 'quote_stale' WHEN tte < 20 THEN 'tte_too_low' WHEN tte > 280 THEN 'tte_too_high' WHEN s > 1.03 THEN 'pair_ask_sum_too_high' WHEN ua > 5 THEN 'update_too_old'
+ r AS (SELECT event_id, CASE WHEN bad THEN 'quote_stale' WHEN tte < 20 THEN 'tte_too_low' WHEN tte > 280 THEN 'tte_too_high' WHEN s > 1.03 THEN 'pair_ask_sum_too_high' WHEN ua > 5 THEN 'pm_update_too_old'
    WHEN ya IS NULL OR ya > 8 OR na > 8 THEN 'quote_age_too_old' WHEN p_up < 0.3 THEN 'probability_below_threshold' WHEN sp IS NULL OR sp > 0.04 THEN 'spread_too_wide' WHEN d < 4 THEN 'ask_depth_too_low'
    WHEN d * 0.5 < 6 THEN 'order_too_large_for_depth' WHEN p_up < 0.4 THEN 'cost_adjusted_edge_too_low' END AS reject_reason FROM g)"""
 FEAT = f"""{v.EV}, f AS (SELECT event_id, k, value / 500 AS x, k * 5.0 AS tte, value / 500 * 0.9 + 0.05 AS fp, CASE WHEN k % 10 <> 0 THEN (k + 1) / 1000.0 END AS vol,
@@ -495,13 +497,13 @@ ORACLES = {
       ORDER BY market_start_ts, market_end_ts, market_id LIMIT 20""",
     "replay_windows": f"WITH {WINDOWS} SELECT cfg, rank, event_id, p_up, start_ts, end_ts FROM win",
     "interval_windows": f"WITH {WINDOWS} SELECT w.event_id AS center_id, p.event_id, p.sample_ts FROM win w JOIN pred p ON p.market_id = w.market_id AND p.sample_ts BETWEEN w.start_ts AND w.end_ts",
-    "gate_first_reason": f"WITH {GATE} SELECT event_id, reject_reason FROM r",
+    "gate_first_reason": f"WITH {GATE} SELECT event_id, coalesce(reject_reason, CASE WHEN event_id % 3 = 0 THEN 'cooldown' END) AS reject_reason FROM r",
     "gate_histogram": f"WITH {GATE} SELECT reject_reason, count(*) AS rows FROM r WHERE reject_reason IS NOT NULL GROUP BY 1",
     "gate_all_reasons": f"""WITH {v.PRED}, g AS (SELECT event_id, event_id % 19 <> 0 AS has_id, event_id % 3 AS d, CASE WHEN event_id % 23 <> 0 THEN event_id % 50 - 8 END AS age, time_to_expiry_seconds AS tte, event_id % 29 <> 0 AS has_asset,
           CASE WHEN event_id % 31 <> 0 THEN yes_ask END AS ask, event_id % 9 AS fill, CASE WHEN event_id % 17 <> 0 THEN (event_id % 6) / 100.0 END AS sp FROM pred),
       h AS (SELECT *, least(0.99, greatest(0.01, ask + 0.01)) + CASE WHEN ask IS NULL THEN NULL ELSE 0 END AS lp FROM g)
-      SELECT event_id, array_to_string(list_filter([CASE WHEN NOT has_id THEN 'missing_signal_id' END, CASE WHEN d = 2 THEN 'bad_direction' END, CASE WHEN age IS NULL THEN 'missing_sample_ts' END, CASE WHEN age > 30 THEN 'signal_too_old' END, CASE WHEN age < -5 THEN 'signal_from_future' END,
-          CASE WHEN tte < 30 THEN 'tte_too_low' END, CASE WHEN tte > 900 THEN 'tte_too_high' END, CASE WHEN NOT has_asset THEN 'missing_asset_id' END, CASE WHEN ask IS NULL THEN 'missing_ask' END, CASE WHEN ask > 0.9 THEN 'ask_too_high' END, CASE WHEN ask <= 0 THEN 'bad_ask' END,
+      SELECT event_id, array_to_string(list_filter([CASE WHEN NOT has_id THEN 'missing_signal_id' END, CASE WHEN event_id % 37 = 0 THEN 'duplicate_signal' END, CASE WHEN d = 2 THEN 'bad_direction' END, CASE WHEN age IS NULL THEN 'missing_sample_ts' END, CASE WHEN age > 30 THEN 'signal_too_old' END, CASE WHEN age < -5 THEN 'signal_from_future' END,
+          CASE WHEN tte < 30 THEN 'tte_too_low' END, CASE WHEN tte > 900 THEN 'tte_too_high' END, CASE WHEN event_id % 41 < 4 THEN 'market_side_already_accepted' END, CASE WHEN event_id % 43 >= 20 THEN 'hourly_decision_limit' END, CASE WHEN NOT has_asset THEN 'missing_asset_id' END, CASE WHEN ask IS NULL THEN 'missing_effective_ask' END, CASE WHEN ask > 0.9 THEN 'ask_too_high' END, CASE WHEN ask <= 0 THEN 'bad_ask' END,
           CASE WHEN fill + 1e-9 < 6 THEN 'insufficient_depth' END, CASE WHEN sp > 0.05 THEN 'spread_too_wide' END, CASE WHEN lp * 6 < 1 THEN 'notional_below_min' END], lambda x: x IS NOT NULL), ',') AS reasons, round(lp, 6) AS limit_price, round(lp * 6, 6) AS notional FROM h""",
     "derived_features": _features_sql("vol", "{0}"),
     "derived_features_live": _features_sql("coalesce(vol, 0)", "greatest({0}, 0)"),

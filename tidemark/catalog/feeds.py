@@ -261,7 +261,7 @@ def _meta(spark, sf):
         F.lit('{"id":"'), ks, F.lit('","conditionId":"c'), ks, F.lit('","startDate":'), F.when(k % 7 == 0, F.lit("null")).otherwise(F.concat(F.lit('"'), start, F.lit('"'))),
         F.lit(',"outcomes":"'), F.replace(outcomes, F.lit('"'), F.lit('\\"')), F.lit('","clobTokenIds":["'), ks, F.lit('a","'), ks, F.lit('b"]'),
         F.lit(',"outcomePrices":"[\\"'), F.when(k % 3 == 0, "0.995").otherwise("0.3"), F.lit('\\",\\"'), F.when(k % 3 == 0, "0.005").otherwise("0.7"), F.lit('\\"]"'),
-        F.when(k % 11 == 0, F.lit(',"winner":"No"')).when(k % 13 == 0, F.concat(F.lit(',"winning_token_id":"'), ks, F.lit('b"'))).otherwise(""),
+        F.when(k % 11 == 0, F.lit(',"Winner":"No"')).when(k % 13 == 0, F.concat(F.lit(',"WINNING_token_id":"'), ks, F.lit('b"'))).otherwise(""),
         F.lit(',"active":true,"slug":"s'), ks, F.lit('"}'),
     )
     slot = F.timestamp_seconds(F.lit(1_704_067_200) + k * 900)

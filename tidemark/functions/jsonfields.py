@@ -41,6 +41,22 @@ def first_field(variant: str | Column, candidates: Sequence[str], kind: str = "s
     return F.coalesce(*[field(variant, c, kind) for c in candidates])
 
 
+def lowered_fields(variant: str | Column) -> Column:
+    """The members of an object as entries with lower-case keys, in their order."""
+    members = F.map_entries(F.try_variant_get(_col(variant), "$", "map<string,variant>"))
+    return F.transform(members, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+
+
+def any_case(lowered: Column, candidates: Sequence[str], kind: str = "string") -> Column:
+    """First non-null member among the candidate names, whatever their spelling."""
+
+    def one(name: str) -> Column:
+        hits = F.filter(lowered, lambda e: (e["key"] == name.lower()) & ~F.coalesce(F.is_variant_null(e["value"]), F.lit(True)))
+        return F.try_variant_get(F.element_at(F.when(F.size(hits) > 0, hits), -1)["value"], "$", kind)
+
+    return F.coalesce(*[one(n) for n in candidates])
+
+
 def is_array(variant: str | Column) -> Column:
     return F.schema_of_variant(_col(variant)).startswith("ARRAY")
 

@@ -48,12 +48,13 @@ class SignalRules:
     min_edge: float | None = None
 
 
-def signal_rules(r: SignalRules) -> list[Rule]:
+def signal_rules(r: SignalRules, *, cooldown: bool = False) -> list[Rule]:
     """Rules in the order they are applied to a (sample, direction) row.
 
     The row has: quote_bad, time_to_expiry_seconds, pair_ask_sum, update_age,
     yes_quote_age, no_quote_age, probability, spread, ask_depth. A missing value
-    counts as failing wherever a limit is set.
+    counts as failing wherever a limit is set. With ``cooldown`` the row also has
+    in_cooldown: a signal of the same market and side came a short time before.
     """
     c = F.col
     rules: list[Rule] = [
@@ -68,7 +69,7 @@ def signal_rules(r: SignalRules) -> list[Rule]:
     if r.max_tte is not None:
         rules.append(("tte_too_high", F.coalesce(c("time_to_expiry_seconds"), F.lit(0.0)) > r.max_tte))
     over("pair_ask_sum_too_high", "pair_ask_sum", r.max_pair_ask_sum)
-    over("update_too_old", "update_age", r.max_update_age)
+    over("pm_update_too_old", "update_age", r.max_update_age)
     if r.max_quote_age is not None:
         late = F.lit(False)
         for side in ("yes_quote_age", "no_quote_age"):
@@ -88,6 +89,8 @@ def signal_rules(r: SignalRules) -> list[Rule]:
         )
     if r.min_edge is not None:
         rules.append(("cost_adjusted_edge_too_low", c("probability") < r.min_edge))
+    if cooldown:
+        rules.append(("cooldown", F.coalesce(c("in_cooldown"), F.lit(False))))
     return rules
 
 
@@ -105,20 +108,27 @@ class OrderRules:
     min_limit: float = 0.01
     max_limit: float = 0.99
     min_notional: float = 1.0
+    max_decisions_per_hour: int = 20
     allow_up: bool = True
     allow_down: bool = True
 
 
-def order_rules(r: OrderRules) -> list[Rule]:
-    """Stateless order rules, all of which are reported.
+def order_rules(r: OrderRules, *, with_history: bool = False) -> list[Rule]:
+    """Order rules, all of which are reported, in their published order.
 
-    The row has: signal_id, direction, signal_age, time_to_expiry_seconds, asset_id,
-    ask, fill, spread, notional.
+    The row has: signal_id, direction, signal_age, time_to_expiry_seconds, asset_id, ask,
+    fill, spread, notional. ``with_history`` adds the rules on earlier decisions; the row
+    then also has seen_before, side_accepted and decisions_last_hour.
     """
     c = F.col
+
+    def history(reason: str, failed: Column) -> list[Rule]:
+        return [(reason, F.coalesce(failed, F.lit(False)))] if with_history else []
+
     up, down = c("direction") == "UP", c("direction") == "DOWN"
     return [
         ("missing_signal_id", F.coalesce(c("signal_id").cast("string"), F.lit("")) == ""),
+        *history("duplicate_signal", c("seen_before")),
         ("up_disabled", up & F.lit(not r.allow_up)),
         ("down_disabled", down & F.lit(not r.allow_down)),
         ("bad_direction", ~F.coalesce(up | down, F.lit(False))),
@@ -128,8 +138,10 @@ def order_rules(r: OrderRules) -> list[Rule]:
         ("missing_tte", c("time_to_expiry_seconds").isNull()),
         ("tte_too_low", c("time_to_expiry_seconds") < r.min_tte),
         ("tte_too_high", c("time_to_expiry_seconds") > r.max_tte),
+        *history("market_side_already_accepted", c("side_accepted")),
+        *history("hourly_decision_limit", c("decisions_last_hour") >= r.max_decisions_per_hour),
         ("missing_asset_id", F.coalesce(c("asset_id"), F.lit("")) == ""),
-        ("missing_ask", c("ask").isNull()),
+        ("missing_effective_ask", c("ask").isNull()),
         ("ask_too_high", c("ask") > r.max_ask),
         ("bad_ask", c("ask") <= 0),
         ("insufficient_depth", c("fill") + 1e-9 < r.target_shares),

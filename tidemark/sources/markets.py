@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import arrays as arr
 from tidemark.functions import scalars as fn
-from tidemark.functions.jsonfields import first_field, is_object, text_array
+from tidemark.functions.jsonfields import any_case, first_field, is_object, lowered_fields, text_array
 from tidemark.operators.pick import top_per_group
 from tidemark.operators.scan import micros
 from tidemark.sources import fields as f
@@ -180,7 +180,7 @@ def settled_result(record: str | Column, yes_id: str | Column, no_id: str | Colu
     """1 / 0 / null: the real outcome from whatever the metadata offers.
 
     In order: a winner id, a winner text, the side whose price is the highest (for ids
-    only from 0.99 up), and the outcome name at that position.
+    only from 0.99 up), and the outcome name at that position. Keys may be spelt in any case.
     """
     rec = F.col(record) if isinstance(record, str) else record
     yes = F.col(yes_id) if isinstance(yes_id, str) else yes_id
@@ -189,12 +189,13 @@ def settled_result(record: str | Column, yes_id: str | Column, no_id: str | Colu
     def by_id(v: Column) -> Column:
         return F.when(v == yes, 1).when(v == no, 0)
 
-    winner = F.coalesce(*[by_id(first_field(rec, (n,))) for n in f.WINNER_ID])
-    texts = [F.lower(F.trim(first_field(rec, (n,)))) for n in f.WINNER_TEXT]
+    members = lowered_fields(rec)
+    winner = F.coalesce(*[by_id(any_case(members, (n,))) for n in f.WINNER_ID])
+    texts = [F.lower(F.trim(any_case(members, (n,)))) for n in f.WINNER_TEXT]
     text = F.coalesce(*[F.when(t.isin(*f.WON_YES), 1).when(t.isin(*f.WON_NO), 0) for t in texts])
-    prices = F.transform(text_array(first_field(rec, ("outcomePrices", "outcome_prices"))), fn.lenient_double)
-    ids = text_array(first_field(rec, ("clobTokenIds", "clob_token_ids")))
-    names = text_array(first_field(rec, ("outcomes",)))
+    prices = F.transform(text_array(any_case(members, ("outcomePrices", "outcome_prices"))), fn.lenient_double)
+    ids = text_array(any_case(members, ("clobTokenIds", "clob_token_ids")))
+    names = text_array(any_case(members, ("outcomes",)))
     at = arr.arg_max(prices)
     by_price = F.when(F.array_max(prices) >= 0.99, by_id(F.get(ids, at)))
     name = F.lower(F.trim(F.get(names, at)))
