@@ -26,19 +26,21 @@ def _round(cols, digits=6):
     return [F.round(c, digits).alias(c) for c in cols]
 
 
-def _up(spark, sf, threshold=0.5):
-    p = v.predictions(spark, sf).where(F.col("p_up") >= threshold)
-    return p.select("event_id", "market_id", "sample_ts", "p_up", F.lit("UP").alias("direction"))
+def _sided(spark, sf, threshold=0.5):
+    """Signals of both sides."""
+    sides = F.array(*[F.struct(F.lit(d).alias("direction"), F.col(c).alias("probability")) for d, c in (("UP", "p_up"), ("DOWN", "p_down"))])
+    p = v.predictions(spark, sf).select("event_id", "market_id", "sample_ts", F.inline(sides))
+    return p.where(F.col("probability") >= threshold)
 
 
 def first_signal(spark, sf):
-    out = pick.first_per_group(_up(spark, sf, 0.7), keys=["market_id", "direction"], order=["sample_ts", "event_id"])
+    out = pick.first_per_group(_sided(spark, sf, 0.7), keys=["market_id", "direction"], order=["sample_ts", "event_id"])
     return out.select("market_id", "direction", "event_id", v.naive("sample_ts"))
 
 
 def cooldown_6h(spark, sf):
-    out = cooldown_thin(_up(spark, sf), keys=["market_id", "direction"], ts="sample_ts", tie="event_id", seconds=21_600)
-    return out.select("event_id", "market_id", v.naive("sample_ts"))
+    out = cooldown_thin(_sided(spark, sf), keys=["market_id", "direction"], ts="sample_ts", tie="event_id", seconds=21_600)
+    return out.select("event_id", "market_id", "direction", v.naive("sample_ts"))
 
 
 def cooldown_hot_key(spark, sf):
@@ -118,13 +120,15 @@ def break_even_cost(spark, sf):
 
 def _executable(spark, sf):
     p = v.predictions(spark, sf)
+    yes, no = F.col("settled_yes").cast("double"), (1 - F.col("settled_yes")).cast("double")
+    sides = F.array(*[
+        F.struct(F.lit(d).alias("direction"), F.col(q).alias("p_model"), F.col(a).alias("entry_price"), x.alias("exit_price"), (x - F.col(a)).alias("pnl"))
+        for d, q, a, x in (("UP", "p_up", "yes_ask", yes), ("DOWN", "p_down", "no_ask", no))
+    ])
     return p.select(
-        "event_id", "market_id", "sample_ts", "date", "tte_bucket", "time_to_expiry_seconds",
-        F.lit("UP").alias("direction"), F.col("p_up").alias("p_model"), "settled_yes",
+        "event_id", "market_id", "sample_ts", "date", "tte_bucket", "time_to_expiry_seconds", "settled_yes",
         F.round(F.pmod("event_id", F.lit(13)) / 100, 2).alias("side_spread"),
-        F.col("quote_age_seconds").alias("side_quote_age_seconds"),
-        F.col("yes_ask").alias("entry_price"), F.col("settled_yes").cast("double").alias("exit_price"),
-        (F.col("settled_yes") - F.col("yes_ask")).alias("pnl"),
+        F.col("quote_age_seconds").alias("side_quote_age_seconds"), F.inline(sides),
     )
 
 
@@ -157,8 +161,7 @@ def stability_top_markets(spark, sf):
 
 
 def equity_curve(spark, sf):
-    t = _trades(spark, sf).where("direction = 'UP'")
-    out = tr.equity_curve(t, keys=["mode", *PARAMS], ts="sample_ts", tie=["event_id"], value="pnl", points=20)
+    out = tr.equity_curve(_trades(spark, sf), keys=["mode", *PARAMS], ts="sample_ts", tie=["event_id"], value="pnl", points=20)
     return out.select("mode", *PARAMS, "event_id", v.naive("sample_ts"), *_round(["cum_pnl", "drawdown"]))
 
 
@@ -412,13 +415,16 @@ _AUC = """(SELECT tte_bucket, probability, (sum(CASE WHEN y = 1 THEN r END) - su
          FROM (SELECT tte_bucket, 'p_up' AS probability, settled_yes AS y, least(greatest(p_up, 1e-6), 1 - 1e-6) AS pc FROM pred
                UNION ALL SELECT tte_bucket, 'yes_ask', settled_yes, least(greatest(yes_ask, 1e-6), 1 - 1e-6) FROM pred)) GROUP BY 1, 2)"""
 
+_SIDED = f"""{v.PRED}, sided AS (SELECT event_id, market_id, sample_ts, 'UP' AS direction, p_up AS p FROM pred UNION ALL
+        SELECT event_id, market_id, sample_ts, 'DOWN', p_down FROM pred)"""
+
 ORACLES = {
-    "first_signal": f"""WITH {v.PRED}, r AS (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY sample_ts, event_id) AS rn FROM pred WHERE p_up >= 0.7)
-      SELECT market_id, 'UP' AS direction, event_id, sample_ts FROM r WHERE rn = 1""",
-    "cooldown_6h": f"""WITH RECURSIVE {v.PRED}, s AS (SELECT event_id, market_id, sample_ts FROM pred WHERE p_up >= 0.5),
-      kept AS (SELECT market_id, min(sample_ts) AS sample_ts FROM s GROUP BY 1 UNION ALL
-        SELECT k.market_id, min(s.sample_ts) FROM kept k JOIN s ON s.market_id = k.market_id AND s.sample_ts >= k.sample_ts + INTERVAL 6 HOUR GROUP BY k.market_id)
-      SELECT s.event_id, s.market_id, s.sample_ts FROM s JOIN kept k ON k.market_id = s.market_id AND k.sample_ts = s.sample_ts""",
+    "first_signal": f"""WITH {_SIDED}, r AS (SELECT *, row_number() OVER (PARTITION BY market_id, direction ORDER BY sample_ts, event_id) AS rn FROM sided WHERE p >= 0.7)
+      SELECT market_id, direction, event_id, sample_ts FROM r WHERE rn = 1""",
+    "cooldown_6h": f"""WITH RECURSIVE {_SIDED}, s AS (SELECT event_id, market_id, direction, sample_ts FROM sided WHERE p >= 0.5),
+      kept AS (SELECT market_id, direction, min(sample_ts) AS sample_ts FROM s GROUP BY 1, 2 UNION ALL
+        SELECT k.market_id, k.direction, min(s.sample_ts) FROM kept k JOIN s ON s.market_id = k.market_id AND s.direction = k.direction AND s.sample_ts >= k.sample_ts + INTERVAL 6 HOUR GROUP BY k.market_id, k.direction)
+      SELECT s.event_id, s.market_id, s.direction, s.sample_ts FROM s JOIN kept k ON k.market_id = s.market_id AND k.direction = s.direction AND k.sample_ts = s.sample_ts""",
     "cooldown_hot_key": """WITH RECURSIVE kept AS (SELECT min(ts) AS ts FROM events UNION ALL
         SELECT * FROM (SELECT min(e.ts) AS ts FROM kept k JOIN events e ON e.ts >= k.ts + INTERVAL 1 HOUR) WHERE ts IS NOT NULL)
       SELECT e.event_id, e.ts FROM events e JOIN kept k ON k.ts = e.ts""",
@@ -452,11 +458,12 @@ ORACLES = {
     "stress_costs": f"WITH RECURSIVE {MODE_TRADES}, {STRESS} SELECT {KEYS}, stress_cost, trades, {_r(['total_pnl', 'avg_pnl', 'win_rate'])} FROM stress",
     "break_even_cost": f"""WITH RECURSIVE {MODE_TRADES}, {STRESS}, b AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY stress_cost DESC) AS rn FROM stress WHERE avg_pnl >= 0)
       SELECT {KEYS}, stress_cost AS break_even_cost, trades, round(avg_pnl, 6) AS avg_pnl FROM b WHERE rn = 1""",
-    "filter_grid": f"""WITH {v.PRED}, x AS (SELECT *, 'UP' AS direction, round((event_id % 13) / 100.0, 2) AS side_spread, settled_yes - yes_ask AS pnl FROM pred),
+    "filter_grid": f"""WITH {v.PRED}, x AS (SELECT *, 'UP' AS direction, p_up AS p, round((event_id % 13) / 100.0, 2) AS side_spread, settled_yes - yes_ask AS pnl FROM pred UNION ALL
+        SELECT *, 'DOWN', p_down, round((event_id % 13) / 100.0, 2), 1 - settled_yes - no_ask FROM pred),
       f AS (SELECT x.*, prob_threshold, max_spread, max_quote_age, min_time_to_expiry FROM x, {_grid((0.6, 0.8), 'prob_threshold')},
           (VALUES (CAST(0.02 AS DOUBLE)), (CAST(0.05 AS DOUBLE)), (NULL)) s(max_spread), {_grid((2.0, 5.0), 'max_quote_age')}, {_grid((10, 60), 'min_time_to_expiry')}
-        WHERE p_up >= prob_threshold AND (max_spread IS NULL OR side_spread <= max_spread) AND quote_age_seconds <= max_quote_age AND time_to_expiry_seconds >= min_time_to_expiry),
-      n AS (SELECT *, row_number() OVER (PARTITION BY prob_threshold, max_spread, max_quote_age, min_time_to_expiry, market_id ORDER BY sample_ts, event_id) AS rn FROM f),
+        WHERE p >= prob_threshold AND (max_spread IS NULL OR side_spread <= max_spread) AND quote_age_seconds <= max_quote_age AND time_to_expiry_seconds >= min_time_to_expiry),
+      n AS (SELECT *, row_number() OVER (PARTITION BY direction, prob_threshold, max_spread, max_quote_age, min_time_to_expiry, market_id ORDER BY sample_ts, event_id) AS rn FROM f),
       trades AS (SELECT 'all_signals' AS mode, * FROM n UNION ALL SELECT 'first_signal_per_market_side', * FROM n WHERE rn = 1)
       SELECT mode, direction, prob_threshold, max_spread, max_quote_age, min_time_to_expiry, {_SIMPLE} FROM trades GROUP BY ALL""",
     "stability_two_level": f"""WITH RECURSIVE {MODE_TRADES}, {FINE}, s AS (SELECT {KEYS},
@@ -471,7 +478,7 @@ ORACLES = {
     "stability_top_markets": f"""WITH RECURSIVE {MODE_TRADES}, {FINE}, m AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY round(total_pnl, 6) DESC, cut_value) AS rank FROM per WHERE cut = 'market_id')
       SELECT {KEYS}, cut_value AS market_id, rank, trades, {_r(['total_pnl', 'avg_pnl', 'win_rate'])} FROM m WHERE rank <= 5""",
     "equity_curve": f"""WITH RECURSIVE {MODE_TRADES}, {_walk(KEYS, "sample_ts, event_id")},
-      i AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY sample_ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY {KEYS}) AS n FROM w2 WHERE direction = 'UP')
+      i AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY sample_ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY {KEYS}) AS n FROM w2)
       SELECT {KEYS}, event_id, sample_ts, round(cum_pnl, 6) AS cum_pnl, round(dd, 6) AS drawdown FROM i WHERE pos % greatest(1, n // 20) = 0 OR pos = n - 1""",
     "drawdown": f"""WITH a AS (SELECT 'one' AS account, ts, event_id, value - 50 AS pnl FROM events UNION ALL SELECT event_type, ts, event_id, value - 50 FROM events),
       {_walk("account", "ts, event_id", "a")} SELECT account, round(max(dd), 4) AS max_drawdown FROM w2 GROUP BY 1""",

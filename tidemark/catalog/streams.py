@@ -93,22 +93,23 @@ def stream_quote_state(spark, sf):
     )
 
 
-def _signals(spark, sf):
+def _signals(spark, sf, threshold=0.5):
+    """Signals of both sides."""
+    up = F.round(1 - F.exp(-F.col("value") / 50), 4)
+    sides = F.array(F.struct(F.lit("UP").alias("direction"), up.alias("probability")), F.struct(F.lit("DOWN").alias("direction"), F.round(1 - up, 4).alias("probability")))
     ev = event_stream(spark, sf)
-    return ev.select(
-        "event_id", F.col("user_id").cast("string").alias("market_id"), F.col("ts").alias("sample_ts"),
-        F.round(1 - F.exp(-F.col("value") / 50), 4).alias("p_up"),
-    ).where("p_up >= 0.5")
+    both = ev.select("event_id", F.col("user_id").cast("string").alias("market_id"), F.col("ts").alias("sample_ts"), F.inline(sides))
+    return both.where(F.col("probability") >= threshold)
 
 
 def stream_cooldown(spark, sf):
-    out = state.throttle(_signals(spark, sf), keys=["market_id"], ts="sample_ts", tie="event_id", seconds=21_600)
-    return sources.drain(out, "stream_cooldown").select("event_id", "market_id", v.naive("sample_ts"))
+    out = state.throttle(_signals(spark, sf), keys=["market_id", "direction"], ts="sample_ts", tie="event_id", seconds=21_600)
+    return sources.drain(out, "stream_cooldown").select("event_id", "market_id", "direction", v.naive("sample_ts"))
 
 
 def stream_first_accept(spark, sf):
-    out = state.first_only(_signals(spark, sf).where("p_up >= 0.7"), keys=["market_id"], ts="sample_ts", tie="event_id")
-    return sources.drain(out, "stream_first").select("market_id", F.lit("UP").alias("direction"), "event_id", v.naive("sample_ts"))
+    out = state.first_only(_signals(spark, sf, 0.7), keys=["market_id", "direction"], ts="sample_ts", tie="event_id")
+    return sources.drain(out, "stream_first").select("market_id", "direction", "event_id", v.naive("sample_ts"))
 
 
 def stream_hourly_limit(spark, sf):
