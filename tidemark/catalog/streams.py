@@ -8,7 +8,7 @@ from tidemark.catalog import evaluate as ce
 from tidemark.catalog import views as v
 from tidemark.operators.gates import SignalRules, signal_rules
 from tidemark.session import workspace_dir
-from tidemark.streaming import replay, sources, state
+from tidemark.streaming import replay, signals, sources, state
 
 BATCHES, FILES = 3, 4
 
@@ -112,6 +112,47 @@ def stream_first_accept(spark, sf):
     return sources.drain(out, "stream_first").select("market_id", "direction", "event_id", v.naive("sample_ts"))
 
 
+def _samples(spark, sf):
+    """Scored samples of both sides with what the signal rules look at."""
+    up = F.round(1 - F.exp(-F.col("value") / 50), 4)
+    sides = F.array(F.struct(F.lit("UP").alias("direction"), up.alias("probability")), F.struct(F.lit("DOWN").alias("direction"), F.round(1 - up, 4).alias("probability")))
+    ev = event_stream(spark, sf)
+    return ev.select(
+        "event_id", F.col("user_id").cast("string").alias("market_id"), F.col("ts").alias("sample_ts"), F.inline(sides),
+        (300 - F.unix_timestamp("ts") % 300).cast("double").alias("time_to_expiry_seconds"), (F.col("event_id") % 11 == 0).alias("quote_bad"),
+        F.when(F.col("event_id") % 17 != 0, (F.col("event_id") % 6) / 100).alias("spread"),
+    )
+
+
+CONFIGS = {
+    "wide": SignalRules("wide", threshold=0.5, min_tte=30, max_spread=0.05),
+    "narrow": SignalRules("narrow", threshold=0.8, min_tte=60, max_tte=240, max_spread=0.02),
+}
+
+
+def stream_signals(spark, sf):
+    """Two configurations of rules on the stream, each signal followed by twelve hours of cooldown."""
+    rules = {n: signal_rules(r) for n, r in CONFIGS.items()}
+    out = signals.emitted(_samples(spark, sf), rules, ts="sample_ts", tie="event_id", cooldown_seconds=43_200, received="sample_ts")
+    out = sources.drain(out, "stream_signals")
+    return out.select("config", "market_id", "direction", "event_id", "probability", (F.col("latency_ms") > 0).alias("late"))
+
+
+def stream_candidates(spark, sf):
+    """Samples that pass, and those that only miss the probability by a little."""
+    rules = {n: signal_rules(r) for n, r in CONFIGS.items()}
+    near = (F.col("reject_reason") == "probability_below_threshold") & (F.col("probability") >= 0.45)
+    out = sources.drain(signals.candidates(_samples(spark, sf), rules, near=near), "stream_candidates")
+    return out.select("config", "market_id", "direction", "event_id", "reject_reason")
+
+
+def stream_snapshots(spark, sf):
+    """Samples of a market's last minute, at most one in two days."""
+    rows = _samples(spark, sf).where("direction = 'UP'").drop("direction")
+    out = signals.near_expiry(rows, left="time_to_expiry_seconds", within_seconds=60, every_seconds=172_800, ts="sample_ts", tie="event_id")
+    return sources.drain(out, "stream_snapshots").select("market_id", "event_id", "time_to_expiry_seconds")
+
+
 def stream_hourly_limit(spark, sf):
     """At most three decisions per user in any six hours."""
     s = event_stream(spark, sf).select("event_id", "user_id", "ts")
@@ -199,7 +240,20 @@ QUERIES = {
     if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n != "event_stream"
 }
 
+_SAMPLES = f"""{v.PRED}, x AS (SELECT event_id, market_id, sample_ts, 'UP' AS direction, p_up AS p, time_to_expiry_seconds AS tte, CASE WHEN event_id % 17 <> 0 THEN (event_id % 6) / 100.0 END AS sp FROM pred
+        UNION ALL SELECT event_id, market_id, sample_ts, 'DOWN', p_down, time_to_expiry_seconds, CASE WHEN event_id % 17 <> 0 THEN (event_id % 6) / 100.0 END FROM pred),
+      g AS (SELECT 'wide' AS config, *, CASE WHEN event_id % 11 = 0 THEN 'quote_stale' WHEN tte < 30 THEN 'tte_too_low' WHEN p < 0.5 THEN 'probability_below_threshold' WHEN sp IS NULL OR sp > 0.05 THEN 'spread_too_wide' END AS reason FROM x
+        UNION ALL SELECT 'narrow', *, CASE WHEN event_id % 11 = 0 THEN 'quote_stale' WHEN tte < 60 THEN 'tte_too_low' WHEN tte > 240 THEN 'tte_too_high' WHEN p < 0.8 THEN 'probability_below_threshold' WHEN sp IS NULL OR sp > 0.02 THEN 'spread_too_wide' END FROM x)"""
+
 ORACLES = {
+    "stream_signals": f"""WITH RECURSIVE {_SAMPLES}, s AS (SELECT * FROM g WHERE reason IS NULL),
+      kept AS (SELECT config, market_id, direction, min(sample_ts) AS sample_ts FROM s GROUP BY 1, 2, 3 UNION ALL
+        SELECT k.config, k.market_id, k.direction, min(s.sample_ts) FROM kept k JOIN s ON s.config = k.config AND s.market_id = k.market_id AND s.direction = k.direction AND s.sample_ts >= k.sample_ts + INTERVAL 12 HOUR GROUP BY 1, 2, 3)
+      SELECT s.config, s.market_id, s.direction, s.event_id, s.p AS probability, true AS late FROM s JOIN kept k ON k.config = s.config AND k.market_id = s.market_id AND k.direction = s.direction AND k.sample_ts = s.sample_ts""",
+    "stream_candidates": f"WITH {_SAMPLES} SELECT config, market_id, direction, event_id, reason AS reject_reason FROM g WHERE reason IS NULL OR reason = 'probability_below_threshold' AND p >= 0.45",
+    "stream_snapshots": f"""WITH RECURSIVE {v.PRED}, s AS (SELECT * FROM pred WHERE time_to_expiry_seconds BETWEEN 0 AND 60),
+      kept AS (SELECT market_id, min(sample_ts) AS sample_ts FROM s GROUP BY 1 UNION ALL SELECT k.market_id, min(s.sample_ts) FROM kept k JOIN s ON s.market_id = k.market_id AND s.sample_ts >= k.sample_ts + INTERVAL 2 DAY GROUP BY 1)
+      SELECT s.market_id, s.event_id, s.time_to_expiry_seconds FROM s JOIN kept k ON k.market_id = s.market_id AND k.sample_ts = s.sample_ts""",
     "stream_pair_state": f"""WITH {v.QUOTES.replace("ts AS ts_event,", "ts AS ts_event, event_id,", 1)}
       SELECT market_id, event_id, {", ".join(f"last_value(CASE WHEN asset_id LIKE '%-{a}' THEN update_{c} END IGNORE NULLS) OVER w AS {s}_{c}" for s, a, c in (("yes", "Y", "bid"), ("yes", "Y", "ask"), ("no", "N", "bid"), ("no", "N", "ask"), ("yes", "Y", "bid_size"), ("no", "N", "ask_size")))},
         {", ".join(f"last_value(CASE WHEN asset_id LIKE '%-{a}' AND (update_bid IS NOT NULL OR update_ask IS NOT NULL) THEN ts_event END IGNORE NULLS) OVER w AS {s}_update_ts" for s, a in (("yes", "Y"), ("no", "N")))}
