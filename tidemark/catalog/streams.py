@@ -8,7 +8,7 @@ from tidemark.catalog import evaluate as ce
 from tidemark.catalog import views as v
 from tidemark.operators.gates import SignalRules, signal_rules
 from tidemark.session import workspace_dir
-from tidemark.streaming import replay, signals, sources, state
+from tidemark.streaming import features, replay, signals, sources, state
 
 BATCHES, FILES = 3, 4
 
@@ -68,6 +68,28 @@ def stream_pair_state(spark, sf):
     )
 
 
+TTL = 86_400.0
+
+
+def stream_features(spark, sf):
+    """Base features of each market after every quote event."""
+    rows = _quote_stream(spark, sf).withColumn("direction", F.when(F.col("asset_id").endswith("-Y"), "UP").otherwise("DOWN"))
+    out = sources.drain(features.live_features(rows, ttl_seconds=TTL), "stream_features")
+    return out.select(
+        "market_id", F.col("row_id").alias("event_id"), *[F.round(c, 8).alias(c) for c in ("yes_mid", "no_spread", "yes_quote_age_seconds", "pair_ask_sum", "mid_difference")],
+        "yes_is_stale", "no_crossed", "quote_bad",
+    )
+
+
+def stream_market_opens(spark, sf):
+    """First price of the symbol after each user's first event: the market's open price."""
+    u = v.table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("market_start_ts"), F.max("ts").alias("market_end_ts"))
+    m = u.select(_symbol().alias("symbol"), F.col("user_id").cast("string").alias("market_id"), "market_start_ts", "market_end_ts")
+    px = event_stream(spark, sf).where("event_type <> 'signup'").select(_symbol().alias("symbol"), "ts", "event_id", "value")
+    out = sources.drain(features.market_opens(px, m, on="symbol", ts="ts", tie="event_id", price="value"), "stream_opens")
+    return out.select("market_id", v.naive("open_seen_ts"), "open_price")
+
+
 def stream_settlement(spark, sf):
     """Sign-ups in markets that began six hours before, settled on the price of their symbol after a day."""
 
@@ -246,6 +268,16 @@ _SAMPLES = f"""{v.PRED}, x AS (SELECT event_id, market_id, sample_ts, 'UP' AS di
         UNION ALL SELECT 'narrow', *, CASE WHEN event_id % 11 = 0 THEN 'quote_stale' WHEN tte < 60 THEN 'tte_too_low' WHEN tte > 240 THEN 'tte_too_high' WHEN p < 0.8 THEN 'probability_below_threshold' WHEN sp IS NULL OR sp > 0.02 THEN 'spread_too_wide' END FROM x)"""
 
 ORACLES = {
+    "stream_features": f"""WITH {v.QUOTES.replace("ts AS ts_event,", "ts AS ts_event, event_id,", 1)},
+      f AS (SELECT market_id, event_id, ts_event, {", ".join(f"last_value(CASE WHEN asset_id LIKE '%-{a}' THEN update_{c} END IGNORE NULLS) OVER w AS {s}_{c}" for s, a in (("yes", "Y"), ("no", "N")) for c in ("bid", "ask"))},
+        {", ".join(f"last_value(CASE WHEN asset_id LIKE '%-{a}' AND (update_bid IS NOT NULL OR update_ask IS NOT NULL) THEN ts_event END IGNORE NULLS) OVER w AS {s}_u" for s, a in (("yes", "Y"), ("no", "N")))}
+        FROM quotes WINDOW w AS (PARTITION BY market_id ORDER BY ts_event ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+      g AS (SELECT *, {", ".join(f"(epoch_us(ts_event) - epoch_us({s}_u)) / 1e6 AS {s}_age, coalesce({s}_bid > {s}_ask, false) AS {s}_crossed, ({s}_bid + {s}_ask) / 2 AS {s}_mid" for s in ("yes", "no"))} FROM f),
+      h AS (SELECT *, {", ".join(f"{s}_bid IS NULL OR {s}_ask IS NULL OR {s}_u IS NULL OR {s}_age > {TTL} AS {s}_stale" for s in ("yes", "no"))} FROM g)
+      SELECT market_id, event_id, round(yes_mid, 8) AS yes_mid, round(no_ask - no_bid, 8) AS no_spread, round(yes_age, 8) AS yes_quote_age_seconds, round(yes_ask + no_ask, 8) AS pair_ask_sum,
+        round(yes_mid - no_mid, 8) AS mid_difference, yes_stale AS yes_is_stale, no_crossed, yes_stale OR no_stale OR yes_crossed OR no_crossed AS quote_bad FROM h""",
+    "stream_market_opens": f"""WITH m AS (SELECT user_id, user_id % {SYMBOLS} AS s, min(ts) AS a, max(ts) AS b FROM events GROUP BY 1), p AS (SELECT user_id % {SYMBOLS} AS s, ts, event_id, value FROM events WHERE event_type <> 'signup')
+      SELECT CAST(m.user_id AS VARCHAR) AS market_id, min(p.ts) AS open_seen_ts, arg_min(p.value, (p.ts, p.event_id)) AS open_price FROM m JOIN p ON p.s = m.s AND p.ts >= m.a AND p.ts < m.b GROUP BY 1""",
     "stream_signals": f"""WITH RECURSIVE {_SAMPLES}, s AS (SELECT * FROM g WHERE reason IS NULL),
       kept AS (SELECT config, market_id, direction, min(sample_ts) AS sample_ts FROM s GROUP BY 1, 2, 3 UNION ALL
         SELECT k.config, k.market_id, k.direction, min(s.sample_ts) FROM kept k JOIN s ON s.config = k.config AND s.market_id = k.market_id AND s.direction = k.direction AND s.sample_ts >= k.sample_ts + INTERVAL 12 HOUR GROUP BY 1, 2, 3)
