@@ -82,3 +82,16 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     best = np.array([*weights[:2], bias])
     for _ in range(300):
         assert loss(best) <= loss(best + 0.05 * draw.normal(size=3)) + 1e-3
+
+
+def test_many_and_oddly_named_columns_stay(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import exact_dedup, jaccard, mixing
+
+    names = [f"c {i}, x" for i in range(40)]
+    docs = documents(spark, ["a b c d e f", "a b c d e f", None]).withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    model = quality.fit(docs, spark.createDataFrame([(0, 1)], "doc_id long, quality int"))
+    assert quality.with_score(docs, model).drop("_score").columns == docs.columns
+    for kept in (exact_dedup.without_copies(docs), jaccard.without_near_copies(docs), mixing.mix(docs)):
+        assert kept.columns == docs.columns and {r["c 7, x"] for r in kept.collect()} == {7}

@@ -68,7 +68,7 @@ def test_long_texts_in_segments(spark, texts, monkeypatch):
             first = max(0, start - suffix_dedup.LEFT)
             part = text[first : start + 300 + suffix_dedup.LEFT + 200]
             found |= set(suffix_dedup._anchors([(len(text), first, start, part)])[1].tolist())
-        monkeypatch.setattr(suffix_dedup, "SEGMENT", 1 << 20)
+        monkeypatch.setattr(suffix_dedup, "SEGMENT", 1 << 18)
         whole = set(suffix_dedup._anchors([(len(text), 0, 0, text)])[1].tolist())
         monkeypatch.setattr(suffix_dedup, "SEGMENT", 300)
         assert found == whole and (want is None or set(want.tolist()) == whole)

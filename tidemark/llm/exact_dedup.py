@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import BLANK, digest, rows_of, small, texts
+from tidemark.llm.common import BLANK, digest, few_rows_at_once, rows_of, small, texts
+from tidemark.llm.groups import may_hold, sieve
 from tidemark.session import stage
 
 FAN_OUT_BITS = 4  # sixteen spill files a level
@@ -203,7 +205,7 @@ def _split(held: list, rest: Iterator[pa.RecordBatch], budget: int, level: int)
 
 
 def _flagged(docs: DataFrame, budget: int) -> DataFrame:
-    rows = docs.select("doc_id", "text").mapInArrow(partial(local_groups, budget=budget), LOCAL)
+    rows = few_rows_at_once(docs).select("doc_id", "text").mapInArrow(partial(local_groups, budget=budget), LOCAL)
     local = stage(rows, "exact-dedup")
     members = local.where(F.col("content").isNull()).select("group", "row", "doc_id", "points")
     settled = (
@@ -233,19 +235,33 @@ def duplicate_groups(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
     return _flagged(docs, budget).drop("points")
 
 
+def _named(batches: Iterable[pa.RecordBatch], shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows with the digest and length of their text, and whether others may share it."""
+    for batch in small(batches):
+        raw = texts(batch.column("text"))
+        names = [digest(t.translate(None, BLANK)) for t in raw]
+        yield (
+            batch.append_column("_sha", pa.array(names, pa.binary()))
+            .append_column("_points", pa.array([len(t.decode()) for t in raw], pa.int64()))
+            .append_column("_sifted", pa.array(may_hold(shared, names)))
+        )
+
+
 def without_copies(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of whole repeats, one."""
-    stay = _flagged(docs, budget).where("kept").select(
-        F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"), F.col("points").alias("_keep_points")
-    )
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns(
-        {
-            "_keep_id": F.col("doc_id"),
-            "_keep_sha": F.sha2(F.translate(text, BLANK.decode(), ""), 256),
-            "_keep_points": F.length(text).cast("long"),
-        }
+    """The rows of ``docs`` that stay, with all their columns; of whole repeats, one.
+
+    Rows whose text no other row shares stay without a join; only the others meet the list
+    of rows that stay.
+    """
+    flagged = stage(_flagged(docs, budget), "exact-dedup-rows")
+    shared = sieve(flagged.where("group_size > 1").select(F.unhex("text_sha256")).distinct())
+    added = [T.StructField("_sha", T.BinaryType()), T.StructField("_points", T.LongType()), T.StructField("_sifted", T.BooleanType())]
+    keyed = docs.mapInArrow(partial(_named, shared=shared), T.StructType([*docs.schema.fields, *added]))
+    stay = flagged.where("kept").select(
+        F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_sha"), F.col("points").alias("_keep_points")
     )
-    keys = ["_keep_id", "_keep_sha", "_keep_points"]
-    same = [keyed[k].eqNullSafe(stay[k]) for k in keys]
-    return keyed.join(stay, same, "left_semi").dropDuplicates(keys).drop(*keys)
+    rest = keyed.where("_sifted")
+    same = rest["doc_id"].eqNullSafe(stay["_keep_id"]) & (rest["_sha"] == stay["_keep_sha"]) & (rest["_points"] == stay["_keep_points"])
+    first = rest.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_sha", "_points"])
+    names = [f.name for f in added]
+    return keyed.where(~F.col("_sifted")).drop(*names).unionByName(first.drop(*names))

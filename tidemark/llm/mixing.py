@@ -145,8 +145,19 @@ def copies(
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most_copies: int = 3, seed: str = "mix"
 ) -> DataFrame:
-    """The mixed rows themselves: each row of ``docs``, all its columns, as often as it is taken."""
-    held = F.struct(*(F.col(c) for c in docs.columns)).alias("record")
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), held)
-    taken = _copies(sized, ["doc_id", "record"], weights, most_copies, seed)
-    return taken.where("copies > 0").select("record", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("record.*")
+    """The mixed rows themselves: each row of ``docs``, all its columns, as often as it is taken.
+
+    Ranks are built on narrow rows; whole rows are shuffled once, by a hash of the row. Rows
+    that repeat whole share their copies evenly.
+    """
+    keyed = docs.withColumn("_mix_key", F.expr("xxhash64(*)"))
+    narrow = keyed.select("doc_id", "source", words(F.col("text")).alias("size"), F.col("_mix_key").alias("key"))
+    sized = stage(narrow, "mixing-sizes")
+    rows = _copies(sized, ["doc_id", "key"], weights, most_copies, seed)
+    taken = rows.groupBy("key").agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_rows")).where("_mix_copies > 0")
+    joined = keyed.join(taken, keyed["_mix_key"] == taken["key"]).drop("key")
+    place = F.row_number().over(Window.partitionBy("_mix_key").orderBy(F.lit(0)))
+    share = F.floor(F.col("_mix_copies") / F.col("_mix_rows")) + (place <= F.col("_mix_copies") % F.col("_mix_rows")).cast("int")
+    out = joined.withColumn("_mix_share", share).where("_mix_share > 0")
+    repeated = F.explode(F.sequence(F.lit(1), F.col("_mix_share").cast("int"))).alias("_mix_copy")
+    return out.select("*", repeated).drop("_mix_key", "_mix_copies", "_mix_rows", "_mix_share", "_mix_copy")

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import small, texts
+from tidemark.llm.common import few_rows_at_once, small, texts
 
 BITS = 18
 DIMENSIONS = 1 << BITS
@@ -165,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
         F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
     chosen = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    taught = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` ids at most
+    taught = few_rows_at_once(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` ids at most
     rows = taught.mapInArrow(_indicated, "doc_id long, quality int, places binary").collect()
     rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32), r["doc_id"], r["quality"], r["places"]))
     return fit_rows(
@@ -185,5 +186,5 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
 
     Rows come out as they are, repeated ones too; an empty table gives an empty result.
     """
-    schema = docs.schema.simpleString()[len("struct<") : -1]
-    return docs.mapInArrow(partial(_scored, model=model), f"{schema},_score:double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+    return few_rows_at_once(docs).mapInArrow(partial(_scored, model=model), schema)
