@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 # The ASCII white space every operator here splits at or deletes: space, \t \n \v \f \r.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -16,6 +17,22 @@ def texts(column: pa.Array) -> list[bytes]:
     return [b"" if value is None else value for value in column.cast(pa.binary()).to_pylist()]
 
 
+ROWS_AT_ONCE = 1000
+
+
+def few_rows_at_once(df: DataFrame) -> DataFrame:
+    """``df``, with the session set to hand at most ``ROWS_AT_ONCE`` rows to a Python worker at a time.
+
+    Texts can be long; this bounds the buffers on both sides. It is a setting of the session
+    (``spark.sql.execution.arrow.maxRecordsPerBatch``) and only ever made smaller.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > ROWS_AT_ONCE:
+        df.sparkSession.conf.set(key, str(ROWS_AT_ONCE))
+    return df
+
+
 def small(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that few texts are Python objects at a time."""
     for batch in batches:

@@ -6,30 +6,36 @@
    share out of the prefixes. The prefix of a set are its first n - ceil(t n) + 1 members; two
    sets as similar as t share a member of their prefixes, which for the smaller set is even
    among the first n - ceil(2t / (1 + t) n) + 1.
-3. Texts with the same prefix and size are one group. For each n-gram the groups that hold it
+3. Texts with the same prefix and size are one group (of one scan task; groups of several
+   tasks that are alike meet in every list of theirs). For each n-gram the groups that hold it
    in their prefix are put in order of size, and a group is linked to the next smaller one
    that passes the size and prefix filters: no list is multiplied out. The components of these
    links are clusters that no similar pair leaves.
-4. Clusters are expanded to their texts, whose whole sets are compared. A cluster beyond
-   ``block`` texts is cut into blocks and every pair of blocks is a task of its own. A task
-   returns which texts hang together, never the pairs.
+4. Clusters are expanded to their texts, whose whole sets are compared. A cluster larger than
+   a task's share of the texts is cut into blocks and every pair of blocks is a task of its
+   own. A task returns which texts hang together, never the pairs.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import digest, rows_of, texts
+from tidemark.llm.common import digest, few_rows_at_once, rows_of, small, texts
 from tidemark.llm.groups import components, gathered, local_components, may_hold, runs, sieve, sliced
+from tidemark.llm.token_counts import _packed, _unpacked
 from tidemark.session import stage
 
-SKETCH_BITS = 20  # counters of the sketch: 8 MB, whatever the input
+SKETCH_BITS = 22  # counters of the sketch: 16 MB in a task, 8 MB sent to tasks, whatever the input
+MOST_COUNTED = (1 << 16) - 1
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -93,8 +99,8 @@ SEEN_ARROW = pa.schema(
 def seen_rows(batches: Iterable[pa.RecordBatch], n_words: int) -> Iterator[pa.RecordBatch]:
     """doc_id, digest and size of every row; then this task's counts of hashed n-grams."""
     known: dict[bytes, int] = {}
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for batch in batches:
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+    for batch in small(batches):
         digests, sizes, places = [], [], []
         for text in texts(batch.column("text")):
             words = joined_words(text)
@@ -106,7 +112,8 @@ def seen_rows(batches: Iterable[pa.RecordBatch], n_words: int) -> Iterator[pa.Re
             digests.append(name)
             sizes.append(known[name])
         if places:
-            counts += np.bincount(np.concatenate(places).astype(np.int64), minlength=len(counts))
+            hit, times = np.unique(np.concatenate(places), return_counts=True)
+            counts[hit.astype(np.int64)] += times.astype(np.uint32)
         none = [None] * len(digests)
         yield from rows_of(SEEN_ARROW, [batch.column("doc_id").cast(pa.int64()), digests, sizes, none, none])
     for batch in sliced(counts):
@@ -116,11 +123,10 @@ def seen_rows(batches: Iterable[pa.RecordBatch], n_words: int) -> Iterator[pa.Re
 
 # ------------------------------------------------------------------- groups and candidates
 
-POSTED = "digest binary, gid long, bucket int, postings binary"
+POSTED = "digest binary, gid long, bucket int, tokens binary, numbers binary"
 POSTED_ARROW = pa.schema(
-    [("digest", pa.binary()), ("gid", pa.int64()), ("bucket", pa.int32()), ("postings", pa.binary())]
+    [("digest", pa.binary()), ("gid", pa.int64()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("numbers", pa.binary())]
 )
-_POSTING = np.dtype([("token", "<u8"), ("gid", "<i8"), ("n", "<i4"), ("indexed", "<i4")])
 
 
 def prefix(found: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
@@ -135,22 +141,30 @@ def prefix(found: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[n
 def posted(
     batches: Iterable[pa.RecordBatch], n_words: int, counts: np.ndarray, num: int, den: int, buckets: int, most: int
 ) -> Iterator[pa.RecordBatch]:
-    """Group of each text, and the prefixes dealt into buckets by n-gram."""
+    """Group of each text, and the groups' prefixes dealt into buckets by n-gram.
+
+    A group has a number; its postings in a bucket are n-grams, and the group's distance
+    from the one before, its size and whether a smaller set is found by the n-gram.
+    """
     known: set[bytes] = set()
-    held: list[np.ndarray] = []
+    groups: dict[bytes, int] = {}
+    base = TaskContext.get().partitionId() << 36
+    held: list[tuple] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate(held)
-        bucket = (rows["token"] % np.uint64(buckets)).astype(np.int64)
+        token, group, size2 = (np.concatenate(c) for c in zip(*held, strict=True))
+        bucket = (token % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        rows, bucket = rows[order], bucket[order]
-        numbers, starts = np.unique(bucket, return_index=True)
-        parts = [p.tobytes() for p in np.split(rows, starts[1:])]
-        none = [None] * len(parts)
-        yield from rows_of(POSTED_ARROW, [none, none, numbers.tolist(), parts], 64)
+        numbers, starts = np.unique(bucket[order], return_index=True)
+        rows = []
+        for number, part in zip(numbers.tolist(), np.split(order, starts[1:]), strict=True):
+            first = int(group[part[0]])
+            steps = np.diff(group[part], prepend=first)
+            rows.append((None, base + first, number, token[part].tobytes(), _packed(np.concatenate([steps, size2[part]]))))
+        yield from rows_of(POSTED_ARROW, list(zip(*rows, strict=True)), 64)
 
-    for batch in batches:
+    for batch in small(batches):
         names, gids = [], []
         for text in texts(batch.column("text")):
             words = joined_words(text)
@@ -160,26 +174,39 @@ def posted(
             known.add(name)
             found = shingles(words, n_words)
             first, index = prefix(found, counts, num, den)
-            gid = int.from_bytes(digest(len(found).to_bytes(8, "big") + first.tobytes())[:8], "big", signed=True)
-            rows = np.empty(len(first), _POSTING)
-            rows["token"], rows["gid"], rows["n"] = first, gid, len(found)
-            rows["indexed"] = np.arange(len(first)) < index
-            held.append(rows)
-            size += len(rows)
+            key = digest(len(found).to_bytes(8, "big") + first.tobytes())[:16]
+            if key not in groups:
+                groups[key] = len(groups)
+                size2 = np.full(len(first), 2 * len(found))
+                size2[:index] += 1
+                held.append((first, np.full(len(first), groups[key]), size2))
+                size += len(first)
             names.append(name)
-            gids.append(gid)
+            gids.append(base + groups[key])
             if size > most:
                 yield from flush()
                 held, size = [], 0
         none = [None] * len(names)
-        yield from rows_of(POSTED_ARROW, [names, gids, none, none])
+        yield from rows_of(POSTED_ARROW, [names, gids, none, none, none])
     if held:
         yield from flush()
 
 
+def _postings(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for first, tokens, numbers in zip(*(batch.column(n).to_pylist() for n in ("gid", "tokens", "numbers")), strict=True):
+        steps, size2 = np.split(_unpacked(numbers), 2)
+        rows = np.empty(len(steps), _POSTING)
+        rows["token"], rows["gid"] = np.frombuffer(tokens, "<u8"), first + np.cumsum(steps)
+        rows["n"], rows["indexed"] = size2 >> 1, size2 & 1
+        yield rows
+
+
+_POSTING = np.dtype([("token", "<u8"), ("gid", "<i8"), ("n", "<i8"), ("indexed", "<i4")])
+
+
 def candidate_links(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Which groups of a bucket hang together: each with the smallest of its component."""
-    parts = [np.frombuffer(p, _POSTING) for b in batches for p in b.column("postings").to_pylist()]
+    parts = [rows for batch in batches for rows in _postings(batch)]
     if not parts:
         return
     rows = np.concatenate(parts)
@@ -198,7 +225,7 @@ def candidate_links(batches: Iterable[pa.RecordBatch], num: int, den: int) -> It
     last = np.maximum.accumulate(np.where(indexed, at, -1))
     last = np.concatenate([[-1], last[:-1]])
     smaller = rows[np.maximum(last, 0)]
-    good = (last >= 0) & (smaller["token"] == rows["token"]) & (den * smaller["n"].astype(np.int64) >= num * rows["n"])
+    good = (last >= 0) & (smaller["token"] == rows["token"]) & (den * smaller["n"] >= num * rows["n"])
     names, place = np.unique(np.concatenate([rows["gid"][good], smaller["gid"][good]]), return_inverse=True)
     a, b = np.split(place, 2)
     label = local_components(len(names), a, b)
@@ -211,30 +238,23 @@ def candidate_links(batches: Iterable[pa.RecordBatch], num: int, den: int) -> It
 
 WORDS = "digest binary, words binary"
 WORDS_ARROW = pa.schema([("digest", pa.binary()), ("words", pa.binary())])
-SETS = "cluster long, low int, high int, digest binary, members binary"
 
 
 def joined_texts(batches: Iterable[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Digest and words of the texts that may be wanted."""
     known: set[bytes] = set()
-    for batch in batches:
+    for batch in small(batches):
         found = [joined_words(text) for text in texts(batch.column("text"))]
         names = [digest(words)[:16] for words in found]
         rows = []
         for name, words, may in zip(names, found, may_hold(wanted, names), strict=True):
             if may and name not in known:
                 known.add(name)
-                rows.append((name, words))
+                rows.append((name, zlib.compress(words, 6)))  # shuffled twice
         if rows:
             yield from rows_of(WORDS_ARROW, list(zip(*rows, strict=True)), 2000)
 
 
-def with_members(batches: Iterable[pa.RecordBatch], n_words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        members = [shingles(w, n_words).tobytes() for w in batch.column("words").to_pylist()]
-        yield batch.drop_columns(["words"]).append_column("members", pa.array(members, pa.binary()))
-
-
 def similar(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of sets whose intersection is at least num/den of their union.
 
@@ -249,7 +269,7 @@ def similar(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.
     owner, members = owner[order], members[order]
     starts = np.flatnonzero(np.concatenate([[True], members[1:] != members[:-1]]))
     held = np.diff(np.append(starts, len(members)))
-    common = np.zeros((m, m), np.float64)
+    common = np.zeros((m, m), np.float32)
     for few in range(2, min(17, m + 1)):
         rows = owner[starts[held == few][:, None] + np.arange(few)]
         if len(rows):
@@ -264,18 +284,19 @@ def similar(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.
         inside = np.arange(held[part].sum()) - np.repeat(np.cumsum(held[part]) - held[part], held[part])
         flags[owner[np.repeat(starts[part], held[part]) + inside], column] = 1
         common += np.triu(flags @ flags.T, 1)
+    common = common.astype(np.int64)
     union = sizes[:, None] + sizes[None, :] - common
     return np.nonzero(np.triu((den * common >= num * union) & (common > 0), 1))
 
 
-def verified(batches: Iterable[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def verified(batches: Iterable[pa.RecordBatch], n_words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Texts of a cluster (or of two of its blocks) that hang together, as stars."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
     for table in runs(batches, ["cluster", "low", "high"]):
-        sets = dict(zip(table.column("digest").to_pylist(), table.column("members").to_pylist(), strict=True))
-        names = sorted(sets)
+        words = dict(zip(table.column("digest").to_pylist(), table.column("words").to_pylist(), strict=True))
+        names = sorted(words)
         if len(names) > 1:
-            a, b = similar([np.frombuffer(sets[name], np.uint64) for name in names], num, den)
+            a, b = similar([shingles(zlib.decompress(words[name]), n_words) for name in names], num, den)
             label = local_components(len(names), a, b)
             linked = np.flatnonzero(label != np.arange(len(names))).tolist()
             if linked:
@@ -299,26 +320,27 @@ def jaccard_components(
 
 def _components(docs: DataFrame, n_words: int, num: int, den: int, block: int, most: int) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select("doc_id", "text")
+    source = few_rows_at_once(docs).select("doc_id", "text")
     seen = stage(source.mapInArrow(partial(seen_rows, n_words=n_words), SEEN), "jaccard-rows")
     sketched = seen.where(F.col("slice").isNotNull()).select("slice", "part")
-    counts = gathered(sketched, "<i8", np.add, 1 << SKETCH_BITS)
+    # larger counts are told apart by hash only; any order is right
+    counts = np.minimum(gathered(sketched, "<u4", np.add, 1 << SKETCH_BITS), MOST_COUNTED).astype(np.uint16)
     step = partial(posted, n_words=n_words, counts=counts, num=num, den=den, buckets=parts, most=most)
     post = stage(source.select("text").mapInArrow(step, POSTED), "jaccard-prefixes")
     links = (
         post.where(F.col("bucket").isNotNull())
-        .select("bucket", "postings")
+        .select("bucket", "gid", "tokens", "numbers")
         .repartition(parts, "bucket")
         .mapInArrow(partial(candidate_links, num=num, den=den), "a long, b long")
     )
     clusters = components(links, "jaccard-clusters")
-    members = post.where(F.col("digest").isNotNull()).select("digest", "gid").distinct()
+    members = post.where(F.col("digest").isNotNull()).select("digest", "gid")
     clustered = members.join(clusters, members["gid"] == clusters["node"], "left").select(
         "digest", F.coalesce("label", "gid").alias("cluster")
-    )
-    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")
-    # up to a dozen blocks of a few texts; more only when a dozen would be too large
-    blocks = F.least(F.ceil(F.col("size") / block), F.greatest(F.lit(12), F.ceil(F.col("size") / (16 * block))))
+    ).distinct()
+    sizes = stage(clustered.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-sizes")
+    share = (sizes.agg(F.sum("size")).first()[0] or 0) // (2 * parts)  # half of what each task would get
+    blocks = F.ceil(F.col("size") / min(max(block, share), 8 * block))
     mine = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda b: b != mine)
     to_verify = stage(
@@ -333,14 +355,13 @@ def _components(docs: DataFrame, n_words: int, num: int, den: int, block: int, m
         .mapInArrow(partial(joined_texts, wanted=wanted), WORDS)
         .join(to_verify, "digest")
         .select("cluster", "mine", "others", "digest", "words")
-        .mapInArrow(partial(with_members, n_words=n_words), "cluster long, mine int, others array<int>, digest binary, members binary")
-        .select("cluster", "mine", "digest", "members", F.explode("others").alias("other"))
+        .select("cluster", "mine", "digest", "words", F.explode("others").alias("other"))
         .select(
-            "cluster", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "digest", "members"
+            "cluster", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "digest", "words"
         )
         .repartition(parts, "cluster", "low", "high")
         .sortWithinPartitions("cluster", "low", "high")
-        .mapInArrow(partial(verified, num=num, den=den), "a binary, b binary")
+        .mapInArrow(partial(verified, n_words=n_words, num=num, den=den), "a binary, b binary")
     )
     linked = components(compared, "jaccard-links")
     rows = seen.where(F.col("digest").isNotNull()).select("doc_id", "digest", "n")
@@ -365,7 +386,7 @@ def _components(docs: DataFrame, n_words: int, num: int, den: int, block: int, m
 
 
 def _digested(batches: Iterable[pa.RecordBatch], dropped: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         names = [digest(joined_words(t))[:16] for t in texts(batch.column("text"))]
         yield batch.append_column("_digest", pa.array(names, pa.binary())).append_column(
             "_sifted", pa.array(may_hold(dropped, names))
@@ -388,8 +409,8 @@ def without_near_copies(
         multiple.select(F.col("keep_digest").alias("m_digest")), F.col("keep_digest") == F.col("m_digest"), "left_semi"
     )
     sifted = sieve(shared.select("digest").distinct())
-    schema = docs.schema.simpleString()[len("struct<") : -1]
-    keyed = docs.mapInArrow(partial(_digested, dropped=sifted), f"{schema},_digest:binary,_sifted:boolean")
+    added = [T.StructField("_digest", T.BinaryType()), T.StructField("_sifted", T.BooleanType())]
+    keyed = docs.mapInArrow(partial(_digested, dropped=sifted), T.StructType([*docs.schema.fields, *added]))
     alone = keyed.where(~F.col("_sifted")).drop("_digest", "_sifted")
     kept = found.where(stays).select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest")).distinct()
     rest = keyed.where("_sifted").drop("_sifted")
