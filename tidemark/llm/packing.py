@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import rows_of, small, texts
+from tidemark.llm.common import few_rows_at_once, rows_of, small, texts
 from tidemark.llm.token_counts import PUNCTUATION, byte_letters, tokenizer
 from tidemark.session import stage
 
@@ -324,7 +324,7 @@ def pack(
     path: str | None = None,
     capacity: int = 4096,
     end_id: int = 1,
-    most_words: int = 400_000,
+    most_words: int = 150_000,
     with_ids: bool = False,
 ) -> DataFrame:
     """Every row of ``docs(doc_id, text)`` as pieces placed in sequences of ``capacity`` tokens.
@@ -337,7 +337,7 @@ def pack(
     """
     path = path or public_tokenizers.path("word_bpe_49k.json")
     schema = PIECES + (", ids array<int>" if with_ids else "")
-    cut = docs.select("doc_id", "text").mapInArrow(
+    cut = few_rows_at_once(docs).select("doc_id", "text").mapInArrow(
         partial(pieces, path=path, capacity=capacity, end_id=end_id, most_words=most_words, with_ids=with_ids), schema
     )
     held = stage(cut, "packing-pieces")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import digest, rows_of, texts
+from tidemark.llm.common import digest, few_rows_at_once, rows_of, small, texts
 from tidemark.llm.groups import may_hold, sieve
 from tidemark.llm.jaccard import _BYTES, _powers, mixed
 from tidemark.session import stage
@@ -39,7 +39,7 @@ CLASSES, SLACK = 4, 33  # a window may begin at CLASSES * (SLACK + 1) places bef
 LEFT = CLASSES * (SLACK + 1) - 1
 GRAM = WIDTH - LEFT
 CORE = WIDTH - SLACK
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 MOST = np.uint64((1 << 64) - 1)
 
 # ------------------------------------------------------------------- anchors
@@ -122,7 +122,7 @@ def found_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = pa.nulls(len(columns[0]), pa.int64())
         yield from rows_of(FOUND_ARROW, [none, pa.nulls(len(none), pa.binary()), none, *columns])
 
-    for batch in batches:
+    for batch in small(batches):
         raw = texts(batch.column("text"))
         names = [digest(t) for t in raw]
         count = len(raw)
@@ -170,49 +170,72 @@ def _hash(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return mixed((_BYTES[rows] * weights[: rows.shape[1]]).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
-def edge_suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _strings(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column, without an object for each."""
+    n, size = rows.shape
+    offsets = np.arange(n + 1, dtype=np.int32) * size
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _class_rows(tid: int, raw: np.ndarray, length: int, pos: np.ndarray) -> Iterator[tuple]:
+    """Suffixes of each class around the anchors ``pos``; ``raw`` is the text with margins."""
+    around = raw[pos[:, None] + np.arange(LEFT + WIDTH)]  # from LEFT before the anchor on
+    for j in range(CLASSES):
+        core, at = LEFT - j * (SLACK + 1), pos - j * (SLACK + 1)
+        inside = (at >= 0) & (at + CORE <= length)
+        rows, at = around[inside], at[inside]
+        yield (
+            np.zeros(len(at), bool),
+            _hash(rows[:, core : core + CORE], _WEIGHTS),
+            np.zeros(len(at), np.int64),
+            np.full(len(at), tid),
+            at.astype(np.int32),
+            rows[:, core - SLACK : core][:, ::-1],
+            rows[:, core + CORE : core + WIDTH],
+            np.minimum(at, SLACK).astype(np.int32),
+            np.minimum(length - at - CORE, SLACK).astype(np.int32),
+        )
+
+
+def _window_rows(tid: int, raw: np.ndarray, length: int, pos: np.ndarray) -> Iterator[tuple]:
+    """Every window around the anchors ``pos``, by two hashes."""
+    start = np.unique((pos[:, None] - np.arange(LEFT + 1)).reshape(-1))
+    start = start[(start >= 0) & (start + WIDTH <= length)]
+    for a in range(0, len(start), 4000):
+        at = start[a : a + 4000]
+        rows = raw[at[:, None] + LEFT + np.arange(WIDTH)]
+        n, none = len(at), np.zeros((len(at), 0), np.uint8)
+        reach = np.zeros(n, np.int32)
+        yield np.ones(n, bool), _hash(rows, _WEIGHTS), _hash(rows, _WEIGHTS2), np.full(n, tid), at.astype(np.int32), none, none, reach, reach
+
+
+def edge_suffixes(batches: Iterable[pa.RecordBatch], at_once: int = 10_000) -> Iterator[pa.RecordBatch]:
     """Suffixes near the listed anchors: one row a class; for hot ones a row a window."""
-    for batch in batches:
+    held: dict[bool, list[tuple]] = {False: [], True: []}
+    counts = {False: 0, True: 0}
+
+    def flush(hot: bool) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held[hot], strict=True)]
+        held[hot], counts[hot] = [], 0
+        return pa.RecordBatch.from_arrays(
+            [_strings(c) if c.ndim == 2 else pa.array(c) for c in columns], schema=SUFFIXES_ARROW
+        )
+
+    for batch in small(batches, 64):
         columns = (batch.column(n).to_pylist() for n in ("tid", "text", "places", "hot_places"))
         for tid, text, places, hot_places in zip(*columns, strict=True):
             raw = np.frombuffer(b"\0" * LEFT + text + b"\0" * WIDTH, np.uint8)
-            for a in range(0, len(places), 4000):
-                pos = np.array(places[a : a + 4000], np.int64)
-                around = raw[pos[:, None] + np.arange(LEFT + WIDTH)]  # from LEFT before the anchor on
-                for j in range(CLASSES):
-                    core = LEFT - j * (SLACK + 1)
-                    at = pos - j * (SLACK + 1)
-                    inside = (at >= 0) & (at + CORE <= len(text))
-                    if not inside.any():
-                        continue
-                    rows, at = around[inside], at[inside]
-                    left = np.ascontiguousarray(rows[:, core - SLACK : core][:, ::-1])
-                    right = np.ascontiguousarray(rows[:, core + CORE : core + WIDTH])
-                    n = len(at)
-                    yield from rows_of(
-                        SUFFIXES_ARROW,
-                        [
-                            [False] * n,
-                            _hash(rows[:, core : core + CORE], _WEIGHTS),
-                            [None] * n,
-                            [tid] * n,
-                            at.astype(np.int32),
-                            [x.tobytes() for x in left],
-                            [x.tobytes() for x in right],
-                            np.minimum(at, SLACK).astype(np.int32),
-                            np.minimum(len(text) - at - CORE, SLACK).astype(np.int32),
-                        ],
-                    )
-            for p in hot_places:
-                start = np.arange(max(0, p - LEFT), min(p, len(text) - WIDTH) + 1)
-                if len(start):
-                    rows = raw[start[:, None] + LEFT + np.arange(WIDTH)]
-                    none = [None] * len(start)
-                    yield from rows_of(
-                        SUFFIXES_ARROW,
-                        [[True] * len(start), _hash(rows, _WEIGHTS), _hash(rows, _WEIGHTS2), [tid] * len(start),
-                         start.astype(np.int32), none, none, none, none],
-                    )
+            for hot, make, listed in ((False, _class_rows, places), (True, _window_rows, hot_places)):
+                for a in range(0, len(listed), 1000):
+                    for rows in make(tid, raw, len(text), np.array(listed[a : a + 1000], np.int64)):
+                        if len(rows[0]):
+                            held[hot].append(rows)
+                            counts[hot] += len(rows[0])
+                        if counts[hot] >= at_once:
+                            yield flush(hot)
+    for hot in (False, True):
+        if held[hot]:
+            yield flush(hot)
 
 
 # ------------------------------------------------------------------- deep-shallow sorting
@@ -359,7 +382,7 @@ INTERVALS = "tid long, start long, stop long"
 INTERVALS_ARROW = pa.schema([("tid", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
-def sorted_edges(batches: Iterable[pa.RecordBatch], at_once: int = 50_000) -> Iterator[pa.RecordBatch]:
+def sorted_edges(batches: Iterable[pa.RecordBatch], at_once: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Duplicate intervals of suffix rows that arrive in order of key; whole keys at a time."""
     held: list[pa.RecordBatch] = []
     count = 0
@@ -419,7 +442,7 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def cut_texts(batches: Iterable[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         columns = (batch.column(n).to_pylist() for n in ("digest", "text", "starts", "stops"))
         for name, text, starts, stops in zip(*columns, strict=True):
@@ -436,7 +459,7 @@ def _texts_of(batches: Iterable[pa.RecordBatch], wanted: np.ndarray) -> Iterator
     """Digest and text of the texts that may be wanted, once a task."""
     known: set[bytes] = set()
     schema = pa.schema([("digest", pa.binary()), ("text", pa.binary())])
-    for batch in batches:
+    for batch in small(batches):
         raw = texts(batch.column("text"))
         names = [digest(t) for t in raw]
         rows = []
@@ -448,7 +471,7 @@ def _texts_of(batches: Iterable[pa.RecordBatch], wanted: np.ndarray) -> Iterator
             yield from rows_of(schema, list(zip(*rows, strict=True)), 2000)
 
 
-def remove_repeats(docs: DataFrame, many: int = 20_000, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, many: int = 200_000, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every row.
 
     From each text of ``docs(doc_id, text)`` the bytes go that are covered by a 200-byte
@@ -459,7 +482,7 @@ def remove_repeats(docs: DataFrame, many: int = 20_000, with_text: bool = False)
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select("doc_id", "text")
+    source = few_rows_at_once(docs).select("doc_id", "text")
     found = stage(source.mapInArrow(found_rows, FOUND), "repeats-anchors")
     rows = found.where(F.col("n").isNotNull()).select("doc_id", "digest", "n")
     tids = found.where(F.col("digest").isNotNull() & F.col("tid").isNotNull()).select("tid", "digest")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import rows_of, small
+from tidemark.llm.common import few_rows_at_once, rows_of, small
 from tidemark.session import stage
 
 # Unicode White_Space, which is what the pre-tokenizer's \s stands for.
@@ -231,7 +231,7 @@ def token_counts(
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = docs.select("doc_id", "text").mapInArrow(
+    cut = few_rows_at_once(docs).select("doc_id", "text").mapInArrow(
         partial(blocks, path=path, buckets=parts, most_pairs=most_pairs), BLOCK
     )
     held = stage(cut, "token-counts")
