@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import audits
 from tidemark.catalog import views as v
-from tidemark.operators.pick import top_rows
+from tidemark.functions import arrays as arr
+from tidemark.functions import scalars as fn
+from tidemark.operators import rank
+from tidemark.operators import trades as tr
+from tidemark.operators.pick import last_per_group, top_rows
 from tidemark.plans import evaluate as ev
-from tidemark.plans import models
+from tidemark.plans import gold, models
 from tidemark.plans import quality as ql
 from tidemark.sources import tables
 
@@ -98,6 +102,45 @@ def winning_dates(spark, sf):
     return ev.winning_dates(_summary_trades(spark, sf), by=["tte_bucket"])
 
 
+def entity_split_rows(spark, sf):
+    """Every event with the split of its user."""
+    e = v.table(spark, sf, "events").select("event_id", "user_id", "ts")
+    return rank.entity_split(e, entity="user_id", ts="ts").select("event_id", "user_id", "split")
+
+
+def last_event_per_user(spark, sf):
+    e = v.table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    return last_per_group(e, keys=["user_id"], order=["ts", "event_id"]).select("user_id", "event_id", "value")
+
+
+def sequential_rows(spark, sf):
+    """Row numbers in time order over all events."""
+    e = v.table(spark, sf, "events").select("event_id", "ts")
+    return tr.sequential_rows(e, ts="ts", tie=["event_id"]).select("event_id", F.col("row_idx").cast("bigint").alias("row_idx"))
+
+
+def lead_values(spark, sf):
+    """The price an hour and a day later, the first at or after within six hours."""
+    p = v.predictions(spark, sf).select("event_id", "market_id", "sample_ts")
+    px = v.predictions(spark, sf).select("market_id", "sample_ts", "yes_ask")
+    out = gold.lead_time(p, px, keys=["market_id"], value="yes_ask", seconds=(3_600, 86_400), tolerance=21_600)
+    return out.select("event_id", *_round(["yes_ask_in_3600s", "yes_ask_in_86400s"], 9))
+
+
+def book_depth(spark, sf):
+    """Depth of the first three levels of both sides, and its imbalance."""
+    k = F.col("k")
+    side = lambda n, size: F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i / 10).cast("double").alias("price"), (size * i).cast("double").alias("size")))
+    e = v.events(spark, sf).select("event_id", side(k % 5 + 1, k + 1).alias("bids"), side(k % 4 + 1, k % 7 + 1).alias("asks"))
+    made = arr.depth_metrics("bids", "asks", 3)
+    return e.select("event_id", made["bid_depth_3"].alias("bid_depth_3"), made["ask_depth_3"].alias("ask_depth_3"), F.round(made["depth_imbalance_3"], 9).alias("depth_imbalance_3"))
+
+
+def events_by_day(spark, sf):
+    e = v.table(spark, sf, "events")
+    return e.groupBy(fn.day_of("ts").alias("day")).agg(F.count("*").alias("rows"))
+
+
 QUERIES = {
     n: f for n, f in list(globals().items())
     if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_")
@@ -107,7 +150,20 @@ _METRIC = f"""WITH {v.PRED}, m AS (SELECT market_id, count(*) AS rows, count(*)
 _NEAREST = lambda q: f"s[CAST(floor((len(s) - 1) * CAST({q} AS DOUBLE) + 0.5) AS BIGINT) + 1]"
 _TRADES = f"{v.PRED}, t AS (SELECT *, round(settled_yes - yes_ask, 6) AS pnl, floor(p_up * 10) / 10 AS threshold FROM pred WHERE p_up >= 0.5)"
 
+_LAST_SPLIT = """CASE WHEN i < CAST(trunc(n * CAST(0.7 AS DOUBLE)) AS BIGINT) THEN 'train'
+        WHEN i < CAST(trunc(n * (CAST(0.7 AS DOUBLE) + CAST(0.15 AS DOUBLE))) AS BIGINT) THEN 'valid' ELSE 'test' END AS split"""
+
 ORACLES = {
+    "entity_split_rows": f"""WITH f AS (SELECT user_id, min(ts) AS t FROM events GROUP BY 1), r AS (SELECT user_id, row_number() OVER (ORDER BY t, user_id) - 1 AS i, count(*) OVER () AS n FROM f),
+      s AS (SELECT user_id, {_LAST_SPLIT} FROM r) SELECT event_id, user_id, split FROM events JOIN s USING (user_id)""",
+    "last_event_per_user": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1",
+    "sequential_rows": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_idx FROM events",
+    "lead_values": f"""WITH {v.PRED}, a AS (SELECT p.event_id, CASE WHEN x.sample_ts - p.sample_ts <= INTERVAL 7 HOUR THEN round(x.yes_ask, 9) END AS v FROM pred p ASOF LEFT JOIN pred x ON x.market_id = p.market_id AND p.sample_ts + INTERVAL 1 HOUR <= x.sample_ts),
+      b AS (SELECT p.event_id, CASE WHEN x.sample_ts - p.sample_ts <= INTERVAL 30 HOUR THEN round(x.yes_ask, 9) END AS v FROM pred p ASOF LEFT JOIN pred x ON x.market_id = p.market_id AND p.sample_ts + INTERVAL 24 HOUR <= x.sample_ts)
+      SELECT event_id, a.v AS yes_ask_in_3600s, b.v AS yes_ask_in_86400s FROM a JOIN b USING (event_id)""",
+    "book_depth": f"""WITH {v.EV}, d AS (SELECT event_id, list_sum(list_transform(range(1, least(3, k % 5 + 1) + 1), lambda i: (k + 1) * i))::DOUBLE AS b, list_sum(list_transform(range(1, least(3, k % 4 + 1) + 1), lambda i: (k % 7 + 1) * i))::DOUBLE AS a FROM ev)
+      SELECT event_id, b AS bid_depth_3, a AS ask_depth_3, round((b - a) / (b + a), 9) AS depth_imbalance_3 FROM d""",
+    "events_by_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS rows FROM events GROUP BY 1",
     "feature_lookup": f"""WITH {v.PRED}, f AS (SELECT market_id, date_trunc('hour', sample_ts) AS at, arg_max(p_up, event_id) AS p_up, arg_max(yes_ask, event_id) AS yes_ask FROM pred WHERE event_id % 2 = 0 GROUP BY 1, 2)
       SELECT p.event_id, p.market_id, f.p_up, round(f.yes_ask, 9) AS yes_ask FROM pred p LEFT JOIN f ON f.market_id = p.market_id AND f.at = date_trunc('hour', p.sample_ts)""",
     "top_metric_rows": f"{_METRIC} SELECT * FROM m ORDER BY avg_pnl DESC NULLS LAST, market_id LIMIT 25",

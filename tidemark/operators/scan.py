@@ -35,11 +35,6 @@ def micros(col: str | Column) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
-def from_micros(col: str | Column) -> Column:
-    column = F.col(col) if isinstance(col, str) else col
-    return F.timestamp_micros(column)
-
-
 def bucket_start(order: Column, width: int) -> Column:
     """Start of the ``width`` wide bucket of an integer order value (also below zero)."""
     return order - F.pmod(order, F.lit(width).cast("bigint"))
