@@ -126,3 +126,23 @@ def test_null_is_a_distinct_value(spark):
     df = spark.createDataFrame([("a", 1), ("a", None), ("a", 1), ("b", 2)], "k string, v int")
     got = {r.k: r.n for r in df.groupBy("k").agg(count_distinct_nulls("v").alias("n")).collect()}
     assert got == {"a": 2, "b": 1}
+
+
+def test_width_is_fitted_to_a_dense_key(spark):
+    """One key with all rows inside an hour: narrow buckets, many of them, the same result."""
+    from tidemark.operators.asof import asof_join
+    from tidemark.operators.scan import fitted_seconds, time_bucket
+
+    base = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.col("id") * 7919, F.lit(3_600)))
+    rows = spark.range(5_000).select(F.lit("k").alias("k"), base.alias("ts"), F.col("id").alias("v"))
+    asked = spark.range(300).select(F.lit("k").alias("k"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 12).alias("at"), F.col("id").alias("q"))
+    width = fitted_seconds(rows, keys=["k"], ts="ts", most_rows=200)
+    sizes = [r["count"] for r in rows.groupBy(time_bucket("ts", width).alias("b")).count().collect()]
+    assert max(sizes) <= 200 and len(sizes) >= 25
+
+    def joined(seconds):
+        out = asof_join(asked, rows, on=["k"], left_ts="at", right_ts="ts", tie=["v"], right_cols=["v"], bucket_seconds=seconds)
+        return sorted((r.q, r.v) for r in out.collect())
+
+    assert joined(width) == joined(86_400)
+    assert fitted_seconds(rows.limit(0), keys=["k"], ts="ts", most_rows=10) == 86_400

@@ -44,6 +44,25 @@ def time_bucket(ts: str | Column, seconds: int) -> Column:
     return bucket_start(micros(ts), seconds * 1_000_000)
 
 
+def fitted_seconds(
+    df: DataFrame, *, keys: Sequence[str], ts: str, most_rows: int, seconds: int = 86_400, least: int = 1, rounds: int = 6
+) -> int:
+    """A bucket width at which no key has more than ``most_rows`` rows in a bucket.
+
+    For the ``bucket_seconds`` of scans and as-of joins over keys that are dense in time. Each
+    round counts rows per (key, bucket), adds up before it shuffles, and narrows the width by
+    what the fullest bucket has too many; it stops at ``least`` seconds.
+    """
+    width = seconds
+    for _ in range(rounds):
+        counts = df.groupBy(*keys, time_bucket(ts, width).alias("__b")).agg(F.count("*").alias("__n"))
+        fullest = counts.agg(F.max("__n")).first()[0] or 0
+        if fullest <= most_rows or width <= least:
+            break
+        width = max(least, min(width - 1, width * most_rows // fullest))
+    return width
+
+
 def _partition(keys: Sequence[str]) -> list:
     return list(keys) if keys else [F.lit(0)]
 
