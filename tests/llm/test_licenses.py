@@ -59,3 +59,26 @@ def test_odd_texts_repeats_and_nothing(spark):
 def test_no_python_in_the_plan(spark):
     plan = licenses.scan(documents(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+HOLDERS = [
+    "Google Inc.", "the University of California, Berkeley", "Foo Inc.", "FOO CO. LTD.", 'Apple Computer, Inc. ("Apple")', "John Q. Public",
+    "St. Jude Hospital",
+]
+
+
+@pytest.mark.parametrize("wrap", [" ", "\n", "\n * "])
+def test_points_in_names_end_no_sentence(spark, wrap):
+    clause = "* Neither the name of {} nor the names of its contributors may be used to endorse or promote products without permission.\n"
+    asis = "THIS SOFTWARE IS PROVIDED BY {} AND CONTRIBUTORS AS IS. IN NO EVENT SHALL THE AUTHORS OF {} OR CONTRIBUTORS BE LIABLE."
+    short = "Copyright (c) 2010 Foo Inc. Permission is hereby granted, free of charge, to any person obtaining a copy. The above copyright "
+    short += "notice and this permission notice shall be included."
+    texts = [BSD + (clause + asis.replace("{}", "FOO INC.")).replace(" ", wrap).format(h) for h in HOLDERS]
+    texts += ["Licensed under the Apache License, v. 2.0.".replace(" ", wrap), short]
+    texts += ["1. Redistributions of source code must retain the notice of Foo Inc.\n2. Redistributions in binary form must reproduce it."]
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, texts)).collect()}
+    for i in range(len(HOLDERS)):
+        assert got[i]["licences"] == "BSD-3-Clause", texts[i]
+        assert got[i]["sentence_ids"] == "BSDhead,BSDsource,BSDbinary,BSDendorse,AsIs,NoLiability", texts[i]
+    ends = [got[len(HOLDERS) + k]["licences"] for k in range(3)]
+    assert ends == ["Apache-2.0", "MIT", "BSD-2-Clause"]

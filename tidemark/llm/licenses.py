@@ -119,8 +119,19 @@ TRIGGER = (
     r"copyright|reserved|public[^a-z0-9]+domain|unencumbered|spdx|gpl|bsd|apache-2|mpl-2|cc0|cc[^a-z0-9]+(by|zero)|"
     r"creative[^a-z0-9]+commons|you may|neither"
 )
-SENTENCE_END = r"[.!?]+\s+|\n\s*\n"
+# A point after these ends no sentence if it goes on with one of the words, or with a number;
+# nor does any point inside the clause on names, whatever names stand there.
+_GAP = r"[^a-z0-9.+-]{1,40}"
+_GOES_ON = (
+    r"(?<=\b(?:inc|ltd|llc|co|corp|plc)\.)\s[^a-z0-9.+-]*+(?:nor|or|and|may|as|be|shall|not|inc|ltd|llc|co|corp|plc)\b|"
+    r"(?<=\bno\.)\s+[0-9]|"
+    rf"(?<=\bneither{_GAP}the{_GAP}name\b[^!?]{{1,200}}\.)\s+[^!?]{{0,300}}?\bendorse{_GAP}or{_GAP}promote\b"
+)
+VERSION = r"\bv\.[^a-z0-9.+-]+(?=[0-9])"  # the patterns know versions as v2
+SENTENCE_END = rf"[.!?]+(?!{_GOES_ON})\s+|\n\s*\n"
 NOT_A_WORD = r"[^a-z0-9.+-]+"
+# Of the SQL twin, which has no look-behind: it ends sentences at abbreviations too.
+TWIN_SENTENCE_END = r"[.!?]+\s+|\n\s*\n"
 
 
 def _identifiers(sentence: Column) -> Column:
@@ -133,7 +144,8 @@ def _identifiers(sentence: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Normalised sentences of a lower-case text."""
-    normal = F.transform(F.split(text, SENTENCE_END), lambda s: F.regexp_replace(s, NOT_A_WORD, " "))
+    whole = F.regexp_replace(text, VERSION, "v")
+    normal = F.transform(F.split(whole, SENTENCE_END), lambda s: F.regexp_replace(s, NOT_A_WORD, " "))
     return F.transform(normal, lambda s: F.regexp_replace(F.trim(s), r"[ .+-]+$", ""))
 
 
@@ -177,7 +189,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def duckdb_sql() -> str:
-    """The same scan for DuckDB, from the same tables."""
+    """The same scan for DuckDB, from the same tables, but for sentences that hold abbreviations."""
 
     def quoted(pattern: str) -> str:
         return "'" + pattern.replace("'", "''") + "'"
@@ -200,9 +212,9 @@ WITH n AS (
          translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low
   FROM documents),
 s AS (
-  SELECT row, unnest(list_transform(string_split_regex(low, {quoted(SENTENCE_END)}),
+  SELECT row, unnest(list_transform(string_split_regex(low, {quoted(TWIN_SENTENCE_END)}),
          lambda x: regexp_replace(trim(regexp_replace(x, {quoted(NOT_A_WORD)}, ' ', 'g'), ' '), '[ .+-]+$', ''))) AS s,
-         generate_subscripts(string_split_regex(low, {quoted(SENTENCE_END)}), 1) AS place
+         generate_subscripts(string_split_regex(low, {quoted(TWIN_SENTENCE_END)}), 1) AS place
   FROM n WHERE regexp_matches(low, {quoted(TRIGGER)})),
 k AS (SELECT row, place, s, list_filter([{known}], lambda x: x IS NOT NULL) AS known FROM s),
 i AS (
