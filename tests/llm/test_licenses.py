@@ -82,3 +82,70 @@ def test_points_in_names_end_no_sentence(spark, wrap):
         assert got[i]["sentence_ids"] == "BSDhead,BSDsource,BSDbinary,BSDendorse,AsIs,NoLiability", texts[i]
     ends = [got[len(HOLDERS) + k]["licences"] for k in range(3)]
     assert ends == ["Apache-2.0", "MIT", "BSD-2-Clause"]
+
+
+SAMPLES = {
+    "MITgrant": "permission is hereby granted free of charge to any person obtaining a copy",
+    "MITref": "the mit x11 license|mit style licence|licensed under mit|spdx-license-identifier mit",
+    "MITnotice": "the above copyright notice and this permission notice shall be included",
+    "ISCgrant": "permission to use copy modify and or distribute this software for any purpose",
+    "ISCref": "an isc license|spdx-license-identifier isc",
+    "AsIs": "the software is provided as is|software is provided by me as is",
+    "NoLiability": "in no event shall the authors be liable|in no event shall the contributors of it be liable",
+    "BSDsource": "redistributions of source code must retain it",
+    "BSDbinary": "redistributions in binary form must reproduce it",
+    "BSDhead": "redistribution and use in source and binary forms",
+    "BSDendorse": "neither the name of x nor others may be used to endorse or promote",
+    "BSD3ref": "bsd-3|a 3-clause bsd text|the revised bsd licence",
+    "BSD2ref": "bsd 2|a 2 clause bsd text|simplified bsd license",
+    "BSDref": "a bsd style license",
+    "Apache2ref": "apache software license version 2|apache-2.0",
+    "Apache1ref": "apache licence v1",
+    "ApacheRef": "the apache license",
+    "Apache2terms": "you may not use this file except in compliance with the license",
+    "Apache2copy": "you may obtain a copy of the license at",
+    "Apache2basis": "distributed on an as is basis",
+    "AGPL3later": "affero general public license v3 or any later version|agpl-3.0-or-later",
+    "AGPL3ref": "affero general public license 3|agplv3",
+    "LGPL3later": "lesser general public license 3 or later|lgpl-3.0-or-later",
+    "LGPL3ref": "library general public license 3|lgpl-3",
+    "LGPL2later": "lesser general public license 2 or newer|lgpl-2.1-or-later",
+    "LGPL2ref": "lesser general public license v2|lgpl v2",
+    "GPL3later": "general public license 3 and later|version 3 of the gnu general public license or any later one|gpl-3.0-or-later",
+    "GPL3ref": "general public license v3|version 3 of the gnu general public license|gpl v3",
+    "GPL2later": "general public license 2 or later|version 2 of the gnu general public license or later|gpl-2.0-or-later",
+    "GPL2ref": "general public license v2|version 2 of the gnu general public license|gpl2",
+    "GPLref": "general public licence",
+    "GPLnowarranty": "distributed in the hope that it will be useful but without any warranty",
+    "MPL2ref": "mozilla public license 2|mpl-2.0",
+    "MPL1ref": "mozilla public license",
+    "EPLref": "eclipse public license",
+    "BSLref": "boost software license",
+    "ZlibRef": "zlib libpng license",
+    "Unlicense": "free and unencumbered software released into the public domain|the unlicense",
+    "PublicDomain": "public domain",
+    "CC0ref": "cc0|cc zero|creative commons zero",
+    **{
+        f"CCBY{name}ref": "|".join(f"{who} {by}{rest}" for who in ("cc", "creative commons") for by in ("by", "attribution"))
+        for name, rest in (
+            ("NCSA", "-nc-sa"), ("NCND", "-noncommercial-noderivs"), ("NC", " nc"), ("SA", "-sharealike"), ("ND", " nd"), ("", " 4.0"),
+        )
+    },
+    "Copyright": "copyright 2020 x",
+    "AllRights": "all rights reserved",
+    "Unknown": "licensed under our own|the terms of this licence",
+}
+
+
+@pytest.mark.parametrize("wrap", [" ", "\n", "\n# ", " (\r\n\t"])
+def test_every_pattern_passes_the_gate(spark, wrap):
+    assert {n for family in licenses.FAMILIES for n, _ in family} | {"Unknown"} == set(SAMPLES)
+    cases = [(name, text.replace(" ", wrap)) for name, texts in SAMPLES.items() for text in texts.split("|")]
+    rows = licenses.scan(documents(spark, [t.upper() for _, t in cases])).collect()
+    got = {r["doc_id"]: r["sentence_ids"].split(",") for r in rows}
+    assert [c for i, c in enumerate(cases) if c[0] not in got[i]] == []
+
+
+def test_attribution_after_cc(spark):
+    (row,) = licenses.scan(documents(spark, ["Photo released under CC Attribution-ShareAlike 3.0 by its author."])).collect()
+    assert (row["licences"], row["status"]) == ("CC-BY-SA", "known")

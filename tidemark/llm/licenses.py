@@ -113,11 +113,12 @@ RULES: list[tuple[str, str]] = [
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Every pattern above needs one of these words, so other texts need not be cut up.
+# Every pattern above needs one of these words, so other texts need not be cut up. Between
+# words anything may stand that normalising makes a blank.
 TRIGGER = (
-    r"licen[cs]e|licensed|permission|warranty|redistribution|neither the name|in no event|as[^a-z0-9]+is|"
-    r"copyright|reserved|public[^a-z0-9]+domain|unencumbered|spdx|gpl|bsd|apache-2|mpl-2|cc0|cc[^a-z0-9]+(by|zero)|"
-    r"creative[^a-z0-9]+commons|you may|neither"
+    r"licen[cs]e|permission|warranty|redistribution|neither|in[^a-z0-9]+no[^a-z0-9]+event|as[^a-z0-9]+is|copyright|reserved|"
+    r"public[^a-z0-9]+domain|unencumbered|spdx|gpl|bsd|apache-2|mpl-2|cc0|cc[^a-z0-9]+(by|zero|attribution)|"
+    r"creative[^a-z0-9]+commons|you[^a-z0-9]+may"
 )
 # A point after these ends no sentence if it goes on with one of the words, or with a number;
 # nor does any point inside the clause on names, whatever names stand there.
@@ -130,8 +131,14 @@ _GOES_ON = (
 VERSION = r"\bv\.[^a-z0-9.+-]+(?=[0-9])"  # the patterns know versions as v2
 SENTENCE_END = rf"[.!?]+(?!{_GOES_ON})\s+|\n\s*\n"
 NOT_A_WORD = r"[^a-z0-9.+-]+"
-# Of the SQL twin, which has no look-behind: it ends sentences at abbreviations too.
+# Of the SQL twin, which has no look-behind: it ends sentences at abbreviations too, and it
+# leaves out texts whose only words are cc attribution or an in no event over two lines.
 TWIN_SENTENCE_END = r"[.!?]+\s+|\n\s*\n"
+TWIN_TRIGGER = (
+    r"licen[cs]e|licensed|permission|warranty|redistribution|neither the name|in no event|as[^a-z0-9]+is|"
+    r"copyright|reserved|public[^a-z0-9]+domain|unencumbered|spdx|gpl|bsd|apache-2|mpl-2|cc0|cc[^a-z0-9]+(by|zero)|"
+    r"creative[^a-z0-9]+commons|you may|neither"
+)
 
 
 def _identifiers(sentence: Column) -> Column:
@@ -189,7 +196,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def duckdb_sql() -> str:
-    """The same scan for DuckDB, from the same tables, but for sentences that hold abbreviations."""
+    """The same scan for DuckDB, from the same tables, but for the two constants above."""
 
     def quoted(pattern: str) -> str:
         return "'" + pattern.replace("'", "''") + "'"
@@ -215,7 +222,7 @@ s AS (
   SELECT row, unnest(list_transform(string_split_regex(low, {quoted(TWIN_SENTENCE_END)}),
          lambda x: regexp_replace(trim(regexp_replace(x, {quoted(NOT_A_WORD)}, ' ', 'g'), ' '), '[ .+-]+$', ''))) AS s,
          generate_subscripts(string_split_regex(low, {quoted(TWIN_SENTENCE_END)}), 1) AS place
-  FROM n WHERE regexp_matches(low, {quoted(TRIGGER)})),
+  FROM n WHERE regexp_matches(low, {quoted(TWIN_TRIGGER)})),
 k AS (SELECT row, place, s, list_filter([{known}], lambda x: x IS NOT NULL) AS known FROM s),
 i AS (
   SELECT row, place, CASE WHEN len(known) > 0 THEN known
