@@ -57,3 +57,30 @@ def test_model_learns_a_rule(spark):
     assert binary_metrics(scored, label="label", prob="p_model").first().auc > 0.99
     with pytest.raises(ValueError):
         models.fit_binary(df, features=["label_up"], label="settled")
+
+
+@pytest.mark.parametrize(
+    "query, operator", [
+        ("model_comparison", "model_comparison"), ("model_net_edge", "net_edge_model"),
+        ("model_walk_forward", "walk_forward"), ("model_per_parameter", "per_parameter_models"),
+    ],
+)
+def test_registered_models_are_not_cut_short(spark, monkeypatch, query, operator):
+    import inspect
+
+    from tidemark.plans import models
+
+    least = inspect.signature(getattr(models, operator)).parameters["max_iter"].default
+    seen = []
+
+    class Seen(Exception):
+        pass
+
+    def spy(*args, **kwargs):
+        seen.append(kwargs.get("max_iter", least))
+        raise Seen
+
+    monkeypatch.setattr(models, operator, spy)
+    with pytest.raises(Seen):
+        entry.queries()[query](spark, SF)
+    assert seen == [least]

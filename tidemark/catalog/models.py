@@ -30,7 +30,7 @@ def class_weights(spark, sf):
 
 def model_comparison(spark, sf):
     """Logistic and boosted models against the quoted price on the test split."""
-    out = models.model_comparison(_split(spark, sf), features=FEATURES, label="settled_yes", baselines=["yes_ask"], max_iter=5)
+    out = models.model_comparison(_split(spark, sf), features=FEATURES, label="settled_yes", baselines=["yes_ask"])
     return out.select("model", "rows", *[F.round(c, 3).alias(c) for c in ("auc", "logloss", "brier", "accuracy_0p5")])
 
 
@@ -46,13 +46,13 @@ def model_net_edge(spark, sf):
         p.withColumns({"gross": F.col("settled_yes") - F.col("yes_ask"), "exit": F.col("settled_yes").cast("double")}),
         gross="gross", entry="yes_ask", exit="exit",
     )
-    _, scored = models.net_edge_model(t, features=FEATURES, edges=(-0.1, 0.0, 0.1), probabilities=(0.3, 0.5), min_trades=20, max_iter=5)
+    _, scored = models.net_edge_model(t, features=FEATURES, edges=(-0.1, 0.0, 0.1), probabilities=(0.3, 0.5), min_trades=20)
     return scored.groupBy("edge_threshold", "prob_threshold", "selected").agg(F.count("*").alias("rows"), F.round(F.avg("net_pnl"), 4).alias("avg_net_pnl"))
 
 
 def model_walk_forward(spark, sf):
     p = stage(v.predictions(spark, sf), "predictions")
-    out = models.walk_forward(p, folds=FOLDS, features=FEATURES, label="settled_yes", min_rows=20, max_iter=5)
+    out = models.walk_forward(p, folds=FOLDS, features=FEATURES, label="settled_yes", min_rows=20)
     return out.select("fold", "status", "train_rows", "valid_rows", "test_rows", F.round("auc", 3).alias("auc"))
 
 
@@ -60,7 +60,7 @@ def model_per_parameter(spark, sf):
     """One model per label source and direction."""
     p = _split(spark, sf).withColumns({"up": F.col("settled_yes"), "down": 1 - F.col("settled_yes")})
     out = models.per_parameter_models(
-        p, features=FEATURES, sets=[{"label_source": "real"}, {"label_source": "proxy"}], labels={"UP": "up", "DOWN": "down"}, max_iter=5
+        p, features=FEATURES, sets=[{"label_source": "real"}, {"label_source": "proxy"}], labels={"UP": "up", "DOWN": "down"}
     )
     return out.select("label_source", "direction", "rows", *[F.round(c, 3).alias(c) for c in ("auc", "brier")])
 
