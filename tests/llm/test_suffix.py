@@ -99,3 +99,35 @@ def test_deep_shallow_order():
     for _ in range(200):
         a, b = sorted(draw.integers(0, 600, 2).tolist())
         assert least.between(np.array([a]), np.array([b]))[0] == common[a : b + 1].min()
+
+
+@pytest.mark.parametrize("many", [20_000, 3])
+def test_nul_bytes_at_edges_are_no_padding(spark, many):
+    texts = []
+    for seed in range(12):
+        passage = words(80, seed + 500)[: 172 + 5 * seed]
+        before, after, nuls = words(40, seed + 600), words(40, seed + 700), "\0" * 40
+        texts += [before + passage, after + passage + nuls + before[:60]]
+        passage = words(80, seed + 800)[: 172 + 5 * seed]
+        texts += [passage + after[::-1], before[::-1] + nuls + passage + after[60:]]
+    texts += ["\0" * 300, "\0" * 199, "a" + "\0" * 210]
+    rows = suffix_dedup.remove_repeats(documents(spark, texts).repartition(4), many=many, with_text=True).collect()
+    got = {r["doc_id"]: tuple(r)[1:4] + (r["kept_sha256"], bytes(r["kept"])) for r in rows}
+    for i, want in enumerate(brute(texts)):
+        assert got[i] == want, i
+
+
+def test_windows_beyond_a_text_flag_no_partner():
+    slack = suffix_dedup.SLACK
+    draw = np.random.default_rng(3)
+    n = 400
+    group, left = draw.integers(0, 4, n), draw.integers(0, 2, (n, slack)).astype(np.uint8)
+    right = draw.integers(0, 2, (n, slack)).astype(np.uint8)
+    left[:, 3:], right[:, 3:] = 0, 0  # real NULs look like padding
+    reach_left, reach_right = draw.integers(0, slack + 1, n), draw.integers(0, slack + 1, n)
+    flags = suffix_dedup.duplicate_starts(group, left, right, reach_left, reach_right)
+    for t in range(slack + 1):
+        fits = (reach_left >= t) & (reach_right >= slack - t)
+        window = [(int(group[i]), left[i, :t].tobytes(), right[i, : slack - t].tobytes()) for i in range(n)]
+        seen = Counter(w for w, ok in zip(window, fits, strict=True) if ok)
+        assert flags[:, t].tolist() == [bool(ok) and seen[w] > 1 for w, ok in zip(window, fits, strict=True)]

@@ -349,7 +349,8 @@ def duplicate_starts(
 ) -> np.ndarray:
     """Flags [row, t]: the window that begins t bytes before the row's core occurs in another row.
 
-    ``left`` runs away from the core, ``right`` too; rows of one group have equal cores.
+    ``left`` runs away from the core, ``right`` too; rows of one group have equal cores. Windows
+    that run beyond the text of either row are no windows.
     """
     n = len(group)
     flags = np.zeros((n, SLACK + 1), bool)
@@ -360,6 +361,10 @@ def duplicate_starts(
     rows, inside = order, group[order]  # in order of (what stands left, right rank)
     for t in range(SLACK + 1):
         if t:  # induced: one more byte to the left, stable in the order so far
+            far = reach_left[rows] >= t
+            rows, inside = rows[far], inside[far]
+            if not len(rows):
+                break
             step = np.lexsort((left[rows, t - 1], inside))
             rows, inside, byte = rows[step], inside[step], left[rows[step], t - 1]
             fresh = np.concatenate([[True], (inside[1:] != inside[:-1]) | (byte[1:] != byte[:-1])])
@@ -369,13 +374,14 @@ def duplicate_starts(
         rows, inside = rows[alike], inside[alike]  # what stands alone stays alone
         if not len(rows):
             break
-        near = np.flatnonzero(inside[1:] == inside[:-1])
-        a, b = rows[near], rows[near + 1]
+        whole = reach_right[rows] >= SLACK - t  # padding equals real NULs, so it may meet no comparison
+        own, of = rows[whole], inside[whole]
+        near = np.flatnonzero(of[1:] == of[:-1])
+        a, b = own[near], own[near + 1]
         equal = least.between(rank[a] + 1, rank[b]) >= SLACK - t
         flags[a[equal], t] = True
         flags[b[equal], t] = True
-    t = np.arange(SLACK + 1)
-    return flags & (t <= reach_left[:, None]) & (SLACK - t <= reach_right[:, None])
+    return flags
 
 
 INTERVALS = "tid long, start long, stop long"
