@@ -95,3 +95,17 @@ def test_many_and_oddly_named_columns_stay(spark):
     assert quality.with_score(docs, model).drop("_score").columns == docs.columns
     for kept in (exact_dedup.without_copies(docs), jaccard.without_near_copies(docs), mixing.mix(docs)):
         assert kept.columns == docs.columns and {r["c 7, x"] for r in kept.collect()} == {7}
+
+
+def test_one_id_on_many_rows_is_one_row_of_the_sample(spark, monkeypatch):
+    ids = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 5][:20]
+    texts = [words(30, i) for i in ids]
+    again = [words(30, 1000 + k) for k in range(300)] + [None]
+    docs = documents(spark, texts + again, ids=ids + [ids[3]] * len(again))
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(ids[3], 1 - ids[3] % 2)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_rows", lambda rows, good: seen.append([r.tobytes() for r in rows]))
+    quality.fit(docs, labels, sample=21)
+    quality.fit(docs.repartition(5), labels, sample=21)
+    quality.fit(docs, labels, sample=6)
+    assert [len(rows) for rows in seen] == [21, 21, 6] and seen[0] == seen[1]

@@ -160,14 +160,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
     """The model from at most ``sample`` labelled rows of ``docs`` that are not held out.
 
     Labels are ``labels(doc_id, quality)``; those that are null or neither 0 nor 1 and those
-    without a document teach nothing. Only the text is an input.
+    without a document teach nothing. Only the text is an input. Of rows that share a doc_id the
+    text with the least hash is learnt, so the driver gets no more rows than ``sample``.
     """
     usable = labels.select(F.col("doc_id"), F.col("quality").cast("int")).where(
         F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     )
     chosen = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     taught = few_rows_at_once(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` ids at most
-    rows = taught.mapInArrow(_indicated, "doc_id long, quality int, places binary").collect()
+    one = taught.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    rows = one.mapInArrow(_indicated, "doc_id long, quality int, places binary").collect()
     rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32), r["doc_id"], r["quality"], r["places"]))
     return fit_rows(
         [np.frombuffer(r["places"], "<i4") for r in rows], np.array([r["quality"] == 1 for r in rows], bool)
