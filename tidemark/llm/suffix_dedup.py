@@ -9,8 +9,8 @@ begin near anchors with equal grams need sorting.
    throughout; copies and the inside of shared passages end here, by counting.
 2. Anchors whose gram has several contexts lie at edges: of passages, or next to edits. Their
    suffixes are dealt out by the core that a quarter of their windows share, and each bucket is
-   sorted: multikey quicksort, eight bytes a character, down to a shallow depth; groups with a
-   longer common prefix go to blind tries. The order of suffixes that begin further left is
+   sorted: all groups at once by eight bytes, twice, with a library sort in place of multikey
+   quicksort; groups with a longer common prefix go to blind tries. The order of suffixes that begin further left is
    induced from it by the byte in front. Neighbours with ``width`` common bytes are duplicates.
 3. A gram with more than ``many`` contexts would be a large bucket; its windows are counted one
    by one by their hashes instead, which adds up before it is shuffled.
@@ -241,7 +241,7 @@ def edge_suffixes(batches: Iterable[pa.RecordBatch], at_once: int = 10_000) -> I
 # ------------------------------------------------------------------- deep-shallow sorting
 
 CHARACTER = 8  # bytes compared at once
-SHALLOW = 2  # characters sorted by multikey quicksort; what is still equal is deep
+SHALLOW = 2  # characters sorted in passes over all rows; what is still equal is deep
 
 
 def blind_trie_order(strings: list[bytes]) -> tuple[list[int], list[int]]:
