@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from tidemark.llm import (
     suffix_dedup,
     token_counts,
     topk_search,
+    vector_codes,
 )
 
 
@@ -80,6 +83,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    written = ",".join(str(int(x)) for book in codes.codebooks for x in book.reshape(-1))
+    return vector_codes.with_label_errors(codes.rows).select(
+        "vec_id",
+        F.concat_ws("", F.transform("entries", lambda x: F.lpad(F.lower(F.hex(x)), 2, "0"))).alias("code"),
+        "error",
+        "label_error",
+        F.lit(hashlib.sha256(written.encode()).hexdigest()).alias("codebooks_sha256"),
+    )
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -102,6 +117,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_vector_codes": op11_vector_codes,
     "op12_line_dedup": op12_line_dedup,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
@@ -174,6 +190,7 @@ SELECT conv_id, count(*) AS n_turns,
        sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """,
+    "op11_vector_codes": vector_codes.duckdb_sql(),
     "op12_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM d),
