@@ -14,7 +14,7 @@ of B are linked where their bytes overlap.
    count of each B id is found and comes back to the pairs.
 4. Counts go back to the blocks that hold the pair, and the bitmaps hand them to documents.
 
-A pair that a third of all documents hold is one entry a block; blocks are bounded by links.
+A pair that a third of all documents hold is one entry a block; blocks are bounded by stretches.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -48,6 +49,8 @@ FINE = re.compile(
 # Cut only before blanks that begin with a space: right whatever other blanks B's pieces hold.
 COARSE = re.compile(f"[{_BLANK}]*[^{_BLANK}]+(?:[{_OTHER}][{_BLANK}]*[^{_BLANK}]*)*|[{_BLANK}]+")
 
+WORD = re.compile(f" [^{_BLANK}]+")
+
 DOC = "place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string"
 ROW = f"block long, {DOC}, n_pairs long, n_held long, pairs binary, n_docs binary, n_links_of binary, planes binary"
 ROW_ARROW = pa.schema(
@@ -84,20 +87,24 @@ class Pieces:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         letters = {self._letter(pre_tokenizers, b): b for b in range(128)} | self._upper(pre_tokenizers)
-        self.bytes_a: dict[int, bytes | None] = {}
-        for token, i in self.a.get_vocab().items():
-            known = all(c in letters for c in token)
-            self.bytes_a[i] = bytes(letters[c] for c in token) if known else None
+        vocabulary = self.a.get_vocab()
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)  # special tokens have none
+        for token, i in vocabulary.items():
+            if all(c in letters for c in token):
+                self.bytes_a[i] = bytes(letters[c] for c in token)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_b: list[bytes | None] = []
+        self.bytes_b: list[bytes] = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if self.b.is_byte(i):
                 self.bytes_b.append(bytes([int(piece[3:-1], 16)]))
             elif self.b.is_unknown(i) or self.b.is_control(i):
-                self.bytes_b.append(None)
+                self.bytes_b.append(b"")
             else:
                 self.bytes_b.append(piece.replace("▁", " ").encode())
+        self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
+        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.digits = digits(max(len(self.bytes_a), len(self.bytes_b)))
         normal = [self.b.id_to_piece(i) for i in range(len(self.bytes_b)) if not self.b.is_byte(i)]
         others = re.compile(f"[{_OTHER}]")
         held = {c for p in normal if len(p) > 1 for c in others.findall(p)}
@@ -127,14 +134,51 @@ class Pieces:
             return [text]
         return (COARSE if self.joins and self.joins.search(text) else FINE).findall(text)
 
-    def encode(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both for each stretch as it stands in a text (B: without a space of its own)."""
-        a = [e.ids for e in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
-        # B puts a space before what it gets: one that is there is left out; where there is none,
-        # a line feed stands before the stretch, and its two ids (space, feed) are taken off.
-        own = [s[:1] == " " and len(s) > 1 for s in stretches]
-        b = self.b.encode([s[1:] if o else "\n" + s for s, o in zip(stretches, own, strict=True)], num_threads=1)
-        return a, [ids if o else ids[2:] for ids, o in zip(b, own, strict=True)]
+    def encode(self, stretches: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both for each stretch as it stands in a text (32 bits each); None where bytes of A or B differ from it.
+
+        Words with a space before them are encoded many at a time, as one text, and cut apart
+        by their bytes; what else there is, and words whose bytes do not come back, one by one.
+        """
+        out: list[tuple[bytes, bytes] | None] = [None] * len(stretches)
+        words, rest = [], []
+        for i, s in enumerate(stretches):
+            (words if self.cuts and WORD.fullmatch(s) else rest).append(i)
+        for start in range(0, len(words), 500):
+            part = words[start : start + 500]
+            raw = [stretches[i].encode() for i in part]
+            text = "".join([stretches[i] for i in part])
+            a = self.a.encode(text, add_special_tokens=False).ids
+            b = self.b.encode(text[1:])
+            if not (self.join_a(a) == b"".join(raw) == self.join_b(b)):
+                rest += part
+                continue
+            ends = np.cumsum([len(r) for r in raw])
+            a, b = np.array(a, "<u4"), np.array(b, "<u4")
+            cuts_a = np.searchsorted(np.cumsum(self.size_a[a]), ends) + 1
+            cuts_b = np.searchsorted(np.cumsum(self.size_b[b]), ends) + 1
+            a, b, from_a, from_b = a.tobytes(), b.tobytes(), 0, 0
+            for i, to_a, to_b in zip(part, (4 * cuts_a).tolist(), (4 * cuts_b).tolist(), strict=True):
+                out[i] = a[from_a:to_a], b[from_b:to_b]
+                from_a, from_b = to_a, to_b
+        if rest:
+            lone = [stretches[i] for i in rest]
+            ids_a = [e.ids for e in self.a.encode_batch_fast(lone, add_special_tokens=False)]
+            # B puts a space before what it gets: one that is there is left out; where there is none,
+            # a line feed stands before the stretch, and its two ids (space, feed) are taken off.
+            own = [s[:1] == " " and len(s) > 1 for s in lone]
+            ids_b = self.b.encode([s[1:] if o else "\n" + s for s, o in zip(lone, own, strict=True)], num_threads=1)
+            for i, a, b, o in zip(rest, ids_a, ids_b, own, strict=True):
+                b = b if o else b[2:]
+                if self.join_a(a) == stretches[i].encode() == self.join_b(b):
+                    out[i] = np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()
+        return out
+
+    def join_a(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_a.__getitem__, ids))
+
+    def join_b(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_b.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -142,55 +186,74 @@ def pieces(path_a: str, path_b: str) -> Pieces:
     return Pieces(path_a, path_b)
 
 
-class Stretch:
-    """One distinct stretch: its ids and groups, or none where the bytes of A or B differ from it."""
-
-    __slots__ = ("a", "b", "groups", "links")
-
-    def __init__(self, text: str, a: list[int], b: list[int], both: Pieces) -> None:
-        raw_a, raw_b = [both.bytes_a.get(i) for i in a], [both.bytes_b[i] for i in b]
-        raw = text.encode()
-        if None in raw_a or None in raw_b or b"".join(raw_a) != raw or b"".join(raw_b) != raw:
-            self.groups = None
-            return
-        self.a, self.b = len(a), len(b)
-        if len(a) == 1 or len(b) == 1:  # one group, all linked
-            self.groups = [f"{','.join(map(str, a))}|{','.join(map(str, b))}"]
-            self.links = [x << 32 | y for x in a for y in b]
-            return
-        groups, links, i, j, at_a, at_b, from_a, from_b = [], [], 0, 0, 0, 0, 0, 0
-        ends_a, ends_b = len(raw_a[0]), len(raw_b[0])
-        while True:  # both walk on; the one that ends first steps
-            links.append(a[i] << 32 | b[j])
-            at_a, at_b = ends_a, ends_b
-            if at_a == at_b:
-                groups.append(f"{','.join(map(str, a[from_a : i + 1]))}|{','.join(map(str, b[from_b : j + 1]))}")
-                from_a, from_b = i + 1, j + 1
-                if from_a == len(a):
-                    break
-            if at_a <= at_b:
-                i += 1
-                ends_a += len(raw_a[i])
-            if at_b <= at_a:
-                j += 1
-                ends_b += len(raw_b[j])
-        self.groups, self.links = groups, links
-
-
-_known: dict[tuple[str, str], dict[str, Stretch]] = {}  # of this worker, bounded by ``most_known``
-
-
-def _stretches(both: Pieces, known: dict[str, Stretch], cut: list[list[str]], most_known: int) -> dict[str, Stretch]:
-    """``known`` with all stretches of some texts in it."""
-    new = list({s for text in cut for s in text if s not in known})
-    if new and len(known) + len(new) > most_known:
-        known.clear()  # memory stays bounded; these are encoded again
-        new = list({s for text in cut for s in text})
-    for start in range(0, len(new), 20_000):
-        part = new[start : start + 20_000]
-        for s, a, b in zip(part, *both.encode(part), strict=True):
-            known[s] = Stretch(s, a, b, both)
-    return known
+def digits(n: int) -> np.ndarray:
+    """The numbers below ``n`` in decimal digits, in the last places of their row; 0 where there is none."""
+    width = len(str(n))
+    value, out = np.arange(n), np.zeros((n, width), np.uint8)
+    for place in range(width):
+        held = (value >= 10**place) | (place == 0)
+        out[held, width - 1 - place] = 48 + value[held] // 10**place % 10
+    return out
+
+
+class Aligned(NamedTuple):
+    """Stretches, aligned: sizes by stretch, links one stretch after the other, groups as text (each with ``;`` behind it)."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    links: np.ndarray
+    groups: list[bytes]
+
+
+def _per(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` from each start to the next; no part is empty."""
+    return np.add.reduceat(values.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+
+
+def aligned(ids: list[tuple[bytes, bytes]], both: Pieces) -> Aligned:
+    """All stretches at once: the bytes of both lie in one row, so ends can be looked up in each other."""
+    n_a = np.fromiter((len(a) for a, _ in ids), np.int64, len(ids)) // 4
+    n_b = np.fromiter((len(b) for _, b in ids), np.int64, len(ids)) // 4
+    a = np.frombuffer(b"".join([a for a, _ in ids]), "<u4").astype(np.int64)
+    b = np.frombuffer(b"".join([b for _, b in ids]), "<u4").astype(np.int64)
+    from_a, from_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    end_a, end_b = np.cumsum(both.size_a[a]), np.cumsum(both.size_b[b])
+    low = np.searchsorted(end_b, end_a - both.size_a[a], side="right")  # the first b that overlaps
+    high = np.searchsorted(end_b - both.size_b[b], end_a, side="left")
+    wide = high - low
+    inner = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+    links = np.repeat(a, wide) << 32 | b[np.repeat(low, wide) + inner]
+    cut_a, cut_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+    # text: ids of A, then of B, group by group; what stands behind an id says what follows
+    group_a = np.cumsum(cut_a) - cut_a
+    group_b = np.cumsum(cut_b) - cut_b
+    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+    behind = np.concatenate([np.where(cut_a, ord("|"), ord(",")), np.where(cut_b, ord(";"), ord(","))])[order]
+    value = np.concatenate([a, b])[order]
+    letters = np.empty((len(value), both.digits.shape[1] + 1), np.uint8)
+    letters[:, :-1], letters[:, -1] = both.digits[value], behind
+    size = (letters != 0).sum(axis=1)
+    text = letters[letters != 0].tobytes()
+    of = np.concatenate([np.repeat(np.arange(len(ids)), n_a), np.repeat(np.arange(len(ids)), n_b)])[order]
+    ends = np.cumsum(np.bincount(of, weights=size, minlength=len(ids)).astype(np.int64)).tolist()
+    groups = [text[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+    return Aligned(n_a, n_b, _per(from_a, cut_a), _per(from_a, wide), links, groups)
+
+
+_known: dict[tuple[str, str], dict[str, tuple[bytes, bytes] | None]] = {}  # of this worker, bounded by ``most_known``
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and the number of each value among them."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    first = np.ones(len(values), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(values), np.int64)
+    number[order] = np.cumsum(first) - 1
+    return ordered[first], number
 
 
 def _zip(values: np.ndarray, kind: str) -> bytes:
@@ -251,7 +314,7 @@ def merged(planes: list[dict[str, bytes]], n_pairs: int, n_docs: int) -> tuple[n
         pair, doc = read_bitmap(plane, n_docs)
         links += np.bincount(pair, minlength=n_pairs) << k
         bits = pair * n_docs + doc
-        held = np.union1d(held, bits) if k else bits
+        held = distinct(np.concatenate([held, bits]))[0] if k else bits
     return np.bincount(held // n_docs, minlength=n_pairs), links
 
 
@@ -260,60 +323,69 @@ def _shard_hash(pairs: np.ndarray) -> np.ndarray:
 
 
 class _Block:
-    """Documents and their distinct stretches, until there are links enough for a block."""
+    """Documents and their distinct stretches, until there are enough for a block."""
 
     def __init__(self) -> None:
-        self.docs: list[tuple] = []
+        self.ids: list[int | None] = []
         self.names: dict[str, int] = {}
-        self.held: list[Stretch] = []
         self.at: list[np.ndarray] = []
-        self.links = 0
-
-    def add(self, doc_id: int | None, stretches: list[str], known: dict[str, Stretch]) -> None:
-        found = [known[s] for s in stretches]
-        if not found or any(s.groups is None for s in found):
-            self.docs.append((doc_id, 0, 0, 0, 0, ""))
-            self.at.append(np.empty(0, np.int64))
-            return
-        names, held = self.names, self.held
-        at = []
-        for name, s in zip(stretches, found, strict=True):
-            place = names.get(name)
-            if place is None:
-                place = names[name] = len(held)
-                held.append(s)
-            at.append(place)
-        sums = [sum(s.a for s in found), sum(s.b for s in found), sum(len(s.groups) for s in found)]
-        n_links = sum(len(s.links) for s in found)
-        self.docs.append((doc_id, *sums, n_links, ";".join([g for s in found for g in s.groups])))
-        self.at.append(np.array(at, np.int64))
-        self.links += n_links
-
-    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        self.size = 0
+
+    def add(self, doc_id: int | None, stretches: list[str]) -> None:
+        names = self.names
+        self.ids.append(doc_id)
+        self.at.append(np.array([names.setdefault(s, len(names)) for s in stretches], np.int64))
+        self.size += len(stretches)
+
+    def rows(self, block: int, both: Pieces, known: dict, most_known: int) -> Iterator[pa.RecordBatch]:
         """A row for each document, then one for the block's pairs and bitmaps."""
-        n = n_docs = len(self.docs)
-        none = [None] * n
-        ids = list(zip(*self.docs, strict=True))
-        yield from rows_of(ROW_ARROW, [[block] * n, list(range(n)), *ids, none, none, none, none, none, none], 2000)
-        if not self.held:
-            return
-        sizes = np.fromiter((len(s.links) for s in self.held), np.int64, len(self.held))
-        all_links = np.fromiter(chain.from_iterable(s.links for s in self.held), np.int64, int(sizes.sum()))
-        pairs, number = np.unique(all_links, return_inverse=True)
+        names, n_docs = list(self.names), len(self.ids)
+        at = np.concatenate(self.at)
+        doc = np.repeat(np.arange(n_docs), [len(x) for x in self.at])
+        ids = _encoded(names, np.bincount(at, minlength=len(names)), both, known, most_known)
+        # a document with a stretch whose bytes do not come back has no tokens
+        broken = np.fromiter((x is None for x in ids), bool, len(ids))
+        whole = np.bincount(doc, weights=broken[at], minlength=n_docs) == 0
+        ids = [x or (b"", b"") for x in ids]
+        place = np.cumsum(~broken) - 1
+        found = aligned([x for x, b in zip(ids, broken.tolist(), strict=True) if not b], both)
+        at, doc = place[at[whole[doc]]], doc[whole[doc]]
+        sizes = np.bincount(doc, minlength=n_docs)
+        ends = np.cumsum(sizes)
+        sums = []
+        for values in (found.n_a, found.n_b, found.n_groups, found.n_links):
+            total = np.concatenate([[0], np.cumsum(values[at])])
+            sums.append(total[ends] - total[ends - sizes])
+        for start in range(0, n_docs, 500):
+            some = slice(start, min(start + 500, n_docs))
+            texts = [
+                b"".join(map(found.groups.__getitem__, at[e - n : e].tolist()))[:-1].decode()
+                for e, n in zip(ends[some].tolist(), sizes[some].tolist(), strict=True)
+            ]
+            n = len(texts)
+            none = [[None] * n] * 6
+            columns = [self.ids[some], *(x[some] for x in sums), texts]
+            yield from rows_of(ROW_ARROW, [[block] * n, list(range(start, start + n)), *columns, *none])
+        if len(at):
+            yield from self._pairs(block, found, at, doc, n_docs)
+
+    @staticmethod
+    def _pairs(block: int, found: Aligned, at: np.ndarray, doc: np.ndarray, n_docs: int) -> Iterator[pa.RecordBatch]:
+        pairs, number = distinct(found.links)
         order = np.argsort(_shard_hash(pairs), kind="stable")  # shards are ranges of the hash
         place = np.empty(len(pairs), np.int64)
         place[order] = np.arange(len(pairs))
         pairs, number = pairs[order], place[number]
-        starts = np.cumsum(sizes) - sizes
-        doc = np.repeat(np.arange(n), [len(x) for x in self.at])
-        once, seen = np.unique(np.concatenate(self.at) * n_docs + doc, return_counts=True)
-        at, doc = np.divmod(once, n_docs)
-        wide = sizes[at]
+        starts = np.cumsum(found.n_links) - found.n_links
+        key = np.sort(at * n_docs + doc)  # how often a document holds a stretch
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        seen = np.diff(first, append=len(key))
+        at, doc = np.divmod(key[first], n_docs)
+        wide = found.n_links[at]
         inner = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
         key = number[np.repeat(starts[at], wide) + inner] * n_docs + np.repeat(doc, wide)
-        seen = np.repeat(seen, wide)
-        by_key = np.argsort(key, kind="stable")
-        key, seen = key[by_key], seen[by_key]
+        by_key = np.argsort(key)
+        key, seen = key[by_key], np.repeat(seen, wide)[by_key]
         first = np.flatnonzero(np.diff(key, prepend=-1))
         pair, doc = np.divmod(key[first], n_docs)
         planes = planes_of(pair, doc, np.add.reduceat(seen, first), len(pairs), n_docs)
@@ -322,28 +394,37 @@ class _Block:
         with pa.ipc.new_stream(sink, PLANE_ARROW) as writer:
             writer.write_table(pa.Table.from_pylist(planes, PLANE_ARROW))
         values = [_zip(pairs, "<i8"), _zip(n_held, "<u4"), _zip(n_links, "<i8"), sink.getvalue().to_pybytes()]
-        blank = [[None]] * 7
-        yield from rows_of(ROW_ARROW, [[block], *blank, [len(pairs)], [n_docs], *([v] for v in values)])
+        yield from rows_of(ROW_ARROW, [[block], *([[None]] * 7), [len(pairs)], [n_docs], *([v] for v in values)])
+
+
+def _encoded(names: list[str], seen: np.ndarray, both: Pieces, known: dict, most_known: int) -> list:
+    """Ids of each stretch; those that come more than once in a block are remembered for the next."""
+    out = [known.get(s, 0) for s in names]
+    new = [i for i, x in enumerate(out) if x == 0]
+    for start in range(0, len(new), 20_000):
+        part = new[start : start + 20_000]
+        for i, ids in zip(part, both.encode([names[i] for i in part]), strict=True):
+            out[i] = ids
+    often = [i for i in new if seen[i] > 1]
+    if len(known) + len(often) > most_known:
+        known.clear()  # memory stays bounded; these are encoded again
+    known.update((names[i], out[i]) for i in often[:most_known])
+    return out
 
 
 def blocks(
-    batches: Iterable[pa.RecordBatch], path_a: str, path_b: str, most_links: int, most_known: int
+    batches: Iterable[pa.RecordBatch], path_a: str, path_b: str, most_held: int, most_known: int
 ) -> Iterator[pa.RecordBatch]:
     both, known = pieces(path_a, path_b), _known.setdefault((path_a, path_b), {})
     number, held = TaskContext.get().partitionId() << 32, _Block()
-    for batch in small(batches, 128):
-        ids = batch.column("doc_id").to_pylist()
-        cut = [both.stretches(" " + t) if t else [] for t in batch.column("text").to_pylist()]
-        for start in range(0, len(cut), 16):
-            part = cut[start : start + 16]
-            _stretches(both, known, part, most_known)
-            for doc_id, stretches in zip(ids[start : start + 16], part, strict=True):
-                held.add(doc_id, stretches, known)
-                if held.links >= most_links or len(held.docs) >= 1 << 16:
-                    yield from held.rows(number)
-                    number, held = number + 1, _Block()
-    if held.docs:
-        yield from held.rows(number)
+    for batch in small(batches):
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            held.add(doc_id, both.stretches(" " + text) if text and "▁" not in text else [])
+            if held.size >= most_held or len(held.ids) >= 1 << 16:
+                yield from held.rows(number, both, known, most_known)
+                number, held = number + 1, _Block()
+    if held.ids:
+        yield from held.rows(number, both, known, most_known)
 
 
 def entries(batches: Iterable[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
@@ -377,7 +458,7 @@ def _links(table: pa.Table) -> np.ndarray:
 
 def count(key: tuple, table: pa.Table) -> pa.Table:
     """Documents and links of each pair of one shard, over all blocks."""
-    pairs, at = np.unique(_all(table, "pairs", "<i8"), return_inverse=True)
+    pairs, at = distinct(_all(table, "pairs", "<i8"))
     docs, links = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
     np.add.at(docs, at, _all(table, "n_docs", "<u4"))
     np.add.at(links, at, _links(table))
@@ -424,13 +505,13 @@ def hand_back(_key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
 
 
 def _written(
-    docs: DataFrame, path_a: str | None, path_b: str | None, most_links: int, most_known: int, groups: Column
+    docs: DataFrame, path_a: str | None, path_b: str | None, most_held: int, most_known: int, groups: Column
 ) -> DataFrame:
     """Rows of documents and of blocks, in one table of the shared folder."""
     path_a = path_a or public_tokenizers.path("byte_bpe_50k.json")
     path_b = path_b or public_tokenizers.path("piece_bpe_32k.model")
     cut = docs.select("doc_id", "text").mapInArrow(
-        partial(blocks, path_a=path_a, path_b=path_b, most_links=most_links, most_known=most_known), ROW
+        partial(blocks, path_a=path_a, path_b=path_b, most_held=most_held, most_known=most_known), ROW
     )
     return stage(cut.withColumn("groups", groups), "alignment")
 
@@ -449,11 +530,11 @@ def _counted(held: DataFrame, most_entries: int) -> tuple[DataFrame, DataFrame]:
 
 
 def pair_counts(
-    docs: DataFrame, path_a: str | None = None, path_b: str | None = None, most_links: int = 2_000_000, most_known: int = 150_000,
+    docs: DataFrame, path_a: str | None = None, path_b: str | None = None, most_held: int = 1_500_000, most_known: int = 150_000,
     most_entries: int = 1_000_000,
 ) -> DataFrame:
     """a, b, docs, links: for each linked pair of ids the documents that hold it and its links in all."""
-    held = _written(docs, path_a, path_b, most_links, most_known, F.lit(None).cast("string"))
+    held = _written(docs, path_a, path_b, most_held, most_known, F.lit(None).cast("string"))
     _, pairs = _counted(held, most_entries)
     return pairs.select(F.shiftright("pair", 32).cast("int").alias("a"), "b", "docs", "links")
 
@@ -463,7 +544,7 @@ def align(
     path_a: str | None = None,
     path_b: str | None = None,
     groups: Column | None = None,
-    most_links: int = 2_000_000,
+    most_held: int = 1_500_000,
     most_known: int = 150_000,
     most_entries: int = 1_000_000,
 ) -> DataFrame:
@@ -474,10 +555,10 @@ def align(
     the most links of all pairs with that B id, ``count_sum`` the links of the pair summed over
     the links. Texts that are null or empty, or whose tokens do not give their bytes back (B
     has no U+2581 of its own), have zeros and no groups; null and repeated ids each come out.
-    Other columns are ignored, an empty table gives an empty result. ``most_links`` bounds a
-    block, ``most_known`` what a worker remembers, ``most_entries`` a shard on average.
+    Other columns are ignored, an empty table gives an empty result. ``most_held`` bounds the
+    stretches of a block, ``most_known`` what a worker remembers, ``most_entries`` a shard on average.
     """
-    held = _written(docs, path_a, path_b, most_links, most_known, F.col("groups") if groups is None else groups)
+    held = _written(docs, path_a, path_b, most_held, most_known, F.col("groups") if groups is None else groups)
     keyed, pairs = _counted(held, most_entries)
     highest = pairs.groupBy("b").agg(F.max("links").alias("top"))
     ranked = pairs.join(highest, "b").select("shard", "pair", "links", (F.col("links") == F.col("top")).alias("best"))
