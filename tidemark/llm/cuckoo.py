@@ -6,6 +6,7 @@ import numpy as np
 
 SLOTS = 4
 LOAD = 0.8  # of all slots, when a filter is made
+FULL = 0.95  # of all slots: more do not fit
 SPREAD = np.uint64(0x9E3779B97F4A7C15)  # an odd number that spreads fingerprints over buckets
 
 
@@ -56,6 +57,8 @@ class CuckooFilter:
 
     def add(self, hashes: np.ndarray, most_kicks: int = 500) -> bool:
         """False if there is no room: the filter is then void and a larger one is due."""
+        if np.count_nonzero(self.table) + len(hashes) > FULL * self.table.size:
+            return False
         mark, bucket = self._mark(hashes)
         for kick in range(most_kicks):
             if not len(mark):
