@@ -8,7 +8,7 @@ from tidemark.catalog import evaluate as ce
 from tidemark.catalog import views as v
 from tidemark.operators.gates import SignalRules, signal_rules
 from tidemark.session import workspace_dir
-from tidemark.streaming import features, replay, signals, sources, state
+from tidemark.streaming import features, outcomes, replay, signals, sources, state
 
 BATCHES, FILES = 3, 4
 
@@ -18,16 +18,45 @@ def event_stream(spark, sf):
     ev = v.table(spark, sf, "events")
     path = workspace_dir(spark, "event_files")
     lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
-    cuts = [lo + (hi - lo) * i / BATCHES for i in range(1, BATCHES)]
-    for i in range(BATCHES):
-        after = F.col("ts") >= F.lit(cuts[i - 1]) if i else F.lit(True)
-        before = F.col("ts") < F.lit(cuts[i]) if i < BATCHES - 1 else F.lit(True)
-        ev.where(after & before).repartition(FILES).write.mode("append").parquet(path)
+    _in_batches(ev, F.col("ts"), lo, hi, path)
     return sources.file_stream(spark, path, ev.schema, files_per_batch=FILES).withColumn(
         "k", F.get_json_object("props", "$.k").cast("int")
     )
 
 
+def _in_batches(rows, arrival, lo, hi, path):
+    """Rows written as files of a few batches, by their time of arrival; those without one come first."""
+    if lo is None:
+        rows.write.mode("append").parquet(path)
+        return
+    cuts = [lo + (hi - lo) * i / BATCHES for i in range(1, BATCHES)]
+    for i in range(BATCHES):
+        after = arrival >= F.lit(cuts[i - 1]) if i else F.lit(True)
+        before = arrival < F.lit(cuts[i]) if i < BATCHES - 1 else F.lit(True)
+        here = after & before if i else F.coalesce(before, F.lit(True))
+        rows.where(here).repartition(FILES).write.mode("append").parquet(path)
+
+
+HEARTBEAT = "heartbeat"
+
+
+def unordered_stream(spark, sf, late_s, quiet_s):
+    """The events as a stream whose rows come up to ``late_s`` seconds late, then a heartbeat ``quiet_s`` after the last."""
+    ev = v.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    path = workspace_dir(spark, "unordered_files")
+    arrival = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(late_s * 1_000_000)))
+    arrival = arrival.cast(ev.schema["ts"].dataType)
+    lo, hi = ev.agg(F.min(arrival), F.max(arrival)).first()
+    _in_batches(ev, arrival, lo, hi, path)
+    if hi is not None:
+        beat = ev.agg(F.max("ts").alias("ts")).select(
+            F.lit(None).cast("bigint").alias("event_id"), (F.col("ts") + F.expr(f"INTERVAL {quiet_s} SECOND")).alias("ts"),
+            F.lit(None).cast(ev.schema["user_id"].dataType).alias("user_id"), F.lit(HEARTBEAT).alias("event_type"), F.lit(None).cast("double").alias("value"),
+        )
+        beat.coalesce(1).write.mode("append").parquet(path)
+    return sources.file_stream(spark, path, ev.schema, files_per_batch=FILES)
+
+
 SYMBOLS = 16  # reference instruments; users follow one of them
 
 
@@ -206,6 +235,35 @@ def stream_outcomes(spark, sf):
     return out.select("market_id", "signal_id", _us("entry_us", "entry_ts"), "entry_price", _us("exit_us", "exit_ts"), "exit_price", F.round("pnl", 9).alias("pnl"))
 
 
+LATE_S, LATENCY_S, HORIZON_S, EXPIRE_S = 7_200, 3_600, 86_400, 172_800
+
+
+def stream_delayed_outcomes(spark, sf):
+    """Outcomes of signals of both sides from a feed out of order; every signal closes by exit or by timer."""
+    ev = unordered_stream(spark, sf, LATE_S, 2 * LATE_S + LATENCY_S + HORIZON_S + EXPIRE_S)
+    m, i, bid = F.col("user_id").cast("string"), F.col("event_id"), F.col("value") / 500
+    sig = ev.where("event_type = 'signup'").select(
+        m.alias("market_id"), i.alias("signal_id"), "ts", F.when(i % 3 == 0, "DOWN").otherwise("UP").alias("direction")
+    )
+    ask = bid + 0.02
+    quo = ev.where("event_type IN ('view', 'click')").select(
+        m.alias("market_id"), i.alias("row_id"), "ts",
+        F.when(i % 17 != 0, bid).alias("yes_bid"), F.when(i % 13 != 0, ask).alias("yes_ask"),
+        F.when(i % 13 != 0, 1 - ask).alias("no_bid"), F.when(i % 17 != 0, 1 - bid).alias("no_ask"),
+        (i % 7 == 0).alias("yes_stale"), (i % 11 == 0).alias("yes_crossed"), (i % 5 == 0).alias("no_stale"), (i % 19 == 0).alias("no_crossed"),
+    )
+    out = outcomes.delayed_outcomes(
+        sig, quo, latency_ms=LATENCY_S * 1000, horizon_s=HORIZON_S, expire_s=EXPIRE_S, delay=f"{LATE_S} seconds",
+        clock=ev.where(F.col("event_type") == HEARTBEAT).select("ts"),
+    )
+    out = outcomes.with_result(sources.drain(out, "stream_delayed_outcomes"), shares=6.0)
+    flags = ("entry_quote_stale", "entry_crossed_quote", "exit_quote_stale", "exit_crossed_quote")
+    return out.select(
+        "market_id", "signal_id", "direction", "closed_by", _us("entry_us", "entry_ts"), _us("exit_us", "exit_ts"), *flags,
+        *[F.round(c, 9).alias(c) for c in ("entry_price", "exit_price", "pnl", "roi", "entry_fee", "exit_fee", "net_pnl", "net_pnl_total")],
+    )
+
+
 def stream_drawdown_events(spark, sf):
     ev = event_stream(spark, sf).withColumn("pnl", F.col("value") - 50)
     out = sources.drain(state.drawdown_events(ev, account="user_id", ts="ts", tie="event_id", pnl="pnl", threshold=50.0), "stream_drawdown")
@@ -259,7 +317,7 @@ def replay_signals(spark, sf):
 
 QUERIES = {
     n: f for n, f in list(globals().items())
-    if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n != "event_stream"
+    if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("event_stream", "unordered_stream")
 }
 
 _SAMPLES = f"""{v.PRED}, x AS (SELECT event_id, market_id, sample_ts, 'UP' AS direction, p_up AS p, time_to_expiry_seconds AS tte, CASE WHEN event_id % 17 <> 0 THEN (event_id % 6) / 100.0 END AS sp FROM pred
@@ -317,6 +375,21 @@ ORACLES = {
       q AS (SELECT CAST(user_id AS VARCHAR) AS market_id, ts, value / 500 AS bid, value / 500 + 0.02 AS ask FROM events WHERE event_type IN ('view', 'click'))
       SELECT s.market_id, s.signal_id, r.ts AS entry_ts, r.ask AS entry_price, r.xts AS exit_ts, r.xbid AS exit_price, round(r.xbid - r.ask, 9) AS pnl
       FROM s LEFT JOIN (SELECT s.signal_id, e.ts, e.ask, x.ts AS xts, x.bid AS xbid FROM s ASOF JOIN q e ON e.market_id = s.market_id AND s.ts + INTERVAL 1 HOUR <= e.ts ASOF JOIN q x ON x.market_id = s.market_id AND s.ts + INTERVAL 25 HOUR <= x.ts) r USING (signal_id)""",
+    "stream_delayed_outcomes": f"""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS market_id, event_id AS signal_id, ts, CASE WHEN event_id % 3 = 0 THEN 'DOWN' ELSE 'UP' END AS direction FROM events WHERE event_type = 'signup'),
+      q AS (SELECT CAST(user_id AS VARCHAR) AS market_id, ts, event_id AS i, value / 500 AS b, value / 500 + 0.02 AS a FROM events WHERE event_type IN ('view', 'click')),
+      d AS (SELECT market_id, ts, 'UP' AS direction, CASE WHEN i % 17 <> 0 THEN b END AS bid, CASE WHEN i % 13 <> 0 THEN a END AS ask, i % 7 = 0 AS stale, i % 11 = 0 AS crossed FROM q
+        UNION ALL SELECT market_id, ts, 'DOWN', CASE WHEN i % 13 <> 0 THEN 1 - a END, CASE WHEN i % 17 <> 0 THEN 1 - b END, i % 5 = 0, i % 19 = 0 FROM q),
+      e AS (SELECT s.*, s.ts + INTERVAL {LATENCY_S + HORIZON_S} SECOND AS due, s.ts + INTERVAL {LATENCY_S + HORIZON_S + EXPIRE_S} SECOND AS last, d.ts AS ets, d.ask, d.stale, d.crossed
+        FROM s ASOF LEFT JOIN (SELECT * FROM d WHERE ask IS NOT NULL) d ON d.market_id = s.market_id AND d.direction = s.direction AND s.ts + INTERVAL {LATENCY_S} SECOND <= d.ts),
+      x AS (SELECT e.*, ets <= last AS entered, d.ts AS xts, d.bid, d.stale AS xstale, d.crossed AS xcrossed
+        FROM e ASOF LEFT JOIN (SELECT * FROM d WHERE bid IS NOT NULL) d ON d.market_id = e.market_id AND d.direction = e.direction AND greatest(e.due, e.ets) <= d.ts),
+      o AS (SELECT *, entered AND xts <= last AS exited FROM x),
+      r AS (SELECT market_id, signal_id, direction, CASE WHEN exited THEN 'exit' ELSE 'expiry' END AS closed_by, CASE WHEN entered THEN ets END AS entry_ts, CASE WHEN exited THEN xts END AS exit_ts,
+        CASE WHEN entered THEN stale END AS entry_quote_stale, CASE WHEN entered THEN crossed END AS entry_crossed_quote, CASE WHEN exited THEN xstale END AS exit_quote_stale, CASE WHEN exited THEN xcrossed END AS exit_crossed_quote,
+        CASE WHEN entered THEN ask END AS p, CASE WHEN exited THEN bid END AS y FROM o),
+      f AS (SELECT *, y - p AS g, CASE WHEN y IS NOT NULL THEN 0.07 * least(greatest(p, 0), 1) * (1 - least(greatest(p, 0), 1)) END AS ef, CASE WHEN y IS NOT NULL THEN 0.07 * least(greatest(y, 0), 1) * (1 - least(greatest(y, 0), 1)) END AS xf FROM r)
+      SELECT market_id, signal_id, direction, closed_by, entry_ts, exit_ts, entry_quote_stale, entry_crossed_quote, exit_quote_stale, exit_crossed_quote, round(p, 9) AS entry_price, round(y, 9) AS exit_price,
+        round(g, 9) AS pnl, round(CASE WHEN p > 0 THEN g / p END, 9) AS roi, round(ef, 9) AS entry_fee, round(xf, 9) AS exit_fee, round(g - ef - xf - 0.0025, 9) AS net_pnl, round(6.0 * (g - ef - xf - 0.0025), 9) AS net_pnl_total FROM f""",
     "stream_drawdown_events": """WITH a AS (SELECT *, sum(value - 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cum FROM events),
       b AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS peak FROM a),
       c AS (SELECT *, floor((peak - cum) / 50.0) * 50.0 AS lvl FROM b), d AS (SELECT *, coalesce(max(lvl) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
