@@ -27,7 +27,7 @@ def quote_events_normalized(spark, sf):
 
 
 def quote_state_ffill(spark, sf):
-    st = q.asset_quote_state(quote_events(spark, sf))
+    st = q.asset_quote_state(quote_events(spark, sf), bucket_seconds=None)
     return st.select(
         "market_id", "asset_id", v.naive("ts_event"), "source", "current_bid", "current_ask",
         "current_bid_size", "current_ask_size", "mid", "spread", "crossed_quote",
@@ -119,7 +119,7 @@ def asof_bucketed_single(spark, sf):
     ev = v.table(spark, sf, "events")
     left = ev.where("event_type = 'view'").select("event_id", "ts")
     right = ev.where("event_type = 'purchase'").select(F.col("ts").alias("p_ts"), F.col("value").alias("p_value"))
-    out = asof_join(left, right, left_ts="ts", right_ts="p_ts", match_ts="matched_ts", bucket_seconds=7_200)
+    out = asof_join(left, right, left_ts="ts", right_ts="p_ts", match_ts="matched_ts")
     return out.select("event_id", v.naive("matched_ts"), "p_value")
 
 

@@ -59,7 +59,7 @@ def trade_flow_rolling(spark, sf):
 def returns_realized_vol(spark, sf):
     """Log returns and volatility over the last 20 ticks of the single instrument."""
     t = v.ticks(spark, sf)
-    out = ins.tick_volatility(t, keys=["symbol"], value="bid_price", n=20, tie=["event_id"], bucket_seconds=86_400)
+    out = ins.tick_volatility(t, keys=["symbol"], value="bid_price", n=20, tie=["event_id"])
     return out.select("event_id", *_round(["log_return", "vol_20_ticks"], 8))
 
 

@@ -12,8 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.borders import MOST_ROWS, row_buckets, salt_of
 from tidemark.operators.scan import bucket_start, micros
 
+FIRST = -(1 << 62)  # before any time
+
 
 def asof_join(
     left: DataFrame,
@@ -29,14 +32,17 @@ def asof_join(
     prefix: str = "",
     match_ts: str | None = None,
     allow_exact: bool = True,
-    bucket_seconds: int = 3_600,
+    bucket_seconds: int | None = None,
+    most_rows: int = MOST_ROWS,
 ) -> DataFrame:
     """Left join each left row with one right row of the same key.
 
     ``backward`` takes the last right row with ``right_ts <= left_ts`` (the last by
     ``tie`` among equal times); ``forward`` the first with ``right_ts >= left_ts``.
     ``tolerance`` (seconds, inclusive) drops matches further away. Right columns come
-    back as ``prefix + name``, the matched time as ``match_ts`` when named.
+    back as ``prefix + name``, the matched time as ``match_ts`` when named. A bucket holds
+    about ``most_rows`` rows of both sides together, or, where ``bucket_seconds`` is given,
+    the rows of that time.
     """
     if direction not in ("backward", "forward"):
         raise ValueError("direction must be 'backward' or 'forward'")
@@ -46,7 +52,8 @@ def asof_join(
         right_cols if right_cols is not None else [c for c in right.columns if c not in keys and c != right_ts]
     )
     tol = None if tolerance is None else int(round(tolerance * 1_000_000))
-    width = bucket_seconds * 1_000_000 if tol is None else max(bucket_seconds * 1_000_000, tol)
+    by_rows = bucket_seconds is None
+    width = 0 if by_rows else max(bucket_seconds * 1_000_000, tol or 0)
 
     kcols = [f"__k{i}" for i in range(len(keys))]
     tcols = [f"__t{i}" for i in range(len(tie))]
@@ -63,7 +70,6 @@ def asof_join(
             *[F.col(t).alias(a) for t, a in zip(tie, tcols)],
             payload.alias("__r"),
         )
-        .withColumn("__b", bucket_start(F.col("__o"), width))
     )
     # left columns stay flat: the join keys double as the key columns
     rest = [c for c in left.columns if c not in keys]
@@ -72,7 +78,11 @@ def asof_join(
         *[F.col(k).alias(a) for k, a in zip(keys, kcols)],
         directed(left_ts).alias("__o"),
         *[F.col(c).alias(a) for c, a in zip(rest, lcols)],
-    ).withColumn("__b", bucket_start(F.col("__o"), width))
+    )
+    if by_rows:
+        rights, lefts = _by_rows(rights, lefts, kcols, tcols, 1 if back == allow_exact else -1, back, most_rows)
+    else:
+        rights, lefts = (x.withColumn("__b", bucket_start(F.col("__o"), width)) for x in (rights, lefts))
 
     by = [*kcols, "__b"]
     # last right row of a bucket in walking direction
@@ -81,7 +91,7 @@ def asof_join(
     else:
         newest = F.min_by("__r", F.when(F.col("__r").isNotNull(), F.struct(-F.col("__o"), *tcols)))
 
-    if tol is not None:
+    if tol is not None and not by_rows:
         # a bucket is at least as wide as the tolerance: only the previous one can reach in
         carry = (
             rights.groupBy(*by)
@@ -103,7 +113,7 @@ def asof_join(
             .where("__kind = 0 AND __r IS NOT NULL")
             .drop("__kind")
         )
-    carry = carry.withColumn("__o", F.col("__b")).withColumn("__side", F.lit(-2))
+    carry = carry.withColumn("__o", F.lit(FIRST) if by_rows else F.col("__b")).withColumn("__side", F.lit(-2))
 
     everything = (
         rights.withColumn("__side", F.lit(0))
@@ -132,6 +142,26 @@ def asof_join(
     return matched.select(*out)
 
 
+def _by_rows(
+    rights: DataFrame, lefts: DataFrame, keys: Sequence[str], ties: Sequence[str], side: int, back: bool, most_rows: int
+) -> list[DataFrame]:
+    """Both sides with ``__b``, a bucket of about ``most_rows`` rows in walking order.
+
+    Borders run forward in time: (time, right or left, ties); ``side`` says whether left rows
+    come after (1) or before (-1) the right rows of their instant. Left rows of one instant
+    may be parted anywhere, so a hash of the row parts them.
+    """
+    us = F.col("__o") if back else -F.col("__o")
+    kinds = {t: rights.schema[t].dataType for t in ties}
+    whole = F.struct(us.alias("us"), F.lit(0).alias("side"), *ties, F.lit(0).cast("bigint").alias("salt"))
+    none = [F.lit(None).cast(kinds[t]).alias(t) for t in ties]
+    row = F.struct(us.alias("us"), F.lit(side).alias("side"), *none, salt_of(lefts).alias("salt"))
+    dealt = row_buckets(
+        [rights.withColumn("__order", whole), lefts.withColumn("__order", row)], keys=keys, order="__order", most_rows=most_rows, name="__b"
+    )
+    return [x.withColumn("__b", F.col("__b") if back else -F.col("__b")).drop("__order") for x in dealt]
+
+
 def asof_offsets(
     base: DataFrame,
     quotes: DataFrame,
@@ -145,7 +175,7 @@ def asof_offsets(
     tolerance: float | None = 1.0,
     tie: Sequence[str] = (),
     name: str = "quotes_at",
-    bucket_seconds: int = 3_600,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Forward lookups at ``base_ts + offset`` for several offsets in one as-of pass.
 
@@ -198,7 +228,8 @@ def nearest_join(
     tie: Sequence[str] = (),
     match_ts: str = "nearest_ts",
     abs_ms: str = "abs_ms",
-    bucket_seconds: int = 3_600,
+    bucket_seconds: int | None = None,
+    most_rows: int = MOST_ROWS,
 ) -> DataFrame:
     """Right row with the smallest time distance (the earlier one when equal).
 
@@ -206,7 +237,6 @@ def nearest_join(
     linear; a join on the key would build every pair of a hot key.
     """
     keys = list(on)
-    width = bucket_seconds * 1_000_000
     kcols = [f"__k{i}" for i in range(len(keys))]
     tcols = [f"__t{i}" for i in range(len(tie))]
     by = [*kcols, "__b"]
@@ -218,13 +248,16 @@ def nearest_join(
             *[F.col(t).alias(a) for t, a in zip(tie, tcols)],
             F.struct(micros(right_ts).alias("__ts"), *right_cols).alias("__r"),
         )
-        .withColumn("__b", bucket_start(F.col("__o"), width))
     )
     lefts = left.select(
         *[F.col(k).alias(a) for k, a in zip(keys, kcols)],
         micros(left_ts).alias("__o"),
         F.struct(*left.columns).alias("__l"),
-    ).withColumn("__b", bucket_start(F.col("__o"), width))
+    )
+    if bucket_seconds is None:
+        rights, lefts = _by_rows(rights, lefts, kcols, tcols, 1, True, most_rows)
+    else:
+        rights, lefts = (x.withColumn("__b", bucket_start(F.col("__o"), bucket_seconds * 1_000_000)) for x in (rights, lefts))
 
     at = F.struct("__o", *tcols)
     part = Window.partitionBy(*(kcols or [F.lit(0)]))
@@ -251,8 +284,8 @@ def nearest_join(
         *by,
         F.explode(
             F.array(
-                F.struct(F.col("__b").alias("o"), F.lit(-2).alias("side"), F.col("__last").alias("r")),
-                F.struct((F.col("__b") + width).alias("o"), F.lit(3).alias("side"), F.col("__first").alias("r")),
+                F.struct(F.lit(FIRST).alias("o"), F.lit(-2).alias("side"), F.col("__last").alias("r")),
+                F.struct(F.lit(-FIRST).alias("o"), F.lit(3).alias("side"), F.col("__first").alias("r")),
             )
         ).alias("__c"),
     ).select(*by, F.col("__c.o").alias("__o"), F.col("__c.side").alias("__side"), F.col("__c.r").alias("__r"))

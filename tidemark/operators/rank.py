@@ -65,11 +65,11 @@ def time_split(
     train: float = 0.70,
     valid: float = 0.15,
     test: float = 0.15,
-    bucket_seconds: int = 86_400,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Chronological train / valid / test by row position."""
     _check_ratios(train, valid, test)
-    indexed = row_index(df, keys=[], bucket=time_bucket(ts, bucket_seconds), order=[micros(ts), *tie], name="__idx")
+    indexed = row_index(df, keys=[], bucket=None if bucket_seconds is None else time_bucket(ts, bucket_seconds), order=[micros(ts), *tie], name="__idx")
     n = df.agg(F.count("*").alias("__n"))
     full = null_safe_join(indexed, n, [])
     return full.withColumn("split", _split_label(F.col("__idx"), F.col("__n"), train, valid)).drop("__idx", "__n")
@@ -83,7 +83,7 @@ def entity_split_map(
     train: float = 0.70,
     valid: float = 0.15,
     test: float = 0.15,
-    bucket_seconds: int = 86_400,
+    bucket_seconds: int | None = 86_400,
 ) -> DataFrame:
     """(entity, split): whole entities in order of their first time; null times drop out."""
     first = df.groupBy(entity).agg(F.min(ts).alias("__first")).dropna(subset=["__first"])

@@ -22,6 +22,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.borders import MOST_ROWS, row_buckets
+
 _AGG = {
     "sum": F.sum,
     "max": F.max,
@@ -71,8 +73,9 @@ def prefix_scan(
     df: DataFrame,
     *,
     keys: Sequence[str],
-    bucket: Column,
     order: Sequence[Column | str],
+    bucket: Column | None = None,
+    most_rows: int = MOST_ROWS,
     sums: Mapping[str, Column] | None = None,
     maxs: Mapping[str, Column] | None = None,
     mins: Mapping[str, Column] | None = None,
@@ -80,8 +83,9 @@ def prefix_scan(
 ) -> DataFrame:
     """Add running aggregates (rows from the first up to this one) to ``df``.
 
-    ``bucket`` must not decrease along ``order`` within a key. ``lasts`` is the last
-    non-null value, i.e. a forward fill. ``order`` must be a total order.
+    Buckets hold about ``most_rows`` rows; a ``bucket`` of the caller's must not decrease
+    along ``order`` within a key. ``lasts`` is the last non-null value, i.e. a forward fill.
+    ``order`` must be a total order.
     """
     specs: list[tuple[str, str, Column]] = []
     for kind, group in (("sum", sums), ("max", maxs), ("min", mins), ("last", lasts)):
@@ -91,10 +95,13 @@ def prefix_scan(
 
     rows = df.select(
         "*",
-        bucket.alias("__bucket"),
+        *([] if bucket is None else [bucket.alias("__bucket")]),
         *[expr.alias(f"__in_{name}") for name, _, expr in specs],
         *[expr.alias(o) for expr, o in zip(orders, ocols)],
     )
+    if bucket is None:
+        ordered = rows.withColumn("__order", F.struct(*ocols))
+        rows = row_buckets([ordered], keys=keys, order="__order", most_rows=most_rows, name="__bucket")[0].drop("__order")
     by = [*keys, "__bucket"]
     reduced = rows.groupBy(*by).agg(
         *[
@@ -158,13 +165,15 @@ def forward_fill(
     ts: str,
     tie: Sequence[str | Column] = (),
     fills: Mapping[str, Column],
-    bucket_seconds: int = 86_400,
+    bucket_seconds: int | None = None,
+    most_rows: int = MOST_ROWS,
 ) -> DataFrame:
     """Last non-null value of each expression up to the row, per key in time order."""
     return prefix_scan(
         df,
         keys=keys,
-        bucket=time_bucket(ts, bucket_seconds),
+        bucket=None if bucket_seconds is None else time_bucket(ts, bucket_seconds),
+        most_rows=most_rows,
         order=[micros(ts), *tie],
         lasts=fills,
     )
@@ -174,13 +183,14 @@ def row_index(
     df: DataFrame,
     *,
     keys: Sequence[str],
-    bucket: Column,
     order: Sequence[Column | str],
+    bucket: Column | None = None,
+    most_rows: int = MOST_ROWS,
     name: str = "row_idx",
 ) -> DataFrame:
     """Zero-based position of the row in its key's order."""
     out = prefix_scan(
-        df, keys=keys, bucket=bucket, order=order, sums={name: F.lit(1).cast("bigint")}
+        df, keys=keys, bucket=bucket, most_rows=most_rows, order=order, sums={name: F.lit(1).cast("bigint")}
     )
     return out.withColumn(name, F.col(name) - 1)
 

@@ -7,10 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.borders import MOST_ROWS, row_buckets
 from tidemark.operators.cooldown import cooldown_thin
 from tidemark.operators.pick import first_per_group
 from tidemark.operators.quantile import group_quantiles, null_safe_join
-from tidemark.operators.scan import micros, prefix_scan, row_index, time_bucket
+from tidemark.operators.scan import bucket_start, micros, prefix_scan, row_index, time_bucket
 
 # Selection modes and their cooldown in seconds (None = first only).
 MODES = {
@@ -82,14 +83,15 @@ def max_drawdown(
     tie: Sequence[str],
     value: str,
     within: str | None = None,
-    bucket_seconds: int = 86_400,
+    bucket_seconds: int | None = None,
+    most_rows: int = MOST_ROWS,
     name: str = "max_drawdown",
 ) -> DataFrame:
     """Largest fall of the running sum below its running peak, per group (≥ 0).
 
     The peak starts at the first running sum, not at zero. Rows run in time order, or
     with ``within`` entity by entity (in entity order) and in time order inside one.
-    Each time bucket is reduced to (sum, peak, trough, own drawdown); these four
+    Each bucket (about ``most_rows`` rows, or a fixed time) is reduced to (sum, peak, trough, own drawdown); these four
     combine in order, so no task sees a whole group.
     """
     group = [*keys, *([within] if within else [])]
@@ -99,9 +101,13 @@ def max_drawdown(
         *group,
         F.col(value).cast("double").alias("__v"),
         micros(ts).alias("__us"),
-        time_bucket(ts, bucket_seconds).alias("__b"),
         *[F.col(t).alias(a) for t, a in zip(tie, ties)],
     )
+    if bucket_seconds is None:
+        ordered = rows.withColumn("__order", F.struct("__us", *ties))
+        rows = row_buckets([ordered], keys=group, order="__order", most_rows=most_rows, name="__b")[0].drop("__order")
+    else:
+        rows = rows.withColumn("__b", bucket_start(F.col("__us"), bucket_seconds * 1_000_000))
     inside = Window.partitionBy(*by).orderBy("__us", *ties).rowsBetween(Window.unboundedPreceding, 0)
     walked = rows.withColumn("__eq", F.sum("__v").over(inside)).withColumn(
         "__dd", F.max("__eq").over(inside) - F.col("__eq")
@@ -123,11 +129,17 @@ def equity_curve(
     tie: Sequence[str],
     value: str,
     points: int = 200,
-    bucket_seconds: int = 86_400,
+    bucket_seconds: int | None = None,
+    most_rows: int = MOST_ROWS,
 ) -> DataFrame:
     """Running sum and drawdown at every ⌊n / points⌋-th row and the last one."""
     order = [micros(ts), *tie]
-    bucket = time_bucket(ts, bucket_seconds)
+    if bucket_seconds is None:
+        ordered = df.withColumn("__order", F.struct(micros(ts), *tie))
+        df = row_buckets([ordered], keys=keys, order="__order", most_rows=most_rows)[0].drop("__order")
+        bucket = F.col("__rb")
+    else:
+        bucket = time_bucket(ts, bucket_seconds)
     eq = prefix_scan(
         df, keys=keys, bucket=bucket, order=order,
         sums={"cum_pnl": F.col(value), "__pos": F.lit(1).cast("bigint")},
@@ -156,7 +168,7 @@ def trade_metrics(
     means: Mapping[str, str] | None = None,
     quartiles: bool = False,
     within: str | None = None,
-    bucket_seconds: int = 86_400,
+    bucket_seconds: int | None = 86_400,
 ) -> DataFrame:
     """One row per group: trades, win rate, total / avg / median / std of pnl, drawdown.
 
@@ -282,6 +294,6 @@ def break_even(
     return best.select("__row.*").withColumn("break_even_cost", F.col(cost))
 
 
-def sequential_rows(df: DataFrame, *, ts: str, tie: Sequence[str], bucket_seconds: int = 86_400) -> DataFrame:
+def sequential_rows(df: DataFrame, *, ts: str, tie: Sequence[str], most_rows: int = MOST_ROWS) -> DataFrame:
     """Global row number in time order (``row_idx``)."""
-    return row_index(df, keys=[], bucket=time_bucket(ts, bucket_seconds), order=[micros(ts), *tie])
+    return row_index(df, keys=[], most_rows=most_rows, order=[micros(ts), *tie])

@@ -250,7 +250,7 @@ def settlement_metrics(trades: DataFrame, *, by: Sequence[str] = ()) -> DataFram
     )
     base = base.withColumn("sharpe_like", F.when(F.col("pnl_std") > 1e-12, F.col("avg_pnl") / F.col("pnl_std")))
     mid = group_quantiles(trades, keys=keys, value="roi", quantiles={"median_roi": 0.5})
-    dd = max_drawdown(trades, keys=keys, ts="sample_ts", tie=["event_id"], value="pnl").withColumn(
+    dd = max_drawdown(trades, keys=keys, ts="sample_ts", tie=["event_id"], value="pnl", bucket_seconds=86_400).withColumn(
         "max_drawdown", -F.col("max_drawdown")
     )
     return null_safe_join(null_safe_join(base, mid, keys), dd, keys)
@@ -336,7 +336,7 @@ def choose_threshold(
     ).select("*", F.explode(_choices(probabilities, lambda t: F.col("pred_prob") >= t)).alias("prob_threshold"))
     by = [*keys, "edge_threshold", "prob_threshold"]
     base = simple_metrics(fanned, keys=by, pnl="net_pnl").where(F.col("trades") >= min_trades)
-    dd = max_drawdown(fanned, keys=by, ts="sample_ts", tie=tie, value="net_pnl", within="market_id")
+    dd = max_drawdown(fanned, keys=by, ts="sample_ts", tie=tie, value="net_pnl", within="market_id", bucket_seconds=86_400)
     scored = null_safe_join(base, dd, by).withColumn("score", F.col("avg_pnl") - penalty * F.col("max_drawdown"))
     # of equal scores the first in grid order wins
     rank = F.struct("score", -F.col("edge_threshold"), -F.col("prob_threshold"))

@@ -75,7 +75,7 @@ def open_close(
     *,
     price: str = "mid_price",
     max_age: float | None = None,
-    bucket_seconds: int = 86_400,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Series value at each market's start and end (the last one at or before).
 

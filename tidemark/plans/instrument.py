@@ -147,11 +147,11 @@ def direction_labels(
 
 
 def tick_volatility(
-    ticks: DataFrame, *, keys: Sequence[str], value: str, n: int, tie: Sequence[str], bucket_seconds: int = 3_600
+    ticks: DataFrame, *, keys: Sequence[str], value: str, n: int, tie: Sequence[str], bucket_seconds: int | None = None
 ) -> DataFrame:
     """Sample deviation of log returns over the last ``n`` ticks (n - 1 returns at most)."""
     indexed = row_index(
-        ticks, keys=keys, bucket=time_bucket("ts_event", bucket_seconds), order=[micros("ts_event"), *tie],
+        ticks, keys=keys, bucket=None if bucket_seconds is None else time_bucket("ts_event", bucket_seconds), order=[micros("ts_event"), *tie],
         name="tick_idx",
     )
     rets = in_blocks(

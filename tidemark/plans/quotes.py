@@ -116,7 +116,7 @@ def _finish(df: DataFrame, prefix: str, bid: str, ask: str) -> DataFrame:
     )
 
 
-def asset_quote_state(events: DataFrame, *, bucket_seconds: int = 86_400) -> DataFrame:
+def asset_quote_state(events: DataFrame, *, bucket_seconds: int | None = 86_400) -> DataFrame:
     """State after each event of an asset: forward-filled sides, mid, spread, crossed flag."""
     moved = F.col("update_bid").isNotNull() | F.col("update_ask").isNotNull()
     filled = forward_fill(
@@ -157,7 +157,7 @@ def _order_struct(trade: str = "last_trade_price") -> Column:
     return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(parts)]).alias("event_order")
 
 
-def pair_quote_state(events: DataFrame, markets: DataFrame, *, bucket_seconds: int = 86_400) -> DataFrame:
+def pair_quote_state(events: DataFrame, markets: DataFrame, *, bucket_seconds: int | None = 86_400) -> DataFrame:
     """State of both sides of a market after each event of either side.
 
     ``markets`` is the dimension (market_id, yes_asset_id, no_asset_id). Both sides
