@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.cases import documents
 from tests.llm.test_exact_dedup import brute as copies
@@ -62,6 +64,25 @@ def test_stages_take_odd_tables(spark):
         function(spark, documents(spark, []), SF).collect()
 
 
+CLASHES = ["key", "copies", "digest", "sha", "points", "sifted", "score", "label", "node", "size", "piece", "component_id", "rows"]
+CLASHES += [f"_{c}" for c in CLASHES] + ["_mix_key", "_mix_copies", "_rows", "_share", "_copy", "_of", "_KEY", "keep_id", "_keep_sha"]
+CLASHES = list({c.lower(): c for c in CLASHES}.values())
+
+
+def test_stages_keep_columns_whose_names_clash(spark):
+    texts = ["one text here"] * 4 + ["another text of words", None]
+    docs = documents(spark, texts, ["a", "a", "b", None, "b", "a"])
+    for i, c in enumerate(CLASHES):
+        docs = docs.withColumn(c, F.lit(i))
+    mine = {c: i for i, c in enumerate(CLASHES)}
+    for name, function in corpus_pipeline.STAGES:
+        result = function(spark, docs, SF)
+        rows = [r.asDict() for r in result.collect()]
+        if name != "best-fit packing":
+            assert result.columns == docs.columns and rows
+            assert all({c: r[c] for c in CLASHES} == mine for r in rows)
+
+
 def test_packing_is_deterministic():
     histogram = {7: 30, 900: 11, 4000: 3, 4096: 2}
     assert packing.pack_histogram(histogram) == packing.pack_histogram(dict(reversed(histogram.items())))

@@ -33,6 +33,17 @@ def few_rows_at_once(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, with as many ``_`` behind them as it takes to clash with no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that few texts are Python objects at a time."""
     for batch in batches:

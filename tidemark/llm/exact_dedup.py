@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import BLANK, digest, few_rows_at_once, rows_of, small, texts
+from tidemark.llm.common import BLANK, digest, few_rows_at_once, free_names, rows_of, small, texts
 from tidemark.llm.groups import may_hold, sieve
 from tidemark.session import stage
 
@@ -235,15 +235,15 @@ def duplicate_groups(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
     return _flagged(docs, budget).drop("points")
 
 
-def _named(batches: Iterable[pa.RecordBatch], shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _named(batches: Iterable[pa.RecordBatch], shared: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Rows with the digest and length of their text, and whether others may share it."""
     for batch in small(batches):
         raw = texts(batch.column("text"))
-        names = [digest(t.translate(None, BLANK)) for t in raw]
+        digests = [digest(t.translate(None, BLANK)) for t in raw]
         yield (
-            batch.append_column("_sha", pa.array(names, pa.binary()))
-            .append_column("_points", pa.array([len(t.decode()) for t in raw], pa.int64()))
-            .append_column("_sifted", pa.array(may_hold(shared, names)))
+            batch.append_column(names[0], pa.array(digests, pa.binary()))
+            .append_column(names[1], pa.array([len(t.decode()) for t in raw], pa.int64()))
+            .append_column(names[2], pa.array(may_hold(shared, digests)))
         )
 
 
@@ -251,17 +251,19 @@ def without_copies(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of whole repeats, one.
 
     Rows whose text no other row shares stay without a join; only the others meet the list
-    of rows that stay.
+    of rows that stay. Nulls count as in ``duplicate_groups``; an empty table stays empty.
+    Columns may have any names: inner ones are made to differ from them.
     """
     flagged = stage(_flagged(docs, budget), "exact-dedup-rows")
     shared = sieve(flagged.where("group_size > 1").select(F.unhex("text_sha256")).distinct())
-    added = [T.StructField("_sha", T.BinaryType()), T.StructField("_points", T.LongType()), T.StructField("_sifted", T.BooleanType())]
-    keyed = docs.mapInArrow(partial(_named, shared=shared), T.StructType([*docs.schema.fields, *added]))
+    names = free_names(docs, "_sha", "_points", "_sifted")
+    sha, points, sifted = names
+    added = [T.StructField(n, t) for n, t in zip(names, (T.BinaryType(), T.LongType(), T.BooleanType()), strict=True)]
+    keyed = docs.mapInArrow(partial(_named, shared=shared, names=names), T.StructType([*docs.schema.fields, *added]))
     stay = flagged.where("kept").select(
-        F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_sha"), F.col("points").alias("_keep_points")
+        F.col("doc_id").alias("keep_id"), F.unhex("text_sha256").alias("keep_sha"), F.col("points").alias("keep_points")
     )
-    rest = keyed.where("_sifted")
-    same = rest["doc_id"].eqNullSafe(stay["_keep_id"]) & (rest["_sha"] == stay["_keep_sha"]) & (rest["_points"] == stay["_keep_points"])
-    first = rest.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_sha", "_points"])
-    names = [f.name for f in added]
-    return keyed.where(~F.col("_sifted")).drop(*names).unionByName(first.drop(*names))
+    rest = keyed.where(F.col(sifted))
+    same = rest["doc_id"].eqNullSafe(stay["keep_id"]) & (rest[sha] == stay["keep_sha"]) & (rest[points] == stay["keep_points"])
+    first = rest.join(stay, same, "left_semi").dropDuplicates(["doc_id", sha, points])
+    return keyed.where(~F.col(sifted)).drop(*names).unionByName(first.drop(*names))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import digest, few_rows_at_once, rows_of, small, texts
+from tidemark.llm.common import digest, few_rows_at_once, free_names, rows_of, small, texts
 from tidemark.llm.groups import components, gathered, local_components, may_hold, runs, sieve, sliced
 from tidemark.llm.token_counts import _packed, _unpacked
 from tidemark.session import stage
@@ -385,11 +385,11 @@ def _components(docs: DataFrame, n_words: int, num: int, den: int, block: int, m
 # ------------------------------------------------------------------- dropping near copies
 
 
-def _digested(batches: Iterable[pa.RecordBatch], dropped: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _digested(batches: Iterable[pa.RecordBatch], dropped: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
-        names = [digest(joined_words(t))[:16] for t in texts(batch.column("text"))]
-        yield batch.append_column("_digest", pa.array(names, pa.binary())).append_column(
-            "_sifted", pa.array(may_hold(dropped, names))
+        digests = [digest(joined_words(t))[:16] for t in texts(batch.column("text"))]
+        yield batch.append_column(names[0], pa.array(digests, pa.binary())).append_column(
+            names[1], pa.array(may_hold(dropped, digests))
         )
 
 
@@ -399,7 +399,8 @@ def without_near_copies(
     """The rows of ``docs`` with one row of each component, all their columns.
 
     The row with the smallest doc_id stays (a null id only where there is no other). Rows
-    whose text is empty or blank are in no component and all stay.
+    whose text is empty or blank (or null) are in no component and all stay; an empty table
+    stays empty. Columns may have any names: inner ones are made to differ from them.
     """
     found = stage(_components(docs, n_words, num, den, block, most).where("n_shingles > 0"), "jaccard-components")
     # rows of one component alone stay without a join; `shared` names the texts of the others
@@ -409,13 +410,14 @@ def without_near_copies(
         multiple.select(F.col("keep_digest").alias("m_digest")), F.col("keep_digest") == F.col("m_digest"), "left_semi"
     )
     sifted = sieve(shared.select("digest").distinct())
-    added = [T.StructField("_digest", T.BinaryType()), T.StructField("_sifted", T.BooleanType())]
-    keyed = docs.mapInArrow(partial(_digested, dropped=sifted), T.StructType([*docs.schema.fields, *added]))
-    alone = keyed.where(~F.col("_sifted")).drop("_digest", "_sifted")
-    kept = found.where(stays).select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest")).distinct()
-    rest = keyed.where("_sifted").drop("_sifted")
-    blank = F.col("_digest") == F.lit(digest(b"")[:16])
-    same = rest["doc_id"].eqNullSafe(kept["_keep_id"]) & (rest["_digest"] == kept["_keep_digest"])
+    named, maybe = names = free_names(docs, "_digest", "_sifted")
+    added = [T.StructField(named, T.BinaryType()), T.StructField(maybe, T.BooleanType())]
+    keyed = docs.mapInArrow(partial(_digested, dropped=sifted, names=names), T.StructType([*docs.schema.fields, *added]))
+    alone = keyed.where(~F.col(maybe)).drop(*names)
+    kept = found.where(stays).select(F.col("doc_id").alias("keep_id"), F.col("digest").alias("keep_digest")).distinct()
+    rest = keyed.where(F.col(maybe)).drop(maybe)
+    blank = F.col(named) == F.lit(digest(b"")[:16])
+    same = rest["doc_id"].eqNullSafe(kept["keep_id"]) & (rest[named] == kept["keep_digest"])
     # equal ids with equal words are one row; blank texts are not compared
-    first = rest.where(~blank).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return alone.unionByName(first.drop("_digest")).unionByName(rest.where(blank).drop("_digest"))
+    first = rest.where(~blank).join(kept, same, "left_semi").dropDuplicates(["doc_id", named])
+    return alone.unionByName(first.drop(named)).unionByName(rest.where(blank).drop(named))

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import free_names
 from tidemark.session import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -148,16 +149,18 @@ def mix(
     """The mixed rows themselves: each row of ``docs``, all its columns, as often as it is taken.
 
     Ranks are built on narrow rows; whole rows are shuffled once, by a hash of the row. Rows
-    that repeat whole share their copies evenly.
+    that repeat whole share their copies evenly. Nulls count as in ``copies``; an empty table
+    stays empty. Columns may have any names: inner ones are made to differ from them.
     """
-    keyed = docs.withColumn("_mix_key", F.expr("xxhash64(*)"))
-    narrow = keyed.select("doc_id", "source", words(F.col("text")).alias("size"), F.col("_mix_key").alias("key"))
+    key, n_copies, n_rows, share, copy, of = free_names(docs, "_key", "_copies", "_rows", "_share", "_copy", "_of")
+    keyed = docs.withColumn(key, F.expr("xxhash64(*)"))
+    narrow = keyed.select("doc_id", "source", words(F.col("text")).alias("size"), F.col(key).alias("key"))
     sized = stage(narrow, "mixing-sizes")
     rows = _copies(sized, ["doc_id", "key"], weights, most_copies, seed)
-    taken = rows.groupBy("key").agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_rows")).where("_mix_copies > 0")
-    joined = keyed.join(taken, keyed["_mix_key"] == taken["key"]).drop("key")
-    place = F.row_number().over(Window.partitionBy("_mix_key").orderBy(F.lit(0)))
-    share = F.floor(F.col("_mix_copies") / F.col("_mix_rows")) + (place <= F.col("_mix_copies") % F.col("_mix_rows")).cast("int")
-    out = joined.withColumn("_mix_share", share).where("_mix_share > 0")
-    repeated = F.explode(F.sequence(F.lit(1), F.col("_mix_share").cast("int"))).alias("_mix_copy")
-    return out.select("*", repeated).drop("_mix_key", "_mix_copies", "_mix_rows", "_mix_share", "_mix_copy")
+    taken = rows.groupBy(F.col("key").alias(of)).agg(F.sum("copies").alias(n_copies), F.count("*").alias(n_rows))
+    joined = keyed.join(taken.where(F.col(n_copies) > 0), F.col(key) == F.col(of))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
+    own = F.floor(F.col(n_copies) / F.col(n_rows)) + (place <= F.col(n_copies) % F.col(n_rows)).cast("int")
+    out = joined.withColumn(share, own).where(F.col(share) > 0)
+    repeated = F.explode(F.sequence(F.lit(1), F.col(share).cast("int"))).alias(copy)
+    return out.select("*", repeated).drop(key, n_copies, n_rows, share, copy, of)

@@ -163,9 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
     without a document teach nothing. Only the text is an input. Of rows that share a doc_id the
     text with the least hash is learnt, so the driver gets no more rows than ``sample``.
     """
-    usable = labels.select(F.col("doc_id"), F.col("quality").cast("int")).where(
+    usable = labels.where(
         F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
-    )
+    ).select("doc_id", F.col("quality").cast("int"))
     chosen = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     taught = few_rows_at_once(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` ids at most
     one = taught.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
@@ -176,17 +176,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
     )
 
 
-def _scored(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterable[pa.RecordBatch], model: Model, name: str) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(DIMENSIONS, bool)
     for batch in small(batches):
         scores = [model.score(indicators(t, seen)) for t in texts(batch.column("text"))]
-        yield batch.append_column("_score", pa.array(scores, pa.float64()))
+        yield batch.append_column(name, pa.array(scores, pa.float64()))
 
 
-def with_score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` and a column ``_score`` from 0 to 1; a null text counts as empty.
+def with_score(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
+    """``docs`` and a column ``name`` from 0 to 1, in place of one of that name; a null text counts as empty.
 
-    Rows come out as they are, repeated ones too; an empty table gives an empty result.
+    Rows come out as they are, repeated ones too; an empty table gives an empty result. Other
+    columns may have any names.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return few_rows_at_once(docs).mapInArrow(partial(_scored, model=model), schema)
+    docs = docs.drop(name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return few_rows_at_once(docs).mapInArrow(partial(_scored, model=model, name=name), schema)
