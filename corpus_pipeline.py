@@ -2,6 +2,9 @@
 
 Junk goes, then copies, then near copies; what is left is mixed to source weights (so rows
 may come more than once) and packed into training sequences.
+
+Every stage takes null texts (empty), null ids and sources, repeated rows, empty tables and
+columns of any name beside those of documents; all but the last return the columns they got.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, jaccard, mixing, packing, quality
+from tidemark.llm.common import free_names
 from tidemark.session import stage
 
 QUALITY = 0.3  # scores below are junk
@@ -18,7 +22,8 @@ QUALITY = 0.3  # scores below are junk
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier, fitted on the labelled rows of these documents: what it rejects goes."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.with_score(docs, model).where(F.col("_score") >= QUALITY).drop("_score")
+    (score,) = free_names(docs, "_score")
+    return quality.with_score(docs, model, score).where(F.col(score) >= QUALITY).drop(score)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
