@@ -133,3 +133,43 @@ def test_nothing_is_too_deep(spark):
     paths = {(r.path, r.value) for r in raw.record_paths(recs, keep=["source_file"]).collect()}
     assert ("a[][].b.c[].d.e.market_id", "7") in paths and ("x", "1") in paths and len(paths) == 7
     assert [r.entity_id for r in markets.find_entities(recs).collect()] == ["7"]
+
+
+def test_typed_profile_equals_a_loop(spark):
+    import json
+    from collections import Counter, defaultdict
+
+    records = [
+        {"a": {"b": [1, "x", None, {"c": [True, {"d": {"e": 0.25}}]}]}, "t": "s"},
+        {"a": {"b": {"c": 2}}, "t": [1, [2, ["deep"]]], "z": {}},
+        {"a": None, "t": 7, "u": "s"},
+    ]
+    lines = [json.dumps(r) for r in records] + ["{broken", "[1]"]
+    df = spark.createDataFrame([(x, "f") for x in lines], "line string, source_file string")
+    got = {r["path"]: r for r in raw.typed_profile(raw.records(raw.parse_lines(df))).collect()}
+    kinds, keys, values = defaultdict(Counter), defaultdict(set), defaultdict(list)
+
+    def walk(path, v):
+        kind = {dict: "object", list: "array", str: "string", bool: "boolean", type(None): "null"}.get(type(v), "number")
+        kinds[path][kind] += 1
+        if isinstance(v, dict):
+            for k, x in v.items():
+                keys[path].add(k)
+                walk(f"{path}.{k}" if path else k, x)
+        elif isinstance(v, list):
+            for x in v:
+                walk(f"{path}[]", x)
+        elif v is not None:
+            values[path].append(json.dumps(v) if not isinstance(v, str) else v)
+
+    for r in records:
+        walk("", r)
+    assert got.keys() == kinds.keys()
+    for path, count in kinds.items():
+        row = got[path]
+        assert row["occurrences"] == sum(count.values())
+        assert {k: row[f"n_{k}"] for k in raw.KINDS} == {k: count[k] for k in raw.KINDS}
+        assert row["keys"] == sorted(keys[path])
+        assert (row["least_value"], row["greatest_value"]) == ((min(values[path]), max(values[path])) if values[path] else (None, None))
+        assert row["some_value"] in (values[path] or [None])
+    assert raw.typed_profile(raw.records(raw.parse_lines(df.where("false")))).collect() == []

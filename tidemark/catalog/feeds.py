@@ -137,6 +137,23 @@ def record_profile(spark, sf):
     return out.select("source_file", "path", "occurrences", F.size("samples").alias("n_samples"), "time_candidate", "id_candidate")
 
 
+def typed_record_profile(spark, sf):
+    """Type counts, key sets and values of records seven levels deep, with arrays of mixed types."""
+    e = v.table(spark, sf, "events")
+    i, text = F.col("event_id"), lambda c: c.cast("string")
+    line = F.concat(
+        F.lit('{"id":'), text(i), F.lit(',"a":{"b":[{"c":{"d":['), text(F.col("user_id")), F.lit(',"'), F.col("event_type"),
+        F.lit('",null,{"e":'), F.when(i % 2 == 0, "true").otherwise('{"f":[0.5]}'), F.lit("}]}},"), text(i % 7), F.lit(']},"t":'),
+        F.when(i % 3 == 0, '"x"').when(i % 3 == 1, "1").otherwise("[true,[],{}]"), F.lit("}"),
+    )
+    files = F.concat(F.lit("f"), text(i % 2), F.lit(".jsonl"))
+    lines = e.select(F.when(i % 89 == 0, F.substring(line, 1, 30)).otherwise(line).alias("line"), files.alias("source_file"))
+    out = raw.typed_profile(raw.records(raw.parse_lines(lines)))
+    return out.select(
+        "source_file", "path", "occurrences", *[f"n_{k}" for k in raw.KINDS], F.concat_ws(",", "keys").alias("keys"), "least_value", "greatest_value"
+    )
+
+
 def epoch_units(spark, sf):
     """The same instant as seconds, milliseconds, microseconds, nanoseconds and text."""
     e = v.table(spark, sf, "events").withColumn("us", micros("ts"))
@@ -379,6 +396,16 @@ ORACLES = {
       SELECT source_file, count(*) AS records, count(*) FILTER (event_type = 'signup') AS best_quote, count(*) FILTER (event_type = 'purchase') AS trade,
         count(*) FILTER (event_type = 'error') AS depth, count(*) FILTER (event_type = 'view') AS order_book, count(*) FILTER (event_type = 'click') AS price_change,
         CAST(0 AS BIGINT) AS unknown FROM f WHERE event_id % 97 <> 0 GROUP BY 1""",
+    "typed_record_profile": r"""WITH f AS (SELECT 'f' || (event_id % 2) || '.jsonl' AS source_file,
+        '{"id":' || event_id || ',"a":{"b":[{"c":{"d":[' || user_id || ',"' || event_type || '",null,{"e":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE '{"f":[0.5]}' END
+          || '}]}},' || (event_id % 7) || ']},"t":' || CASE event_id % 3 WHEN 0 THEN '"x"' WHEN 1 THEN '1' ELSE '[true,[],{}]' END || '}' AS line
+        FROM events WHERE event_id % 89 <> 0),
+      d AS (SELECT source_file, regexp_replace(regexp_replace(t.fullkey, '\[\d+\]', '[]', 'g'), '^\$\.?', '') AS path, t.type, CASE WHEN t.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN t.atom ->> '$' END AS value, t.atom, t.json
+        FROM f, json_tree(f.line) t),
+      p AS (SELECT source_file, path, count(*) AS occurrences, count(*) FILTER (type = 'OBJECT') AS n_object, count(*) FILTER (type = 'ARRAY') AS n_array, count(*) FILTER (type = 'VARCHAR') AS n_string,
+        count(*) FILTER (type IN ('UBIGINT', 'BIGINT', 'DOUBLE')) AS n_number, count(*) FILTER (type = 'BOOLEAN') AS n_boolean, count(*) FILTER (type = 'NULL') AS n_null, min(value) AS least_value, max(value) AS greatest_value FROM d GROUP BY 1, 2),
+      k AS (SELECT source_file, regexp_replace(path, '(^|\.)[^.\[\]]+$', '') AS path, string_agg(regexp_extract(path, '([^.\[\]]+)$', 1), ',' ORDER BY regexp_extract(path, '([^.\[\]]+)$', 1)) AS keys FROM p WHERE regexp_matches(path, '[^.\[\]]+$') GROUP BY 1, 2)
+      SELECT p.* , coalesce(k.keys, '') AS keys FROM p LEFT JOIN k USING (source_file, path)""",
     "raw_read_status": f"""WITH {v.EV}, f AS (SELECT *, 'a.jsonl' AS source_file FROM ev UNION ALL SELECT *, 'b.jsonl' FROM ev WHERE event_id % 10 = 0)
       SELECT source_file, count(*) AS lines, count(*) FILTER (event_id % 97 <> 0) AS readable_rows, count(*) FILTER (event_id % 97 = 0) AS corrupt_rows,
         count(*) FILTER (event_id % 97 = 0) > 0 AS kept_readable_part FROM f GROUP BY 1""",

@@ -169,3 +169,41 @@ def profile(recs: DataFrame, *, by: str = "source_file", samples: int = 3, order
         mentions(f.TIME_TOKENS, f.TIME_ENDINGS).alias("time_candidate"),
         mentions(f.ID_TOKENS, f.ID_ENDINGS).alias("id_candidate"),
     )
+
+
+KINDS = ("object", "array", "string", "number", "boolean", "null")
+
+
+def kind_of(variant: str | Column) -> Column:
+    """What a JSON value is: one of ``KINDS``."""
+    name = F.schema_of_variant(F.col(variant) if isinstance(variant, str) else variant)
+    kind = F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "STRING", "string")
+    return kind.when(name == "BOOLEAN", "boolean").when(name == "VOID", "null").otherwise("number")
+
+
+def typed_profile(recs: DataFrame, *, by: str = "source_file") -> DataFrame:
+    """Every path of the records per file: occurrences, count of each type, key set, three values.
+
+    Paths are those of ``descendants``, elements of arrays (``a[]``) and the record itself (the
+    empty path) included, so a path whose values differ in type shows all of them. Counts and
+    values (the least, the greatest, and one chosen by hash, as text, of strings, numbers and
+    booleans) are combined map-side: one row a path and task is shuffled, however many
+    records there are. ``keys`` are the sorted keys seen in the objects of the path, read off the
+    paths below it; a key with a dot or bracket in it is taken for a path.
+    """
+    found = descendants(recs.select(by, "rec")).withColumn("kind", kind_of("v"))
+    scalar = F.col("kind").isin("string", "number", "boolean")
+    text = F.when(scalar, F.try_variant_get("v", "$", "string"))
+    paths = found.select(by, "path", "kind", text.alias("value")).groupBy(by, "path").agg(
+        F.count("*").alias("occurrences"),
+        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS],
+        F.min("value").alias("least_value"),
+        F.max("value").alias("greatest_value"),
+        F.min_by("value", F.when(F.col("value").isNotNull(), F.struct(F.xxhash64("value"), "value"))).alias("some_value"),
+    )
+    name = F.regexp_extract("path", r"(?:^|\.)([^.\[\]]+)$", 1)
+    inner = paths.where(name != "").select(
+        by, F.regexp_replace("path", r"(?:^|\.)[^.\[\]]+$", "").alias("path"), name.alias("key")
+    )
+    keys = inner.groupBy(by, "path").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    return paths.join(keys, [by, "path"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
