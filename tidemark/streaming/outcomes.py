@@ -26,8 +26,8 @@ from tidemark.operators.scan import micros
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 L, D, S, B = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
-SIDES = {"UP": "yes", "DOWN": "no"}
-QUOTE = [f"{s}_{c}" for s in SIDES.values() for c in ("bid", "ask", "stale", "crossed")]
+NEVER = np.iinfo(np.int64).max
+QUOTE = [f"{s}_{c}" for s in ("yes", "no") for c in ("bid", "ask", "stale", "crossed")]
 CLOSED = T.StructType(
     [T.StructField(n, t) for n, t in (
         ("market_id", S), ("signal_id", L), ("direction", S), ("signal_us", L), ("entry_us", L), ("entry_price", D),
@@ -47,30 +47,31 @@ def _first(flags: np.ndarray, start: np.ndarray) -> np.ndarray:
     return places[np.searchsorted(places, np.minimum(start, len(flags)))]
 
 
-def _resolved(quotes: pd.DataFrame, signals: pd.DataFrame, side: str, latency: int, horizon: int, expire: int) -> pd.DataFrame:
-    """Entry and exit of signals of one side, as far as the quotes (in order) tell."""
-    us = quotes["us"].to_numpy(np.int64)
-    at = signals["at"].to_numpy(np.int64)
-    due, limit = at + latency + horizon, at + latency + horizon + expire
-    n = len(us)
-    us_or_never = np.append(us, np.iinfo(np.int64).max)
-    enter = _first(quotes[f"{side}_ask"].notna().to_numpy(), np.searchsorted(us, at + latency, side="left"))
-    enter = np.where(us_or_never[enter] <= limit, enter, n)
-    leave = _first(quotes[f"{side}_bid"].notna().to_numpy(), np.maximum(np.searchsorted(us, due, side="left"), enter))
-    leave = np.where(us_or_never[leave] <= limit, leave, n)
-    out = signals.assign(limit=limit)
-    for name, place, price in (("entry", enter, "ask"), ("exit", leave, "bid")):
-        known = place < n
-        row = np.minimum(place, max(n - 1, 0))
-        value = lambda c: quotes[c].to_numpy(float)[row] if n else np.full(len(at), np.nan)  # noqa: B023, E731
-        out[f"{name}_us"] = pd.array(np.where(known, us_or_never[place], 0), "Int64")
-        out.loc[~known, f"{name}_us"] = pd.NA
-        out[f"{name}_price"] = np.where(known, value(f"{side}_{price}"), np.nan)
-        for flag, column in (("quote_stale", "stale"), ("crossed_quote", "crossed")):
-            marked = pd.array(np.where(known, value(f"{side}_{column}"), 0) == 1, "boolean")
-            marked[~known | (np.isnan(value(f"{side}_{column}")) if n else True)] = pd.NA
-            out[f"{name}_{flag}"] = marked
-    return out
+def _places(us: np.ndarray, values: np.ndarray, side: int, at: np.ndarray, latency: int, horizon: int, expire: int) -> tuple:
+    """Entry and exit quote of signals of one side among quotes in order; their number stands for none."""
+    due, n = at + latency + horizon, len(us)
+    us_or_never = np.append(us, NEVER)
+    bid, ask = values[:, 4 * side], values[:, 4 * side + 1]
+    enter = _first(~np.isnan(ask), np.searchsorted(us, at + latency, side="left"))
+    enter = np.where(us_or_never[enter] <= due + expire, enter, n)
+    leave = _first(~np.isnan(bid), np.maximum(np.searchsorted(us, due, side="left"), enter))
+    return enter, np.where(us_or_never[leave] <= due + expire, leave, n)
+
+
+def _known(x: float) -> float | None:
+    return None if x != x else x
+
+
+def _closed(market: str, signal: tuple, side: int, us: np.ndarray, values: np.ndarray, enter: int, leave: int, by: str, when: int) -> tuple:
+    """One row of the result."""
+    row: list = [market, signal[0], ("UP", "DOWN")[side], signal[1]]
+    for place, price in ((enter, 1), (leave, 0)):
+        if place < len(us):
+            value, stale, crossed = (_known(float(values[place, 4 * side + c])) for c in (price, 2, 3))
+            row += [int(us[place]), value, None if stale is None else stale == 1, None if crossed is None else crossed == 1]
+        else:
+            row += [None] * 4
+    return (*row, by, when, None)
 
 
 def _late(market: str, signals: pd.DataFrame | None, n: int = 1) -> pd.DataFrame:
@@ -116,61 +117,65 @@ def delayed_outcomes(
     rows = rows.where(F.col("ts").isNotNull()).withWatermark("ts", delay)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = [list(x) for x in state.get] if state.exists else [[] for _ in HELD.fields]
-        known = pd.DataFrame(dict(zip(["us", "id", *QUOTE], old, strict=False)))
-        waiting = pd.DataFrame(dict(zip(["signal", "at", "up"], old[2 + len(QUOTE) :], strict=True)))
+        old = state.get if state.exists else tuple([] for _ in HELD.fields)
+        us, ids = [np.asarray(old[0], np.int64)], [np.asarray(old[1], np.int64)]
+        values = [np.asarray(old[2 : 2 + len(QUOTE)], float).reshape(len(QUOTE), -1).T]
+        waiting = [np.asarray(old[2 + len(QUOTE) :], np.int64).reshape(3, -1)]  # signal, time, 1 for UP
         passed = state.getCurrentWatermarkMs() * 1000  # everything before this is here
         if not state.hasTimedOut:
-            came = [known] if len(known) else []
-            open_ = [waiting] if len(waiting) else []
             n_late = 0
             for pdf in parts:
-                late = pdf["us"] < passed
-                quote, signal = pdf["kind"] == 0, (pdf["kind"] == 1) & pdf["up"].notna()
+                when, kind = pdf["us"].to_numpy(np.int64), pdf["kind"].to_numpy()
+                late, up = when < passed, pdf["up"].to_numpy(float)
+                named = pdf["id"].fillna(0).to_numpy(np.int64)
+                quote, signal = kind == 0, (kind == 1) & ~np.isnan(up)
                 n_late += int((late & quote).sum())
-                came.append(pdf.loc[quote & ~late, ["us", "id", *QUOTE]])
-                open_.append(pdf.loc[signal & ~late, ["id", "us", "up"]].set_axis(["signal", "at", "up"], axis=1))
+                here = quote & ~late
+                if here.any():
+                    us.append(when[here])
+                    ids.append(named[here])
+                    values.append(pdf[QUOTE].to_numpy(float)[here])
+                here = signal & ~late
+                if here.any():
+                    waiting.append(np.stack([named[here], when[here], up[here].astype(np.int64)]))
                 if (late & signal).any():
                     yield _late(key[0], pdf.loc[late & signal])
             if n_late:
                 yield _late(key[0], None, n_late)
-            known = pd.concat([x for x in came if len(x)] or came[:1], ignore_index=True)
-            waiting = pd.concat([x for x in open_ if len(x)] or open_[:1], ignore_index=True)
-        known = known.sort_values(["us", "id"], kind="stable", ignore_index=True)
-        for c in QUOTE:
-            known[c] = known[c].astype(float)
-        found = []
-        for number, (direction, side) in enumerate((("DOWN", "no"), ("UP", "yes"))):
-            own = waiting[waiting["up"] == number]
-            if len(own):
-                found.append(_resolved(known, own, side, latency, horizon, expire).assign(direction=direction))
-        next_us = None
-        if found:
-            out = pd.concat(found, ignore_index=True)
-            leaves = out["exit_us"].fillna(np.iinfo(np.int64).max).astype("int64")
-            certain, over = leaves < passed, out["limit"] < passed
-            done = certain | over
-            if done.any():
-                closed = out[done].copy()
-                closed["closed_by"] = np.where(certain[done], "exit", "expiry")
-                closed["closed_us"] = np.where(certain[done], leaves[done], closed["limit"])
-                closed["market_id"], closed["late_rows"] = key[0], None
-                yield closed.rename(columns={"signal": "signal_id", "at": "signal_us"})[[f.name for f in CLOSED.fields]]
-            waiting, still = out.loc[~done, ["signal", "at", "up"]], ~done
-            if still.any():
-                next_us = int(np.minimum(leaves[still], out.loc[still, "limit"]).min())
+        us, ids, values, waiting = np.concatenate(us), np.concatenate(ids), np.concatenate(values), np.concatenate(waiting, axis=1)
+        order = np.lexsort((ids, us))
+        us, ids, values = us[order], ids[order], values[order]
+        next_us, stays, out = NEVER, np.ones(waiting.shape[1], bool), []
+        for side in (0, 1):  # UP is the yes side, the first one
+            own = np.flatnonzero(waiting[2] == 1 - side)
+            if not len(own):
+                continue
+            at = waiting[1, own]
+            enter, leave = _places(us, values, side, at, latency, horizon, expire)
+            leaves, limit = np.append(us, NEVER)[leave], at + latency + horizon + expire
+            certain = leaves < passed
+            done = certain | (limit < passed)
+            stays[own[done]] = False
+            if not done.all():
+                next_us = min(next_us, int(np.minimum(leaves, limit)[~done].min()))
+            for i in np.flatnonzero(done).tolist():
+                by, when = ("exit", int(leaves[i])) if certain[i] else ("expiry", int(limit[i]))
+                signal = int(waiting[0, own[i]]), int(at[i])
+                out.append(_closed(key[0], signal, side, us, values, int(enter[i]), int(leave[i]), by, when))
+        if out:
+            yield pd.DataFrame(out, columns=[f.name for f in CLOSED.fields], dtype=object)
+        waiting = waiting[:, stays]
         # quotes that an open signal, or one that is still to come, can ask for
-        reach = min([passed + latency, *(waiting["at"] + latency)]) if len(waiting) else passed + latency
-        known = known[known["us"] >= reach]
-        if next_us is None and len(known):
-            next_us = int(known["us"].max()) - latency
-        if next_us is None:
+        kept = us >= min([passed + latency, *(waiting[1] + latency)])
+        us, ids, values = us[kept], ids[kept], values[kept]
+        if next_us == NEVER and len(us):
+            next_us = int(us[-1]) - latency
+        if next_us == NEVER:
             if state.exists:
                 state.remove()
             return
-        lists = [known[c].tolist() for c in ("us", "id")]
-        lists += [[None if x != x else x for x in known[c].tolist()] for c in QUOTE]  # NaN stands for null
-        state.update((*lists, *(waiting[c].astype("int64").tolist() for c in ("signal", "at", "up"))))
+        columns = [[_known(x) for x in column] for column in values.T.tolist()]  # NaN stands for null
+        state.update((us.tolist(), ids.tolist(), *columns, *waiting.tolist()))
         state.setTimeoutTimestamp(max(next_us // 1000, state.getCurrentWatermarkMs()) + 1)
 
     return rows.groupBy("market_id").applyInPandasWithState(step, CLOSED, HELD, "append", GroupStateTimeout.EventTimeTimeout)
