@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import cooldown
 from tidemark.operators.cooldown import cooldown_thin
 from tidemark.operators.trades import max_drawdown, select_modes, trade_metrics
 from tidemark.plans.evaluate import choose_threshold
@@ -32,10 +33,47 @@ def test_cooldown_equals_the_loop(spark, wait, span):
     assert got == want
 
 
+@pytest.mark.parametrize("step, wait", [(1, 30), (0.01, 30), (1, 0.5)])
+def test_cooldown_of_one_dense_key_in_blocks_by_rows(spark, step, wait):
+    """A grid never merges its phases; with 10 ms steps a cooldown spans more than all blocks of a key."""
+    n = 4_000
+    df = spark.range(n).select("id", F.lit(None).cast("string").alias("k"), F.timestamp_micros((F.col("id") * int(step * 1e6)).cast("bigint")).alias("ts"))
+    got = sorted(r.id for r in cooldown_thin(df, keys=["k"], ts="ts", tie="id", seconds=wait, most_rows=100).collect())
+    hop = max(1, round(wait / step))
+    assert got == list(range(0, n, hop))
+
+
+def test_cooldown_arrays_are_bounded_by_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 3_000
+    p = pd.DataFrame({"id": range(n), "k": np.where(rng.random(n) < 0.9, "hot", "b"), "us": np.sort((rng.exponential(1e6, n) * np.where(rng.random(n) < 0.02, 200, 1)).cumsum().astype("int64"))})
+    df = spark.createDataFrame(p).withColumn("ts", F.timestamp_micros("us"))
+    seen = []
+    real = cooldown.stage
+    monkeypatch.setattr(cooldown, "stage", lambda frame, name, **k: seen.append((name, out := real(frame, name, **k))) or out)
+    got = {r.id for r in cooldown_thin(df, keys=["k"], ts="ts", tie="id", seconds=20, most_rows=64).collect()}
+    want = set()
+    for _, g in p.groupby("k"):
+        g = g.reset_index(drop=True)
+        want |= {int(g.id[i]) for i in greedy(g.us.to_numpy(), 20e6)}
+    assert got == want
+    assert not [f for _, t in seen for f in t.schema.fields if "array" in f.dataType.simpleString()]
+    steps = next(t for name, t in seen if name == "cooldown_steps")
+    assert steps.groupBy("__g", "__b").count().agg(F.max("count")).first()[0] <= 4 * 64
+
+
+def test_cooldown_far_times_nulls_and_empty(spark):
+    rows = [("a", -62_000_000_000, 5), ("a", 200_000_000_000, 6), ("a", None, 7), (None, 10, 8), (None, 11, 9)] + [(f"u{i}", i, 10 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, s long, id int").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.id for r in cooldown_thin(df, keys=["k"], ts="ts", tie="id", seconds=60).collect()}
+    assert got == {5, 6, 8} | {10 + i for i in range(300)}
+    assert cooldown_thin(df.limit(0), keys=["k"], ts="ts", tie="id", seconds=60).collect() == []
+
+
 def test_cooldown_column_and_zero(spark):
     rows = [(i, "z", 0.0, 1) for i in range(3)] + [(i, "c", 10.0, i * 4) for i in range(3, 9)]
     df = spark.createDataFrame(rows, "id int, k string, c double, s long").withColumn("ts", F.timestamp_seconds("s"))
-    got = {r.id for r in cooldown_thin(df, keys=["k", "c"], ts="ts", tie="id", seconds="c", max_seconds=10).collect()}
+    got = {r.id for r in cooldown_thin(df, keys=["k", "c"], ts="ts", tie="id", seconds="c").collect()}
     assert got == {0, 1, 2, 3, 6}
 
 

@@ -44,9 +44,9 @@ def cooldown_6h(spark, sf):
 
 
 def cooldown_hot_key(spark, sf):
-    """All events as one key: the thinning runs in blocks and is chained."""
+    """All events as one key: the thinning runs in blocks and their steps are linked."""
     e = v.table(spark, sf, "events").select("event_id", "ts", F.lit("all").alias("key"))
-    return cooldown_thin(e, keys=["key"], ts="ts", tie="event_id", seconds=3_600, block_seconds=28_800).select("event_id", v.naive("ts"))
+    return cooldown_thin(e, keys=["key"], ts="ts", tie="event_id", seconds=3_600).select("event_id", v.naive("ts"))
 
 
 def _looked(spark, sf):

@@ -23,7 +23,8 @@ STEPS = [1 << i for i in range(20, -1, -1)]  # of the binary search: up to two m
 
 
 def row_buckets(
-    frames: Sequence[DataFrame], *, keys: Sequence[str], order: str, most_rows: int = MOST_ROWS, name: str = "__rb"
+    frames: Sequence[DataFrame], *, keys: Sequence[str], order: str, most_rows: int = MOST_ROWS, name: str = "__rb",
+    split: str | None = None,
 ) -> list[DataFrame]:
     """``frames`` with ``name``, a bucket number that does not decrease along ``order`` within a key.
 
@@ -31,6 +32,7 @@ def row_buckets(
     null fields are values like others (null first). Buckets hold about ``most_rows`` rows of
     all frames together; only rows equal in the whole struct cannot be parted. The borders
     are written and read back, so the optimizer knows their size when it chooses how to join.
+    ``split`` names a column that tells whether the row's key has more than one bucket.
     """
     groups = [f"__g{i}" for i in range(len(keys))]
     rate = max(1, most_rows // OVER)
@@ -52,6 +54,8 @@ def row_buckets(
             joined = df.join(cuts, on, "left").drop(*groups)
         else:
             joined = df.withColumn("__one", F.lit(0)).join(cuts, "__one", "left").drop("__one")
+        if split:
+            joined = joined.withColumn(split, F.col("__cuts").isNotNull())
         out.append(joined.withColumn(name, _position(order)).drop("__cuts"))
     return out
 

@@ -1,22 +1,25 @@
 """Greedy thinning: keep a row only when enough time has passed since the last kept row.
 
-The rule is sequential, but it can be cut. Time is cut into blocks longer than the
-cooldown. What a block needs from the past is one number: the earliest time at which
-a row may be kept again. For every possible such number the block's own outcome is a
-step function with few steps (different starts soon keep the same rows), so
-
-1. each (key, block) is reduced to its steps, all blocks in parallel,
-2. the steps of a key are chained in block order (a few numbers per block),
-3. each block, told its own start, marks the instants it keeps.
-
-A hot key is spread over its blocks; no task sees all rows of a key. The instants of
-a block travel as one array, so small keys cost one array row and not one Python call.
+The rule is sequential, but it can be cut. The instants of a key are cut into blocks bounded by
+rows. What a block needs from the past is one number: the earliest time at which a row may be
+kept again. For every possible such number the block's own outcome is a step function, and
+different starts soon keep the same rows, so
+
+1. each (key, block) is reduced to its steps (entry, time free again), all blocks in parallel,
+2. one forward as-of join links each step to the step of a later block that it leads into,
+3. the links are doubled (one block, two, four, ...) and the steps reached from a key's first
+   are marked on the way, so a key of many blocks costs the logarithm of their number in joins,
+4. each block, told its own start, marks the instants it keeps.
+
+Steps and links are rows: no array holds more than one block's instants, also where a key has
+more instants in one cooldown than a task could hold. Keys of one block skip steps 2 and 3, and
+travel as one array row, not as one Python call.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,14 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.scan import bucket_start, micros
+from tidemark.operators.asof import asof_join
+from tidemark.operators.borders import row_buckets
 from tidemark.operators.pick import first_per_group
+from tidemark.operators.scan import bucket_start, micros
+from tidemark.session import stage
 
 # the small functions below travel with the job, also where the package is not installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NEVER = np.iinfo(np.int64).min
 TIMES = T.ArrayType(T.LongType())
+MOST_INSTANTS = 1 << 17  # of one block, about
+AXIS = 1 << 62
 
 
 class _Batch:
@@ -41,49 +49,59 @@ class _Batch:
     Blocks are shifted apart by more than any wait, so one binary search serves all.
     """
 
-    def __init__(self, ts: pd.Series, wait: pd.Series, block: pd.Series) -> None:
+    def __init__(self, ts: pd.Series, wait: pd.Series) -> None:
         lengths = np.fromiter((len(t) for t in ts), np.int64, count=len(ts))
         self.times = np.concatenate([np.asarray(t, dtype=np.int64) for t in ts])
         self.n = len(lengths)
         self.wait = wait.to_numpy(np.int64)
-        self.block = block.to_numpy(np.int64)
         self.ends = np.cumsum(lengths)
         self.begins = self.ends - lengths
+        self.first = self.times[self.begins]
         self.owner = np.repeat(np.arange(self.n), lengths)
-        inside = self.times - self.block[self.owner]
-        self.gap = int(inside.max()) + 2 * int(self.wait.max()) + 1
+        inside = self.times - self.first[self.owner]
+        self.gap = _gap(ts, wait)
         self.axis = inside + self.owner * self.gap
         # first instant of the same block that may follow; the block's end if none
         self.following = np.searchsorted(self.axis, self.axis + self.wait[self.owner], side="left")
 
     def first_at(self, offset: np.ndarray) -> np.ndarray:
-        """First instant of each block at or after an offset from the block's start."""
+        """First instant of each block at or after an offset from the block's first."""
         bounded = np.clip(offset, 0, self.gap - 1)
         return np.searchsorted(self.axis, bounded + np.arange(self.n) * self.gap, side="left")
 
-    def split(self, values: np.ndarray, counts: np.ndarray) -> pd.Series:
-        return pd.Series(np.split(values, np.cumsum(counts)[:-1]), dtype=object)
+    def jumps(self) -> Iterator[np.ndarray]:
+        """Where 1, 2, 4, ... followings lead, until all have left their block; the last place is outside."""
+        outside = len(self.times)
+        jump = np.append(np.where(self.following < self.ends[self.owner], self.following, outside), outside)
+        while (jump < outside).any():
+            yield jump
+            jump = jump[jump]
 
+    def split(self, values: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        return np.split(values, np.cumsum(counts)[:-1])
 
-@F.pandas_udf(TIMES)
-def _block_steps(ts: pd.Series, wait: pd.Series, block: pd.Series) -> pd.Series:
-    """Steps of each block as one flat array: entry, free, entry, free, …
 
-    An entry time lies at most one wait behind the block's start, so only the instants
-    up to there, and the next one, can be the first one kept.
-    """
-    if not len(ts):
-        return pd.Series([], dtype=object)
-    x = _Batch(ts, wait, block)
+def _gap(ts: pd.Series, wait: pd.Series) -> int:
+    return max(int(t[-1]) - int(t[0]) for t in ts) + 2 * int(wait.max()) + 1
+
+
+def _pieces(ts: pd.Series, wait: pd.Series) -> Iterator[slice]:
+    """Runs of blocks whose common axis fits in 64 bits."""
+    if len(ts):
+        size = max(1, AXIS // _gap(ts, wait))
+        for at in range(0, len(ts), size):
+            yield slice(at, at + size)
+
+
+def _steps(ts: pd.Series, wait: pd.Series) -> list[np.ndarray]:
+    x = _Batch(ts, wait)
+    # an entry lies at most one wait behind the block's first instant: only the instants up
+    # to there, and the next one, can be the first one kept
     last = np.minimum(x.first_at(x.wait), x.ends - 1)
     first = np.flatnonzero(np.arange(len(x.times)) <= last[x.owner])
-    own, at = x.owner[first], first.copy()
-    while True:
-        step = x.following[at]
-        moving = step < x.ends[own]
-        if not moving.any():
-            break
-        at = np.where(moving, step, at)
+    own, at, outside = x.owner[first], first.copy(), len(x.times)
+    for jump in reversed(list(x.jumps())):
+        at = np.where(jump[at] < outside, jump[at], at)
     free = x.times[at] + x.wait[own]
     # neighbouring entries with the same outcome are one step: keep the last of a run
     close = np.append((own[1:] != own[:-1]) | (free[1:] != free[:-1]), True)
@@ -91,42 +109,52 @@ def _block_steps(ts: pd.Series, wait: pd.Series, block: pd.Series) -> pd.Series:
     return x.split(pairs, 2 * np.bincount(own[close], minlength=x.n))
 
 
+def _kept(ts: pd.Series, wait: pd.Series, start: pd.Series) -> list[np.ndarray]:
+    x = _Batch(ts, wait)
+    begin = np.maximum(start.to_numpy(np.int64), x.first)  # NEVER is before any first
+    at = x.first_at(begin - x.first)
+    reached = np.zeros(len(x.times) + 1, dtype=bool)
+    reached[at[at < x.ends]] = True
+    for jump in x.jumps():
+        reached[jump[np.flatnonzero(reached[:-1])]] = True
+    kept = reached[:-1]
+    return x.split(x.times[kept], np.add.reduceat(kept.astype(np.int64), x.begins))
+
+
 @F.pandas_udf(TIMES)
-def _chain_blocks(sizes: pd.Series, steps: pd.Series) -> pd.Series:
-    """Start of each block of a key, from the steps of its blocks in order."""
-    out = []
-    for lengths, flat in zip(sizes, steps):
-        pairs = np.asarray(flat, dtype=np.int64).reshape(-1, 2)
-        starts = np.empty(len(lengths), dtype=np.int64)
-        now, a = NEVER, 0
-        for j, n in enumerate(lengths):
-            starts[j] = now
-            b = a + n // 2
-            # the first step whose entry is not before the free time
-            i = a + int(np.searchsorted(pairs[a:b, 0], now, side="left"))
-            if i < b:
-                now = int(pairs[i, 1])
-            a = b
-        out.append(starts)
-    return pd.Series(out)
+def _block_steps(ts: pd.Series, wait: pd.Series) -> pd.Series:
+    """Steps of each block as one flat array: entry, free, entry, free, …"""
+    return pd.Series([a for s in _pieces(ts, wait) for a in _steps(ts[s], wait[s])], dtype=object)
 
 
 @F.pandas_udf(TIMES)
-def _block_kept(ts: pd.Series, wait: pd.Series, block: pd.Series, start: pd.Series) -> pd.Series:
+def _block_kept(ts: pd.Series, wait: pd.Series, start: pd.Series) -> pd.Series:
     """Instants each block keeps when nothing before its start may be kept."""
-    if not len(ts):
-        return pd.Series([], dtype=object)
-    x = _Batch(ts, wait, block)
-    begin = start.to_numpy(np.int64)
-    at = x.first_at(np.where(begin == NEVER, 0, begin - x.block))
-    kept = np.zeros(len(x.times), dtype=bool)
-    while True:
-        live = at < x.ends
-        if not live.any():
-            break
-        kept[at[live]] = True
-        at = np.where(live, x.following[np.minimum(at, len(x.times) - 1)], at)
-    return x.split(x.times[kept], np.add.reduceat(kept.astype(np.int64), x.begins))
+    return pd.Series([a for s in _pieces(ts, wait) for a in _kept(ts[s], wait[s], start[s])], dtype=object)
+
+
+def _starts(steps: DataFrame, most_rows: int) -> DataFrame:
+    """When a block that keeps anything is entered: ``__g``, ``__b``, ``__start`` (never before a key's first).
+
+    ``steps`` is a written table of ``__g``, ``__b``, ``__e`` (entry) and ``__f`` (free again).
+    """
+    linked = asof_join(
+        steps.withColumn("__ft", F.timestamp_micros("__f")),
+        steps.select("__g", F.timestamp_micros("__e").alias("__et"), F.col("__e").alias("__j"), F.col("__b").alias("__jb")),
+        on=["__g"], left_ts="__ft", right_ts="__et", direction="forward", right_cols=["__j", "__jb"], most_rows=most_rows,
+    )
+    links = stage(linked.where("__j IS NOT NULL").select("__g", "__e", "__f", "__j", "__jb"), "cooldown_links")
+    reached = steps.groupBy("__g").agg(F.min("__e").alias("__e"))
+    jump = links.select("__g", "__e", "__j")
+    while not jump.isEmpty():
+        further = reached.join(jump, ["__g", "__e"]).select("__g", F.col("__j").alias("__e"))
+        reached = stage(reached.unionByName(further), "cooldown_reached")
+        onward = jump.select("__g", F.col("__e").alias("__j"), F.col("__j").alias("__jj"))
+        doubled = jump.join(onward, ["__g", "__j"]).select("__g", "__e", F.col("__jj").alias("__j"))
+        jump = stage(doubled, "cooldown_jumps")
+    taken = links.join(reached, ["__g", "__e"], "left_semi")
+    roots = steps.groupBy("__g").agg(F.min("__b").alias("__b"), F.lit(NEVER).alias("__start"))
+    return roots.unionByName(taken.select("__g", F.col("__jb").alias("__b"), F.col("__f").alias("__start")))
 
 
 def cooldown_thin(
@@ -136,67 +164,52 @@ def cooldown_thin(
     ts: str,
     tie: str,
     seconds: str | float,
-    max_seconds: float | None = None,
     block_seconds: int | None = None,
+    most_rows: int = MOST_INSTANTS,
 ) -> DataFrame:
     """Rows kept by the greedy cooldown of each key, in (ts, tie) order.
 
-    ``seconds`` is a number, or the name of a column that is constant within a key
-    (then ``max_seconds`` bounds it). Of rows with the same time only the first by
-    ``tie`` can be kept while the cooldown is positive; a cooldown of 0 keeps all.
-    ``block_seconds`` is at least sixteen times the longest cooldown; choose it so that
-    one key's instants of that span fit in a task.
+    ``seconds`` is a number, or the name of a column that is constant within a key. Of rows
+    with the same time only the first by ``tie`` can be kept while the cooldown is positive; a
+    cooldown of 0 keeps all. Rows without a time, or with a null cooldown, are not kept; null
+    keys are a key. A block holds about ``most_rows`` instants of a key or, where
+    ``block_seconds`` is given, those of that time. Blocks may be shorter than the cooldown.
     """
     fixed = isinstance(seconds, (int, float))
-    longest = float(seconds) if fixed else float(max_seconds if max_seconds is not None else 0)
-    if longest <= 0:
-        if fixed:
-            return df
-        raise ValueError("max_seconds is needed when the cooldown is a column")
-    block = max(int(block_seconds or 300), int(np.ceil(longest)) * 16) * 1_000_000
+    if fixed and seconds <= 0:
+        return df
     wait = (
         F.lit(int(round(float(seconds) * 1e6))).cast("bigint")
         if fixed
         else F.round(F.col(seconds) * 1_000_000).cast("bigint")
     )
-    ks = [f"__k{i}" for i in range(len(keys))]
-    by_block = [*ks, "__b"]
-    timed = df.withColumns({"__us": micros(ts), "__wait": wait}).where("__wait > 0 AND __us IS NOT NULL")
-    timed = timed.withColumn("__b", bucket_start(F.col("__us"), block))
-    blocks = (
-        timed.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], "__b", "__us", "__wait")
-        .groupBy(*by_block)
-        .agg(F.array_sort(F.collect_set("__us")).alias("__ts"), F.max("__wait").alias("__wait"))
-    )
-    lines = (
-        blocks.select(*by_block, _block_steps("__ts", "__wait", "__b").alias("__steps"))
-        .groupBy(*ks)
-        .agg(F.array_sort(F.collect_list(F.struct("__b", "__steps"))).alias("__line"))
+    group = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.struct(F.lit(0).alias("k0"))
+    timed = df.withColumns({"__g": group, "__us": micros(ts), "__wait": wait}).where("__wait > 0 AND __us IS NOT NULL")
+    instants = stage(timed.groupBy("__g", "__us").agg(F.max("__wait").alias("__wait")), "cooldown_instants")
+    if block_seconds is None:
+        ordered = instants.withColumn("__o", F.struct("__us"))
+        (placed,) = row_buckets([ordered], keys=["__g"], order="__o", most_rows=most_rows, name="__b", split="__cut")
+    else:
+        placed = instants.withColumns({"__b": bucket_start(F.col("__us"), block_seconds * 1_000_000), "__cut": F.lit(True)})
+    blocks = placed.groupBy("__g", "__b", "__cut").agg(
+        F.array_sort(F.collect_list("__us")).alias("__ts"), F.max("__wait").alias("__wait")
     )
-    starts = lines.select(
-        *[F.col(k).alias(f"__s{k}") for k in ks],
-        F.explode(
-            F.arrays_zip(
-                F.col("__line.__b").alias("b"),
-                _chain_blocks(
-                    F.transform("__line", lambda x: F.size(x["__steps"])), F.flatten("__line.__steps")
-                ).alias("start"),
-            )
-        ).alias("__z"),
-    ).select(*[f"__s{k}" for k in ks], F.col("__z.b").alias("__sb"), F.col("__z.start").alias("__start"))
-    cond = blocks["__b"] == starts["__sb"]
-    for k in ks:
-        cond = cond & blocks[k].eqNullSafe(starts[f"__s{k}"])
-    kept = blocks.join(starts, cond).select(
-        *[F.col(k).alias(f"__q{k}") for k in ks],
-        F.col("__b").alias("__qb"),
-        _block_kept("__ts", "__wait", "__b", "__start").alias("__kept"),
+    flat = blocks.where("__cut").select("__g", "__b", _block_steps("__ts", "__wait").alias("__s"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.size("__s") - 2, F.lit(2)),
+        lambda i: F.struct(F.get("__s", i).alias("e"), F.get("__s", i + 1).alias("f")),
     )
-    match = timed["__b"] == kept["__qb"]
-    for k, a in zip(keys, ks):
-        match = match & timed[k].eqNullSafe(kept[f"__q{a}"])
-    # a block keeps few instants: block length over cooldown
-    rows = timed.join(kept, match).where(F.array_contains("__kept", F.col("__us")))
-    out = first_per_group(rows.select(*df.columns, "__us"), keys=[*keys, "__us"], order=[tie]).select(*df.columns)
+    steps = flat.select("__g", "__b", F.explode(pairs).alias("__p"))
+    steps = stage(steps.select("__g", "__b", F.col("__p.e").alias("__e"), F.col("__p.f").alias("__f")), "cooldown_steps")
+    if steps.isEmpty():
+        begun = blocks.withColumn("__start", F.lit(NEVER))
+    else:
+        # a block of a cut key that no step leads into keeps nothing
+        begun = blocks.join(_starts(steps, most_rows), ["__g", "__b"], "left").withColumn(
+            "__start", F.coalesce("__start", F.when(~F.col("__cut"), F.lit(NEVER)))
+        ).where("__start IS NOT NULL")
+    kept = begun.select("__g", F.explode(_block_kept("__ts", "__wait", "__start")).alias("__us"))
+    rows = timed.join(kept, ["__g", "__us"]).select(*df.columns, "__us")
+    out = first_per_group(rows, keys=[*keys, "__us"], order=[tie]).select(*df.columns)
     # a cooldown of zero keeps every row, also several of one instant
     return out if fixed else out.unionByName(df.where(F.col(seconds) <= 0))

@@ -52,7 +52,7 @@ def select_modes(
         )
         fanned = signals.select("*", F.explode(options).alias("__m")).select(*signals.columns, "__m.mode", "__m.__cool")
         thinned = cooldown_thin(
-            fanned, keys=[*by, "mode"], ts=ts, tie=tie, seconds="__cool", max_seconds=max(cooldowns.values())
+            fanned, keys=[*by, "mode"], ts=ts, tie=tie, seconds="__cool"
         )
         parts.append(thinned.drop("__cool"))
     out = parts[0]
