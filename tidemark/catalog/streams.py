@@ -8,7 +8,7 @@ from tidemark.catalog import evaluate as ce
 from tidemark.catalog import views as v
 from tidemark.operators.gates import SignalRules, signal_rules
 from tidemark.session import workspace_dir
-from tidemark.streaming import features, outcomes, replay, signals, sources, state
+from tidemark.streaming import features, outcomes, replay, signals, sources, state, vector
 
 BATCHES, FILES = 3, 4
 
@@ -264,6 +264,44 @@ def stream_delayed_outcomes(spark, sf):
     )
 
 
+PERIOD_S, STEP_S = 864_000, 10_800  # a market is ten days of a user; three hours stand for the vector's second
+VECTOR = (
+    "yes_mid", "no_spread", "yes_depth_imbalance", "no_quote_age_seconds", "pair_mid_sum", "yes_mid_change_5s", "ref_return_1s", "ref_return_30s",
+    "ref_vol_10s", "ref_vol_60s", "ref_net_5s", "ref_imbalance_30s", "ref_microprice_minus_mid", "distance_to_open", "log_tte", "time_frac_elapsed",
+    "pair_ask_overround", "sum_quote_age", "btc_ret_1m5_reversal", "btc_trade_imb_1m5", "log_yes_ask_bid_depth_ratio", "btc_ret5_x_logtte",
+)
+
+
+def _period():
+    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (PERIOD_S * 1_000_000))
+
+
+def stream_feature_vector(spark, sf):
+    """The live feature vector of every quote update, from feeds out of order; the user's other events are the instrument's ticks."""
+    ev = unordered_stream(spark, sf, LATE_S, 2 * LATE_S + PERIOD_S)
+    i, price, kind = F.col("event_id"), F.col("value") + 50, F.col("event_type")
+    market = F.concat_ws("|", "user_id", _period().cast("string")).alias("market_id")
+    view = lambda c: F.when(kind == "view", c)
+    quo = ev.where("event_type IN ('view', 'click')").select(
+        market, i.alias("row_id"), "ts", F.when(i % 2 == 0, "yes").otherwise("no").alias("side"), F.lit(0).alias("prio"),
+        view(F.col("value") / 500).alias("bid"), F.when(i % 13 != 0, F.col("value") / 500 + 0.02).alias("ask"),
+        view(i % 100).alias("bid_size"), view(i % 7).alias("ask_size"), view(i % 50 + 1).alias("bid_depth"), view(i % 30 + 1).alias("ask_depth"),
+    )
+    tic = ev.where("event_type IN ('purchase', 'error', 'signup')").select(
+        F.col("user_id").cast("string").alias("instrument"), i.alias("row_id"), "ts", (price - 1).alias("bid"), (price + 1).alias("ask"),
+        (i % 9).alias("bid_size"), (i % 4).alias("ask_size"), price.alias("price"), F.when(kind == "purchase", i % 5 + 1).when(kind == "error", -(i % 3 + 1)).alias("signed_qty"),
+    )
+    begin = lambda n: F.timestamp_seconds((_period() + n) * PERIOD_S)
+    markets = v.table(spark, sf, "events").where("ts IS NOT NULL").select(
+        market, F.col("user_id").cast("string").alias("instrument"), begin(0).alias("start_ts"), begin(1).alias("end_ts")
+    )
+    state_rows = vector.live_state(
+        quo, tic, markets.distinct(), unit_s=STEP_S, delay=f"{LATE_S} seconds", clock=ev.where(kind == HEARTBEAT).select("ts")
+    )
+    out = vector.live_vector(sources.drain(state_rows, "stream_feature_vector"), ttl_seconds=TTL)
+    return out.select("market_id", F.col("row_id").alias("event_id"), "complete", *[F.round(c, 7).alias(c) for c in VECTOR])
+
+
 def stream_drawdown_events(spark, sf):
     ev = event_stream(spark, sf).withColumn("pnl", F.col("value") - 50)
     out = sources.drain(state.drawdown_events(ev, account="user_id", ts="ts", tie="event_id", pnl="pnl", threshold=50.0), "stream_drawdown")
@@ -390,6 +428,34 @@ ORACLES = {
       f AS (SELECT *, y - p AS g, CASE WHEN y IS NOT NULL THEN 0.07 * least(greatest(p, 0), 1) * (1 - least(greatest(p, 0), 1)) END AS ef, CASE WHEN y IS NOT NULL THEN 0.07 * least(greatest(y, 0), 1) * (1 - least(greatest(y, 0), 1)) END AS xf FROM r)
       SELECT market_id, signal_id, direction, closed_by, entry_ts, exit_ts, entry_quote_stale, entry_crossed_quote, exit_quote_stale, exit_crossed_quote, round(p, 9) AS entry_price, round(y, 9) AS exit_price,
         round(g, 9) AS pnl, round(CASE WHEN p > 0 THEN g / p END, 9) AS roi, round(ef, 9) AS entry_fee, round(xf, 9) AS exit_fee, round(g - ef - xf - 0.0025, 9) AS net_pnl, round(6.0 * (g - ef - xf - 0.0025), 9) AS net_pnl_total FROM f""",
+    "stream_feature_vector": f"""WITH e AS (SELECT event_id AS i, user_id AS u, epoch_us(ts) AS us, event_type AS et, value, epoch_us(ts) // {PERIOD_S * 1_000_000} AS pd FROM events WHERE ts IS NOT NULL),
+      q0 AS (SELECT u, pd, i, us, i % 2 = 0 AS yes, CASE et WHEN 'view' THEN value / 500 END AS b, CASE WHEN i % 13 <> 0 THEN value / 500 + 0.02 END AS a,
+        CASE et WHEN 'view' THEN i % 50 + 1 END AS bd, CASE et WHEN 'view' THEN i % 30 + 1 END AS ad FROM e WHERE et IN ('view', 'click')),
+      q1 AS (SELECT u, pd, i, us, {", ".join(f"last_value(CASE WHEN {'' if s == 'y' else 'NOT '}yes THEN {c} END IGNORE NULLS) OVER w AS {s}{c}" for s in "yn" for c in ("b", "a", "bd", "ad"))},
+        {", ".join(f"last_value(CASE WHEN {'' if s == 'y' else 'NOT '}yes AND (b IS NOT NULL OR a IS NOT NULL) THEN us END IGNORE NULLS) OVER w AS {s}u" for s in "yn")}
+        FROM q0 WINDOW w AS (PARTITION BY u, pd ORDER BY us, i ROWS UNBOUNDED PRECEDING)),
+      q AS (SELECT *, (yb + ya) / 2 AS ym, (nb + na) / 2 AS nm, us - pd * {PERIOD_S * 1_000_000} AS el, (pd + 1) * {PERIOD_S * 1_000_000} - us AS tte,
+        us - {1 * STEP_S * 1_000_000} AS l1, us - {5 * STEP_S * 1_000_000} AS l5, us - {30 * STEP_S * 1_000_000} AS l30 FROM q1),
+      t0 AS (SELECT m.u, m.pd, e.us, e.i, e.value + 50 AS p, CASE et WHEN 'purchase' THEN i % 5 + 1 ELSE 0 END AS buy, CASE et WHEN 'error' THEN i % 3 + 1 ELSE 0 END AS sell
+        FROM (SELECT DISTINCT u, pd FROM e) m JOIN e ON e.u = m.u AND e.us >= m.pd * {PERIOD_S * 1_000_000} - {30 * STEP_S * 1_000_000} AND e.us < (m.pd + 1) * {PERIOD_S * 1_000_000}
+        WHERE et IN ('purchase', 'error', 'signup') AND e.value + 50 > 0),
+      t1 AS (SELECT *, ln(p) - ln(lag(p) OVER w) AS r, sum(buy) OVER w AS cb, sum(sell) OVER w AS cs FROM t0 WINDOW w AS (PARTITION BY u, pd ORDER BY us, i)),
+      t AS (SELECT *, {", ".join(f"stddev_samp(r) OVER (PARTITION BY u, pd ORDER BY us, i ROWS BETWEEN {n - 2} PRECEDING AND CURRENT ROW) AS vol{n}" for n in (10, 60))} FROM t1),
+      o AS (SELECT u, pd, min(us) AS ous, arg_min(p, (us, i)) AS op FROM t0 WHERE us >= pd * {PERIOD_S * 1_000_000} GROUP BY 1, 2),
+      j AS (SELECT q.*, x.p, x.i AS ti, x.vol10, x.vol60, a1.p AS p1, a5.p AS p5, a30.p AS p30, ym - h.hm AS move5, CASE WHEN q.us >= o.ous THEN o.op END AS op,
+          {", ".join(f"coalesce(x.c{w}, 0) - coalesce(f{n}.c{w}, 0) AS {name}{n}" for n in (1, 5, 30) for w, name in (("b", "buy"), ("s", "sell")))}
+        FROM q LEFT JOIN o ON o.u = q.u AND o.pd = q.pd
+        ASOF LEFT JOIN t x ON x.u = q.u AND x.pd = q.pd AND q.us >= x.us
+        {" ".join(f"ASOF LEFT JOIN t a{n} ON a{n}.u = q.u AND a{n}.pd = q.pd AND q.l{n} >= a{n}.us ASOF LEFT JOIN t f{n} ON f{n}.u = q.u AND f{n}.pd = q.pd AND q.l{n} > f{n}.us" for n in (1, 5, 30))}
+        ASOF LEFT JOIN (SELECT u, pd, us, ym AS hm FROM q WHERE ym IS NOT NULL) h ON h.u = q.u AND h.pd = q.pd AND q.l5 >= h.us),
+      k AS (SELECT *, p / p1 - 1 AS r1, p / p5 - 1 AS r5, p / p30 - 1 AS r30, (us - yu) / 1e6 AS yage, (us - nu) / 1e6 AS nage, ln(1 + tte / 1e6) AS lt,
+        {", ".join(f"CASE WHEN buy{n} + sell{n} > 0 THEN (buy{n} - sell{n}) / (buy{n} + sell{n})::DOUBLE END AS im{n}" for n in (1, 5, 30))} FROM j),
+      z AS (SELECT CAST(u AS VARCHAR) || '|' || CAST(pd AS VARCHAR) AS market_id, i AS event_id, ym IS NOT NULL AND nm IS NOT NULL AND p IS NOT NULL AS complete, ym AS yes_mid, na - nb AS no_spread,
+        (ybd - yad) / (ybd + yad)::DOUBLE AS yes_depth_imbalance, nage AS no_quote_age_seconds, ym + nm AS pair_mid_sum, move5 AS yes_mid_change_5s, r1 AS ref_return_1s, r30 AS ref_return_30s, vol10 AS ref_vol_10s, vol60 AS ref_vol_60s,
+        CAST(buy5 - sell5 AS DOUBLE) AS ref_net_5s, im30 AS ref_imbalance_30s, CASE WHEN ti % 9 + ti % 4 > 0 THEN ((p + 1) * (ti % 9) + (p - 1) * (ti % 4)) / (ti % 9 + ti % 4) END - p AS ref_microprice_minus_mid,
+        p - op AS distance_to_open, lt AS log_tte, (el / 1e6) / (el / 1e6 + tte / 1e6) AS time_frac_elapsed, ya + na - 1.0 AS pair_ask_overround, coalesce(yage, 999) + coalesce(nage, 999) AS sum_quote_age,
+        r1 - r5 AS btc_ret_1m5_reversal, im1 - im5 AS btc_trade_imb_1m5, ln(1 + yad / (ybd + 1e-9)) AS log_yes_ask_bid_depth_ratio, r5 * lt AS btc_ret5_x_logtte FROM k)
+      SELECT market_id, event_id, complete, {", ".join(f"round({c}, 7) AS {c}" for c in VECTOR)} FROM z""",
     "stream_drawdown_events": """WITH a AS (SELECT *, sum(value - 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cum FROM events),
       b AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS peak FROM a),
       c AS (SELECT *, floor((peak - cum) / 50.0) * 50.0 AS lvl FROM b), d AS (SELECT *, coalesce(max(lvl) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
