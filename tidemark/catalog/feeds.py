@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.catalog import views as v
 from tidemark.functions import arrays as arr
 from tidemark.functions import scalars as fn
 from tidemark.functions.jsonfields import elements_or_self, field, first_field, price_levels
 from tidemark.operators import book
-from tidemark.sources import bronze, markets, raw, tables
+from tidemark.sources import bronze, markets, raw, salvage, tables
 from tidemark.operators.scan import micros
 from tidemark.session import stage
 
@@ -88,6 +92,26 @@ def raw_read_status(spark, sf):
     return raw.read_status(raw.parse_lines(feed(spark, sf)))
 
 
+@F.pandas_udf(T.BinaryType())
+def _gzipped(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: gzip.compress(t.encode()))
+
+
+def raw_damaged_files(spark, sf):
+    """The feed as one gzip file per user: whole, cut, with something behind it, or turned into rubbish."""
+    lines = v.events(spark, sf).select("user_id", "event_id", F.when(F.col("event_id") % 97 == 0, '{"a":').otherwise(F.format_string('{"id":%s}', "event_id")).alias("line"))
+    files = lines.groupBy("user_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"])).alias("text"))
+    packed = files.select("user_id", _gzipped("text").alias("c"))
+    kind = F.col("user_id") % 4
+    # without its last bytes a member has all its text, but does not end
+    content = (
+        F.when(kind == 1, F.substring(F.col("c"), F.lit(1), F.length("c") - 3)).when(kind == 2, F.concat("c", F.encode(F.lit("junk!"), "UTF-8")))
+        .when(kind == 3, F.encode(F.lit("no gzip at all"), "UTF-8")).otherwise(F.col("c"))
+    )
+    out = salvage.salvage_status(salvage.salvage(packed.select(F.format_string("u%s.jsonl.gz", "user_id").alias("path"), content.alias("content"))))
+    return out.select("source_file", "lines", "readable_rows", "corrupt_rows", "bytes_lost", "damage", "kept_readable_part")
+
+
 def _table(spark, sf, name):
     return bronze.build(typed(spark, sf), only=[name])[name]
 
@@ -409,6 +433,10 @@ ORACLES = {
     "raw_read_status": f"""WITH {v.EV}, f AS (SELECT *, 'a.jsonl' AS source_file FROM ev UNION ALL SELECT *, 'b.jsonl' FROM ev WHERE event_id % 10 = 0)
       SELECT source_file, count(*) AS lines, count(*) FILTER (event_id % 97 <> 0) AS readable_rows, count(*) FILTER (event_id % 97 = 0) AS corrupt_rows,
         count(*) FILTER (event_id % 97 = 0) > 0 AS kept_readable_part FROM f GROUP BY 1""",
+    "raw_damaged_files": """SELECT 'u' || user_id || '.jsonl.gz' AS source_file, CASE WHEN user_id % 4 = 3 THEN 0 ELSE count(*) END AS lines,
+        CASE WHEN user_id % 4 = 3 THEN 0 ELSE count(*) FILTER (event_id % 97 <> 0) END AS readable_rows, CASE WHEN user_id % 4 = 3 THEN 0 ELSE count(*) FILTER (event_id % 97 = 0) END AS corrupt_rows,
+        CAST(CASE user_id % 4 WHEN 2 THEN 5 WHEN 3 THEN 14 ELSE 0 END AS BIGINT) AS bytes_lost, CASE user_id % 4 WHEN 1 THEN 'cut' WHEN 2 THEN 'trailing' WHEN 3 THEN 'unreadable' END AS damage,
+        user_id % 4 <> 3 AND (user_id % 4 > 0 OR count(*) FILTER (event_id % 97 = 0) > 0) AND count(*) FILTER (event_id % 97 <> 0) > 0 AS kept_readable_part FROM events GROUP BY user_id""",
     "bronze_best_quotes": f"""WITH {EVD} x AS (SELECT *, {_TS} AS ts_event FROM e WHERE event_type = 'signup')
       SELECT ts_event, ts AS ts_recv, 'ALLUSDT' AS symbol, value AS bid_price, CAST(k AS DOUBLE) AS bid_qty, value + 1 AS ask_price, CAST(100 - k AS DOUBLE) AS ask_qty,
         (value + (value + 1)) / 2.0 AS mid_price, (value + 1) - value AS spread, round(((value + 1) * k + value * (100 - k)) / 100.0, 8) AS microprice, 'a.jsonl' AS source_file, strftime(ts_event, '%Y-%m-%d') AS date FROM x""",
