@@ -223,6 +223,17 @@ def stream_tick_features(spark, sf):
     return out.select(F.col("row_id").alias("event_id"), F.round("vol_ticks", 9).alias("vol_ticks"), "price_lag_60s", "price_lag_3600s", *[F.round(c, 6).alias(c) for c in ("buy_600s", "sell_600s", "buy_3600s", "sell_3600s")], "history_rows")
 
 
+def stream_tick_volatility(spark, sf):
+    """Volatility over the last 30 ticks, hour and day of each user's series."""
+    ticks = event_stream(spark, sf).select("event_id", "ts", "user_id", (F.col("value") + 100).alias("price"), F.lit(0.0).alias("qty"), F.lit(0).alias("side"))
+    out = state.tick_features(
+        ticks, key="user_id", ts="ts", tie="event_id", price="price", qty="qty", side="side",
+        lags_s=(3_600,), flows_s=(3_600,), vol_ticks=30, vol_seconds=(86_400, 345_600), history_s=345_600,
+    )
+    out = sources.drain(out, "stream_tick_volatility")
+    return out.select(F.col("row_id").alias("event_id"), *[F.round(c, 9).alias(c) for c in ("vol_86400s", "vol_345600s")])
+
+
 def stream_outcomes(spark, sf):
     ev = event_stream(spark, sf)
     m = F.col("user_id").cast("string")
@@ -409,6 +420,8 @@ ORACLES = {
         count(*) OVER (PARTITION BY t.s ORDER BY t.ts RANGE BETWEEN INTERVAL 4 HOUR PRECEDING AND CURRENT ROW) AS history_rows
       FROM t JOIN x USING (event_id) ASOF LEFT JOIN t a ON a.s = t.s AND t.ts - INTERVAL 60 SECOND >= a.ts ASOF LEFT JOIN t c ON c.s = t.s AND t.ts - INTERVAL 3600 SECOND >= c.ts
       WINDOW w6 AS (PARTITION BY t.s ORDER BY t.ts RANGE BETWEEN INTERVAL 600 SECOND PRECEDING AND CURRENT ROW), w36 AS (PARTITION BY t.s ORDER BY t.ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW)""",
+    "stream_tick_volatility": f"""WITH r AS (SELECT event_id, user_id, ts, ln(value + 100) - ln(lag(value + 100) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS r FROM events)
+      SELECT event_id, {", ".join(f"round(stddev_samp(r) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL {s} SECOND PRECEDING AND CURRENT ROW), 9) AS vol_{s}s" for s in (86400, 345600))} FROM r""",
     "stream_outcomes": """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS market_id, event_id AS signal_id, ts FROM events WHERE event_type = 'signup'),
       q AS (SELECT CAST(user_id AS VARCHAR) AS market_id, ts, value / 500 AS bid, value / 500 + 0.02 AS ask FROM events WHERE event_type IN ('view', 'click'))
       SELECT s.market_id, s.signal_id, r.ts AS entry_ts, r.ask AS entry_price, r.xts AS exit_ts, r.xbid AS exit_price, round(r.xbid - r.ask, 9) AS pnl

@@ -63,6 +63,12 @@ def returns_realized_vol(spark, sf):
     return out.select("event_id", *_round(["log_return", "vol_20_ticks"], 8))
 
 
+def realized_vol_seconds(spark, sf):
+    """Volatility over the ticks of the last two hours and of the last day."""
+    out = ins.second_volatility(v.ticks(spark, sf), keys=["symbol"], value="bid_price", seconds=(7_200, 86_400), tie=["event_id"])
+    return out.select("event_id", *_round(["log_return", "vol_7200s", "vol_86400s"], 8))
+
+
 def direction_labels(spark, sf):
     d = ins.direction_labels(series_frame(spark, sf), horizons=(1, 3, 12), threshold=0.02)
     return d.select(
@@ -186,6 +192,7 @@ QUERIES = {
     "instrument_silver": instrument_silver,
     "trade_flow_rolling": trade_flow_rolling,
     "returns_realized_vol": returns_realized_vol,
+    "realized_vol_seconds": realized_vol_seconds,
     "three_way_labels": direction_labels,
     "sliding_flow": sliding_flow,
     "lag_values": lag_values,
@@ -293,6 +300,8 @@ ORACLES = {
       SELECT symbol, sample_ts, trade_count, {", ".join(f"CASE WHEN count(tv) OVER (PARTITION BY symbol ORDER BY sample_ts ROWS BETWEEN {n-1} PRECEDING AND CURRENT ROW) = {n} THEN sum(tv) OVER (PARTITION BY symbol ORDER BY sample_ts ROWS BETWEEN {n-1} PRECEDING AND CURRENT ROW) END AS total_{n}" for n in (1, 3, 5))} FROM f""",
     "returns_realized_vol": f"""WITH {v.TICKS}, r AS (SELECT event_id, ts_event, ln(bid_price) - ln(lag(bid_price) OVER (ORDER BY ts_event, event_id)) AS log_return FROM ticks)
       SELECT event_id, round(log_return, 8) AS log_return, round(stddev_samp(log_return) OVER (ORDER BY ts_event, event_id ROWS BETWEEN 18 PRECEDING AND CURRENT ROW), 8) AS vol_20_ticks FROM r""",
+    "realized_vol_seconds": f"""WITH {v.TICKS}, r AS (SELECT event_id, ts_event, ln(bid_price) - ln(lag(bid_price) OVER (ORDER BY ts_event, event_id)) AS log_return FROM ticks WHERE bid_price > 0)
+      SELECT event_id, round(log_return, 8) AS log_return, {", ".join(f"round(stddev_samp(log_return) OVER (ORDER BY ts_event RANGE BETWEEN INTERVAL {s} SECOND PRECEDING AND CURRENT ROW), 8) AS vol_{s}s" for s in (7200, 86400))} FROM r""",
     "three_way_labels": f"""WITH {SERIES}, d AS (SELECT sample_ts, {", ".join(f"lead(mid_price, {k}) OVER (ORDER BY i) / mid_price - 1.0 AS future_return_{k}" for k in (1, 3, 12))} FROM series)
       SELECT sample_ts, {_r([f"future_return_{k}" for k in (1, 3, 12)], 8)},
         {", ".join(f"CASE WHEN future_return_{k} > 0.02 THEN 'UP' WHEN future_return_{k} < -0.02 THEN 'DOWN' ELSE 'FLAT' END AS label_direction_{k}" for k in (1, 3, 12))} FROM d""",

@@ -163,6 +163,31 @@ def tick_volatility(
     )
 
 
+def _time_blocks(rows: DataFrame, reach: int) -> DataFrame:
+    """Rows with the block ``__c.b`` of their time, copied into the next where ``reach`` goes back to them."""
+    width = max(reach * 8, 600 * 1_000_000)
+    us = micros("ts_event")
+    place = F.pmod(us, F.lit(width).cast("bigint"))
+    after = F.when(place >= width - reach, F.struct((us - place + width).alias("b"), F.lit(False).alias("own")))
+    copies = F.array_compact(F.array(F.struct((us - place).alias("b"), F.lit(True).alias("own")), after))
+    return rows.select("*", us.alias("__us"), F.explode(copies).alias("__c"))
+
+
+def second_volatility(ticks: DataFrame, *, keys: Sequence[str], value: str, seconds: Sequence[int], tie: Sequence[str]) -> DataFrame:
+    """Sample deviation of the log returns of the ticks in the last ``s`` seconds, as ``vol_<s>s``.
+
+    The batch form of ``vol_seconds`` in the streaming tick features: a return is against the
+    tick before, also where that is older. Only ticks with a time and a positive price have a row.
+    """
+    good = ticks.where((F.col(value) > 0) & F.col("ts_event").isNotNull())
+    indexed = row_index(good, keys=keys, bucket=None, order=[micros("ts_event"), *tie], name="__i")
+    rets = in_blocks(indexed, keys=keys, index="__i", before=1, compute=lambda w: {"log_return": log_change(value, w)}).drop("__i")
+    w = Window.partitionBy(*keys, "__c.b").orderBy("__us")
+    cols = [F.stddev_samp("log_return").over(w.rangeBetween(-s * 1_000_000, 0)).alias(f"vol_{s}s") for s in seconds]
+    out = _time_blocks(rets, max(seconds) * 1_000_000).select(*rets.columns, F.col("__c.own").alias("__own"), *cols)
+    return out.where("__own").drop("__own")
+
+
 def sliding_flow(
     trades: DataFrame, *, keys: Sequence[str], seconds: Sequence[int]
 ) -> DataFrame:
@@ -171,20 +196,7 @@ def sliding_flow(
     A time-range window per (key, time bucket); rows near a bucket's end are copied
     into the next bucket as far back as the longest window reaches.
     """
-    reach = max(seconds) * 1_000_000
-    width = max(reach * 8, 600 * 1_000_000)
-    us = micros("ts_event")
-    own = us - F.pmod(us, F.lit(width).cast("bigint"))
-    copies = F.array_compact(
-        F.array(
-            F.struct(own.alias("b"), F.lit(True).alias("own")),
-            F.when(
-                F.pmod(us, F.lit(width).cast("bigint")) >= width - reach,
-                F.struct((own + width).alias("b"), F.lit(False).alias("own")),
-            ),
-        )
-    )
-    spread = trades.select("*", us.alias("__us"), F.explode(copies).alias("__c"))
+    spread = _time_blocks(trades, max(seconds) * 1_000_000)
     w = Window.partitionBy(*keys, "__c.b").orderBy("__us")
     buy = F.when(F.col("side") == "buy_aggressor", F.col("qty")).otherwise(0.0)
     sell = F.when(F.col("side") == "sell_aggressor", F.col("qty")).otherwise(0.0)

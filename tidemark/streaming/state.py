@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.moments import window_deviation
 from tidemark.operators.scan import micros
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -280,22 +281,30 @@ def with_open(outcomes: DataFrame, signals: DataFrame, *, key: str = "signal_id"
 
 def tick_features(
     ticks: DataFrame, *, key: str, ts: str, tie: str, price: str, qty: str, side: str,
-    lags_s: Sequence[int] = (1, 5, 10, 30), flows_s: Sequence[int] = (1, 5, 30), vol_ticks: int = 60, history_s: int = 65,
+    lags_s: Sequence[int] = (1, 5, 10, 30), flows_s: Sequence[int] = (1, 5, 30), vol_ticks: int = 60, vol_seconds: Sequence[int] = (),
+    history_s: int = 65,
 ) -> DataFrame:
-    """Lagged prices, sliding flows and tick volatility at each tick, from a pruned history.
+    """Lagged prices, sliding flows and volatility at each tick, from a pruned history.
+
+    ``vol_ticks`` is the deviation of the log returns between the last ticks of the history;
+    ``vol_seconds`` adds ``vol_<s>s``, that of the returns of the ticks in the last ``s``
+    seconds (inclusive, at most ``history_s``), each against the tick before it. Ticks without a
+    positive price have no return.
 
     State per key: price and trade history of the last ``history_s`` seconds, both
     pruned, so it is bounded by the tick rate and not by the age of the stream.
     ``side`` is 1 for a buy, -1 for a sell, 0 for a quote without a trade.
     """
     keep = history_s * 1_000_000
+    if any(s > history_s for s in vol_seconds):
+        raise ValueError("vol_seconds reach further back than history_s")
     rows = ticks.select(F.col(key).cast("string").alias("key"), micros(ts).alias("us"), F.col(tie).cast("bigint").alias("row_id"),
                         F.col(price).cast("double").alias("price"), F.col(qty).cast("double").alias("qty"), F.col(side).cast("int").alias("side"))
     out_schema = _fields(
         ("key", S), ("us", L), ("row_id", L), ("price", D),
         *[(f"price_lag_{s}s", D) for s in lags_s],
         *[(f"{w}_{s}s", D) for s in flows_s for w in ("buy", "sell")],
-        ("vol_ticks", D), ("history_rows", L),
+        ("vol_ticks", D), *[(f"vol_{s}s", D) for s in vol_seconds], ("history_rows", L),
     )
     hist = _fields(("us", T.ArrayType(L)), ("price", T.ArrayType(D)), ("qty", T.ArrayType(D)), ("side", T.ArrayType(L)))
 
@@ -320,16 +329,17 @@ def tick_features(
             lo = np.maximum(np.searchsorted(us, now - s * 1_000_000, side="left"), oldest)
             out[f"buy_{s}s"] = buys[at + 1] - buys[lo]
             out[f"sell_{s}s"] = sells[at + 1] - sells[lo]
-        vols = np.full(len(at), np.nan)
-        for j, (i, first) in enumerate(zip(at, oldest)):
-            window = px[max(first, i + 1 - vol_ticks): i + 1]
-            window = window[window > 0]
-            if len(window) > 2:
-                vols[j] = np.std(np.diff(np.log(window)), ddof=1)
-        out["vol_ticks"] = vols
+        good = np.append(0, np.cumsum(px > 0))  # positive prices before each row
+        returns = np.diff(np.log(px[px > 0]))  # number i leads to positive price i + 1
+        upto = good[at + 1] - 1
+        out["vol_ticks"] = window_deviation(returns, good[np.maximum(oldest, at + 1 - vol_ticks)], upto)
+        for s in vol_seconds:
+            lo = np.searchsorted(us, now - s * 1_000_000, side="left")
+            out[f"vol_{s}s"] = window_deviation(returns, np.maximum(good[lo] - 1, 0), upto)
         out["history_rows"] = at - oldest + 1
         cut = int(oldest[-1])
-        state.update((us[cut:].tolist(), px[cut:].tolist(), qt[cut:].tolist(), sd[cut:].tolist()))
+        held = np.append(np.flatnonzero(px[:cut] > 0)[-1:], np.arange(cut, len(us)))  # with the price before
+        state.update((us[held].tolist(), px[held].tolist(), qt[held].tolist(), sd[held].tolist()))
         yield out
 
     return rows.groupBy("key").applyInPandasWithState(step, out_schema, hist, "append", GroupStateTimeout.NoTimeout)

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import scalars as fn
+from tidemark.operators.moments import window_deviation
 from tidemark.operators.scan import micros
 from tidemark.plans.features import derived_features
 
@@ -70,19 +71,7 @@ def _at(values: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def _volatility(prices: np.ndarray, upto: np.ndarray, ticks: int) -> np.ndarray:
     """Sample deviation of the log returns of the last ``ticks`` prices among the first ``upto``."""
-    out = np.full(len(upto), np.nan)
-    if len(prices) < 3:
-        return out
-    ends, back = np.unique(upto, return_inverse=True)
-    returns = np.concatenate([np.full(ticks, np.nan), np.diff(np.log(prices))])
-    # the window of `upto` prices ends with return number upto - 2
-    windows = np.lib.stride_tricks.sliding_window_view(returns, ticks - 1)
-    found = np.full(len(ends), np.nan)
-    usable = np.flatnonzero(ends >= 3)
-    for part in np.array_split(usable, max(1, len(usable) // 4096)):
-        if len(part):
-            found[part] = np.nanstd(windows[ends[part]], axis=1, ddof=1)
-    return found[back]
+    return window_deviation(np.diff(np.log(prices)), np.maximum(upto - ticks, 0), upto - 1)
 
 
 def _listed(values: np.ndarray) -> list:
