@@ -8,7 +8,7 @@ from tidemark.catalog import evaluate as ce
 from tidemark.catalog import views as v
 from tidemark.operators.gates import SignalRules, signal_rules
 from tidemark.session import workspace_dir
-from tidemark.streaming import features, outcomes, replay, signals, sources, state, vector
+from tidemark.streaming import commits, features, outcomes, replay, signals, sources, state, vector
 
 BATCHES, FILES = 3, 4
 
@@ -313,6 +313,17 @@ def stream_feature_vector(spark, sf):
     return out.select("market_id", F.col("row_id").alias("event_id"), "complete", *[F.round(c, 7).alias(c) for c in VECTOR])
 
 
+def stream_committed_days(spark, sf):
+    """Events appended by date in committed batches, read back: rows of the table and of its manifest."""
+    rows = event_stream(spark, sf).where("ts IS NOT NULL").select("event_id", "ts", "value", F.date_format("ts", "yyyy-MM-dd").alias("date"))
+    path = workspace_dir(spark, "committed")
+    commits.append_committed(rows, f"{path}/table", f"{path}/checkpoint", partition_by=["date"]).awaitTermination()
+    table = commits.read_committed(spark, f"{path}/table", rows.schema, ["date"])
+    listed = commits.manifest(spark, f"{path}/table", rows.schema, ["date"]).groupBy("date").agg(F.sum("rows").alias("manifest_rows"))
+    found = table.groupBy("date").agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("events"), F.round(F.sum("value"), 4).alias("total"))
+    return found.join(listed, "date", "full")
+
+
 def stream_drawdown_events(spark, sf):
     ev = event_stream(spark, sf).withColumn("pnl", F.col("value") - 50)
     out = sources.drain(state.drawdown_events(ev, account="user_id", ts="ts", tie="event_id", pnl="pnl", threshold=50.0), "stream_drawdown")
@@ -469,6 +480,8 @@ ORACLES = {
         p - op AS distance_to_open, lt AS log_tte, (el / 1e6) / (el / 1e6 + tte / 1e6) AS time_frac_elapsed, ya + na - 1.0 AS pair_ask_overround, coalesce(yage, 999) + coalesce(nage, 999) AS sum_quote_age,
         r1 - r5 AS btc_ret_1m5_reversal, im1 - im5 AS btc_trade_imb_1m5, ln(1 + yad / (ybd + 1e-9)) AS log_yes_ask_bid_depth_ratio, r5 * lt AS btc_ret5_x_logtte FROM k)
       SELECT market_id, event_id, complete, {", ".join(f"round({c}, 7) AS {c}" for c in VECTOR)} FROM z""",
+    "stream_committed_days": """SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS rows, count(DISTINCT event_id) AS events, round(sum(value), 4) AS total, count(*) AS manifest_rows
+      FROM events WHERE ts IS NOT NULL GROUP BY 1""",
     "stream_drawdown_events": """WITH a AS (SELECT *, sum(value - 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cum FROM events),
       b AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS peak FROM a),
       c AS (SELECT *, floor((peak - cum) / 50.0) * 50.0 AS lvl FROM b), d AS (SELECT *, coalesce(max(lvl) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
