@@ -10,7 +10,7 @@ from tidemark.catalog.tables import _split as _split_sql
 from tidemark.functions import scalars as fn
 from tidemark.operators import rank
 from tidemark.plans import evaluate as ev
-from tidemark.plans import models
+from tidemark.plans import boosting, models
 from tidemark.session import stage
 
 FEATURES = ["p_up", "yes_ask", "yes_bid", "time_to_expiry_seconds", "quote_age_seconds"]
@@ -40,6 +40,17 @@ def model_three_way(spark, sf):
     return out.select("rows", *[F.round(c, 3).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1")])
 
 
+def model_three_way_boosted(spark, sf):
+    """Boosted trees of three classes with a softmax loss: test rows, accuracy and what the probabilities sum to."""
+    p = _split(spark, sf).withColumn("label_move", fn.three_way(F.col("yes_ask") - 0.5, 0.2, null_label=None))
+    model = boosting.fit_softmax(p.where("split = 'train'"), features=["p_up", "yes_bid", "no_bid"], label="label_move")
+    scored = model.probabilities(p.where("split = 'test' AND label_move IS NOT NULL"), "prob", "chosen")
+    right = F.when(F.col("chosen") == F.col("label_move"), 1.0).otherwise(0.0)
+    total = F.aggregate("prob", F.lit(0.0), lambda a, x: a + x)
+    out = scored.groupBy("label_move").agg(F.count("*").alias("rows"), F.round(F.avg(right), 3).alias("recall"), F.round(F.min(total), 9).alias("least_sum"))
+    return out
+
+
 def model_net_edge(spark, sf):
     p = _split(spark, sf)
     t = ev.with_net_pnl(
