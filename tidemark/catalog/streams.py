@@ -375,6 +375,20 @@ def replay_signals(spark, sf):
     return out.select("window_id", "event_id", "is_forced")
 
 
+def replay_tail(spark, sf):
+    """The live rules on both sides, replayed over the last ten days of the table."""
+    p = v.predictions(spark, sf)
+    sides = F.array(
+        F.struct(F.lit("UP").alias("direction"), F.col("p_up").alias("probability")), F.struct(F.lit("DOWN").alias("direction"), F.col("p_down").alias("probability"))
+    )
+    rows = p.select(
+        "event_id", "market_id", "sample_ts", F.lit(False).alias("quote_bad"), "time_to_expiry_seconds", (F.col("yes_ask") - F.col("yes_bid")).alias("spread"), F.inline(sides)
+    )
+    rules = signal_rules(SignalRules("r", threshold=0.5, min_tte=30))
+    out = replay.replay_tail(rows, keys=["market_id", "direction"], rules=rules, cooldown_seconds=43_200, minutes=14_400)
+    return out.select("market_id", "direction", "event_id")
+
+
 QUERIES = {
     n: f for n, f in list(globals().items())
     if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("event_stream", "unordered_stream")
@@ -500,4 +514,10 @@ ORACLES = {
       kept AS (SELECT wid, min(sample_ts) AS sample_ts FROM ok GROUP BY 1 UNION ALL SELECT k.wid, min(o.sample_ts) FROM kept k JOIN ok o ON o.wid = k.wid AND o.sample_ts >= k.sample_ts + INTERVAL 12 HOUR GROUP BY k.wid)
       SELECT CAST(o.wid AS VARCHAR) AS window_id, o.event_id, false AS is_forced FROM ok o JOIN kept k ON k.wid = o.wid AND k.sample_ts = o.sample_ts
       UNION ALL SELECT CAST(wid AS VARCHAR), event_id, true FROM h WHERE sample_ts = c""",
+    "replay_tail": f"""WITH RECURSIVE {v.PRED}, x AS (SELECT event_id, market_id, sample_ts, 'UP' AS direction, p_up AS p, time_to_expiry_seconds AS tte FROM pred
+        UNION ALL SELECT event_id, market_id, sample_ts, 'DOWN', p_down, time_to_expiry_seconds FROM pred),
+      ok AS (SELECT * FROM x WHERE sample_ts >= (SELECT max(sample_ts) FROM pred) - INTERVAL 10 DAY AND p >= 0.5 AND tte >= 30),
+      kept AS (SELECT market_id, direction, min(sample_ts) AS sample_ts FROM ok GROUP BY 1, 2 UNION ALL
+        SELECT k.market_id, k.direction, min(o.sample_ts) FROM kept k JOIN ok o ON o.market_id = k.market_id AND o.direction = k.direction AND o.sample_ts >= k.sample_ts + INTERVAL 12 HOUR GROUP BY 1, 2)
+      SELECT o.market_id, o.direction, o.event_id FROM ok o JOIN kept k ON k.market_id = o.market_id AND k.direction = o.direction AND k.sample_ts = o.sample_ts""",
 }

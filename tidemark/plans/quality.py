@@ -304,18 +304,28 @@ def replay_windows(
 
 
 def rows_in_windows(rows: DataFrame, windows: DataFrame, *, entity: str = "market_id", ts: str = "sample_ts", cell_seconds: int = 300) -> DataFrame:
-    """Rows inside the windows of their market.
+    """Rows inside the windows of their market, both ends included; windows without both ends hold none.
 
-    Both sides carry the time cells they touch, so the join key is (market, cell)
-    and a hot market spreads over its cells.
+    Time is cut into cells, pairs of cells, pairs of those, and so on. A window is the union of at
+    most two cells of each size, so a long one costs the logarithm of its length; a row is looked
+    up once for each size that some window uses. The join key is (market, size, cell): a hot
+    market spreads over its cells, and what meets there is the result but for the windows' ends.
     """
-    cell = cell_seconds
-    sec = F.unix_timestamp(F.col(ts))
-    left = rows.withColumn("__cell", F.floor(sec / cell))
-    a, b = F.floor(F.unix_timestamp("start_ts") / cell), F.floor(F.unix_timestamp("end_ts") / cell)
-    spans = windows.select(entity, "window_id", "start_ts", "end_ts", F.explode(F.sequence(a, b)).alias("__cell"))
-    hit = left.join(spans, [entity, "__cell"]).where(F.col(ts).between(F.col("start_ts"), F.col("end_ts")))
-    return hit.drop("__cell")
+    known = windows.where("start_ts <= end_ts")
+    cell = lambda c: F.floor(F.unix_timestamp(c) / cell_seconds)
+    longest = known.agg(F.max(cell("end_ts") - cell("start_ts") + 1)).first()[0] or 1
+    sizes = range(int(longest).bit_length())
+    parts = []
+    for k in sizes:
+        # cells of this size inside the window; those not in a pair of the next size are taken
+        first, end = F.ceil(cell("start_ts") / (1 << k)), F.floor((cell("end_ts") + 1) / (1 << k))
+        for at, odd in ((first, first), (end - 1, end)):
+            parts.append(F.when((first < end) & (F.pmod(odd, F.lit(2)) == 1), F.struct(F.lit(k).alias("k"), at.cast("bigint").alias("c"))))
+    spans = known.select(entity, "window_id", "start_ts", "end_ts", F.inline(F.array_compact(F.array(*parts))).alias("__size", "__cell"))
+    places = F.array(*[F.struct(F.lit(k).alias("k"), F.floor(cell(ts) / (1 << k)).cast("bigint").alias("c")) for k in sizes])
+    left = rows.select("*", F.inline(places).alias("__size", "__cell"))
+    hit = left.join(spans, [entity, "__size", "__cell"]).where(F.col(ts).between(F.col("start_ts"), F.col("end_ts")))
+    return hit.drop("__size", "__cell")
 
 
 __all__ = [

@@ -38,3 +38,18 @@ def replay_windows(
         return emitted
     at_centre = ready.where(F.col("sample_ts") == F.col("center_ts")).withColumn("is_forced", F.lit(True))
     return emitted.unionByName(at_centre)
+
+
+def replay_tail(
+    rows: DataFrame, *, keys: Sequence[str], rules: Sequence[Rule], cooldown_seconds: float, minutes: float, ts: str = "sample_ts", tie: str = "event_id",
+) -> DataFrame:
+    """Signals the live rules would have emitted in the last ``minutes`` of the table, with fresh cooldowns.
+
+    The newest time is read first, as one value, so that the filter on it reaches the scan. Rows
+    without a time, and an empty table, give nothing.
+    """
+    newest = rows.agg(F.max(F.unix_micros(F.col(ts).cast("timestamp")))).first()[0]
+    start = F.lit(None) if newest is None else F.lit(newest - int(round(minutes * 60e6)))
+    since = F.timestamp_micros(start.cast("bigint")).cast(rows.schema[ts].dataType)
+    passed = rows.where(F.col(ts) >= since).where(first_reason(rules).isNull())
+    return cooldown_thin(passed, keys=keys, ts=ts, tie=tie, seconds=cooldown_seconds)
