@@ -133,6 +133,17 @@ def _block_kept(ts: pd.Series, wait: pd.Series, start: pd.Series) -> pd.Series:
     return pd.Series([a for s in _pieces(ts, wait) for a in _kept(ts[s], wait[s], start[s])], dtype=object)
 
 
+def _step_rows(blocks: DataFrame) -> DataFrame:
+    """The steps of the blocks of cut keys as written rows ``__g``, ``__b``, ``__e``, ``__f``."""
+    flat = blocks.where("__cut").select("__g", "__b", _block_steps("__ts", "__wait").alias("__s"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.size("__s") - 2, F.lit(2)),
+        lambda i: F.struct(F.get("__s", i).alias("e"), F.get("__s", i + 1).alias("f")),
+    )
+    steps = flat.select("__g", "__b", F.explode(pairs).alias("__p"))
+    return stage(steps.select("__g", "__b", F.col("__p.e").alias("__e"), F.col("__p.f").alias("__f")), "cooldown_steps")
+
+
 def _starts(steps: DataFrame, most_rows: int) -> DataFrame:
     """When a block that keeps anything is entered: ``__g``, ``__b``, ``__start`` (never before a key's first).
 
@@ -194,18 +205,11 @@ def cooldown_thin(
     blocks = placed.groupBy("__g", "__b", "__cut").agg(
         F.array_sort(F.collect_list("__us")).alias("__ts"), F.max("__wait").alias("__wait")
     )
-    flat = blocks.where("__cut").select("__g", "__b", _block_steps("__ts", "__wait").alias("__s"))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.size("__s") - 2, F.lit(2)),
-        lambda i: F.struct(F.get("__s", i).alias("e"), F.get("__s", i + 1).alias("f")),
-    )
-    steps = flat.select("__g", "__b", F.explode(pairs).alias("__p"))
-    steps = stage(steps.select("__g", "__b", F.col("__p.e").alias("__e"), F.col("__p.f").alias("__f")), "cooldown_steps")
-    if steps.isEmpty():
+    if placed.where("__cut").isEmpty():
         begun = blocks.withColumn("__start", F.lit(NEVER))
     else:
         # a block of a cut key that no step leads into keeps nothing
-        begun = blocks.join(_starts(steps, most_rows), ["__g", "__b"], "left").withColumn(
+        begun = blocks.join(_starts(_step_rows(blocks), most_rows), ["__g", "__b"], "left").withColumn(
             "__start", F.coalesce("__start", F.when(~F.col("__cut"), F.lit(NEVER)))
         ).where("__start IS NOT NULL")
     kept = begun.select("__g", F.explode(_block_kept("__ts", "__wait", "__start")).alias("__us"))
