@@ -1,6 +1,9 @@
 """Keyed state over streams, in event-time order inside each micro-batch.
 
-Every operator keeps a small bounded state per key. Rows of a key are sorted by
+Every operator keeps a small bounded state per key. Operators whose keys are many and have few
+rows each deal the keys by hash to ``BUCKETS`` groups: Python is called once per bucket and
+micro-batch, its arrays hold the rows of many keys, and the state of a bucket lists its keys.
+Rows of a key are sorted by
 (time, tie) within a micro-batch; across micro-batches they are taken as they come,
 so feeds should be ordered up to the watermark the caller sets. On a stream whose
 batches are in order the results equal the batch operators row by row.
@@ -39,6 +42,44 @@ def _fields(*spec: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in spec])
 
 
+BUCKETS = 512
+
+
+def in_buckets(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with ``__key``, one text for each combination of the keys (nulls too), and its ``__bucket``."""
+    text = [F.col(k).cast("string") for k in keys]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]
+    return rows.withColumn("__key", F.concat(*parts)).withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(BUCKETS)))
+
+
+def runs(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal names begins and ends."""
+    first = np.append(0, np.flatnonzero(names[1:] != names[:-1]) + 1)
+    return first, np.append(first[1:], len(names))
+
+
+def _filled(pdf: pd.DataFrame, fills: dict[str, np.ndarray], state: GroupState) -> dict[str, np.ndarray]:
+    """Last known value of each column up to the row of its key, from the state on; the state moves on.
+
+    ``pdf`` is sorted by key first. The state is the bucket's keys and a row of values for each.
+    """
+    names = pdf["__key"].to_numpy(object)
+    first, end = runs(names)
+    size = end - first
+    keys, flat = state.get if state.exists else ([], [])
+    held = np.asarray(flat, float).reshape(-1, len(fills))
+    place = {k: i for i, k in enumerate(keys)}
+    at = np.asarray([place.setdefault(k, len(place)) for k in names[first].tolist()], np.int64)
+    held = np.concatenate([held, np.full((len(place) - len(held), len(fills)), np.nan)])
+    start, out = np.repeat(first, size), {}
+    for c, (name, values) in enumerate(fills.items()):
+        known = np.maximum.accumulate(np.where(np.isnan(values), -1, np.arange(len(values))))
+        out[name] = np.where(known >= start, values[np.maximum(known, 0)], np.repeat(held[at, c], size))
+        held[at, c] = out[name][end - 1]
+    state.update((list(place), held.ravel().tolist()))
+    return out
+
+
 def throttle(stream: DataFrame, *, keys: Sequence[str], ts: str, tie: str, seconds: float) -> DataFrame:
     """Keep a row when at least ``seconds`` passed since the last kept row of its key.
 
@@ -46,45 +87,49 @@ def throttle(stream: DataFrame, *, keys: Sequence[str], ts: str, tie: str, secon
     form is :func:`tidemark.operators.cooldown.cooldown_thin`.
     """
     wait = int(round(seconds * 1e6))
-    timed = stream.withColumn("__us", micros(ts))
+    timed = in_buckets(stream.withColumn("__us", micros(ts)), keys)
+    schema = stream.schema
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(parts, ["__us", tie])
-        us = pdf["__us"].to_numpy(np.int64)
-        last = state.get[0] if state.exists else None
+    def step(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(parts, ["__key", "__us", tie])
+        times, names = pdf["__us"].to_numpy(np.int64), pdf["__key"].to_numpy(object)
+        held = dict(zip(*state.get)) if state.exists else {}
         kept = []
-        i = 0 if last is None else int(np.searchsorted(us, last + wait, side="left"))
-        while i < len(us):
-            kept.append(i)
-            last = int(us[i])
-            i = max(i + 1, int(np.searchsorted(us, last + wait, side="left")))
+        for first, end in zip(*(x.tolist() for x in runs(names))):
+            us, last = times[first:end], held.get(names[first])
+            i = 0 if last is None else int(us.searchsorted(last + wait, side="left"))
+            while i < len(us):
+                kept.append(first + i)
+                last = int(us[i])
+                i = max(i + 1, int(us.searchsorted(last + wait, side="left")))
+            if last is not None:
+                held[names[first]] = last
         if kept:
-            state.update((last,))
-            yield pdf.iloc[kept]
+            state.update((list(held), list(held.values())))
+            yield pdf.iloc[kept][schema.names]
 
-    out = timed.groupBy(*keys).applyInPandasWithState(
-        step, timed.schema, _fields(("last", L)), "append", GroupStateTimeout.NoTimeout
+    return timed.groupBy("__bucket").applyInPandasWithState(
+        step, schema, _fields(("key", T.ArrayType(S)), ("last", T.ArrayType(L))), "append", GroupStateTimeout.NoTimeout
     )
-    return out.drop("__us")
 
 
 def first_only(stream: DataFrame, *, keys: Sequence[str], ts: str, tie: str) -> DataFrame:
     """The first row of each key: one accepted trade per market and side."""
-    timed = stream.withColumn("__us", micros(ts))
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            for _ in parts:
-                pass
-            return
-        pdf = _sorted(parts, ["__us", tie])
-        state.update((1,))
-        yield pdf.iloc[:1]
-
-    out = timed.groupBy(*keys).applyInPandasWithState(
-        step, timed.schema, _fields(("seen", L)), "append", GroupStateTimeout.NoTimeout
+    timed = in_buckets(stream.withColumn("__us", micros(ts)), keys)
+    schema = stream.schema
+
+    def step(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(parts, ["__key", "__us", tie])
+        seen = state.get[0] if state.exists else []
+        new = pdf.iloc[runs(pdf["__key"].to_numpy(object))[0]]
+        new = new[~new["__key"].isin(set(seen))]
+        if len(new):
+            state.update(([*seen, *new["__key"].tolist()],))
+            yield new[schema.names]
+
+    return timed.groupBy("__bucket").applyInPandasWithState(
+        step, schema, _fields(("seen", T.ArrayType(S))), "append", GroupStateTimeout.NoTimeout
     )
-    return out.drop("__us")
 
 
 def hourly_limit(stream: DataFrame, *, keys: Sequence[str], ts: str, tie: str, limit: int, window_seconds: int = 3_600) -> DataFrame:
@@ -117,6 +162,9 @@ QUOTE_STATE = _fields(
 )
 
 
+KEY_VALUES = _fields(("key", T.ArrayType(S)), ("values", T.ArrayType(D)))
+
+
 def quote_state(events: DataFrame, *, tie: str = "row_id") -> DataFrame:
     """State of each asset after every quote event: sides replaced as they arrive.
 
@@ -127,29 +175,17 @@ def quote_state(events: DataFrame, *, tie: str = "row_id") -> DataFrame:
     rows = events.select("market_id", "asset_id", micros("ts_event").alias("ts_us"), F.col(tie).cast("bigint").alias("row_id"),
                          F.when(F.col("source") == "orderbook", 0).otherwise(1).alias("prio"), *cols, "last_trade_price")
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(parts, ["ts_us", "prio", "row_id"])
-        before = list(state.get) if state.exists else [None] * 6
-        out = pdf[["market_id", "asset_id", "ts_us", "row_id"]].copy()
-        moved = pdf["update_bid"].notna() | pdf["update_ask"].notna()
-        fills = {
-            "current_bid": pdf["update_bid"], "current_ask": pdf["update_ask"],
-            "current_bid_size": pdf["update_bid_size"], "current_ask_size": pdf["update_ask_size"],
-            "last_quote_update_us": pdf["ts_us"].where(moved).astype("Int64"), "last_trade_price": pdf["last_trade_price"],
-        }
-        now = []
-        for (name, values), old in zip(fills.items(), before):
-            filled = values.ffill()
-            if old is not None:
-                filled = filled.fillna(old)
-            out[name] = filled
-            end = filled.iloc[-1]
-            now.append(None if pd.isna(end) else (int(end) if name.endswith("_us") else float(end)))
-        state.update(tuple(now))
-        yield out
-
-    return rows.groupBy("market_id", "asset_id").applyInPandasWithState(
-        step, QUOTE_STATE, _fields(("b", D), ("a", D), ("bs", D), ("as", D), ("u", L), ("t", D)), "append", GroupStateTimeout.NoTimeout
+    def step(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(parts, ["__key", "ts_us", "prio", "row_id"])
+        value = {c: pdf[c].to_numpy(float) for c in (*cols, "last_trade_price", "ts_us")}
+        moved = ~(np.isnan(value["update_bid"]) & np.isnan(value["update_ask"]))
+        fills = {c.replace("update", "current"): value[c] for c in cols}
+        fills |= {"last_quote_update_us": np.where(moved, value["ts_us"], np.nan), "last_trade_price": value["last_trade_price"]}
+        out = pdf[["market_id", "asset_id", "ts_us", "row_id"]].assign(**_filled(pdf, fills, state))
+        yield out.astype({"last_quote_update_us": "Int64"})
+
+    return in_buckets(rows, ["market_id", "asset_id"]).groupBy("__bucket").applyInPandasWithState(
+        step, QUOTE_STATE, KEY_VALUES, "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -169,31 +205,20 @@ def pair_state(events: DataFrame, *, tie: str = "row_id") -> DataFrame:
     rows = events.select("market_id", micros("ts_event").alias("ts_us"), F.col(tie).cast("bigint").alias("row_id"),
                          F.when(F.col("source") == "orderbook", 0).otherwise(1).alias("prio"), (F.col("direction") == "UP").alias("yes"), *cols)
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(parts, ["ts_us", "prio", "row_id"])
-        before = list(state.get) if state.exists else [None] * (len(_PAIR) + 2)
-        out = pdf[["market_id", "ts_us", "row_id"]].copy()
-        yes = pdf["yes"].astype(bool)
-        moved = pdf["update_bid"].notna() | pdf["update_ask"].notna()
-        fills = {}
-        for side, here in (("yes", yes), ("no", ~yes)):
-            for c in cols:
-                fills[f"{side}_{c.removeprefix('update_')}"] = pdf[c].where(here)
-        for side, here in (("yes", yes), ("no", ~yes)):
-            fills[f"{side}_update_us"] = pdf["ts_us"].where(moved & here).astype("Int64")
-        now = []
-        for (name, values), old in zip(fills.items(), before):
-            filled = values.ffill()
-            if old is not None:
-                filled = filled.fillna(old)
-            out[name] = filled
-            end = filled.iloc[-1]
-            now.append(None if pd.isna(end) else (int(end) if name.endswith("_us") else float(end)))
-        state.update(tuple(now))
-        yield out
-
-    held = _fields(*[(c, D) for c in _PAIR], ("yu", L), ("nu", L))
-    return rows.groupBy("market_id").applyInPandasWithState(step, PAIR_STATE, held, "append", GroupStateTimeout.NoTimeout)
+    def step(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(parts, ["__key", "ts_us", "prio", "row_id"])
+        value = {c: pdf[c].to_numpy(float) for c in (*cols, "ts_us")}
+        moved = ~(np.isnan(value["update_bid"]) & np.isnan(value["update_ask"]))
+        yes = pdf["yes"].astype(bool).to_numpy()
+        sides = {"yes": yes, "no": ~yes}
+        fills = {f"{s}_{c.removeprefix('update_')}": np.where(here, value[c], np.nan) for s, here in sides.items() for c in cols}
+        fills |= {f"{s}_update_us": np.where(moved & here, value["ts_us"], np.nan) for s, here in sides.items()}
+        out = pdf[["market_id", "ts_us", "row_id"]].assign(**_filled(pdf, fills, state))
+        yield out.astype({f"{s}_update_us": "Int64" for s in sides})
+
+    return in_buckets(rows, ["market_id"]).groupBy("__bucket").applyInPandasWithState(
+        step, PAIR_STATE, KEY_VALUES, "append", GroupStateTimeout.NoTimeout
+    )
 
 
 SETTLED = _fields(("signal_id", L), ("market_id", S), ("direction", S), ("open_price", D), ("close_price", D), ("settled_yes", L), ("pnl", D))
@@ -306,43 +331,60 @@ def tick_features(
         *[(f"{w}_{s}s", D) for s in flows_s for w in ("buy", "sell")],
         ("vol_ticks", D), *[(f"vol_{s}s", D) for s in vol_seconds], ("history_rows", L),
     )
-    hist = _fields(("us", T.ArrayType(L)), ("price", T.ArrayType(D)), ("qty", T.ArrayType(D)), ("side", T.ArrayType(L)))
+    hist = _fields(("key", T.ArrayType(S)), ("rows", T.ArrayType(L)), ("us", T.ArrayType(L)), ("price", T.ArrayType(D)), ("qty", T.ArrayType(D)), ("side", T.ArrayType(L)))
+    made = [f.name for f in out_schema.fields[4:]]
 
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(parts, ["us", "row_id"])
-        old = state.get if state.exists else ([], [], [], [])
-        us = np.concatenate([np.asarray(old[0], dtype=np.int64), pdf["us"].to_numpy(np.int64)])
-        px = np.concatenate([np.asarray(old[1], dtype=float), pdf["price"].to_numpy(float)])
-        qt = np.concatenate([np.asarray(old[2], dtype=float), pdf["qty"].fillna(0.0).to_numpy(float)])
-        sd = np.concatenate([np.asarray(old[3], dtype=np.int64), pdf["side"].fillna(0).to_numpy(np.int64)])
-        n_old, at = len(old[0]), np.arange(len(old[0]), len(us))
+    def key_step(old: Sequence[np.ndarray], new: Sequence[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Features of one key's new ticks and its history after them."""
+        us, px, qt, sd = (np.concatenate(x) for x in zip(old, new))
+        at = np.arange(len(old[0]), len(us))
         now = us[at]
         oldest = np.searchsorted(us, now - keep, side="left")  # first row still in history
-        out = pdf[["key", "us", "row_id", "price"]].copy()
+        out = []
         for s in lags_s:
             pos = np.searchsorted(us, now - s * 1_000_000, side="right") - 1
             ok = (pos >= oldest) & (pos >= 0)
-            out[f"price_lag_{s}s"] = np.where(ok, px[np.maximum(pos, 0)], np.nan)
+            out.append(np.where(ok, px[np.maximum(pos, 0)], np.nan))
         buys = np.concatenate([[0.0], np.cumsum(np.where(sd > 0, qt, 0.0))])
         sells = np.concatenate([[0.0], np.cumsum(np.where(sd < 0, qt, 0.0))])
         for s in flows_s:
             lo = np.maximum(np.searchsorted(us, now - s * 1_000_000, side="left"), oldest)
-            out[f"buy_{s}s"] = buys[at + 1] - buys[lo]
-            out[f"sell_{s}s"] = sells[at + 1] - sells[lo]
+            out += [buys[at + 1] - buys[lo], sells[at + 1] - sells[lo]]
         good = np.append(0, np.cumsum(px > 0))  # positive prices before each row
         returns = np.diff(np.log(px[px > 0]))  # number i leads to positive price i + 1
         upto = good[at + 1] - 1
-        out["vol_ticks"] = window_deviation(returns, good[np.maximum(oldest, at + 1 - vol_ticks)], upto)
+        out.append(window_deviation(returns, good[np.maximum(oldest, at + 1 - vol_ticks)], upto))
         for s in vol_seconds:
             lo = np.searchsorted(us, now - s * 1_000_000, side="left")
-            out[f"vol_{s}s"] = window_deviation(returns, np.maximum(good[lo] - 1, 0), upto)
-        out["history_rows"] = at - oldest + 1
+            out.append(window_deviation(returns, np.maximum(good[lo] - 1, 0), upto))
+        out.append(at - oldest + 1)
         cut = int(oldest[-1])
         held = np.append(np.flatnonzero(px[:cut] > 0)[-1:], np.arange(cut, len(us)))  # with the price before
-        state.update((us[held].tolist(), px[held].tolist(), qt[held].tolist(), sd[held].tolist()))
-        yield out
+        return out, [x[held] for x in (us, px, qt, sd)]
 
-    return rows.groupBy("key").applyInPandasWithState(step, out_schema, hist, "append", GroupStateTimeout.NoTimeout)
+    def step(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = _sorted(parts, ["__key", "us", "row_id"])
+        names = pdf["__key"].to_numpy(object)
+        columns = (
+            pdf["us"].to_numpy(np.int64), pdf["price"].to_numpy(float), pdf["qty"].fillna(0.0).to_numpy(float), pdf["side"].fillna(0).to_numpy(np.int64),
+        )
+        history = {}
+        if state.exists:
+            keys, sizes, *flat = state.get
+            flat = [np.asarray(x, t) for x, t in zip(flat, (np.int64, float, float, np.int64))]
+            cuts = np.append(0, np.cumsum(sizes)).astype(int).tolist()
+            history = {k: [x[a:b] for x in flat] for k, a, b in zip(keys, cuts, cuts[1:])}
+        none = [x[:0] for x in columns]
+        found = []
+        for first, end in zip(*(x.tolist() for x in runs(names))):
+            key = names[first]
+            out, history[key] = key_step(history.get(key, none), [x[first:end] for x in columns])
+            found.append(out)
+        flat = [np.concatenate(x).tolist() for x in zip(*history.values())]
+        state.update((list(history), [len(h[0]) for h in history.values()], *flat))
+        yield pdf[["key", "us", "row_id", "price"]].assign(**{n: np.concatenate(x) for n, x in zip(made, zip(*found))})
+
+    return in_buckets(rows, ["key"]).groupBy("__bucket").applyInPandasWithState(step, out_schema, hist, "append", GroupStateTimeout.NoTimeout)
 
 
 OUTCOME = _fields(
