@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.streaming import sources, state
+from tidemark.streaming import sources, state, vector
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -59,3 +59,20 @@ def test_tick_features_keep_histories_apart(spark, tmp_path):
     assert held <= state.BUCKETS and made.count() == 2 * n
     later = made.where(F.col("row_id") >= n)
     assert later.where((F.col("price_lag_10s") != F.col("price") - 1) | (F.col("buy_10s") != 2) | (F.col("history_rows") != 2)).count() == 0
+
+
+def test_markets_of_a_bucket_share_its_state(spark, tmp_path):
+    n = vector.BUCKETS * 2
+    at = lambda s: F.lit(T0) + F.expr(f"INTERVAL {s} SECOND")
+    spark.range(n).select("id", at(20).alias("ts"), F.lit("q").alias("kind")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.range(n).select("id", at(10).alias("ts"), F.lit("t").alias("kind")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for s in (500, 501):
+        spark.range(1).select("id", at(s).alias("ts"), F.lit("c").alias("kind")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rows = sources.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, files_per_batch=1)
+    half, name = F.lit(0.5), F.col("id").cast("string")
+    quo = rows.where("kind = 'q'").select(name.alias("market_id"), F.col("id").alias("row_id"), "ts", F.lit("yes").alias("side"), F.lit(0).alias("prio"), *[half.alias(c) for c in vector.QUOTE])
+    tic = rows.where("kind = 't'").select(name.alias("instrument"), F.col("id").alias("row_id"), "ts", *[(F.col("id") + 1).cast("double").alias(c) for c in vector.TICK])
+    markets = spark.range(n).select(name.alias("market_id"), name.alias("instrument"), at(0).alias("start_ts"), at(100).alias("end_ts"))
+    made, held = drained(spark, str(tmp_path), vector.live_state(quo, tic, markets, delay="30 seconds", clock=rows.where("kind = 'c'").select("ts")))
+    assert held <= vector.BUCKETS and made.count() == n
+    assert made.where((F.col("ref_price") != F.col("row_id") + 1) | (F.col("open_price") != F.col("row_id") + 1) | (F.col("market_id") != F.col("row_id").cast("string"))).count() == 0

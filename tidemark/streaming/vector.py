@@ -6,12 +6,14 @@ and a bounded past (the longest look-back, and the ticks of the longest volatili
 released once the watermark has passed it, so the rows equal those of a batch join over all rows
 that were not late. The state of a market ends with the market.
 
-State and look-backs are made in Python, once per market and micro-batch on arrays; every feature
-is a column on top.
+State and look-backs are made in Python on arrays, market by market; every feature is a column on
+top. Markets are dealt by hash to buckets, so Python is called once per bucket and micro-batch and
+only the markets with new rows, or with something due, are opened.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator
 
@@ -27,6 +29,7 @@ from tidemark.functions import scalars as fn
 from tidemark.operators.moments import window_deviation
 from tidemark.operators.scan import micros
 from tidemark.plans.features import derived_features
+from tidemark.streaming.state import BUCKETS, runs
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -53,14 +56,14 @@ STATE_ROW = T.StructType(
     + [T.StructField(f"ref_count_{s}", L) for s in FLOWS]
     + [T.StructField("late_rows", L)]
 )
-HELD = T.StructType(
-    [T.StructField(f"wait_{n}", T.ArrayType(L)) for n in INTS]
-    + [T.StructField(f"wait_{n}", T.ArrayType(D)) for n in VALUES]
-    + [T.StructField("tick_us", T.ArrayType(L)), *[T.StructField(f"tick_{n}", T.ArrayType(D)) for n in TICK]]
-    + [T.StructField("mid_us", T.ArrayType(L)), T.StructField("mid", T.ArrayType(D))]
-    + [T.StructField("current", T.ArrayType(D)), T.StructField("updated", T.ArrayType(L))]
-    + [T.StructField("open_us", L), T.StructField("open_price", D), T.StructField("start_us", L), T.StructField("end_us", L)]
-)
+# of each market of a bucket: when to look at it again, and its past (``_nothing`` at first)
+HELD = T.StructType([T.StructField("market", T.ArrayType(S)), T.StructField("due", T.ArrayType(L)), T.StructField("past", T.ArrayType(T.BinaryType()))])
+
+
+def _nothing(start: int, end: int) -> tuple:
+    """The past of a new market: waiting rows, ticks, mids, current values and their times, open price and its time, window."""
+    no, none = np.zeros(0, np.int64), np.full(len(CURRENT), np.nan)
+    return np.zeros((len(INTS), 0), np.int64), np.zeros((len(VALUES), 0)), no, np.zeros((len(TICK), 0)), no, np.zeros(0), none, np.full(len(SIDES), np.nan), (None, None), start, end
 
 
 def _at(values: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -69,15 +72,6 @@ def _at(values: np.ndarray, place: np.ndarray) -> np.ndarray:
     return padded[np.where(place < 0, len(values), place)]
 
 
-def _volatility(prices: np.ndarray, upto: np.ndarray, ticks: int) -> np.ndarray:
-    """Sample deviation of the log returns of the last ``ticks`` prices among the first ``upto``."""
-    return window_deviation(np.diff(np.log(prices)), np.maximum(upto - ticks, 0), upto - 1)
-
-
-def _listed(values: np.ndarray) -> list:
-    return [None if x != x else x for x in values.tolist()]
-
-
 def live_state(
     quotes: DataFrame, ticks: DataFrame, markets: DataFrame, *, unit_s: float = 1.0, delay: str = "10 seconds",
     clock: DataFrame | None = None,
@@ -120,82 +114,89 @@ def live_state(
         rows = rows.unionByName(clock.select("ts", *[c.alias(n) for n, c in (none | row(2, 0, F.lit(0), 0, nothing)).items()]).select(*common))
     rows = rows.where(F.col("ts").isNotNull()).withWatermark("ts", delay)
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if key[0] is None:  # heartbeats
-            for _ in parts:
-                pass
-            return
-        passed = state.getCurrentWatermarkMs() * 1000  # everything before this is here
-        if state.exists:
-            old = dict(zip((f.name for f in HELD.fields), state.get))
-            ints = np.asarray([old[f"wait_{n}"] for n in INTS], np.int64).reshape(len(INTS), -1)
-            values = np.asarray([old[f"wait_{n}"] for n in VALUES], float).reshape(len(VALUES), -1)
-            tick_us, tick = np.asarray(old["tick_us"], np.int64), np.asarray([old[f"tick_{n}"] for n in TICK], float).reshape(len(TICK), -1)
-            mid_us, mid = np.asarray(old["mid_us"], np.int64), np.asarray(old["mid"], float)
-            current, updated = np.asarray(old["current"], float), old["updated"]
-            opened, start, end = (old["open_us"], old["open_price"]), old["start_us"], old["end_us"]
-        else:
-            ints, values = np.zeros((len(INTS), 0), np.int64), np.zeros((len(VALUES), 0))
-            tick_us, tick, mid_us, mid = np.zeros(0, np.int64), np.zeros((len(TICK), 0)), np.zeros(0, np.int64), np.zeros(0)
-            current, updated, opened, start, end = np.full(len(CURRENT), np.nan), [None, None], (None, None), None, None
-        n_late = 0
-        if not state.hasTimedOut:
-            for pdf in parts:
-                start, end = int(pdf["start_us"].iloc[0]), int(pdf["end_us"].iloc[0])
-                here = pdf["us"].to_numpy(np.int64) >= passed
-                n_late += int((~here).sum())
-                ints = np.concatenate([ints, pdf[list(INTS)].to_numpy(np.int64)[here].T], axis=1)
-                values = np.concatenate([values, pdf[VALUES].to_numpy(float)[here].T], axis=1)
-        if n_late:
-            late = pd.DataFrame({f.name: pd.Series([None], dtype=object) for f in STATE_ROW.fields})
-            late["market_id"], late["late_rows"] = key[0], n_late
-            yield late
+    def advance(market: str, held: tuple, more: tuple | None, passed: int) -> tuple:
+        """Rows of the market's updates that the watermark has passed, when to look again (None: it has ended), its past."""
+        ints, values, tick_us, tick, mid_us, mid, current, updated, opened, start, end = held
+        if more is not None:
+            ints, values = np.concatenate([ints, more[0]], axis=1), np.concatenate([values, more[1]], axis=1)
         order = np.lexsort((ints[3], ints[2], ints[0]))
         ints, values = ints[:, order], values[:, order]
         ready = ints[0] < passed
         new_tick, quote = ready & (ints[1] == 1), ready & (ints[1] == 0)
         tick_us, tick = np.append(tick_us, ints[0, new_tick]), np.concatenate([tick, values[:, new_tick]], axis=1)
-        if opened[0] is None and start is not None:
+        if opened[0] is None:
             i = int(np.searchsorted(tick_us, start, side="left"))
             if i < len(tick_us):
                 opened = int(tick_us[i]), float(tick[PRICE, i])
+        out = None
         if quote.any():
-            out, current, updated, mid_us, mid = released(key[0], ints[:, quote], values[:, quote], tick_us, tick, mid_us, mid, current, updated, opened)
-            out["start_us"], out["end_us"] = start, end
-            yield out[[f.name for f in STATE_ROW.fields]]
+            out, current, updated, mid_us, mid = released(ints[:, quote], values[:, quote], tick_us, tick, mid_us, mid, current, updated, opened)
+            n = int(quote.sum())
+            out |= {"market_id": np.full(n, market, object), "start_us": np.full(n, start), "end_us": np.full(n, end)}
         ints, values = ints[:, ~ready], values[:, ~ready]
-        if end is None or (passed >= end and not ints.shape[1]):
-            if state.exists:
-                state.remove()
-            return
+        if passed >= end and not ints.shape[1]:
+            return out, None, None
         # the look-backs of updates still to come, and the last value before them
         cut = min(int(np.searchsorted(tick_us, passed - past, side="left")) - 1, len(tick_us) - max(VOLS))
         tick_us, tick = tick_us[max(cut, 0) :], tick[:, max(cut, 0) :]
         cut = max(int(np.searchsorted(mid_us, passed - max(MOVES) * unit, side="left")) - 1, 0)
-        mid_us, mid = mid_us[cut:], mid[cut:]
-        state.update((
-            *ints.tolist(), *map(_listed, values), tick_us.tolist(), *map(_listed, tick), mid_us.tolist(), _listed(mid),
-            _listed(current), list(updated), *opened, start, end,
-        ))
         due = int(ints[0].min()) if ints.shape[1] else end
-        state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs()) + 1)
+        return out, due, (ints, values, tick_us, tick, mid_us[cut:], mid[cut:], current, updated, opened, start, end)
+
+    def step(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.getCurrentWatermarkMs() * 1000  # everything before this is here
+        held = {m: (due, kept) for m, due, kept in zip(*state.get)} if state.exists else {}
+        new, late = {}, {}
+        if not state.hasTimedOut:
+            pdf = pd.concat(list(parts), ignore_index=True)
+            pdf = pdf[pdf["market_id"].notna()].sort_values("market_id", kind="stable")  # others are heartbeats
+            if len(pdf):
+                names, times = pdf["market_id"].to_numpy(object), pdf["us"].to_numpy(np.int64)
+                ints, values = pdf[list(INTS)].to_numpy(np.int64).T, pdf[VALUES].to_numpy(float).T
+                starts, ends = pdf["start_us"].to_numpy(np.int64), pdf["end_us"].to_numpy(np.int64)
+                for first, end in zip(*(x.tolist() for x in runs(names))):
+                    here = np.flatnonzero(times[first:end] >= passed) + first
+                    new[names[first]] = ints[:, here], values[:, here], int(starts[end - 1]), int(ends[end - 1])
+                    if len(here) < end - first:
+                        late[names[first]] = end - first - len(here)
+        if late:
+            rows = pd.DataFrame({f.name: pd.Series([None] * len(late), dtype=object) for f in STATE_ROW.fields})
+            rows["market_id"], rows["late_rows"] = list(late), list(late.values())
+            yield rows
+        found = []
+        for market in [*new, *(m for m, (due, _) in held.items() if due <= passed and m not in new)]:
+            more = new.get(market)
+            kept = pickle.loads(held[market][1]) if market in held else _nothing(*more[2:])
+            if more is not None:
+                kept = (*kept[:-2], *more[2:])
+            out, due, kept = advance(market, kept, more, passed)
+            if out is not None:
+                found.append(out)
+            if due is None:
+                held.pop(market, None)
+            else:
+                held[market] = due, pickle.dumps(kept, protocol=pickle.HIGHEST_PROTOCOL)
+        if found:
+            rows = pd.DataFrame({n: np.concatenate([x[n] for x in found]) for n in found[0]})
+            rows = rows.astype({f"{s}_update_us": "Int64" for s in SIDES}).assign(late_rows=pd.Series([None] * len(rows), dtype="Int64"))
+            yield rows[[f.name for f in STATE_ROW.fields]]
+        if held:
+            state.update((list(held), [due for due, _ in held.values()], [kept for _, kept in held.values()]))
+            state.setTimeoutTimestamp(max(min(due for due, _ in held.values()) // 1000, state.getCurrentWatermarkMs()) + 1)
+        elif state.exists:
+            state.remove()
 
-    def released(market, ints, values, tick_us, tick, mid_us, mid, current, updated, opened):
-        """Rows of the updates given, and the values after them."""
+    def released(ints, values, tick_us, tick, mid_us, mid, current, updated, opened):
+        """Columns of the updates given, and the values after them."""
         us, yes = ints[0], ints[4] == 1
-        out: dict[str, object] = {"ts_us": us, "row_id": ints[3]}
-        after, moved = [], ~(np.isnan(values[0]) & np.isnan(values[1]))
-        stamps: list[int | None] = []
-        for s, own in enumerate((yes, ~yes)):
-            for c, name in enumerate(QUOTE):
-                i = s * len(QUOTE) + c
-                known = pd.Series(np.append(current[i], np.where(own, values[c], np.nan))).ffill().to_numpy()
-                out[f"{SIDES[s]}_{name}"] = known[1:]
-                after.append(known[-1])
-            places = np.maximum.accumulate(np.where(own & moved, np.arange(len(us)), -1))
-            stamp = [updated[s] if p < 0 else int(us[p]) for p in places.tolist()]
-            out[f"{SIDES[s]}_update_us"] = pd.Series(stamp, dtype="Int64")
-            stamps.append(stamp[-1])
+        out: dict[str, np.ndarray] = {"ts_us": us, "row_id": ints[3]}
+        moved = ~(np.isnan(values[0]) & np.isnan(values[1]))
+        both = np.concatenate([np.where(own, values, np.nan) for own in (yes, ~yes)] + [np.where([yes & moved, ~yes & moved], us, np.nan)])
+        both = np.concatenate([np.append(current, updated)[:, None], both], axis=1)
+        places = np.maximum.accumulate(np.where(np.isnan(both), 0, np.arange(both.shape[1])), axis=1)
+        both = np.take_along_axis(both, places, axis=1)
+        out |= dict(zip([*CURRENT, *(f"{s}_update_us" for s in SIDES)], both[:, 1:]))
+        after, stamps = both[: len(CURRENT), -1], both[len(CURRENT) :, -1]
         yes_mid = (out["yes_bid"] + out["yes_ask"]) / 2
         known = ~np.isnan(yes_mid)
         mid_us, mid = np.append(mid_us, us[known]), np.append(mid, yes_mid[known])
@@ -207,8 +208,9 @@ def live_state(
         out["open_price"] = np.full(len(us), np.nan) if opened[0] is None else np.where(us >= opened[0], opened[1], np.nan)
         for s in LAGS:
             out[f"ref_lag_{s}"] = _at(tick[PRICE], np.searchsorted(tick_us, us - s * unit, side="right") - 1)
-        for n in VOLS:
-            out[f"ref_vol_{n}"] = _volatility(tick[PRICE], upto, n)
+        returns = np.diff(np.log(tick[PRICE]))
+        for n in VOLS:  # of the last n prices
+            out[f"ref_vol_{n}"] = window_deviation(returns, np.maximum(upto - n, 0), upto - 1)
         signed = np.nan_to_num(tick[SIGNED])
         sums = {what: np.append(0.0, np.cumsum(x)) for what, x in (("buy", np.maximum(signed, 0)), ("sell", np.maximum(-signed, 0)), ("count", signed != 0))}
         for s in FLOWS:
@@ -216,11 +218,10 @@ def live_state(
             for what, total in sums.items():
                 moved_by = total[upto] - total[first]
                 out[f"ref_{what}_{s}"] = moved_by.astype(np.int64) if what == "count" else moved_by
-        frame = pd.DataFrame(out)
-        frame["market_id"], frame["late_rows"] = market, pd.Series([None] * len(us), dtype="Int64")
-        return frame, np.asarray(after), stamps, mid_us, mid
+        return out, after, stamps, mid_us, mid
 
-    return rows.groupBy("market_id").applyInPandasWithState(step, STATE_ROW, HELD, "append", GroupStateTimeout.EventTimeTimeout)
+    bucketed = rows.withColumn("__bucket", F.pmod(F.xxhash64("market_id"), F.lit(BUCKETS)))
+    return bucketed.groupBy("__bucket").applyInPandasWithState(step, STATE_ROW, HELD, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_vector(state: DataFrame, *, ttl_seconds: float) -> DataFrame:
