@@ -115,7 +115,9 @@ def stream_market_opens(spark, sf):
     u = v.table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("market_start_ts"), F.max("ts").alias("market_end_ts"))
     m = u.select(_symbol().alias("symbol"), F.col("user_id").cast("string").alias("market_id"), "market_start_ts", "market_end_ts")
     px = event_stream(spark, sf).where("event_type <> 'signup'").select(_symbol().alias("symbol"), "ts", "event_id", "value")
-    out = sources.drain(features.market_opens(px, m, on="symbol", ts="ts", tie="event_id", price="value"), "stream_opens")
+    path = workspace_dir(spark, "stream_opens")
+    features.market_opens(px, m, f"{path}/table", f"{path}/checkpoint", on="symbol", ts="ts", tie="event_id", price="value").awaitTermination()
+    out = features.opened_markets(px, m, f"{path}/table", ts="ts", price="value")
     return out.select("market_id", v.naive("open_seen_ts"), "open_price")
 
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import scalars as fn
+from tidemark.operators.asof import asof_join
 from tidemark.operators.scan import micros
-from tidemark.streaming.state import first_only, pair_state
+from tidemark.session import stage
+from tidemark.streaming.state import pair_state
 
 SIDES = ("yes", "no")
 
@@ -37,13 +41,47 @@ def live_features(events: DataFrame, *, ttl_seconds: float, tie: str = "row_id")
     return out.withColumns(pair)
 
 
-def market_opens(prices: DataFrame, markets: DataFrame, *, on: str, ts: str, tie: str, price: str) -> DataFrame:
+def market_opens(
+    prices: DataFrame, markets: DataFrame, path: str, checkpoint: str, *, on: str, ts: str, tie: str, price: str
+) -> StreamingQuery:
     """The first price seen inside each market's window: one row per market, as it opens.
 
     ``prices`` is a stream keyed by ``on``; ``markets`` a table (``on``, market_id,
-    market_start_ts, market_end_ts).
+    market_start_ts, market_end_ts). Each micro-batch looks up the markets that are not open yet
+    with one forward as-of join, so no price meets every market of its key, and writes those that
+    open to ``path``; a repeated batch replaces itself. Read the rows with ``opened_markets``.
     """
-    inside = (micros(ts) >= micros("market_start_ts")) & (micros(ts) < micros("market_end_ts"))
-    joined = prices.select(on, ts, tie, price).join(markets.select(on, "market_id", "market_start_ts", "market_end_ts"), on).where(inside)
-    first = first_only(joined, keys=["market_id"], ts=ts, tie=tie)
-    return first.select("market_id", F.col(ts).alias("open_seen_ts"), F.col(price).alias("open_price"))
+    spark = prices.sparkSession
+    schema = _opened_schema(prices, markets, ts, price)
+    begins, ends = micros("market_start_ts"), micros("market_end_ts")
+    windows = stage(markets.select(on, "market_id", "market_start_ts", "market_end_ts").where(F.col(on).isNotNull() & (begins < ends)), "market_windows")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        first = F.min(F.struct(F.col(tie).isNull(), F.col(tie), F.col(price).alias("open_price"))).alias("__first")
+        seen = batch.where(F.col(on).isNotNull() & F.col(ts).isNotNull()).groupBy(on, F.col(ts).alias("open_seen_ts")).agg(first)
+        seen = stage(seen, "market_prices")
+        waiting = windows
+        if batch_id:
+            done = spark.read.schema(schema).parquet(*[f"{path}/batch={i}" for i in range(batch_id)]).select(F.col("market_id").alias("__done"))
+            waiting = windows.join(done, F.col("market_id").eqNullSafe(F.col("__done")), "left_anti")
+        found = asof_join(
+            waiting, seen, on=[on], left_ts="market_start_ts", right_ts="open_seen_ts", direction="forward", right_cols=["__first"], match_ts="open_seen_ts"
+        ).where(micros("open_seen_ts") < ends)
+        row = F.struct(micros("open_seen_ts"), F.col("__first"), F.col("open_seen_ts").alias("at"))
+        best = found.groupBy("market_id").agg(F.min(row).alias("__row"))
+        out = best.select("market_id", F.col("__row.at").alias("open_seen_ts"), F.col("__row.__first.open_price").alias("open_price"))
+        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return prices.select(on, ts, tie, price).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _opened_schema(prices: DataFrame, markets: DataFrame, ts: str, price: str) -> T.StructType:
+    return T.StructType([
+        T.StructField("market_id", markets.schema["market_id"].dataType), T.StructField("open_seen_ts", prices.schema[ts].dataType),
+        T.StructField("open_price", prices.schema[price].dataType),
+    ])
+
+
+def opened_markets(prices: DataFrame, markets: DataFrame, path: str, *, ts: str, price: str) -> DataFrame:
+    """Rows written by ``market_opens``: market_id, open_seen_ts, open_price."""
+    return prices.sparkSession.read.schema(_opened_schema(prices, markets, ts, price)).parquet(path).drop("batch")
