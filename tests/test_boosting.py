@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans.boosting import fit_softmax
+from tidemark.plans.boosting import _histograms, fit_softmax
 
 
 def loop(x, y, n_classes, rounds, depth, rate, l2, min_rows):
@@ -71,3 +71,19 @@ def test_learns_the_rule_and_needs_labels(spark):
     assert one.probabilities(df.limit(1)).first()["probabilities"] == [1.0]
     with pytest.raises(ValueError, match="classes"):
         fit_softmax(df.withColumn("y", F.lit(None).cast("string")), features=["a"], label="y")
+
+
+def test_histograms_come_from_whole_tasks(spark):
+    """What leaves a task is its histogram, not a row for each row, class and feature."""
+    n, splits = 20_000, [{1: (0, 1)}, {}]
+    rows = spark.range(0, n, 1, 2).select(
+        F.array((F.col("id") % 4 - 1).cast("int"), F.lit(0)).alias("x"), (F.col("id") % 2).cast("int").alias("y"), F.array(F.lit(0.0), F.lit(0.0)).alias("s")
+    )
+    hist = _histograms(rows, splits, 1, 2, 4)
+    assert "Generate" not in hist._jdf.queryExecution().toString()
+    got = {(r.k, r.node, r.f, r.bin): (r.g, r.h, r.n) for r in hist.collect()}
+    q = n // 4  # bins -1, 0, 1 go left, 2 goes right; only class 0 was split
+    assert got == {
+        (0, 2, 0, -1): (-q / 2, q / 4, q), (0, 2, 0, 0): (q / 2, q / 4, q), (0, 2, 0, 1): (-q / 2, q / 4, q), (0, 3, 0, 2): (q / 2, q / 4, q),
+        (0, 2, 1, 0): (-q / 2, 3 * q / 4, 3 * q), (0, 3, 1, 0): (q / 2, q / 4, q),
+    }

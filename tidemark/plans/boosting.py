@@ -1,24 +1,29 @@
 """Boosted trees for several classes with a softmax loss, grown from histograms that Spark adds up.
 
 Features are binned once. In every round each class gets one tree; every level of all trees of a
-round is one aggregate: gradients and curvatures by (class, node, feature, bin), combined
-map-side. What comes to the driver is that histogram, whose size depends on classes, depth,
+round is one aggregate: gradients and curvatures by (class, node, feature, bin), added up in
+arrays by each task, so that no row is multiplied by classes and features. What comes to the driver is that histogram, whose size depends on classes, depth,
 features and bins and not on rows. Scores are written after each round, so a lost executor
 costs a re-read, and the plan does not grow.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import stage
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MOST_CLASSES = 100
 # a tree is the value of a leaf, or (feature, bin, rows up to that bin, the others)
 Tree = float | tuple
@@ -73,15 +78,47 @@ def _value(x: Column, tree: Tree) -> Column:
     return F.when(F.get(x, F.lit(feature)) <= last, _value(x, left)).otherwise(_value(x, right))
 
 
-def _open_node(x: Column, splits: dict[int, tuple[int, int]], node: int, level: int) -> Column:
-    """Number of the node of this level that a row is in; -1 where its branch has ended."""
-    if level == 0:
-        return F.lit(node)
-    if node not in splits:
-        return F.lit(-1)
-    feature, last = splits[node]
-    left, right = (_open_node(x, splits, child, level - 1) for child in (2 * node, 2 * node + 1))
-    return F.when(F.get(x, F.lit(feature)) <= last, left).otherwise(right)
+def _open_nodes(x: np.ndarray, splits: dict[int, tuple[int, int]], level: int) -> np.ndarray:
+    """Number of the node of this level that each row is in; -1 where its branch has ended."""
+    at = np.ones(len(x), np.int64)
+    for _ in range(level):
+        feature, last = np.full(int(at.max(initial=1)) + 1, -1), np.zeros(int(at.max(initial=1)) + 1, np.int64)
+        for node, (f, b) in splits.items():
+            if node < len(feature):
+                feature[node], last[node] = f, b
+        own = feature[at]  # node 0 has no split: rows of ended branches wait there
+        right = x[np.arange(len(x)), np.maximum(own, 0)] > last[at]
+        at = np.where(own >= 0, 2 * at + right, 0)
+    return np.where(at > 0, at, -1)
+
+
+def _histograms(rows: DataFrame, splits: list[dict[int, tuple[int, int]]], level: int, n_features: int, n_bins: int) -> DataFrame:
+    """Gradients, curvatures and rows by (class, node, feature, bin): arrays per task, then one aggregate."""
+    n_classes, n_nodes, width = len(splits), 2 << level, n_bins + 1
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((n_classes, n_features, 3, n_nodes * width))
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, n_features).astype(np.int64)
+            scores = batch.column("s").flatten().to_numpy(zero_copy_only=False).reshape(-1, n_classes)
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            p = np.exp(scores - scores.max(axis=1, keepdims=True, initial=-np.inf))
+            p /= p.sum(axis=1, keepdims=True)
+            for k in range(n_classes):
+                node = _open_nodes(x, splits[k], level)
+                here = node >= 0
+                g, h = (p[:, k] - (y == k))[here], (p[:, k] * (1 - p[:, k]))[here]
+                for f in range(n_features):
+                    cell = node[here] * width + x[here, f] + 1  # bin -1 is the first
+                    for i, weights in enumerate((g, h, None)):
+                        sums[k, f, i] += np.bincount(cell, weights, n_nodes * width)
+        k, f, cell = np.nonzero(sums[:, :, 2])
+        g, h, n = (sums[k, f, i, cell] for i in range(3))
+        made = [k.astype(np.int32), cell // width, f.astype(np.int32), (cell % width - 1).astype(np.int32), g, h, n.astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["k", "node", "f", "bin", "g", "h", "n"])
+
+    parts = rows.mapInArrow(add, "k int, node bigint, f int, bin int, g double, h double, n bigint")
+    return parts.groupBy("k", "node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
 
 
 def _best_split(hist: pd.DataFrame, l2: float, min_rows: int) -> tuple | None:
@@ -99,21 +136,12 @@ def _best_split(hist: pd.DataFrame, l2: float, min_rows: int) -> tuple | None:
     return best
 
 
-def _grow(rows: DataFrame, n_classes: int, depth: int, rate: float, l2: float, min_rows: int) -> list[Tree]:
+def _grow(rows: DataFrame, n_classes: int, n_features: int, n_bins: int, depth: int, rate: float, l2: float, min_rows: int) -> list[Tree]:
     """One tree for each class on the gradients of the present scores."""
     splits: list[dict[int, tuple[int, int]]] = [{} for _ in range(n_classes)]
     sums: list[dict[int, np.ndarray]] = [{} for _ in range(n_classes)]
     for level in range(depth):
-        p = _softmax(F.col("s"))
-        terms = [
-            F.struct(
-                F.lit(k).alias("k"), _open_node(F.col("x"), splits[k], 1, level).alias("node"),
-                (F.get(p, F.lit(k)) - (F.col("y") == k).cast("double")).alias("g"), (F.get(p, F.lit(k)) * (1 - F.get(p, F.lit(k)))).alias("h"),
-            )
-            for k in range(n_classes)
-        ]
-        spread = rows.select("x", F.inline(F.array(*terms))).where("node >= 0").select("k", "node", "g", "h", F.posexplode("x").alias("f", "bin"))
-        hist = spread.groupBy("k", "node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).toPandas()
+        hist = _histograms(rows, splits, level, n_features, n_bins).toPandas()
         for (k, node), part in hist.groupby(["k", "node"]):
             if level == 0:
                 first = part[part["f"] == part["f"].min()]
@@ -158,7 +186,7 @@ def fit_softmax(
     rows = labelled.select(model.binned().alias("x"), y.alias("y"), F.array(*[F.lit(b) for b in model.base]).alias("s"))
     rows = stage(rows, "boosting_scores")
     for i in range(rounds):
-        trees = _grow(rows, len(classes), depth, rate, l2, min_rows)
+        trees = _grow(rows, len(classes), len(model.features), max(map(len, edges), default=0) + 1, depth, rate, l2, min_rows)
         model.trees.append(trees)
         if i + 1 < rounds:
             moved = F.array(*[F.get("s", F.lit(k)) + _value(F.col("x"), t) for k, t in enumerate(trees)])
