@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as fn
 from tidemark.operators.asof import asof_join
 from tidemark.operators.rowwindows import in_blocks, log_change, relative_change, rolling
 from tidemark.operators.scan import row_index, time_bucket, micros
+from tidemark.operators.timewindows import trailing
 from tidemark.plans.quotes import time_grid
 
 
@@ -163,16 +164,6 @@ def tick_volatility(
     )
 
 
-def _time_blocks(rows: DataFrame, reach: int) -> DataFrame:
-    """Rows with the block ``__c.b`` of their time, copied into the next where ``reach`` goes back to them."""
-    width = max(reach * 8, 600 * 1_000_000)
-    us = micros("ts_event")
-    place = F.pmod(us, F.lit(width).cast("bigint"))
-    after = F.when(place >= width - reach, F.struct((us - place + width).alias("b"), F.lit(False).alias("own")))
-    copies = F.array_compact(F.array(F.struct((us - place).alias("b"), F.lit(True).alias("own")), after))
-    return rows.select("*", us.alias("__us"), F.explode(copies).alias("__c"))
-
-
 def second_volatility(ticks: DataFrame, *, keys: Sequence[str], value: str, seconds: Sequence[int], tie: Sequence[str]) -> DataFrame:
     """Sample deviation of the log returns of the ticks in the last ``s`` seconds, as ``vol_<s>s``.
 
@@ -182,36 +173,30 @@ def second_volatility(ticks: DataFrame, *, keys: Sequence[str], value: str, seco
     good = ticks.where((F.col(value) > 0) & F.col("ts_event").isNotNull())
     indexed = row_index(good, keys=keys, bucket=None, order=[micros("ts_event"), *tie], name="__i")
     rets = in_blocks(indexed, keys=keys, index="__i", before=1, compute=lambda w: {"log_return": log_change(value, w)}).drop("__i")
-    w = Window.partitionBy(*keys, "__c.b").orderBy("__us")
-    cols = [F.stddev_samp("log_return").over(w.rangeBetween(-s * 1_000_000, 0)).alias(f"vol_{s}s") for s in seconds]
-    out = _time_blocks(rets, max(seconds) * 1_000_000).select(*rets.columns, F.col("__c.own").alias("__own"), *cols)
-    return out.where("__own").drop("__own")
+    return trailing(rets, keys=keys, ts="ts_event", seconds=seconds, deviations={"vol": F.col("log_return")})
 
 
 def sliding_flow(
     trades: DataFrame, *, keys: Sequence[str], seconds: Sequence[int]
 ) -> DataFrame:
-    """Flow over the last ``s`` seconds (inclusive) at each trade.
-
-    A time-range window per (key, time bucket); rows near a bucket's end are copied
-    into the next bucket as far back as the longest window reaches.
-    """
-    spread = _time_blocks(trades, max(seconds) * 1_000_000)
-    w = Window.partitionBy(*keys, "__c.b").orderBy("__us")
-    buy = F.when(F.col("side") == "buy_aggressor", F.col("qty")).otherwise(0.0)
-    sell = F.when(F.col("side") == "sell_aggressor", F.col("qty")).otherwise(0.0)
+    """Flow over the last ``s`` seconds (inclusive) at each trade."""
+    side, qty = F.col("side"), F.col("qty")
+    out = trailing(
+        trades, keys=keys, ts="ts_event", seconds=seconds,
+        sums={
+            "buy": F.when(side == "buy_aggressor", qty).otherwise(0.0),
+            "sell": F.when(side == "sell_aggressor", qty).otherwise(0.0),
+            "count": F.lit(1).cast("bigint"),
+        },
+    )
     cols = []
     for s in seconds:
-        frame = w.rangeBetween(-s * 1_000_000, 0)
-        b, x = F.sum(buy).over(frame), F.sum(sell).over(frame)
+        b, x = F.col(f"buy_{s}s"), F.col(f"sell_{s}s")
         cols += [
-            b.alias(f"buy_{s}s"),
-            x.alias(f"sell_{s}s"),
-            (b - x).alias(f"net_{s}s"),
-            F.count("*").over(frame).alias(f"count_{s}s"),
+            b, x, (b - x).alias(f"net_{s}s"), F.col(f"count_{s}s"),
             F.when(b + x > 0, (b - x) / (b + x)).alias(f"imbalance_{s}s"),
         ]
-    return spread.select(*trades.columns, F.col("__c.own").alias("__own"), *cols).where("__own").drop("__own")
+    return out.select(*trades.columns, *cols)
 
 
 def lag_value(
