@@ -77,6 +77,26 @@ def test_cooldown_column_and_zero(spark):
     assert got == {0, 1, 2, 3, 6}
 
 
+@pytest.mark.parametrize("rows_per_batch", [1, 7, 10_000])
+def test_cooldown_over_arrow_batches_keeps_whole_rows(spark, rows_per_batch):
+    """Blocks go on in the next batch; rows keep every column and are not joined back."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
+    try:
+        rows = [(i, None if i % 5 == 0 else f"k{i % 5}", (i // 3) * 2, {"a": i}, [i, None]) for i in range(200)]
+        df = spark.createDataFrame(rows, "id int, k string, s long, m map<string,int>, xs array<int>").withColumn("ts", F.timestamp_seconds("s"))
+        out = cooldown_thin(df, keys=["k"], ts="ts", tie="id", seconds=30)
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        want = set()
+        for k in range(5):
+            own = [r for r in rows if r[0] % 5 == k]
+            want |= {own[i][0] for i in greedy(np.array([r[2] for r in own]), 30)}
+        got = out.collect()
+        assert {r.id for r in got} == want and out.columns == df.columns
+        assert all(r.m == {"a": r.id} and r.xs == [r.id, None] and r.k == rows[r.id][1] for r in got)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_modes(spark):
     rows = [(i, "m", i * 5, 0.7) for i in range(10)]
     df = spark.createDataFrame(rows, "event_id int, market_id string, s long, threshold double").withColumns({"sample_ts": F.timestamp_seconds("s"), "direction": F.lit("UP")})

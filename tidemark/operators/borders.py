@@ -34,6 +34,11 @@ def row_buckets(
     are written and read back, so the optimizer knows their size when it chooses how to join.
     ``split`` names a column that tells whether the row's key has more than one bucket.
     """
+    return dealt(frames, border_table(frames, keys=keys, order=order, most_rows=most_rows), keys=keys, order=order, name=name, split=split)
+
+
+def border_table(frames: Sequence[DataFrame], *, keys: Sequence[str], order: str, most_rows: int = MOST_ROWS) -> DataFrame:
+    """The written borders of :func:`row_buckets`: one row for each key that has any."""
     groups = [f"__g{i}" for i in range(len(keys))]
     rate = max(1, most_rows // OVER)
     samples = []
@@ -46,7 +51,14 @@ def row_buckets(
     cuts = cuts.select(*groups, F.filter("__all", every).alias("__cuts")).where(F.size("__cuts") > 0)
     if not groups:
         cuts = cuts.withColumn("__one", F.lit(0))
-    cuts = stage(cuts, "borders")
+    return stage(cuts, "borders")
+
+
+def dealt(
+    frames: Sequence[DataFrame], cuts: DataFrame, *, keys: Sequence[str], order: str, name: str = "__rb", split: str | None = None
+) -> list[DataFrame]:
+    """``frames`` with the bucket that the written borders ``cuts`` give each row."""
+    groups = [f"__g{i}" for i in range(len(keys))]
     out = []
     for df in frames:
         if groups:

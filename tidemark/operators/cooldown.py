@@ -9,11 +9,11 @@ different starts soon keep the same rows, so
 2. one forward as-of join links each step to the step of a later block that it leads into,
 3. the links are doubled (one block, two, four, ...) and the steps reached from a key's first
    are marked on the way, so a key of many blocks costs the logarithm of their number in joins,
-4. each block, told its own start, marks the instants it keeps.
+4. each block, told its own start, is sorted once and walked in Arrow batches that hold the
+   rows of many blocks; what a block needs from the batch before is one number.
 
 Steps and links are rows: no array holds more than one block's instants, also where a key has
-more instants in one cooldown than a task could hold. Keys of one block skip steps 2 and 3, and
-travel as one array row, not as one Python call.
+more instants in one cooldown than a task could hold. Keys of one block have only step 4.
 """
 
 from __future__ import annotations
@@ -23,14 +23,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.asof import asof_join
-from tidemark.operators.borders import row_buckets
-from tidemark.operators.pick import first_per_group
+from tidemark.operators.borders import border_table, dealt
 from tidemark.operators.scan import bucket_start, micros
 from tidemark.session import stage
 
@@ -49,17 +49,14 @@ class _Batch:
     Blocks are shifted apart by more than any wait, so one binary search serves all.
     """
 
-    def __init__(self, ts: pd.Series, wait: pd.Series) -> None:
-        lengths = np.fromiter((len(t) for t in ts), np.int64, count=len(ts))
-        self.times = np.concatenate([np.asarray(t, dtype=np.int64) for t in ts])
-        self.n = len(lengths)
-        self.wait = wait.to_numpy(np.int64)
+    def __init__(self, times: np.ndarray, lengths: np.ndarray, wait: np.ndarray) -> None:
+        self.times, self.n, self.wait = times, len(lengths), wait
         self.ends = np.cumsum(lengths)
         self.begins = self.ends - lengths
         self.first = self.times[self.begins]
         self.owner = np.repeat(np.arange(self.n), lengths)
         inside = self.times - self.first[self.owner]
-        self.gap = _gap(ts, wait)
+        self.gap = _gap(self.first, times[self.ends - 1], wait)
         self.axis = inside + self.owner * self.gap
         # first instant of the same block that may follow; the block's end if none
         self.following = np.searchsorted(self.axis, self.axis + self.wait[self.owner], side="left")
@@ -81,20 +78,23 @@ class _Batch:
         return np.split(values, np.cumsum(counts)[:-1])
 
 
-def _gap(ts: pd.Series, wait: pd.Series) -> int:
-    return max(int(t[-1]) - int(t[0]) for t in ts) + 2 * int(wait.max()) + 1
+def _gap(first: np.ndarray, last: np.ndarray, wait: np.ndarray) -> int:
+    return int((last - first).max()) + 2 * int(wait.max()) + 1
 
 
-def _pieces(ts: pd.Series, wait: pd.Series) -> Iterator[slice]:
+def _pieces(times: np.ndarray, lengths: np.ndarray, wait: np.ndarray) -> Iterator[tuple[slice, _Batch]]:
     """Runs of blocks whose common axis fits in 64 bits."""
-    if len(ts):
-        size = max(1, AXIS // _gap(ts, wait))
-        for at in range(0, len(ts), size):
-            yield slice(at, at + size)
+    if len(lengths):
+        ends = np.cumsum(lengths)
+        size = max(1, AXIS // _gap(times[ends - lengths], times[ends - 1], wait))
+        for at in range(0, len(lengths), size):
+            here = slice(at, at + size)
+            n = lengths[here]
+            begin = int(ends[at] - lengths[at])
+            yield here, _Batch(times[begin : begin + int(n.sum())], n, wait[here])
 
 
-def _steps(ts: pd.Series, wait: pd.Series) -> list[np.ndarray]:
-    x = _Batch(ts, wait)
+def _steps(x: _Batch) -> list[np.ndarray]:
     # an entry lies at most one wait behind the block's first instant: only the instants up
     # to there, and the next one, can be the first one kept
     last = np.minimum(x.first_at(x.wait), x.ends - 1)
@@ -109,33 +109,48 @@ def _steps(ts: pd.Series, wait: pd.Series) -> list[np.ndarray]:
     return x.split(pairs, 2 * np.bincount(own[close], minlength=x.n))
 
 
-def _kept(ts: pd.Series, wait: pd.Series, start: pd.Series) -> list[np.ndarray]:
-    x = _Batch(ts, wait)
-    begin = np.maximum(start.to_numpy(np.int64), x.first)  # NEVER is before any first
+def _kept(x: _Batch, start: np.ndarray) -> np.ndarray:
+    """Which rows are kept when nothing before its start may be kept in a block; of one instant the first row."""
+    begin = np.maximum(start, x.first)  # NEVER is before any first
     at = x.first_at(begin - x.first)
     reached = np.zeros(len(x.times) + 1, dtype=bool)
     reached[at[at < x.ends]] = True
     for jump in x.jumps():
         reached[jump[np.flatnonzero(reached[:-1])]] = True
-    kept = reached[:-1]
-    return x.split(x.times[kept], np.add.reduceat(kept.astype(np.int64), x.begins))
+    return reached[:-1]
 
 
 @F.pandas_udf(TIMES)
 def _block_steps(ts: pd.Series, wait: pd.Series) -> pd.Series:
     """Steps of each block as one flat array: entry, free, entry, free, …"""
-    return pd.Series([a for s in _pieces(ts, wait) for a in _steps(ts[s], wait[s])], dtype=object)
-
-
-@F.pandas_udf(TIMES)
-def _block_kept(ts: pd.Series, wait: pd.Series, start: pd.Series) -> pd.Series:
-    """Instants each block keeps when nothing before its start may be kept."""
-    return pd.Series([a for s in _pieces(ts, wait) for a in _kept(ts[s], wait[s], start[s])], dtype=object)
+    lengths = np.fromiter((len(t) for t in ts), np.int64, count=len(ts))
+    times = np.concatenate([np.asarray(t, dtype=np.int64) for t in ts]) if len(ts) else np.empty(0, np.int64)
+    return pd.Series([a for _, x in _pieces(times, lengths, wait.to_numpy(np.int64)) for a in _steps(x)], dtype=object)
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows kept of sorted blocks; ``__first`` marks where a block begins, which may go on in the next batch."""
+    free = NEVER
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        us, wait, start, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__us", "__wait", "__start", "__first"))
+        begins = np.flatnonzero(first)
+        if not first[0]:
+            begins = np.append(0, begins)
+        lengths = np.diff(np.append(begins, len(us)))
+        begun, waits = np.array(start[begins]), wait[begins]
+        if not first[0]:
+            begun[0] = free
+        kept = np.concatenate([_kept(x, begun[here]) for here, x in _pieces(us, lengths, waits)])
+        own = np.flatnonzero(kept[begins[-1] :])
+        free = us[begins[-1] + own[-1]] + waits[-1] if len(own) else begun[-1]
+        yield batch.filter(pa.array(kept)).select([c for c in batch.schema.names if c not in ("__us", "__wait", "__start", "__first")])
 
 
 def _step_rows(blocks: DataFrame) -> DataFrame:
-    """The steps of the blocks of cut keys as written rows ``__g``, ``__b``, ``__e``, ``__f``."""
-    flat = blocks.where("__cut").select("__g", "__b", _block_steps("__ts", "__wait").alias("__s"))
+    """The steps of blocks as written rows ``__g``, ``__b``, ``__e``, ``__f``."""
+    flat = blocks.select("__g", "__b", _block_steps("__ts", "__wait").alias("__s"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.size("__s") - 2, F.lit(2)),
         lambda i: F.struct(F.get("__s", i).alias("e"), F.get("__s", i + 1).alias("f")),
@@ -196,24 +211,28 @@ def cooldown_thin(
     )
     group = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.struct(F.lit(0).alias("k0"))
     timed = df.withColumns({"__g": group, "__us": micros(ts), "__wait": wait}).where("__wait > 0 AND __us IS NOT NULL")
-    instants = stage(timed.groupBy("__g", "__us").agg(F.max("__wait").alias("__wait")), "cooldown_instants")
     if block_seconds is None:
-        ordered = instants.withColumn("__o", F.struct("__us"))
-        (placed,) = row_buckets([ordered], keys=["__g"], order="__o", most_rows=most_rows, name="__b", split="__cut")
+        ordered = timed.withColumn("__o", F.struct("__us"))
+        at = {"keys": ["__g"], "order": "__o"}
+        cuts = border_table([ordered], **at, most_rows=most_rows)
+        if cuts.isEmpty():
+            begun = timed.withColumns({"__b": F.lit(0).cast("bigint"), "__start": F.lit(NEVER)})
+        else:
+            (placed,) = dealt([ordered], cuts, **at, name="__b", split="__cut")
+            begun = _begun(placed.drop("__o"), most_rows)
     else:
-        placed = instants.withColumns({"__b": bucket_start(F.col("__us"), block_seconds * 1_000_000), "__cut": F.lit(True)})
-    blocks = placed.groupBy("__g", "__b", "__cut").agg(
-        F.array_sort(F.collect_list("__us")).alias("__ts"), F.max("__wait").alias("__wait")
-    )
-    if placed.where("__cut").isEmpty():
-        begun = blocks.withColumn("__start", F.lit(NEVER))
-    else:
-        # a block of a cut key that no step leads into keeps nothing
-        begun = blocks.join(_starts(_step_rows(blocks), most_rows), ["__g", "__b"], "left").withColumn(
-            "__start", F.coalesce("__start", F.when(~F.col("__cut"), F.lit(NEVER)))
-        ).where("__start IS NOT NULL")
-    kept = begun.select("__g", F.explode(_block_kept("__ts", "__wait", "__start")).alias("__us"))
-    rows = timed.join(kept, ["__g", "__us"]).select(*df.columns, "__us")
-    out = first_per_group(rows, keys=[*keys, "__us"], order=[tie]).select(*df.columns)
+        begun = _begun(timed.withColumns({"__b": bucket_start(F.col("__us"), block_seconds * 1_000_000), "__cut": F.lit(True)}), most_rows)
+    block = Window.partitionBy(*keys, "__b").orderBy("__us", tie)
+    marked = begun.select(*df.columns, "__us", "__wait", "__start", (F.row_number().over(block) == 1).alias("__first"))
+    out = marked.mapInArrow(_walked, df.schema)
     # a cooldown of zero keeps every row, also several of one instant
     return out if fixed else out.unionByName(df.where(F.col(seconds) <= 0))
+
+
+def _begun(placed: DataFrame, most_rows: int) -> DataFrame:
+    """Rows with the ``__start`` of their block; a block of a cut key that no step leads into keeps nothing."""
+    instants = placed.where("__cut").groupBy("__g", "__b", "__us").agg(F.max("__wait").alias("__wait"))
+    blocks = instants.groupBy("__g", "__b").agg(F.array_sort(F.collect_list("__us")).alias("__ts"), F.max("__wait").alias("__wait"))
+    starts = _starts(_step_rows(blocks), most_rows)
+    joined = placed.join(starts, ["__g", "__b"], "left")
+    return joined.withColumn("__start", F.coalesce("__start", F.when(~F.col("__cut"), F.lit(NEVER)))).where("__start IS NOT NULL")
