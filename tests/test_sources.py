@@ -173,3 +173,17 @@ def test_typed_profile_equals_a_loop(spark):
         assert (row["least_value"], row["greatest_value"]) == ((min(values[path]), max(values[path])) if values[path] else (None, None))
         assert row["some_value"] in (values[path] or [None])
     assert raw.typed_profile(raw.records(raw.parse_lines(df.where("false")))).collect() == []
+
+
+def test_settled_results_of_one_small_file_use_many_tasks(spark, tmp_path):
+    """One file of few bytes is one task, and every record costs a parse."""
+    from tidemark.catalog import feeds
+
+    spark.range(1, 41).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    out = feeds.settled_results(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() > 1
+    for r in out.collect():
+        k = r["c_custkey"]
+        want = 0 if k % 11 == 0 or k % 13 == 0 else 1 if k % 3 == 0 or k % 5 == 0 else None if k % 5 in (1, 2) else 0
+        assert r["settled_yes"] == want
+    assert feeds.market_metadata_rows(spark, str(tmp_path)).rdd.getNumPartitions() > 1

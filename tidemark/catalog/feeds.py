@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tidemark.catalog import views as v
 from tidemark.functions import arrays as arr
 from tidemark.functions import scalars as fn
-from tidemark.functions.jsonfields import elements_or_self, field, first_field, price_levels
+from tidemark.functions.jsonfields import elements_or_self, field, first_field, once, price_levels
 from tidemark.operators import book
 from tidemark.sources import bronze, markets, raw, salvage, tables
 from tidemark.operators.scan import micros
@@ -293,7 +293,8 @@ def market_first_events(spark, sf):
 
 def _meta(spark, sf):
     """Customers as market metadata records of varying completeness."""
-    c = v.table(spark, sf, "customer")
+    # a small file is one task, and records cost far more than their bytes
+    c = v.table(spark, sf, "customer").select("c_custkey").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
     k = F.col("c_custkey")
     start = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + k * 900 + F.when(k % 4 == 0, 7200).otherwise(60)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     outcomes = F.when(k % 5 == 0, '["No","Yes"]').when(k % 5 == 1, '["Up","Down"]').when(k % 5 == 2, '["Yes"]').otherwise('["Yes","No"]')
@@ -306,7 +307,8 @@ def _meta(spark, sf):
         F.lit(',"active":true,"slug":"s'), ks, F.lit('"}'),
     )
     slot = F.timestamp_seconds(F.lit(1_704_067_200) + k * 900)
-    return c.select("c_custkey", F.parse_json(text).alias("rec"), slot.alias("slot_start"), (slot + F.expr("INTERVAL 15 MINUTES")).alias("slot_end"))
+    out = once(c, {"rec": F.parse_json(text)})  # filters on a record stay behind it, and so behind the shuffle
+    return out.select("c_custkey", "rec", slot.alias("slot_start"), (slot + F.expr("INTERVAL 15 MINUTES")).alias("slot_end"))
 
 
 def market_metadata_rows(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,18 +189,31 @@ def settled_result(record: str | Column, yes_id: str | Column, no_id: str | Colu
     def by_id(v: Column) -> Column:
         return F.when(v == yes, 1).when(v == no, 0)
 
-    members = lowered_fields(rec)
-    winner = F.coalesce(*[by_id(any_case(members, (n,))) for n in f.WINNER_ID])
-    texts = [F.lower(F.trim(any_case(members, (n,)))) for n in f.WINNER_TEXT]
-    text = F.coalesce(*[F.when(t.isin(*f.WON_YES), 1).when(t.isin(*f.WON_NO), 0) for t in texts])
+    def found(m: Column) -> Column:
+        winner = F.coalesce(*[by_id(any_case(m, (n,))) for n in f.WINNER_ID])
+        won = lambda t: F.when(t.isin(*f.WON_YES), 1).when(t.isin(*f.WON_NO), 0)
+        text = F.coalesce(*[_let(F.lower(F.trim(any_case(m, (n,)))), won) for n in f.WINNER_TEXT])
+        return F.coalesce(winner, text, _let(_offers(m), by_offer))
+
+    def by_offer(o: Column) -> Column:
+        by_price = F.when(F.array_max(o["prices"]) >= 0.99, by_id(F.get(o["ids"], o["at"])))
+        name = F.lower(F.trim(F.get(o["names"], o["at"])))
+        return F.coalesce(by_price, F.when(name == "yes", 1).when(name == "no", 0))
+
+    return _let(lowered_fields(rec), found).cast("int")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once; a column that is named twice is computed twice."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _offers(members: Column) -> Column:
+    """Prices, ids and names of the outcomes, and the place of the highest price."""
     prices = F.transform(text_array(any_case(members, ("outcomePrices", "outcome_prices"))), fn.lenient_double)
     ids = text_array(any_case(members, ("clobTokenIds", "clob_token_ids")))
     names = text_array(any_case(members, ("outcomes",)))
-    at = arr.arg_max(prices)
-    by_price = F.when(F.array_max(prices) >= 0.99, by_id(F.get(ids, at)))
-    name = F.lower(F.trim(F.get(names, at)))
-    by_name = F.when(name == "yes", 1).when(name == "no", 0)
-    return F.coalesce(winner, text, by_price, by_name).cast("int")
+    return _let(prices, lambda p: F.struct(p.alias("prices"), arr.arg_max(p).alias("at"), ids.alias("ids"), names.alias("names")))
 
 
 def compact_dimension(silver: DataFrame) -> DataFrame:
