@@ -6,7 +6,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.streaming import outcomes, sources
+from tidemark.streaming import outcomes, sources, state
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 SCHEMA = "kind string, market_id string, id long, s double, bid double, ask double, stale boolean, direction string"
@@ -70,6 +70,36 @@ def test_any_order_of_arrival_gives_the_same(spark, tmp_path, cut):
             break
 
 
+def test_state_rows_do_not_grow_with_the_markets(spark, tmp_path):
+    n = state.BUCKETS * 3
+    at = lambda s: F.lit(T0) + F.expr(f"INTERVAL {s} SECOND")
+    market = F.when(F.col("id") > 0, F.concat(F.lit("m"), "id"))  # one market has no name
+    price = F.col("id") % 50 / 100 + 0.1
+    for kind, s, bid in (("s", 0, None), ("q", 2, price), ("q", 7, price + 0.1)):
+        spark.range(n).select(F.lit(kind).alias("kind"), market.alias("market_id"), "id", at(s).alias("ts"), F.lit(bid).cast("double").alias("bid")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.range(1).select(F.lit("c").alias("kind"), F.lit(None).cast("string").alias("market_id"), "id", at(100).alias("ts"), F.lit(None).cast("double").alias("bid")).write.mode("append").parquet(f"{tmp_path}/in")
+    ev = sources.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, files_per_batch=1)
+    bid, no = F.col("bid"), F.lit(False)
+    quo = ev.where("kind = 'q'").select(
+        "market_id", F.col("id").alias("row_id"), "ts", bid.alias("yes_bid"), (bid + 0.02).alias("yes_ask"), (1 - bid - 0.02).alias("no_bid"), (1 - bid).alias("no_ask"),
+        (F.col("id") % 2 == 0).alias("yes_stale"), no.alias("yes_crossed"), no.alias("no_stale"), F.lit(None).cast("boolean").alias("no_crossed"),
+    )
+    sig = ev.where("kind = 's'").select("market_id", F.col("id").alias("signal_id"), "ts", F.when(F.col("id") % 3 == 0, "DOWN").otherwise("UP").alias("direction"))
+    out = outcomes.delayed_outcomes(sig, quo, latency_ms=LAT * 1000, horizon_s=HOR, expire_s=EXP, delay="30 seconds", clock=ev.where("kind = 'c'").select("ts"))
+    query = sources.append_table(out, f"{tmp_path}/out", f"{tmp_path}/cp")
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(held) <= state.BUCKETS and held[-1] == 0
+    made = spark.read.schema(out.schema).parquet(f"{tmp_path}/out")
+    assert made.count() == n and made.where("market_id IS NULL AND signal_id = 0").count() == 1
+    price, i, up = F.col("signal_id") % 50 / 100 + 0.1, F.col("signal_id"), F.col("direction") == "UP"
+    entry, leave = F.when(up, price + 0.02).otherwise(1 - price), F.when(up, price + 0.1).otherwise(1 - price - 0.12)
+    wrong = (F.abs(F.col("entry_price") - entry) > 1e-9) | (F.abs(F.col("exit_price") - leave) > 1e-9) | (up == (i % 3 == 0)) | (F.col("closed_by") != "exit")
+    wrong |= (F.col("exit_us") - F.col("entry_us") != 5_000_000) | ~F.col("entry_quote_stale").eqNullSafe(up & (i % 2 == 0)) | ~F.col("exit_crossed_quote").eqNullSafe(F.when(up, False))
+    wrong |= (i > 0) & (F.col("market_id") != F.concat(F.lit("m"), i))
+    assert made.where(wrong).count() == 0
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     late = ("q", "m", 14, 1.5, 0.1, 0.12, False, None)
     rows = [[*ROWS, clock(32)], [late, ("s", "m", 9, 0, None, None, None, "UP")], [clock(300)]]
