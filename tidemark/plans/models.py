@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
@@ -40,6 +41,34 @@ def with_class_weights(df: DataFrame, label: str = "label", split: str | None =
     return df.join(weights, label, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
+FIT_ROWS = 250_000  # some 70 MB in the form that the trees keep
+
+
+@contextmanager
+def spread(rows: DataFrame, columns: Sequence[str]) -> Iterator[DataFrame]:
+    """These columns of training rows, in partitions of about ``FIT_ROWS`` rows at most, kept while models are fitted.
+
+    A fit keeps its own form of each partition and reads it again in every iteration, while the
+    partitions of a scan grow with the table. Up to ``FIT_ROWS`` rows stay as they are.
+    """
+    rows = rows.select(*dict.fromkeys(columns))
+    n = rows.count()
+    if n <= FIT_ROWS:
+        yield rows
+        return
+    parts = max(-(-n // FIT_ROWS), rows.sparkSession.sparkContext.defaultParallelism)
+    kept = rows.repartition(parts).persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
+def _fitted(pipeline: Pipeline, rows: DataFrame, columns: Sequence[str]) -> PipelineModel:
+    with spread(rows, columns) as kept:
+        return pipeline.fit(kept)
+
+
 def _inputs(features: Sequence[str]) -> list:
     filled = [f"{c}__f" for c in features]
     return [
@@ -107,11 +136,12 @@ def fit_binary(
     ready = prepared(df, features, label)
     if balanced:
         ready = with_class_weights(ready)
+    columns = [*features, "label", *(["weight"] if balanced else [])]
     if kind == "logistic":
-        model = logistic(features, balanced=balanced, max_iter=max_iter).fit(ready.where(F.col(split) == "train"))
+        model = _fitted(logistic(features, balanced=balanced, max_iter=max_iter), ready.where(F.col(split) == "train"), columns)
     elif kind == "boosted":
         seen = ready.where(F.col(split).isin("train", "valid")).withColumn("is_valid", F.col(split) == "valid")
-        model = boosted(features, balanced=balanced, max_iter=max_iter).fit(seen)
+        model = _fitted(boosted(features, balanced=balanced, max_iter=max_iter), seen, [*columns, "is_valid"])
     else:
         raise ValueError("kind must be 'logistic' or 'boosted'")
     return model, score(model, ready.where(F.col(split) == "test"))
@@ -145,19 +175,19 @@ def net_edge_model(
     the scored test rows with ``selected``.
     """
     ready = prepared(df, features, "label_net")
-    train = ready.where("split = 'train'")
     seen = with_class_weights(ready.where("split IN ('train', 'valid')").withColumn("is_valid", F.col("split") == "valid"))
-    classifier = boosted(features, balanced=True, max_iter=max_iter).fit(seen)
-    regressor = boosted_regression(features, "net_pnl", max_iter=max_iter).fit(train)
+    with spread(seen, [*features, "label", "weight", "is_valid", "net_pnl"]) as kept:
+        classifier = boosted(features, balanced=True, max_iter=max_iter).fit(kept)
+        regressor = boosted_regression(features, "net_pnl", max_iter=max_iter).fit(kept.where("NOT is_valid"))
 
     def both(rows: DataFrame) -> DataFrame:
         raw = score(classifier, rows, "pred_raw")
         return regressor.transform(raw).select(*raw.columns, "pred_edge")
 
     valid = both(ready.where("split = 'valid'"))
-    iso = IsotonicRegression(featuresCol="pred_raw", labelCol="label", predictionCol="pred_prob").fit(
-        valid.select("pred_raw", "label")
-    )
+    # equal scores are counted first: the fit pools them anyway, and brings all of one score to one task
+    points = valid.groupBy("pred_raw", "label").agg(F.count("*").cast("double").alias("points"))
+    iso = IsotonicRegression(featuresCol="pred_raw", labelCol="label", weightCol="points", predictionCol="pred_prob").fit(points)
     chosen = choose_threshold(iso.transform(valid), keys=[], edges=edges, probabilities=probabilities, min_trades=min_trades)
     test = iso.transform(both(ready.where("split = 'test'")))
     picked = null_safe_join(test, chosen.select("edge_threshold", "prob_threshold"), [], "inner")
@@ -217,9 +247,9 @@ def fit_three_way(
     ready = prepared(df.withColumn("__y", index), features, "__y")
     train = ready.where("split = 'train'")
     if kind == "logistic":
-        model = logistic(features, balanced=True, max_iter=max_iter).fit(with_class_weights(train))
+        model = _fitted(logistic(features, balanced=True, max_iter=max_iter), with_class_weights(train), [*features, "label", "weight"])
     else:
-        model = boosted_multiclass(features, max_iter=max_iter).fit(train)
+        model = _fitted(boosted_multiclass(features, max_iter=max_iter), train, [*features, "label"])
     scored = model.transform(ready.where("split = 'test'"))
     names = F.array(*[F.lit(c) for c in classes])
     scored = scored.withColumn("predicted", F.get(names, F.col("prediction").cast("int")))
