@@ -106,3 +106,41 @@ def test_shingles_and_sieve():
     assert len(jaccard.shingles(b"a b", 4)) == 1 and len(jaccard.shingles(b"", 4)) == 0
     assert jaccard.shingles(b"x a b c d", 4)[0] in jaccard.shingles(b"x a b c d e", 4)
     assert not set(jaccard.shingles(b"a b", 4)) & set(jaccard.shingles(b"a b", 1))
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (85, 100), (3, 5), (99, 100), (1, 1)])
+def test_similar_sets_share_a_part(num, den):
+    draw = np.random.default_rng(num)
+    weights = draw.integers(1, 137, 1 << jaccard.SKETCH_BITS).astype(np.uint8)
+    for n in [*range(1, 60), 97, 400, 2500]:
+        for extra in {0, n // 50, n * (den - num) // (2 * den), n * (den - num) // num}:
+            # as many other members as the threshold allows, with `extra` of them more in one set
+            pool = draw.integers(0, 1 << 63, 3 * n + 10).astype(np.uint64) * np.uint64(2)
+            for k in range(n * (den - num) // (den + num) + 1, -1, -1):  # members that each replaces, from the most
+                a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[k:n], pool[n : n + k + extra]]))
+                common = len(np.intersect1d(a, b))
+                if common and den * common >= num * (len(a) + len(b) - common):
+                    mine, other = (set(jaccard.parts_of(s, weights, num, den)[0].tolist()) for s in (a, b))
+                    assert mine & other, (n, extra, k)
+                    break
+
+
+def test_texts_that_share_passages_are_not_compared_in_pairs(spark, monkeypatch):
+    draw = random.Random(11)
+    passages = 5 * [words(40, 1000 + i) for i in range(360)]  # each stands in five texts
+    draw.shuffle(passages)
+    texts = [" ".join(passages[i : i + 6]) for i in range(0, len(passages), 6)]
+    texts += [edited(t, draw, 2) for t in texts[:20]]
+    layers = {}
+
+    def kept(df, name, real=jaccard.stage):
+        layers[name] = real(df, name)
+        return layers[name]
+
+    monkeypatch.setattr(jaccard, "stage", kept)
+    docs = documents(spark, texts).repartition(5)
+    rows = jaccard.jaccard_components(docs, n_words=4, num=85, block=8).collect()
+    assert layers["jaccard-sizes"].agg({"size": "max"}).first()[0] > 200  # linked by single n-grams
+    sent = sum(len(r["others"]) for r in layers["jaccard-clustered"].select("others").collect())
+    assert sent <= 2 * len(texts)  # copies of texts that are compared
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute(texts, range(len(texts)), 4, 85, 100)

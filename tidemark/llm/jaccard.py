@@ -11,15 +11,21 @@
    in their prefix are put in order of size, and a group is linked to the next smaller one
    that passes the size and prefix filters: no list is multiplied out. The components of these
    links are clusters that no similar pair leaves.
-4. Clusters are expanded to their texts, whose whole sets are compared. A cluster larger than
-   a task's share of the texts is cut into blocks and every pair of blocks is a task of its
-   own. A task returns which texts hang together, never the pairs.
+4. In a large corpus n-grams that a few texts share by chance get into prefixes, and links
+   over them put most texts into one cluster. A cluster larger than a task's share of the texts
+   is therefore split first, by n-grams that are shared many at a time: sets are cut by hash
+   into more parts than similar ones can differ in members, so that parts of them are equal,
+   and equal parts are linked in the same way. What step 3 or this one separates is not similar.
+5. Clusters are expanded to their texts, whose whole sets are compared. A cluster that is still
+   larger is cut into blocks and every pair of blocks is a task of its own. A task returns
+   which texts hang together, never the pairs.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -138,13 +144,59 @@ def prefix(found: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[n
     return found[order[:probe]], index
 
 
+_lows: dict[tuple[int, int], list[int]] = {}
+
+
+def size_classes(n: int, num: int, den: int) -> list[int]:
+    """Smallest sizes of classes, past n; similar sets are of one class or of neighbouring ones."""
+    lows = _lows.setdefault((num, den), [1])
+    while lows[-1] <= n:
+        low = lows[-1]
+        lows.append(max(low + 1, low * den // num, low * 17 // 16))
+    return lows
+
+
+def parts_of(found: np.ndarray, weights: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """Hashes of parts of a set, of which any two similar sets share one; all find smaller sets.
+
+    Where the smaller set of a pair is of a class, the sets differ in at most ``differ``
+    members. Cut into ``total`` parts, ``total - differ`` parts at least are equal, and one of
+    these is among the first ``differ + 1`` in any order of part contents: heavy ones first.
+    """
+    n = len(found)
+    lows = size_classes(n, num, den)
+    own = bisect_right(lows, n) - 1
+    spread, weight = mixed(found), weights[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    out = []
+    for k in range(max(own - 1, 0), own + 1):  # as the larger set of a pair, and as the smaller
+        largest = lows[k + 1] - 1
+        if num * n > den * largest:
+            continue
+        differ = (den - num) * (largest + largest * den // num) // (den + num)
+        total = differ + 1 + (differ + 1) // 2
+        part = (found % np.uint64(total)).astype(np.int64)
+        sums = np.arange(total, dtype=np.uint64) + np.uint64((k + 1) << 40)
+        np.add.at(sums, part, spread)
+        sums = mixed(sums)
+        heavy = np.bincount(part, weights=weight, minlength=total)  # whole numbers, so exact
+        out.append(sums[np.lexsort((sums, -heavy))[: differ + 1]])
+    out = np.concatenate(out)
+    return out, len(out)
+
+
 def posted(
-    batches: Iterable[pa.RecordBatch], n_words: int, counts: np.ndarray, num: int, den: int, buckets: int, most: int
+    batches: Iterable[pa.RecordBatch],
+    n_words: int,
+    keys: Callable[[np.ndarray], tuple[np.ndarray, int]],
+    buckets: int,
+    most: int,
+    wanted: np.ndarray | None = None,
 ) -> Iterator[pa.RecordBatch]:
-    """Group of each text, and the groups' prefixes dealt into buckets by n-gram.
+    """Group of each text (that may be wanted), and the groups' keys dealt into buckets.
 
-    A group has a number; its postings in a bucket are n-grams, and the group's distance
-    from the one before, its size and whether a smaller set is found by the n-gram.
+    Keys are n-grams of a prefix or hashes of parts. A group has a number; its postings in a
+    bucket are keys, and the group's distance from the one before, its size and whether a
+    smaller set is found by the key.
     """
     known: set[bytes] = set()
     groups: dict[bytes, int] = {}
@@ -166,14 +218,15 @@ def posted(
 
     for batch in small(batches):
         names, gids = [], []
-        for text in texts(batch.column("text")):
-            words = joined_words(text)
-            name = digest(words)[:16]
-            if not words or name in known:
+        joined = [joined_words(text) for text in texts(batch.column("text"))]
+        digests = [digest(words)[:16] for words in joined]
+        may = [True] * len(joined) if wanted is None else may_hold(wanted, digests)
+        for words, name, asked in zip(joined, digests, may, strict=True):
+            if not words or not asked or name in known:
                 continue
             known.add(name)
             found = shingles(words, n_words)
-            first, index = prefix(found, counts, num, den)
+            first, index = keys(found)
             key = digest(len(found).to_bytes(8, "big") + first.tobytes())[:16]
             if key not in groups:
                 groups[key] = len(groups)
@@ -292,7 +345,7 @@ def similar(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.
 def verified(batches: Iterable[pa.RecordBatch], n_words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Texts of a cluster (or of two of its blocks) that hang together, as stars."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    for table in runs(batches, ["cluster", "low", "high"]):
+    for table in runs(batches, ["cluster", "piece", "low", "high"]):
         words = dict(zip(table.column("digest").to_pylist(), table.column("words").to_pylist(), strict=True))
         names = sorted(words)
         if len(names) > 1:
@@ -318,35 +371,55 @@ def jaccard_components(
     return _components(docs, n_words, num, den, block, most).select("doc_id", "n_shingles", "component_id")
 
 
-def _components(docs: DataFrame, n_words: int, num: int, den: int, block: int, most: int) -> DataFrame:
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = few_rows_at_once(docs).select("doc_id", "text")
-    seen = stage(source.mapInArrow(partial(seen_rows, n_words=n_words), SEEN), "jaccard-rows")
-    sketched = seen.where(F.col("slice").isNotNull()).select("slice", "part")
-    # larger counts are told apart by hash only; any order is right
-    counts = np.minimum(gathered(sketched, "<u4", np.add, 1 << SKETCH_BITS), MOST_COUNTED).astype(np.uint16)
-    step = partial(posted, n_words=n_words, counts=counts, num=num, den=den, buckets=parts, most=most)
-    post = stage(source.select("text").mapInArrow(step, POSTED), "jaccard-prefixes")
+def _clustered(post: DataFrame, parts: int, num: int, den: int, name: str) -> DataFrame:
+    """digest, cluster of the texts in ``post``: similar ones are in one cluster."""
     links = (
         post.where(F.col("bucket").isNotNull())
         .select("bucket", "gid", "tokens", "numbers")
         .repartition(parts, "bucket")
         .mapInArrow(partial(candidate_links, num=num, den=den), "a long, b long")
     )
-    clusters = components(links, "jaccard-clusters")
+    clusters = components(links, name)
     members = post.where(F.col("digest").isNotNull()).select("digest", "gid")
-    clustered = members.join(clusters, members["gid"] == clusters["node"], "left").select(
+    return members.join(clusters, members["gid"] == clusters["node"], "left").select(
         "digest", F.coalesce("label", "gid").alias("cluster")
     ).distinct()
+
+
+def _components(docs: DataFrame, n_words: int, num: int, den: int, block: int, most: int) -> DataFrame:
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    source = few_rows_at_once(docs).select("doc_id", "text")
+    seen = stage(source.mapInArrow(partial(seen_rows, n_words=n_words), SEEN), "jaccard-rows")
+    sketched = seen.where(F.col("slice").isNotNull()).select("slice", "part")
+    # larger counts are told apart by hash only; any order is right
+    counts = np.minimum(gathered(sketched, "<u4", np.add, 1 << SKETCH_BITS), MOST_COUNTED).astype(np.uint16)
+    step = partial(posted, n_words=n_words, buckets=parts, most=most)
+    first = partial(step, keys=partial(prefix, counts=counts, num=num, den=den))
+    post = stage(source.select("text").mapInArrow(first, POSTED), "jaccard-prefixes")
+    clustered = _clustered(post, parts, num, den, "jaccard-clusters").withColumn("piece", F.lit(0).cast("long"))
     sizes = stage(clustered.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-sizes")
-    share = (sizes.agg(F.sum("size")).first()[0] or 0) // (2 * parts)  # half of what each task would get
-    blocks = F.ceil(F.col("size") / min(max(block, share), 8 * block))
+    total, largest = sizes.agg(F.sum("size"), F.max("size")).first()
+    share = (total or 0) // (2 * parts)  # half of what each task would get
+    at_once = min(max(block, share), 8 * block)
+    clustered = clustered.join(sizes, "cluster")
+    if (largest or 0) > at_once and 2 * num > den:  # else parts have next to no members
+        clustered = stage(clustered, "jaccard-unsplit")
+        large = clustered.where(F.col("size") > at_once).drop("piece", "size")
+        weights = np.rint(8 * (17 - np.log2(counts + 1.0))).astype(np.uint8)
+        keys = partial(parts_of, weights=weights, num=num, den=den)
+        again = partial(step, keys=keys, wanted=sieve(large.select("digest")))
+        post = stage(source.select("text").mapInArrow(again, POSTED), "jaccard-parts")
+        pieces = _clustered(post, parts, num, den, "jaccard-pieces").withColumnRenamed("cluster", "piece")
+        split = stage(large.join(pieces, "digest"), "jaccard-split")
+        sizes = split.groupBy("cluster", "piece").agg(F.count("*").alias("size")).where("size > 1")
+        clustered = clustered.where(F.col("size") <= at_once).unionByName(split.join(sizes, ["cluster", "piece"]))
+    blocks = F.ceil(F.col("size") / at_once)
     mine = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda b: b != mine)
     to_verify = stage(
-        clustered.join(sizes, "cluster")
-        .withColumn("blocks", blocks)
-        .select("digest", "cluster", F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(others).alias("others"), mine.alias("mine")),
+        clustered.withColumn("blocks", blocks)
+        .withColumn("others", F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(others))
+        .select("digest", "cluster", "piece", "others", mine.alias("mine")),
         "jaccard-clustered",
     )
     wanted = sieve(to_verify.select("digest"))
@@ -354,13 +427,13 @@ def _components(docs: DataFrame, n_words: int, num: int, den: int, block: int, m
         source.select("text")
         .mapInArrow(partial(joined_texts, wanted=wanted), WORDS)
         .join(to_verify, "digest")
-        .select("cluster", "mine", "others", "digest", "words")
-        .select("cluster", "mine", "digest", "words", F.explode("others").alias("other"))
+        .select("cluster", "piece", "mine", "others", "digest", "words")
+        .select("cluster", "piece", "mine", "digest", "words", F.explode("others").alias("other"))
         .select(
-            "cluster", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "digest", "words"
+            "cluster", "piece", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "digest", "words"
         )
-        .repartition(parts, "cluster", "low", "high")
-        .sortWithinPartitions("cluster", "low", "high")
+        .repartition(parts, "cluster", "piece", "low", "high")
+        .sortWithinPartitions("cluster", "piece", "low", "high")
         .mapInArrow(partial(verified, n_words=n_words, num=num, den=den), "a binary, b binary")
     )
     linked = components(compared, "jaccard-links")
