@@ -25,3 +25,4 @@ def spark():
 def _no_layers_left(spark):
     yield
     drop_layers(spark)
+    spark.catalog.clearCache()  # rows that tests of the module have cached
